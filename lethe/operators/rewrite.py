@@ -38,8 +38,9 @@ def remove_features(samples: DataFrame, dims: Sequence[int], prefix: str = "") -
     dl = _dims_lit(dims)
     z = F.filter(F.arrays_zip(F.col("idx").alias("i"), F.col("val").alias("v")),
                  lambda e: ~F.array_contains(dl, e["i"]))
-    return (samples.withColumn(prefix + "idx", F.transform(z, lambda e: e["i"]))
-            .withColumn(prefix + "val", F.transform(z, lambda e: e["v"])))
+    return (samples.withColumn("__z", z)
+            .withColumn(prefix + "idx", F.transform("__z", lambda e: e["i"]))
+            .withColumn(prefix + "val", F.transform("__z", lambda e: e["v"])).drop("__z"))
 
 
 def removal_delta(samples: DataFrame, dims: Sequence[int]) -> DataFrame:
@@ -92,8 +93,9 @@ def zero_values(samples: DataFrame, rows: DataFrame, dims: Sequence[int], key: s
     j = samples.join(flag, key, "left")
     z = F.filter(F.arrays_zip(F.col("idx").alias("i"), F.col("val").alias("v")),
                  lambda e: ~(F.coalesce(F.col("__f"), F.lit(False)) & F.array_contains(dl, e["i"])))
-    return (j.withColumn("idx", F.transform(z, lambda e: e["i"]))
-            .withColumn("val", F.transform(z, lambda e: e["v"])).drop("__f"))
+    return (j.withColumn("__z", z)
+            .withColumn("idx", F.transform("__z", lambda e: e["i"]))
+            .withColumn("val", F.transform("__z", lambda e: e["v"])).drop("__f", "__z"))
 
 
 # P13 ----------------------------------------------------------------------------
