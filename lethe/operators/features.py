@@ -250,9 +250,8 @@ def dedupe_feature_sets(samples: DataFrame, key: str = "row_id", idx: str = "idx
 def char_windows(docs: DataFrame, key: str, length: int, text: str = "text") -> DataFrame:
     """Overlapping stride-1 windows: (key, pos, ctx, next) for every position of every text."""
     n = F.length(_c(text))
-    return (docs.select(key, text, F.explode(
-                F.sequence(F.lit(0), F.greatest(n - length - 1, F.lit(-1)))).alias("pos"))
-            .where(F.col("pos") >= 0)
+    positions = F.when(n > length, F.sequence(F.lit(0), n - length - 1)).otherwise(F.array().cast("array<int>"))
+    return (docs.select(key, text, F.explode(positions).alias("pos"))
             .select(key, F.col("pos").cast("int").alias("pos"),
                     F.substring(F.col(text), F.col("pos") + 1, length).alias("ctx"),
                     F.substring(F.col(text), F.col("pos") + length + 1, 1).alias("next")))
