@@ -246,8 +246,8 @@ votes AS (SELECT row_id, pred FROM m0_pred UNION ALL SELECT row_id, pred FROM m1
           UNION ALL SELECT row_id, pred FROM m2_pred),
 cnt AS (SELECT row_id, pred, count(*) AS n FROM votes GROUP BY row_id, pred),
 best AS (SELECT row_id, pred, n, row_number() OVER (PARTITION BY row_id ORDER BY n DESC, pred) AS rn FROM cnt),
-den AS (SELECT row_id, sum(exp(n - m)) + ({K} - count(*)) * exp(-m) AS s, any_value(m) AS m FROM (
-  SELECT row_id, n, max(n) OVER (PARTITION BY row_id) AS m FROM cnt) GROUP BY row_id)""") + """
+den AS (SELECT row_id, sum(exp(n - m)) + ({K} - count(*)) * exp(-m) AS s FROM (
+  SELECT row_id, n, max(n) OVER (PARTITION BY row_id) AS m FROM cnt) GROUP BY row_id, m)""") + """
 SELECT b.row_id, CAST(b.pred AS INTEGER) AS vote, round(1.0 / d.s, 6) AS p_vote
 FROM best b JOIN den d ON d.row_id = b.row_id WHERE b.rn = 1""")
 def a21_majority_vote(spark, sf):
