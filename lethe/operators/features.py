@@ -195,22 +195,25 @@ def build_vocab(train_docs: DataFrame, min_df: int, tokens: str = "tokens") -> D
                        F.col("token").alias("feature"))
 
 
+# Largest vocabulary broadcast to every task (rows; ~100 bytes each).
+MAX_BROADCAST_VOCAB = 1_000_000
+
+
 def binary_bag_of_words(docs: DataFrame, vocab: DataFrame, key: str = "row_id",
                         tokens: str = "tokens") -> DataFrame:
-    """Adds sparse ``idx``/``val`` (binary presence, L2-normalised rows) from a token column."""
+    """Adds sparse ``idx``/``val`` (binary presence, L2-normalised rows) from a token column.
+
+    (doc, token) pairs are joined to the vocabulary: broadcast when its counted
+    size is under MAX_BROADCAST_VOCAB, otherwise a shuffle join whose skewed
+    tokens AQE splits.  Rows are regrouped by key.
+    """
     n_vocab = vocab.count()
-    if n_vocab <= MAX_LITERAL_VOCAB:
-        rows = vocab.orderBy("dim").collect()
-        lookup = F.map_from_arrays(F.lit([r["feature"] for r in rows]), F.lit([r["dim"] for r in rows]))
-        dims = F.array_sort(F.array_distinct(F.filter(
-            F.transform(F.col(tokens), lambda t: F.element_at(lookup, t)), lambda d: d.isNotNull())))
-        out = docs.withColumn("idx", dims.cast("array<int>"))
-    else:
-        pairs = docs.select(key, F.explode(F.array_distinct(F.col(tokens))).alias("feature"))
-        hit = pairs.join(vocab, "feature")  # shuffle join; AQE splits skewed tokens
-        grouped = hit.groupBy(key).agg(F.array_sort(F.collect_list("dim")).alias("idx"))
-        out = docs.join(grouped, key, "left").withColumn(
-            "idx", F.coalesce(F.col("idx"), F.array().cast("array<int>")))
+    v = vocab.select("feature", "dim")
+    v = F.broadcast(v) if n_vocab <= MAX_BROADCAST_VOCAB else v
+    pairs = docs.select(key, F.explode(F.array_distinct(F.col(tokens))).alias("feature"))
+    grouped = pairs.join(v, "feature").groupBy(key).agg(F.array_sort(F.collect_list("dim")).alias("idx"))
+    out = docs.join(grouped, key, "left").withColumn(
+        "idx", F.coalesce(F.col("idx"), F.array().cast("array<int>")))
     out = out.withColumn("val", F.transform(F.col("idx"), lambda _: F.lit(1.0)))
     return l2_normalize_sparse(out)
 
@@ -248,13 +251,20 @@ def dedupe_feature_sets(samples: DataFrame, key: str = "row_id", idx: str = "idx
 
 # W4 -----------------------------------------------------------------------------
 def char_windows(docs: DataFrame, key: str, length: int, text: str = "text") -> DataFrame:
-    """Overlapping stride-1 windows: (key, pos, ctx, next) for every position of every text."""
-    n = F.length(_c(text))
+    """Overlapping stride-1 windows: (key, pos, ctx, next) for every position of every text.
+
+    The text is split into a character array once per row, and every window is a
+    slice of that array, so the cost is linear in the text length (a substring
+    per position would rescan the UTF-8 bytes from the start each time).
+    """
+    chars = F.split(_c(text), "")
+    n = F.size("__chars")
     positions = F.when(n > length, F.sequence(F.lit(0), n - length - 1)).otherwise(F.array().cast("array<int>"))
-    return (docs.select(key, text, F.explode(positions).alias("pos"))
+    return (docs.select(key, chars.alias("__chars"))
+            .select(key, "__chars", F.explode(positions).alias("pos"))
             .select(key, F.col("pos").cast("int").alias("pos"),
-                    F.substring(F.col(text), F.col("pos") + 1, length).alias("ctx"),
-                    F.substring(F.col(text), F.col("pos") + length + 1, 1).alias("next")))
+                    F.array_join(F.slice("__chars", F.col("pos") + 1, length), "").alias("ctx"),
+                    F.element_at("__chars", F.col("pos") + length + 1).alias("next")))
 
 
 # E9 -----------------------------------------------------------------------------

@@ -45,7 +45,9 @@ def grad_factor(y, s) -> Column:
 
 # A8 / A9 -----------------------------------------------------------------------
 def loss_l(samples: DataFrame, theta: Sequence[float]) -> Column:
-    return F.sum(log_loss(F.col("y") * sparse_dot("idx", "val", theta)))
+    """sum -ln sigma(y s); expects column ``s`` (see with_score) when present, else scores inline."""
+    s = F.col("s") if "s" in samples.columns else sparse_dot("idx", "val", theta)
+    return F.sum(log_loss(F.col("y") * s))
 
 
 def objective(l_value: float, theta: Sequence[float], lam: float, b: Sequence[float] | None = None) -> float:
@@ -64,7 +66,8 @@ def loss_df(samples: DataFrame, theta: Sequence[float]) -> DataFrame:
 # A10 ----------------------------------------------------------------------------
 def gradient(samples: DataFrame, theta: Sequence[float]) -> DataFrame:
     """(dim, grad) of the unregularised sample loss; dims with no entry are absent (0)."""
-    scored = samples.select(grad_factor("y", sparse_dot("idx", "val", theta)).alias("f"),
+    base = samples.select("y", "idx", "val", sparse_dot("idx", "val", theta).alias("__s"))
+    scored = base.select(grad_factor("y", "__s").alias("f"),
                             F.explode(F.arrays_zip(F.col("idx").alias("i"), F.col("val").alias("v"))).alias("e"))
     return (scored.groupBy(F.col("e.i").alias("dim"))
             .agg(F.sum(F.col("f") * F.col("e.v")).alias("grad")))
@@ -92,16 +95,17 @@ def gradient_vector(samples: DataFrame, theta: Sequence[float], d: int, lam: flo
 def input_gradient(samples: DataFrame, theta: Sequence[float]) -> DataFrame:
     """Per-row gradient w.r.t. the input: -y sigma(-y s) theta."""
     w = F.array(*[F.lit(float(t)) for t in theta])
-    f = grad_factor("y", sparse_dot("idx", "val", theta))
-    return samples.withColumn("grad_x", F.transform(w, lambda t: f * t))
+    out = samples.withColumn("__s", sparse_dot("idx", "val", theta)).withColumn("__f", grad_factor("y", "__s"))
+    return out.withColumn("grad_x", F.transform(w, lambda t: F.col("__f") * t)).drop("__f", "__s")
 
 
 # A13 ----------------------------------------------------------------------------
 def hvp(samples: DataFrame, theta: Sequence[float], v: Sequence[float]) -> DataFrame:
     """(dim, hv) of sum sigma(s)(1-sigma(s)) (x.v) x, one pass, no Hessian."""
-    p = logistic(sparse_dot("idx", "val", theta))
-    z = sparse_dot("idx", "val", v)
-    scored = samples.select((p * (F.lit(1.0) - p) * z).alias("f"),
+    base = samples.select("idx", "val", logistic(sparse_dot("idx", "val", theta)).alias("__p"),
+                          sparse_dot("idx", "val", v).alias("__z"))
+    p = F.col("__p")
+    scored = base.select((p * (F.lit(1.0) - p) * F.col("__z")).alias("f"),
                             F.explode(F.arrays_zip(F.col("idx").alias("i"), F.col("val").alias("v"))).alias("e"))
     return scored.groupBy(F.col("e.i").alias("dim")).agg(F.sum(F.col("f") * F.col("e.v")).alias("hv"))
 
@@ -163,8 +167,8 @@ def hessian_matrix(samples: DataFrame, theta, d: int, lam: float = 0.0) -> np.nd
 
 # M3 / F4 ------------------------------------------------------------------------
 def predict(samples: DataFrame, theta: Sequence[float]) -> DataFrame:
-    p = logistic(sparse_dot("idx", "val", theta))
-    return samples.withColumn("p", p).withColumn("pred", F.when(F.col("p") >= 0.5, 1.0).otherwise(-1.0))
+    out = samples.withColumn("__s", sparse_dot("idx", "val", theta))
+    return out.withColumn("p", logistic("__s")).drop("__s").withColumn("pred", F.when(F.col("p") >= 0.5, 1.0).otherwise(-1.0))
 
 
 # A14 / U1 -----------------------------------------------------------------------
@@ -174,11 +178,14 @@ def gradient_diff(delta: DataFrame, theta: Sequence[float]) -> DataFrame:
     ``delta`` has (y, idx, val) for the old rows and (y_delta, idx_delta, val_delta)
     for their edited versions.
     """
-    f_new = grad_factor("y_delta", sparse_dot("idx_delta", "val_delta", theta))
-    f_old = grad_factor("y", sparse_dot("idx", "val", theta))
+    d = delta.select("y", "y_delta", "idx", "val", "idx_delta", "val_delta",
+                     sparse_dot("idx_delta", "val_delta", theta).alias("__sn"),
+                     sparse_dot("idx", "val", theta).alias("__so"))
+    d = d.select("idx", "val", "idx_delta", "val_delta", grad_factor("y_delta", "__sn").alias("__fn"),
+                 grad_factor("y", "__so").alias("__fo"))
     new_e = F.transform(F.arrays_zip(F.col("idx_delta").alias("i"), F.col("val_delta").alias("v")),
-                        lambda e: F.struct(e["i"].alias("i"), (f_new * e["v"]).alias("g")))
+                        lambda e: F.struct(e["i"].alias("i"), (F.col("__fn") * e["v"]).alias("g")))
     old_e = F.transform(F.arrays_zip(F.col("idx").alias("i"), F.col("val").alias("v")),
-                        lambda e: F.struct(e["i"].alias("i"), (-f_old * e["v"]).alias("g")))
-    ex = delta.select(F.explode(F.concat(new_e, old_e)).alias("e"))
+                        lambda e: F.struct(e["i"].alias("i"), (-F.col("__fo") * e["v"]).alias("g")))
+    ex = d.select(F.explode(F.concat(new_e, old_e)).alias("e"))
     return ex.groupBy(F.col("e.i").alias("dim")).agg(F.sum("e.g").alias("g"))

@@ -123,7 +123,8 @@ def fit_lbfgs(samples: DataFrame, d: int, lam: float, b=None, theta0=None, max_i
     data = samples.persist(StorageLevel.MEMORY_AND_DISK)
 
     def fg(t):
-        l_val = data.agg(lin.loss_l(data, t)).collect()[0][0] or 0.0
+        sc = lin.with_score(data, list(t))
+        l_val = sc.agg(lin.loss_l(sc, t)).collect()[0][0] or 0.0
         g = lin.to_vector(lin.gradient(data, t), d)
         return l_val + 0.5 * lam * t @ t + bb @ t, g + lam * t + bb
 

@@ -74,7 +74,7 @@ def report_df(df):
 SELECT round(sum(ln(1 + exp(-y * s))), 4) AS loss, count(*) AS n
 FROM (SELECT y, {S_SQL} AS s FROM li_rows WHERE split = 'train')""")
 def a8_sample_loss(spark, sf):
-    t = _train(spark, sf)
+    t = lin.with_score(_train(spark, sf), THETA)
     return t.agg(F.round(lin.loss_l(t, THETA), 4).alias("loss"), F.count(F.lit(1)).alias("n"))
 
 
@@ -83,9 +83,9 @@ def a8_sample_loss(spark, sf):
 SELECT split, round(sum(ln(1 + exp(-y * s))) + 0.5 * {LAM} * {sum(t * t for t in THETA)}, 4) AS objective
 FROM (SELECT split, y, {S_SQL} AS s FROM li_rows) GROUP BY split""")
 def a9_objective(spark, sf):
-    s = numeric_samples(spark, sf).samples
+    s = lin.with_score(numeric_samples(spark, sf).samples, THETA)
     reg = 0.5 * LAM * float(np.dot(THETA, THETA))
-    return s.groupBy("split").agg(F.round(F.sum(log_loss(F.col("y") * sparse_dot("idx", "val", THETA))) + F.lit(reg), 4)
+    return s.groupBy("split").agg(F.round(F.sum(log_loss(F.col("y") * F.col("s"))) + F.lit(reg), 4)
                                   .alias("objective"))
 
 
