@@ -25,3 +25,18 @@ def op2_substring_dedup(spark, sf_dir):
     return out.select(F.col("id").alias("doc_id"), "n_words",
                       F.expr("aggregate(spans, 0L, (n, s) -> n + s.last - s.first + 1)").alias("n_removed"),
                       F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+@query
+def op6_exact_dedup(spark, sf_dir):
+    from .exact import exact_dedup
+    return exact_dedup(read(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
+ORACLE["op6_exact_dedup"] = r"""
+WITH d AS (SELECT doc_id, length(coalesce(text, '')) AS points,
+                  regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS norm FROM documents),
+     g AS (SELECT *, row_number() OVER (PARTITION BY norm ORDER BY points DESC, doc_id) AS place,
+                  first_value(doc_id) OVER (PARTITION BY norm ORDER BY points DESC, doc_id) AS keep_id,
+                  count(*) OVER (PARTITION BY norm) AS group_size FROM d)
+SELECT doc_id, keep_id, group_size, place = 1 AS kept, sha256(norm) AS text_sha256 FROM g"""
