@@ -40,3 +40,26 @@ WITH d AS (SELECT doc_id, length(coalesce(text, '')) AS points,
                   first_value(doc_id) OVER (PARTITION BY norm ORDER BY points DESC, doc_id) AS keep_id,
                   count(*) OVER (PARTITION BY norm) AS group_size FROM d)
 SELECT doc_id, keep_id, group_size, place = 1 AS kept, sha256(norm) AS text_sha256 FROM g"""
+
+
+@query
+def op10_jaccard_join(spark, sf_dir):
+    from .jaccard import jaccard_components
+    return jaccard_components(read(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
+ORACLE["op10_jaccard_join"] = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+                     ELSE list_distinct([array_to_string(w[i:i + 4], ' ') FOR i IN range(1, len(w) - 3)]) END AS sh FROM d),
+c AS (SELECT doc_id, len(sh) AS n FROM s),
+t AS (SELECT doc_id, unnest(sh) AS sh FROM s),
+l AS (SELECT a.doc_id AS x, b.doc_id AS y FROM t a JOIN t b ON a.sh = b.sh AND a.doc_id <> b.doc_id
+      JOIN c p ON p.doc_id = a.doc_id JOIN c q ON q.doc_id = b.doc_id
+      GROUP BY a.doc_id, b.doc_id, p.n, q.n HAVING 100 * count(*) >= 80 * (p.n + q.n - count(*))),
+r AS (SELECT doc_id, doc_id AS reach FROM documents
+      UNION SELECT r.doc_id, l.y FROM r JOIN l ON l.x = r.reach),
+m AS (SELECT doc_id, min(reach) AS component_id FROM r GROUP BY doc_id)
+SELECT c.doc_id, c.n AS n_shingles, m.component_id FROM c JOIN m USING (doc_id)"""
