@@ -63,3 +63,11 @@ r AS (SELECT doc_id, doc_id AS reach FROM documents
       UNION SELECT r.doc_id, l.y FROM r JOIN l ON l.x = r.reach),
 m AS (SELECT doc_id, min(reach) AS component_id FROM r GROUP BY doc_id)
 SELECT c.doc_id, c.n AS n_shingles, m.component_id FROM c JOIN m USING (doc_id)"""
+
+
+@query
+def op4_best_fit_packing(spark, sf_dir):
+    import public_tokenizers
+    from .packing import best_fit_pack
+    out = best_fit_pack(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return out.withColumnRenamed("id", "doc_id")
