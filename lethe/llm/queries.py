@@ -71,3 +71,24 @@ def op4_best_fit_packing(spark, sf_dir):
     from .packing import best_fit_pack
     out = best_fit_pack(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
     return out.withColumnRenamed("id", "doc_id")
+
+
+@query
+def op9_hilbert_sharding(spark, sf_dir):
+    from .hilbert import hilbert_shards
+    out = hilbert_shards(read(spark, sf_dir, "documents"), 24)
+    return out.select(F.col("id").alias("doc_id"), "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot",
+                      F.lit(None).cast("int").alias("grown_shard"))
+
+
+@query
+def op1_license_scan(spark, sf_dir):
+    from .licenses import license_scan
+    out = license_scan(read(spark, sf_dir, "documents"))
+    out = out.withColumn("base", F.filter("matches", lambda m: m["base"]))
+    places = F.transform("base", lambda m: m["first"].cast("long"))
+    names = lambda c: F.array_join(F.array_sort(F.array_distinct(F.transform(c, lambda m: m["label"]))), ",")
+    return out.select(F.col("id").alias("doc_id"), "n_words", F.size("base").cast("long").alias("n_base"),
+                      F.array_min(places).alias("first_word"), F.array_max(places).alias("last_word"),
+                      names("base").alias("base_labels"), names("matches").alias("labels"),
+                      F.coalesce(F.array_max(F.transform("matches", lambda m: m["score"])), F.lit(0.0)).alias("score"))
