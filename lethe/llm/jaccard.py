@@ -245,7 +245,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
                        shard_bytes: int = S.SHARD_BYTES, rounds: int = _ROUNDS) -> DataFrame:
     """One row per document: id, n_shingles, component_id (smallest id reachable by links)."""
     n = S.plan_shards(docs, text_col, shard_bytes)
-    buckets = n // 2 + 1
+    buckets = n // 2
     packed = S.packed_docs(docs, id_col, text_col, n)
     shared = packed.groupBy("shard").applyInArrow(_send_screen(k, percent, buckets), S.PACKED).groupBy("bucket").applyInArrow(_shared, S.ANSWER)
     table = cut_lineage(packed.groupBy("shard").cogroup(shared.groupBy("shard")).applyInArrow(
@@ -254,7 +254,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     left = table.filter("cls is not null")
     again = S.plan_shards(left, "blob", shard_bytes // 4)
     dealt = left.select("id", "cls", "blob", "size", F.pmod(F.xxhash64("cls"), F.lit(again)).cast("int").alias("shard"))
-    freq = dealt.groupBy("shard").applyInArrow(_send_counts(k, again // 2 + 1), S.PACKED).groupBy("bucket").applyInArrow(_frequency, S.ANSWER)
+    freq = dealt.groupBy("shard").applyInArrow(_send_counts(k, again // 2), S.PACKED).groupBy("bucket").applyInArrow(_frequency, S.ANSWER)
     found = cut_lineage(dealt.groupBy("shard").cogroup(freq.groupBy("shard")).applyInArrow(
         _prefixes(k, percent), "id long, rep long, n int, l int, prefix array<long>"))
 

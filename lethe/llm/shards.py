@@ -26,11 +26,12 @@ ANSWER = "shard int, payload binary"
 
 
 def plan_shards(docs: DataFrame, text_col: str, shard_bytes: int = SHARD_BYTES) -> int:
-    """Number of shards: enough that each has ``shard_bytes`` of text on average, and four
-    for each shuffle partition, so that hashing deals them out evenly."""
+    """Number of shards: two for each ``shard_bytes`` of text, or for each shuffle partition
+    if those are more, so that hashing deals them out evenly.  Callers use half as many
+    buckets, so packed rows number twice the square of the partitions at most."""
     size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return max(4 * parts, math.ceil(size / shard_bytes))
+    return 2 * max(parts, math.ceil(size / shard_bytes))
 
 
 def pack(ids: np.ndarray, texts: list[bytes]) -> bytes:

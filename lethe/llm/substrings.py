@@ -236,7 +236,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     block = max(1, window // 2)
     n = S.plan_shards(docs, text_col, shard_bytes)
-    buckets = n // 2 + 1
+    buckets = n // 2
     packed = S.packed_docs(docs, id_col, text_col, n)
     hits = (packed.groupBy("shard").applyInArrow(_send_blocks(window, block, buckets), S.PACKED)
             .groupBy("bucket").applyInArrow(_find_hits, S.ANSWER))
