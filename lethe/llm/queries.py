@@ -92,3 +92,25 @@ def op1_license_scan(spark, sf_dir):
                       F.array_min(places).alias("first_word"), F.array_max(places).alias("last_word"),
                       names("base").alias("base_labels"), names("matches").alias("labels"),
                       F.coalesce(F.array_max(F.transform("matches", lambda m: m["score"])), F.lit(0.0)).alias("score"))
+
+
+@query
+def op5_benchmark_decontamination(spark, sf_dir):
+    from .decontaminate import benchmark_hits
+    return benchmark_hits(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")).withColumnRenamed("id", "doc_id")
+
+
+@query
+def op3_toxicity(spark, sf_dir):
+    from .toxicity import fit_toxicity, score_toxicity
+    docs = read(spark, sf_dir, "documents")
+    out = score_toxicity(docs, *fit_toxicity(docs, read(spark, sf_dir, "labels")))
+    return out.select(F.col("id").alias("doc_id"), "held_out", "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+@query
+def op7_quality_classifier(spark, sf_dir):
+    from .quality import fit_quality, score_quality
+    docs = read(spark, sf_dir, "documents")
+    out = score_quality(docs, fit_quality(docs, read(spark, sf_dir, "labels")))
+    return out.select(F.col("id").alias("doc_id"), "held_out", "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
