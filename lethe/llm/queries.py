@@ -114,3 +114,11 @@ def op7_quality_classifier(spark, sf_dir):
     docs = read(spark, sf_dir, "documents")
     out = score_quality(docs, fit_quality(docs, read(spark, sf_dir, "labels")))
     return out.select(F.col("id").alias("doc_id"), "held_out", "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+@query
+def op8_chat_formatting(spark, sf_dir):
+    from .chat import format_windows, read_back
+    turns = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    hard = spark.sql("SELECT -1L AS conv_id, t AS turn, if(t = 0L, 'user', 'assistant') AS role, '</s>[INST] ok [/INST]' AS text FROM VALUES (0L), (1L) AS v(t)")
+    return read_back(format_windows(turns.unionByName(hard)))
