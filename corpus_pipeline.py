@@ -1,11 +1,65 @@
-"""Corpus pipeline (stages are added as their operators are built)."""
+"""Corpus pipeline: toxicity, exact dedup, n-gram Jaccard join, benchmark decontamination,
+best-fit packing.
+
+Each stage takes (spark, docs, sf_dir), works on all that the stage before kept, and is
+written as Parquet and read again.  All but the last return the columns of ``documents``.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from lethe.llm.decontaminate import drop_contaminated
+from lethe.llm.exact import drop_copies
+from lethe.llm.jaccard import jaccard_components
+from lethe.llm.packing import best_fit_pack
+from lethe.llm.toxicity import drop_toxic, fit_toxicity
+from lethe.session import checkpoint_dir
+
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rejected documents go; the classifier learns from the labelled ones among ``docs``."""
+    finder, weights = fit_toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return drop_toxic(docs, finder, weights, 0.3)
+
+
+def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One of equal texts stays."""
+    return drop_copies(docs)
+
+
+def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near-duplicates the document with the smallest id stays."""
+    gone = jaccard_components(docs).filter("id is null or id <> component_id").filter("component_id is not null").select(F.col("id").alias("gone"))
+    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("gone")), "left_anti")
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item go."""
+    return drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the documents that are left, with their place in the packed sequences."""
+    import public_tokenizers
+    return best_fit_pack(docs, public_tokenizers.path("word_bpe_49k.json")).withColumnRenamed("id", "doc_id")
+
+
+STAGES = [("toxicity", toxicity), ("exact_dedup", exact_dedup), ("jaccard_join", jaccard_join),
+          ("decontamination", decontamination), ("packing", packing)]
+
+# SQL cannot express the learned classifier and the tokenizer; tests compare with brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    """Apply the stages to documents, each written as Parquet and read again."""
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Apply the stages to ``documents``; intermediate tables lie in the checkpoint folder."""
+    folder = f"{checkpoint_dir(spark)}/corpus-pipeline-{uuid.uuid4().hex}"
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES:
+        path = f"{folder}/{name}"
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+    return docs

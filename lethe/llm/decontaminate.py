@@ -168,18 +168,44 @@ def _scan(bench: Benchmark):
     return run
 
 
+def _clean_rows(bench: Benchmark, text_col: str):
+    """Batches without the documents that hold an item, all columns kept."""
+    def run(batches):
+        for b in batches:
+            keep = np.ones(b.num_rows, bool)
+            for rows, texts in chunks(range(b.num_rows), [(t or "").encode() for t in b.column(text_col).to_pylist()]):
+                for d, *_ in bench.hits(texts):
+                    keep[rows[d]] = False
+            yield b.filter(pa.array(keep))
+    return run
+
+
+def _benchmarks(items: DataFrame, item_id_col: str, item_text_col: str, k: int, percent: int):
+    """The items in blocks of at most about BLOCK_ITEMS."""
+    items = items.select(F.coalesce(F.col(item_id_col).cast("long"), F.lit(NULL_ID)).alias("i"),
+                         F.coalesce(F.col(item_text_col), F.lit("")).cast("binary").alias("t"))
+    blocks = max(1, -(-items.count() // BLOCK_ITEMS))
+    for b in range(blocks):
+        held = items.filter(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == b).collect()
+        yield Benchmark([(r.i, bytes(r.t)) for r in held], k, percent)
+
+
 def benchmark_hits(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id",
                    item_text_col: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
     """One row per document and item that it holds: id, item_id, and the best window's
     first_word, n_words, hamming and similarity."""
-    items = items.select(F.coalesce(F.col(item_id_col).cast("long"), F.lit(NULL_ID)).alias("i"),
-                         F.coalesce(F.col(item_text_col), F.lit("")).cast("binary").alias("t"))
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("id"),
                        F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
-    blocks = max(1, -(-items.count() // BLOCK_ITEMS))
     out = None
-    for b in range(blocks):
-        held = items.filter(F.pmod(F.xxhash64("t"), F.lit(blocks)) == b).collect()
-        hits = rows.mapInArrow(_scan(Benchmark([(r.i, bytes(r.t)) for r in held], k, percent)), HITS)
+    for bench in _benchmarks(items, item_id_col, item_text_col, k, percent):
+        hits = rows.mapInArrow(_scan(bench), HITS)
         out = hits if out is None else out.union(hits)
     return out.withColumns({c: F.expr(f"nullif({c}, {NULL_ID}L)") for c in ("id", "item_id")})
+
+
+def drop_contaminated(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id_col: str = "item_id",
+                      item_text_col: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
+    """The documents that hold no item, with all their columns."""
+    for bench in _benchmarks(items, item_id_col, item_text_col, k, percent):
+        docs = docs.mapInArrow(_clean_rows(bench, text_col), docs.schema)
+    return docs

@@ -23,6 +23,7 @@ from __future__ import annotations
 import hashlib
 
 import pyarrow as pa
+import pyarrow.compute
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
@@ -73,28 +74,25 @@ class RadixTree:
             node = held
 
 
-def _chunks(batches, limit: int, rows: int = 200_000):
-    """Runs of (ids, code points, normalised texts) of about ``limit`` bytes."""
-    ids, points, texts, size = [], [], [], 0
+def _chunks(batches, limit: int):
+    """Slices of the batches that weigh about ``limit`` bytes of text at most (one row at least)."""
     for b in batches:
-        for i, n, t in zip(b.column("id").to_pylist(), b.column("points").to_pylist(), b.column("text").to_pylist()):
-            ids.append(i)
-            points.append(n)
-            texts.append(t.translate(None, _SPACE))
-            size += len(t)
-            if size > limit or len(ids) >= rows:
-                yield ids, points, texts
-                ids, points, texts, size = [], [], [], 0
-    if ids:
-        yield ids, points, texts
+        ends = pa.compute.binary_length(b.column("__text")).to_numpy().cumsum()
+        first = 0
+        while first < b.num_rows:
+            base = int(ends[first - 1]) if first else 0
+            last = max(first + 1, int(ends.searchsorted(base + limit, side="right")))
+            yield b.slice(first, last - first)
+            first = last
 
 
 def _collapsed(batches, limit):
-    """Per chunk: (first row number, ids, code points, texts, groups of equal texts)."""
+    """Per chunk: (first row number, batch, ids, code points, texts, groups of equal texts)."""
     base = TaskContext.get().partitionId() << 32
-    for ids, points, texts in _chunks(batches, limit):
-        yield base, ids, points, texts, radix_groups(texts)
-        base += len(ids)
+    for b in _chunks(batches, limit):
+        texts = [t.translate(None, _SPACE) for t in b.column("__text").to_pylist()]
+        yield base, b, b.column("__id").to_pylist(), b.column("__points").to_pylist(), texts, radix_groups(texts)
+        base += len(texts)
 
 
 def leaf(text: bytes, heavy) -> bytes:
@@ -108,7 +106,7 @@ def leaf(text: bytes, heavy) -> bytes:
 def _weigh(width, heavy, limit):
     """Bytes of representatives by prefix; only those whose shorter prefix is heavy."""
     def run(batches):
-        for _, _, _, texts, groups in _collapsed(batches, limit):
+        for _, _, _, _, texts, groups in _collapsed(batches, limit):
             size: dict[bytes, int] = {}
             for g in groups:
                 t = texts[g[0]]
@@ -120,7 +118,7 @@ def _weigh(width, heavy, limit):
 
 def _representatives(heavy, limit):
     def run(batches):
-        for base, ids, points, texts, groups in _collapsed(batches, limit):
+        for base, _, ids, points, texts, groups in _collapsed(batches, limit):
             out = {k: [] for k in ("leaf", "rep", "text", "members", "best_points", "best_id", "best_row")}
             for g in groups:
                 best = min(g, key=lambda i: (-points[i], ids[i], i))
@@ -131,16 +129,17 @@ def _representatives(heavy, limit):
     return run
 
 
-def _members(limit):
+def _members(limit, columns, with_digest):
+    """Each row: the given columns, its number, its representative's number, its digest."""
     def run(batches):
-        for base, ids, _, texts, groups in _collapsed(batches, limit):
-            rep, sha = [0] * len(ids), [""] * len(ids)
+        for base, b, ids, _, texts, groups in _collapsed(batches, limit):
+            rep, sha = [0] * len(ids), [None] * len(ids)
             for g in groups:
-                digest = hashlib.sha256(texts[g[0]]).hexdigest()
+                digest = hashlib.sha256(texts[g[0]]).hexdigest() if with_digest else None
                 for i in g:
                     rep[i], sha[i] = base + g[0], digest
-            yield pa.RecordBatch.from_pydict({"id": pa.array(ids, pa.int64()), "row": pa.array(range(base, base + len(ids)), pa.int64()),
-                                              "rep": pa.array(rep, pa.int64()), "text_sha256": pa.array(sha, pa.string())})
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in columns), pa.array(range(base, base + len(ids)), pa.int64()),
+                                              pa.array(rep, pa.int64()), pa.array(sha, pa.string())], names=[*columns, "__row", "__rep", "__sha"])
     return run
 
 
@@ -174,34 +173,56 @@ def _settle(batches):
         yield verdicts()
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = 16 << 20,
-                leaf_bytes: int = 16 << 20) -> DataFrame:
-    """One row per document: id, keep_id, group_size, kept, text_sha256 (of the text without
-    white space; not used for equality).  Of equal texts the row with the most code points
-    in the original text, then the smallest id, stays."""
-    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("id"),
-                       F.coalesce(F.char_length(text_col), F.lit(0)).cast("long").alias("points"),
-                       F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
-    heavy: set[bytes] = set()
+def _rows(docs: DataFrame, id_col: str, text_col: str, columns) -> DataFrame:
+    return docs.select(*columns, F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("__id"),
+                       F.coalesce(F.char_length(text_col), F.lit(0)).cast("long").alias("__points"),
+                       F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("__text"))
+
+
+def _heavy_prefixes(rows: DataFrame, chunk_bytes: int, leaf_bytes: int) -> frozenset:
+    """Prefixes of representatives that weigh more than a leaf; at most _MAX_HEAVY a width."""
+    heavy: frozenset = frozenset()
     width = _WIDTH
     while True:
-        sizes = rows.mapInArrow(_weigh(width, frozenset(heavy), chunk_bytes), "head binary, size long")
-        sizes = sizes.groupBy("head").agg(F.sum("size").alias("size"))
-        if width == _WIDTH:        # at most _MAX_HEAVY prefixes can be heavier than this
-            total = sizes.agg(F.sum("size"), F.max("size")).first()
-            leaf_bytes = max(leaf_bytes, (total[0] or 0) // _MAX_HEAVY)
-            found = [] if (total[1] or 0) <= leaf_bytes else sizes.filter(F.col("size") > leaf_bytes).select("head").collect()
-        else:
-            found = sizes.filter((F.col("size") > leaf_bytes) & (F.octet_length("head") == width)).select("head").collect()
+        sizes = rows.mapInArrow(_weigh(width, heavy, chunk_bytes), "head binary, size long").groupBy("head").agg(F.sum("size").alias("size"))
+        if width == _WIDTH:
+            total, most = sizes.agg(F.sum("size"), F.max("size")).first()
+            leaf_bytes = max(leaf_bytes, (total or 0) // _MAX_HEAVY)
+            if (most or 0) <= leaf_bytes:
+                return heavy
+        found = sizes.filter((F.col("size") > leaf_bytes) & (F.octet_length("head") == width)).select("head").collect()
         if not found:
-            break
+            return heavy
         heavy |= {bytes(r[0]) for r in found}
         width *= _GROW
-    reps = rows.mapInArrow(_representatives(frozenset(heavy), chunk_bytes),
+
+
+def _resolved(docs, id_col, text_col, columns, with_digest, chunk_bytes, leaf_bytes) -> DataFrame:
+    rows = _rows(docs, id_col, text_col, [])
+    heavy = _heavy_prefixes(rows, chunk_bytes, leaf_bytes)
+    reps = rows.mapInArrow(_representatives(heavy, chunk_bytes),
                            "leaf binary, rep long, text binary, members long, best_points long, best_id long, best_row long")
     settled = (reps.repartition("leaf").sortWithinPartitions("leaf")
                .mapInArrow(_settle, "rep long, keep_id long, keep_row long, group_size long"))
-    members = rows.mapInArrow(_members(chunk_bytes), "id long, row long, rep long, text_sha256 string")
-    return members.join(settled, "rep").select(
-        F.expr(f"nullif(id, {NULL_ID}L)").alias("id"), F.expr(f"nullif(keep_id, {NULL_ID}L)").alias("keep_id"),
-        "group_size", (F.col("row") == F.col("keep_row")).alias("kept"), "text_sha256")
+    kept = _rows(docs, id_col, text_col, columns)
+    schema = kept.select(*columns).schema.add("__row", "long").add("__rep", "long").add("__sha", "string")
+    members = kept.mapInArrow(_members(chunk_bytes, list(columns), with_digest), schema)
+    return members.join(settled.withColumnsRenamed({c: f"__{c}" for c in settled.columns}), "__rep")
+
+
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = 16 << 20,
+                leaf_bytes: int = 16 << 20) -> DataFrame:
+    """One row per document: id, keep_id, group_size, kept, text_sha256 (of the text without
+    white space; not used for equality).  Of equal texts the row with the most code points
+    in the original text, then the smallest id, stays."""
+    out = _resolved(docs, id_col, text_col, [id_col], True, chunk_bytes, leaf_bytes)
+    return out.select(F.col(id_col).cast("long").alias("id"), F.expr(f"nullif(__keep_id, {NULL_ID}L)").alias("keep_id"),
+                      F.col("__group_size").alias("group_size"), (F.col("__row") == F.col("__keep_row")).alias("kept"),
+                      F.col("__sha").alias("text_sha256"))
+
+
+def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = 16 << 20,
+                leaf_bytes: int = 16 << 20) -> DataFrame:
+    """The rows that stay, with all their columns."""
+    out = _resolved(docs, id_col, text_col, docs.columns, False, chunk_bytes, leaf_bytes)
+    return out.filter("__row = __keep_row").select(*docs.columns)

@@ -248,6 +248,19 @@ def _apply(finder: Finder, weights: np.ndarray):
     return run
 
 
+def _clean_rows(finder: Finder, weights: np.ndarray, threshold: float, text_col: str):
+    """Batches without the rows whose score reaches the threshold, all columns kept."""
+    scored = _apply(finder, weights)
+
+    def run(batches):
+        for b in batches:
+            text = pa.array([t or "" for t in b.column(text_col).to_pylist()], pa.string())
+            none = pa.nulls(b.num_rows, pa.int64())
+            score = next(scored([pa.RecordBatch.from_arrays([none, none, text], names=["id", "held_out", "text"])])).column("score").to_numpy()
+            yield b.filter(pa.array(score < threshold))
+    return run
+
+
 def _sparse(finder: Finder):
     def run(batches):
         for b in batches:
@@ -281,3 +294,8 @@ def score_toxicity(docs: DataFrame, finder: Finder, weights: np.ndarray, id_col:
     """(id, held_out, score) of every document."""
     rows = docs.select(F.col(id_col).cast("long").alias("id"), held_out(id_col).alias("held_out"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     return rows.mapInArrow(_apply(finder, weights), "id long, held_out boolean, score double")
+
+
+def drop_toxic(docs: DataFrame, finder: Finder, weights: np.ndarray, threshold: float = 0.3, text_col: str = "text") -> DataFrame:
+    """The documents whose score stays under the threshold, with all their columns."""
+    return docs.mapInArrow(_clean_rows(finder, weights, threshold, text_col), docs.schema)
