@@ -11,8 +11,8 @@ Gradient and HVP are relational: explode the sparse row, multiply, group by
 ``dim``.  The group-by has a partial (map-side) stage, so a dimension present in
 every row is pre-aggregated per task and never becomes a hot key.  The dense
 Hessian is a per-task NumPy partial X^T D X over an Arrow batch (no row pairs are
-materialised), re-aggregated by (i, j); it is only used below ``MAX_DENSE_DIM``,
-wider models go through HVP-based solvers.
+materialised), re-aggregated by (i, j): d^2 / 2 values a task.  Callers choose it or an
+HVP-based solver explicitly.
 
 theta reaches the executors as one array literal (it is parameter-sized).
 """
@@ -27,8 +27,6 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import log_loss, logistic, sparse_dot
 
-MAX_DENSE_DIM = 2048
-
 
 def with_score(samples: DataFrame, theta: Sequence[float], name: str = "s",
                idx: str = "idx", val: str = "val") -> DataFrame:
@@ -144,9 +142,7 @@ def _hessian_partials(theta: np.ndarray, d: int):
 
 
 def hessian(samples: DataFrame, theta: Sequence[float], d: int, lam: float = 0.0) -> DataFrame:
-    """(i, j, h) for all i, j of X^T D X + lambda I (d <= MAX_DENSE_DIM)."""
-    if d > MAX_DENSE_DIM:
-        raise ValueError(f"dense Hessian refused for d={d}; use the HVP solvers")
+    """(i, j, h) for all i, j of X^T D X + lambda I."""
     th = np.asarray(theta, dtype=float)
     parts = samples.select("idx", "val").mapInPandas(_hessian_partials(th, d), "i int, j int, h double")
     upper = parts.groupBy("i", "j").agg(F.sum("h").alias("h"))

@@ -1,13 +1,20 @@
 """Driver-side iterative solvers whose every step is one distributed aggregate.
 
-Only parameter-sized values (theta, gradient, d x d Hessian when d is small)
+Only parameter-sized values (theta, gradient, d x d Hessian for the dense solvers)
 return to the driver.  The sample table is persisted once (MEMORY_AND_DISK; a
 lost executor recomputes its partitions from the parquet lineage) and released
 at the end.
+
+Every solver stops on a relative residual.  The linear ones return a ``Solution`` with
+the residual and whether it met the tolerance; the fits raise ``NotConverged`` instead of
+returning a model that did not.
 """
 
 from __future__ import annotations
 
+from contextlib import contextmanager
+from dataclasses import dataclass
+
 import numpy as np
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
@@ -16,6 +23,28 @@ from pyspark.sql import functions as F
 from ..operators import linear as lin
 
 
+class NotConverged(ArithmeticError):
+    """A fit ran out of steps before its gradient was small enough."""
+
+
+@dataclass
+class Solution:
+    x: np.ndarray
+    iterations: int
+    residual: float                # |v - A x| / |v|
+    converged: bool
+
+
+@contextmanager
+def persisted(df: DataFrame):
+    """The table kept on the executors while a loop reads it."""
+    kept = df.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        yield kept
+    finally:
+        kept.unpersist()
+
+
 def _newton_partials(thetas: dict, d: int, key: str | None):
     """Per-task loss, gradient and upper-triangular Hessian partials, keyed by ``key`` (e.g. shard)."""
     iu, ju = np.triu_indices(d)
@@ -82,151 +111,201 @@ def newton_stats(samples: DataFrame, thetas: dict, d: int, key: str | None = Non
     return out
 
 
-def fit_newton(samples: DataFrame, d: int, lam: float, b=None, theta0=None, max_iter: int = 25,
-               tol: float = 1e-10, key: str | None = None, groups=None) -> dict:
-    """Minimise l + lambda/2 |theta|^2 + b . theta by Newton steps (one job per step for all groups).
+def fit_newton(samples: DataFrame, d: int, lam: float, b=None, theta0=None, max_iter: int = 200,
+               tol: float = 1e-8, key: str | None = None, groups=None) -> dict:
+    """Minimise l + lambda/2 |theta|^2 + b . theta by damped Newton steps (one job per step for
+    all groups; a step that raises the objective is halved).
 
-    With ``key`` every group (shard) gets its own model, fitted in the same jobs.
+    With ``key`` every group (shard) gets its own model, fitted in the same jobs; a group
+    without rows gets no model.  Stops when |gradient| <= tol * (1 + |first gradient|).
     Returns {group: theta}.
     """
-    if d > lin.MAX_DENSE_DIM:
-        raise ValueError("use fit_lbfgs for wide models")
     bb = np.zeros(d) if b is None else np.asarray(b, dtype=float)
-    gs = list(groups) if key else [None]
-    thetas = {g: (np.zeros(d) if theta0 is None else np.asarray(theta0, dtype=float).copy()) for g in gs}
-    data = samples.persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        active = set(gs)
+    start = np.zeros(d) if theta0 is None else np.asarray(theta0, dtype=float)
+    base = {g: start.copy() for g in (groups if key else [None])}     # last accepted point
+    trial = {g: t.copy() for g, t in base.items()}
+    value, move, first, done = {}, {}, {}, set()
+    with persisted(samples) as data:
         for _ in range(max_iter):
-            if not active:
-                break
-            st = newton_stats(data, thetas, d, key)
-            for g in list(active):
-                if g not in st:
-                    active.discard(g)
+            st = newton_stats(data, trial, d, key)
+            for g in [g for g in trial if g not in st]:
+                del trial[g], base[g]
+            for g in [g for g in trial if g not in done]:
+                loss, grad, H, _ = st[g]
+                t = trial[g]
+                f = loss + 0.5 * lam * t @ t + bb @ t
+                if g in value and f > value[g] + 1e-9 * abs(value[g]):
+                    move[g] = move[g] / 2
+                    trial[g] = base[g] + move[g]
                     continue
-                loss, grad, H, n = st[g]
-                gL = grad + lam * thetas[g] + bb
-                step = np.linalg.solve(H + lam * np.eye(d), gL)
-                thetas[g] = thetas[g] - step
-                if float(gL @ gL) < tol:
-                    active.discard(g)
-    finally:
-        data.unpersist()
-    return thetas
+                base[g], value[g] = t, f
+                gL = grad + lam * t + bb
+                size = float(np.linalg.norm(gL))
+                if size <= tol * (1 + first.setdefault(g, size)):
+                    done.add(g)
+                    continue
+                move[g] = -np.linalg.solve(H + lam * np.eye(d), gL)
+                trial[g] = t + move[g]
+            if len(done) == len(trial):
+                return base
+    raise NotConverged(f"Newton: {sorted(map(str, set(trial) - done))} after {max_iter} steps")
 
 
-def fit_lbfgs(samples: DataFrame, d: int, lam: float, b=None, theta0=None, max_iter: int = 100,
-              m: int = 10, tol: float = 1e-10) -> np.ndarray:
-    """L-BFGS with one loss+gradient job per evaluation (for wide models)."""
-    bb = np.zeros(d) if b is None else np.asarray(b, dtype=float)
-    data = samples.persist(StorageLevel.MEMORY_AND_DISK)
+def _gradient_partials(theta: np.ndarray):
+    """Per-task loss (dim -1) and gradient sums of sparse rows."""
+    def run(batches):
+        import pandas as pd
+        loss, grad = 0.0, np.zeros(len(theta))
+        for pdf in batches:
+            lens = pdf["idx"].map(len).to_numpy()
+            rows = np.repeat(np.arange(len(pdf)), lens)
+            if rows.size:
+                cols = np.concatenate(pdf["idx"].to_numpy()).astype(np.int64)
+                vals = np.concatenate(pdf["val"].to_numpy()).astype(float)
+            else:
+                cols, vals = np.empty(0, np.int64), np.empty(0)
+            y = pdf["y"].to_numpy().astype(float)
+            m = y * np.bincount(rows, vals * theta[cols], len(pdf))
+            loss += float(np.logaddexp(0.0, -m).sum())
+            f = -y / (1.0 + np.exp(m))
+            grad += np.bincount(cols, f[rows] * vals, len(theta))
+        hit = np.flatnonzero(grad)
+        yield pd.DataFrame({"dim": np.append(hit, -1).astype("int32"), "v": np.append(grad[hit], loss)})
+    return run
 
-    def fg(t):
-        sc = lin.with_score(data, list(t))
-        l_val = sc.agg(lin.loss_l(sc, t)).collect()[0][0] or 0.0
-        g = lin.to_vector(lin.gradient(data, t), d)
-        return l_val + 0.5 * lam * t @ t + bb @ t, g + lam * t + bb
 
-    try:
+def loss_gradient(samples: DataFrame, theta: np.ndarray) -> tuple[float, np.ndarray]:
+    """Sample loss and its gradient in one job."""
+    parts = samples.select("y", "idx", "val").mapInPandas(_gradient_partials(theta), "dim int, v double")
+    loss, grad = 0.0, np.zeros(len(theta))
+    for dim, v in parts.groupBy("dim").agg(F.sum("v")).collect():
+        if dim < 0:
+            loss = v
+        else:
+            grad[dim] = v
+    return loss, grad
+
+
+def fit_lbfgs(samples: DataFrame, d: int, lam: float, b=None, theta0=None, max_iter: int = 1000,
+              m: int = 10, tol: float = 1e-8) -> np.ndarray:
+    """L-BFGS, one loss+gradient job per evaluation (for wide models).
+
+    Pairs without positive curvature are left out of the update.  Stops like ``fit_newton``.
+    """
+    bb = np.zeros(d) if b is None else np.asarray(b, dtype=float)
+    with persisted(samples) as data:
+        def fg(t):
+            loss, g = loss_gradient(data, t)
+            return loss + 0.5 * lam * t @ t + bb @ t, g + lam * t + bb
+
         x = np.zeros(d) if theta0 is None else np.asarray(theta0, dtype=float).copy()
         f, g = fg(x)
-        S, Y = [], []
+        goal = tol * (1 + np.linalg.norm(g))
+        pairs: list[tuple[np.ndarray, np.ndarray]] = []
         for _ in range(max_iter):
-            if g @ g < tol:
-                break
-            q = g.copy()
-            alphas = []
-            for s, y in reversed(list(zip(S, Y))):
-                a = (s @ q) / (y @ s)
-                alphas.append(a)
-                q -= a * y
-            if S:
-                q *= (S[-1] @ Y[-1]) / (Y[-1] @ Y[-1])
-            for (s, y), a in zip(zip(S, Y), reversed(alphas)):
-                bcoef = (y @ q) / (y @ s)
-                q += s * (a - bcoef)
+            if np.linalg.norm(g) <= goal:
+                return x
+            q, alphas = g.copy(), []
+            for s, y in reversed(pairs):
+                alphas.append((s @ q) / (y @ s))
+                q -= alphas[-1] * y
+            q *= (pairs[-1][0] @ pairs[-1][1]) / (pairs[-1][1] @ pairs[-1][1]) if pairs else 1 / max(np.linalg.norm(g), 1.0)
+            for (s, y), alpha in zip(pairs, reversed(alphas)):
+                q += s * (alpha - (y @ q) / (y @ s))
             step = 1.0
             while True:
                 xn = x - step * q
                 fn, gn = fg(xn)
-                if fn <= f - 1e-4 * step * (g @ q) or step < 1e-10:
+                if fn <= f - 1e-4 * step * (g @ q) + 1e-12 * abs(f):
                     break
                 step *= 0.5
-            S.append(xn - x)
-            Y.append(gn - g)
-            S, Y = S[-m:], Y[-m:]
+                if step < 1e-12:
+                    raise NotConverged("L-BFGS: no descent along the search direction")
+            s, y = xn - x, gn - g
+            if s @ y > 1e-12 * np.linalg.norm(s) * np.linalg.norm(y):
+                pairs = [*pairs, (s, y)][-m:]
             x, f, g = xn, fn, gn
-        return x
-    finally:
-        data.unpersist()
+    raise NotConverged(f"L-BFGS: gradient {np.linalg.norm(g):.3g} after {max_iter} steps")
 
 
 # U6 -----------------------------------------------------------------------------
-def lissa(hvp, v: np.ndarray, scale: float, damping: float, max_iter: int = 100, patience: int = 20,
-          tol: float = 1e-10):
-    """Deterministic LiSSA: u <- v + (1 - damping) u - H u / scale; returns (u / scale, iters, diverged).
+def lissa(hvp, v: np.ndarray, scale: float | None = None, damping: float = 0.0, max_iter: int = 100_000,
+          patience: int = 1000, tol: float = 1e-10) -> Solution:
+    """Deterministic LiSSA: x <- x + (v - (H + damping I) x) / scale, solving (H + damping I) x = v.
 
-    Its fixed point is (H + damping * scale * I)^-1 v.  Stops when the update stalls
-    for ``patience`` steps or the norm is no longer finite.
+    ``scale`` defaults to the largest eigenvalue (Lanczos), with which the iteration
+    contracts.  Unconverged when the residual has not improved for ``patience`` steps, is no
+    longer finite, or after ``max_iter`` steps.
     """
-    u = v.copy()
-    best, since = np.inf, 0
+    size = float(np.linalg.norm(v))
+    if size == 0:
+        return Solution(np.zeros_like(v), 0, 0.0, True)
+    if scale is None:
+        scale = 1.01 * (lanczos(hvp, len(v)).x[0] + damping)
+    x, best, since = v / scale, np.inf, 0
     for it in range(1, max_iter + 1):
-        u_new = v + (1 - damping) * u - hvp(u) / scale
-        if not np.all(np.isfinite(u_new)):
-            return u / scale, it, True
-        change = float(np.linalg.norm(u_new - u))
-        u = u_new
-        if change < best - tol:
-            best, since = change, 0
-        else:
-            since += 1
-        if change < tol or since >= patience:
-            return u / scale, it, False
-    return u / scale, max_iter, False
+        r = v - hvp(x) - damping * x
+        res = float(np.linalg.norm(r)) / size
+        if res <= tol:
+            return Solution(x, it, res, True)
+        since = 0 if res < best else since + 1
+        if not np.isfinite(res) or since > patience:
+            return Solution(x, it, res, False)
+        best = min(best, res)
+        x = x + r / scale
+    return Solution(x, max_iter, res, False)
 
 
 # U7 -----------------------------------------------------------------------------
-def conjugate_gradient(hvp, v: np.ndarray, damping: float = 0.0, max_iter: int = 100, tol: float = 1e-12):
-    """Solve (H + damping I) x = v with one HVP job per iteration."""
-    x = np.zeros_like(v)
-    r = v.copy()
-    p = r.copy()
-    rs = r @ r
-    it = 0
-    for it in range(1, max_iter + 1):
+def conjugate_gradient(hvp, v: np.ndarray, damping: float = 0.0, max_iter: int | None = None, tol: float = 1e-10) -> Solution:
+    """Solve (H + damping I) x = v with one HVP job per iteration (10 d + 50 at most by default)."""
+    size = float(np.linalg.norm(v))
+    x, r = np.zeros_like(v), v.copy()
+    if size == 0:
+        return Solution(x, 0, 0.0, True)
+    p, rs = r.copy(), r @ r
+    for it in range(1, (max_iter or 10 * len(v) + 50) + 1):
         Ap = hvp(p) + damping * p
         a = rs / (p @ Ap)
-        x += a * p
-        r -= a * Ap
-        rs_new = r @ r
-        if rs_new < tol:
-            break
-        p = r + (rs_new / rs) * p
-        rs = rs_new
-    return x, it
+        x = x + a * p
+        r = r - a * Ap
+        new = r @ r
+        if np.sqrt(new) <= tol * size:
+            return Solution(x, it, float(np.sqrt(new)) / size, True)
+        p, rs = r + (new / rs) * p, new
+    return Solution(x, it, float(np.sqrt(rs)) / size, False)
 
 
 # M11 ----------------------------------------------------------------------------
-def power_iteration(hvp, d: int, iters: int = 50, shift: float = 0.0, seed: int = 0) -> float:
-    """Largest eigenvalue of (H - shift I) by power iteration on HVP jobs (Rayleigh quotient)."""
+def lanczos(hvp, d: int, tol: float = 1e-9, max_iter: int | None = None, seed: int = 0) -> Solution:
+    """(largest, smallest) eigenvalue of a symmetric H from HVP jobs, as ``x``.
+
+    Lanczos with full reorthogonalisation; stops when the residual bounds of both Ritz
+    values are below ``tol`` of the largest, or the Krylov space is exhausted (d steps).
+    """
     rng = np.random.default_rng(seed)
-    v = rng.standard_normal(d)
-    v /= np.linalg.norm(v)
-    lam = 0.0
-    for _ in range(iters):
-        w = hvp(v) - shift * v
-        lam = float(v @ w)
-        n = np.linalg.norm(w)
-        if n == 0:
-            return 0.0
-        v = w / n
-    return lam
-
-
-def extreme_eigenvalues(hvp, d: int, iters: int = 50) -> tuple[float, float]:
-    """(largest, smallest) eigenvalue: power iteration on H, then on H - largest * I."""
-    top = power_iteration(hvp, d, iters)
-    low = power_iteration(hvp, d, iters, shift=top) + top
-    return top, low
+    q = rng.standard_normal(d)
+    basis, alpha, beta = [q / np.linalg.norm(q)], [], []
+    for it in range(1, min(d, max_iter or d) + 1):
+        w = hvp(basis[-1])
+        alpha.append(float(w @ basis[-1]))
+        for _ in range(2):
+            for u in basis:
+                w = w - (w @ u) * u
+        size = float(np.linalg.norm(w))
+        values, vectors = np.linalg.eigh(np.diag(alpha) + np.diag(beta, 1) + np.diag(beta, -1))
+        top = max(abs(values[-1]), 1e-300)
+        res = size * max(abs(vectors[-1, 0]), abs(vectors[-1, -1])) / top
+        if res <= tol or it == d:
+            break
+        if size <= 1e-12 * top:                # invariant subspace: go on in its complement
+            w = rng.standard_normal(d)
+            for _ in range(2):
+                for u in basis:
+                    w = w - (w @ u) * u
+            beta.append(0.0)
+            basis.append(w / np.linalg.norm(w))
+            continue
+        beta.append(size)
+        basis.append(w / size)
+    return Solution(np.array([values[-1], values[0]]), it, float(res if it < d else 0.0), bool(res <= tol or it == d))

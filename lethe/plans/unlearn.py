@@ -10,12 +10,11 @@ from __future__ import annotations
 import math
 
 import numpy as np
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.scalar import sparse_dot
 from ..operators import linear as lin
-from ..operators import metrics as me
 from ..operators import rewrite as rw
 from ..operators import sampling as sa
 from ..session import cut_lineage
@@ -27,13 +26,39 @@ def first_order(theta: np.ndarray, G: np.ndarray, tau: float) -> np.ndarray:
     return np.asarray(theta) - tau * np.asarray(G)
 
 
-def second_order(edited: DataFrame, theta: np.ndarray, G: np.ndarray, d: int, lam: float) -> np.ndarray:
-    """Theta - H(edited, theta)^-1 G (dense solve for small d, CG on HVP jobs otherwise)."""
-    if d <= lin.MAX_DENSE_DIM:
-        H = lin.hessian_matrix(edited, theta, d, lam)
-        return theta - np.linalg.solve(H, G)
-    x, _ = solvers.conjugate_gradient(lambda v: lin.hvp_vector(edited, theta, v, d, lam), G)
-    return theta - x
+def inverse_hvp(samples: DataFrame, theta, v: np.ndarray, d: int, lam: float, solver: str = "direct",
+                damping: float = 0.0, scale: float | None = None) -> solvers.Solution:
+    """(H(samples, theta) + damping I)^-1 v by the named solver.
+
+    ``direct`` takes the d x d Hessian in one job, ``lissa`` iterates on that Hessian;
+    ``cg`` runs one HVP job a step and never forms it (for wide models).
+    """
+    if solver == "cg":
+        with solvers.persisted(samples) as data:
+            return solvers.conjugate_gradient(lambda u: lin.hvp_vector(data, list(theta), list(u), d, lam), v, damping)
+    H = lin.hessian_matrix(samples, list(theta), d, lam)
+    if solver == "lissa":
+        # dimensions that no row has: H is lambda there, solved in closed form
+        alone = np.count_nonzero(H, axis=1) == 1
+        x = np.where(alone, v / (np.diag(H) + damping), 0.0)
+        rest = np.flatnonzero(~alone)
+        part = solvers.lissa(lambda u: H[np.ix_(rest, rest)] @ u, v[rest], scale, damping)
+        x[rest] = part.x
+        return solvers.Solution(x, part.iterations, part.residual, part.converged)
+    if solver != "direct":
+        raise ValueError(f"unknown solver {solver!r}")
+    A = H + damping * np.eye(d)
+    x = np.linalg.solve(A, v)
+    return solvers.Solution(x, 1, float(np.linalg.norm(v - A @ x) / max(np.linalg.norm(v), 1e-300)), True)
+
+
+def second_order(edited: DataFrame, theta: np.ndarray, G: np.ndarray, d: int, lam: float, solver: str = "direct",
+                 damping: float = 0.0, scale: float | None = None) -> np.ndarray:
+    """Theta - H(edited, theta)^-1 G; raises if the solver does not converge."""
+    found = inverse_hvp(edited, theta, G, d, lam, solver, damping, scale)
+    if not found.converged:
+        raise solvers.NotConverged(f"{solver}: relative residual {found.residual:.3g} after {found.iterations} steps")
+    return np.asarray(theta) - found.x
 
 
 def change_gradient(delta: DataFrame, theta, d: int) -> np.ndarray:
@@ -42,24 +67,16 @@ def change_gradient(delta: DataFrame, theta, d: int) -> np.ndarray:
 
 
 # U8 -----------------------------------------------------------------------------
-def approx_retraining(train: DataFrame, delta: DataFrame, edited: DataFrame, theta, d: int, lam: float,
-                      order: int = 1, tau: float = 1e-3, solver: str = "direct", damping: float = 0.0,
-                      scale: float = 1.0):
-    """Dispatcher: order 1 -> U2; order 2 -> direct / CG / LiSSA solve.  G = 0 -> no solve job."""
+def approx_retraining(delta: DataFrame, edited: DataFrame, theta, d: int, lam: float, order: int = 1,
+                      tau: float = 1e-3, solver: str = "direct", damping: float = 0.0, scale: float | None = None):
+    """(theta', G).  Dispatcher: order 1 -> U2; order 2 -> U3 with the named solver.  G = 0 -> no solve job."""
     theta = np.asarray(theta, dtype=float)
     G = change_gradient(delta, theta, d)
     if not np.any(G):
         return theta, G
     if order == 1:
         return first_order(theta, G, tau), G
-    hv = lambda v: lin.hvp_vector(edited, list(theta), v, d, lam)
-    if solver == "direct":
-        return second_order(edited, theta, G, d, lam), G
-    if solver == "cg":
-        x, _ = solvers.conjugate_gradient(hv, G, damping)
-        return theta - x, G
-    x, _, diverged = solvers.lissa(hv, G, scale, damping)
-    return (theta if diverged else theta - x), G
+    return second_order(edited, theta, G, d, lam, solver, damping, scale), G
 
 
 # U5 -----------------------------------------------------------------------------
@@ -97,22 +114,20 @@ def stepwise_removal(train: DataFrame, dims: list[int], stepsize: int, theta, d:
 
 
 # M8 -----------------------------------------------------------------------------
-def fine_tune(rows: DataFrame, theta, d: int, lam: float, lr: float, batch_size: int,
+def fine_tune(rows: DataFrame, theta, d: int, lam: float, lr: float, n_batches: int,
               key: str = "row_id", seed=0) -> np.ndarray:
-    """Mini-batch pass in seeded row order: theta -= lr / batch * grad L(batch).
+    """One mini-batch pass: rows fall into ``n_batches`` by seeded hash of the key, in order
+    theta -= lr / rows * (gradient of the batch's loss + lambda theta).
 
-    Sequential by definition: one gradient job per batch over the batch's rows."""
+    Sequential by definition: one job per batch, each over the persisted rows of all batches;
+    the number of batches is the caller's, so it does not grow with the rows.
+    """
     th = np.asarray(theta, dtype=float)
-    b = sa.batch_numbers(rows.withColumn("_h", sa.uniform_col(key, seed)), [F.col("_h"), F.col(key)], batch_size)
-    b = b.persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        n_batches = b.agg(F.max("batch")).collect()[0][0]
-        for i in range(0 if n_batches is None else int(n_batches) + 1):
-            part = b.where(F.col("batch") == i)
-            g = lin.gradient_vector(part, list(th), d, lam)
-            th = th - lr / batch_size * g
-    finally:
-        b.unpersist()
+    with solvers.persisted(sa.assign_shards(rows, key, n_batches, seed)) as b:
+        sizes = {r["shard"]: r["count"] for r in b.groupBy("shard").count().collect()}
+        for i in sorted(sizes):
+            g = lin.gradient_vector(b.where(F.col("shard") == i), list(th), d, lam)
+            th = th - lr / sizes[i] * g
     return th
 
 
@@ -139,12 +154,10 @@ def sharded_unlearn(samples: DataFrame, deleted: DataFrame, models: dict, n_shar
 
 
 def ensemble_predict(samples: DataFrame, models: dict, key: str = "row_id") -> DataFrame:
-    """(key, vote): binary majority vote of every shard model (untouched shards included)."""
-    preds = None
-    for g, th in sorted(models.items()):
-        p = lin.predict(samples, list(th)).select(key, "pred")
-        preds = p if preds is None else preds.unionByName(p)
-    return me.binary_vote(preds, key, "pred")
+    """(key, vote): majority vote of the shard models (a shard without rows has none), scored
+    in one pass; a tie votes -1."""
+    votes = sum((F.when(sparse_dot("idx", "val", list(th)) >= 0, 1).otherwise(-1) for _, th in sorted(models.items())), F.lit(0))
+    return samples.select(key, F.when(votes > 0, 1.0).otherwise(-1.0).alias("vote"))
 
 
 # C1-C4 ----------------------------------------------------------------------------

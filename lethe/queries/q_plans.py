@@ -1,7 +1,8 @@
-"""Iterative plans (fits, solvers, second-order and sharded unlearning, certification).
+"""Iterative plans: fits, solvers, second-order and sharded unlearning, certification.
 
-Not SQL-expressible (driver loops of aggregate jobs): registered without oracle
-SQL; tests/test_plans.py re-derives them with NumPy on collected fixtures.
+The oracles solve the same problems by other means: on lineitem with the last two features
+removed the Hessian is a 2 x 2 block plus lambda I, so SQL solves it by Cramer's rule and
+unrolls Newton steps; the tabular plans keep the two numeric features or need no solve.
 """
 
 from __future__ import annotations
@@ -9,166 +10,298 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
+from ..functions.scalar import fixed_theta
 from ..operators import linear as lin
 from ..operators import rewrite as rw
 from ..operators import sampling as sa
 from ..plans import solvers
 from ..plans import unlearn as ul
-from ..sources.standins import tabular_samples
+from ..sources.standins import numeric_samples, tabular_samples
+from . import sqlkit as sk
+from .q_numeric import _G_SQL, D, LAM, REMOVE, S_NEW_SQL, TAU, THETA
 from .registry import register
 
-LAM = 1.0
-REMOVE = [2, 3]
-TAU = 1e-3
 N_SHARDS, SHARD_SEED = 5, 3
 DEL_N, DEL_SEED = 100, 7
 EPS, DELTA, SIGMA = 0.1, 0.01, 1.0
+BATCHES, BATCH_SEED, LR = 4, 0, 0.1
+NEWTON_STEPS = 12
 
 
-def _theta_df(spark, theta, extra=None):
-    rows = [((extra or {}) | {"dim": i, "theta": round(float(t), 6)}) for i, t in enumerate(theta)]
-    cols = list(rows[0].keys())
-    return spark.createDataFrame([tuple(r[c] for c in cols) for r in rows], cols)
+# SQL pieces -----------------------------------------------------------------------
+def det_sql(m: list[list[str]]) -> str:
+    """Determinant of a matrix of SQL expressions by cofactors."""
+    if len(m) == 1:
+        return m[0][0]
+    parts = [f"({m[0][j]}) * ({det_sql([r[:j] + r[j + 1:] for r in m[1:]])})" for j in range(len(m))]
+    return "(" + "".join((" - " if j % 2 else " + ") + p for j, p in enumerate(parts)).removeprefix(" + ") + ")"
 
 
-def _setup(spark, sf):
-    p = tabular_samples(spark, sf)
-    train = p.samples.where("split = 'train'")
-    theta = solvers.fit_newton(train, p.d, LAM)[None]
-    return p, train, theta
+def cramer_sql(h: list[list[str]], g: list[str], j: int) -> str:
+    """Component j of h^-1 g."""
+    return f"({det_sql([[*r[:j], g[i], *r[j + 1:]] for i, r in enumerate(h)])} / {det_sql(h)})"
+
+
+def hessian_sql(name: str, rows: str, score: str, dims: list[int]) -> str:
+    """One row h00, h01, ... of the sums over ``rows`` at the given score, lambda on the diagonal."""
+    cols = ", ".join(f"sum(p * (1 - p) * x{i} * x{j}) + {LAM if i == j else 0.0} AS h{i}{j}" for i in dims for j in dims if i <= j)
+    return f"{name} AS (SELECT {cols} FROM (SELECT *, 1 / (1 + exp(-{score})) AS p FROM {rows}))"
+
+
+def sym(dims: list[int], prefix: str = "") -> list[list[str]]:
+    return [[f"{prefix}h{min(i, j)}{max(i, j)}" for j in dims] for i in dims]
+
+
+def newton_sql(name: str, rows: str, group: str | None = None) -> str:
+    """CTEs name0, name1, ...: Newton steps for two features from zero (per group)."""
+    by = f"{group}, " if group else ""
+    out = [f"{name}0 AS (SELECT DISTINCT {by}0.0::DOUBLE AS t0, 0.0::DOUBLE AS t1 FROM {rows})"]
+    for k in range(NEWTON_STEPS):
+        on = f"JOIN {name}{k} n USING ({group})" if group else f"CROSS JOIN {name}{k} n"
+        out.append(f"""{name}{k + 1} AS MATERIALIZED (
+  SELECT {by}t0 - {cramer_sql(sym([0, 1]), ['g0', 'g1'], 0)} AS t0, t1 - {cramer_sql(sym([0, 1]), ['g0', 'g1'], 1)} AS t1 FROM (
+    SELECT {by}t0, t1, {", ".join(f"sum(-y / (1 + exp(y * s)) * x{i}) + {LAM} * t{i} AS g{i}" for i in (0, 1))},
+           {", ".join(f"sum(x{i} * x{j} / (1 + exp(s)) / (1 + exp(-s))) + {LAM if i == j else 0.0} AS h{i}{j}" for i, j in ((0, 0), (0, 1), (1, 1)))}
+    FROM (SELECT r.*, t0, t1, t0 * x0 + t1 * x1 AS s FROM {rows} r {on}) GROUP BY {by}t0, t1))""")
+    return ",\n".join(out)
+
 
+LAST = NEWTON_STEPS
+_G = [f"(SELECT g FROM gd WHERE dim = {j})" for j in range(D)]
+_EDIT = _G_SQL + ", edited AS MATERIALIZED (SELECT y, x0, x1 FROM li_rows WHERE split = 'train'), " + hessian_sql("he", "edited", S_NEW_SQL, [0, 1])
+_X = [cramer_sql(sym([0, 1]), _G[:2], j) for j in (0, 1)] + [f"({_G[j]} / {LAM})" for j in REMOVE]
+_BY_DIM = lambda exprs, src, what="theta", nd=5: " UNION ALL ".join(
+    f"SELECT {j} AS dim, round({e}, {nd}) AS {what} FROM {src}" for j, e in enumerate(exprs))
+_SECOND = [f"{THETA[j]} - {_X[j]}" for j in range(D)]
+_FIRST = [f"{THETA[j]} - {TAU} * {_G[j]}" for j in range(D)]
+_FIT = _EDIT + ", " + newton_sql("n", "edited")
 
-def _removal(train, theta, d):
+
+def _theta_df(spark, theta, what="theta", nd=5, **extra):
+    """(dim, value, extra...) of a parameter-sized vector."""
+    return spark.createDataFrame([(i, round(float(t), nd), *extra.values()) for i, t in enumerate(theta)], ["dim", what, *extra]) \
+        .withColumn("dim", F.col("dim").cast("int"))
+
+
+def _numeric(spark, sf):
+    """(train, edited, delta, G) of the feature removal on lineitem at the fixed theta."""
+    train = numeric_samples(spark, sf).samples.where("split = 'train'")
     delta = rw.removal_delta(train, REMOVE)
-    edited = rw.remove_features(train, REMOVE)
-    return delta, edited
+    return train, rw.remove_features(train, REMOVE), delta, ul.change_gradient(delta, THETA, D)
+
+
+# M1 -----------------------------------------------------------------------------
+_FIT_SELECT = _BY_DIM(["t0", "t1", "0.0::DOUBLE", "0.0::DOUBLE"], f"n{LAST}", nd=4)
 
 
-@register("m1_fit_newton")
+@register("m1_fit_newton", _FIT + " " + _FIT_SELECT)
 def m1_fit_newton(spark, sf):
-    p, train, theta = _setup(spark, sf)
-    return _theta_df(spark, theta)
+    _, edited, _, _ = _numeric(spark, sf)
+    return _theta_df(spark, solvers.fit_newton(edited, D, LAM)[None], nd=4)
 
 
-@register("m1_fit_lbfgs")
+@register("m1_fit_lbfgs", _FIT + " " + _FIT_SELECT)
 def m1_fit_lbfgs(spark, sf):
-    p = tabular_samples(spark, sf)
-    theta = solvers.fit_lbfgs(p.samples.where("split = 'train'"), p.d, LAM)
-    return _theta_df(spark, theta)
+    _, edited, _, _ = _numeric(spark, sf)
+    return _theta_df(spark, solvers.fit_lbfgs(edited, D, LAM), nd=4)
+
+
+# U3 -----------------------------------------------------------------------------
+@register("u3_second_order_numeric", _EDIT + " " + _BY_DIM(_SECOND, "he"))
+def u3_second_order_numeric(spark, sf):
+    _, edited, _, G = _numeric(spark, sf)
+    return _theta_df(spark, ul.second_order(edited, THETA, G, D, LAM))
 
 
 @register("u3_second_order_tabular")
 def u3_second_order_tabular(spark, sf):
-    p, train, theta = _setup(spark, sf)
-    delta, edited = _removal(train, theta, p.d)
-    G = ul.change_gradient(delta, theta, p.d)
-    return _theta_df(spark, ul.second_order(edited, theta, G, p.d, LAM))
+    p = tabular_samples(spark, sf)
+    train = p.samples.where("split = 'train'")
+    theta = solvers.fit_newton(train, p.d, LAM)[None]
+    G = ul.change_gradient(rw.removal_delta(train, REMOVE), theta, p.d)
+    return _theta_df(spark, ul.second_order(rw.remove_features(train, REMOVE), theta, G, p.d, LAM, solver="cg"))
+
 
+# U5 -----------------------------------------------------------------------------
+_ALL = list(range(D))
 
-@register("u5_influence_methods")
+
+@register("u5_influence_methods", _EDIT + ", ho_rows AS (SELECT * FROM li_rows WHERE split = 'train'), " +
+          hessian_sql("ho", "ho_rows", "(" + " + ".join(f"{t} * x{j}" for j, t in enumerate(THETA)) + ")", _ALL) + " " +
+          " UNION ALL ".join([
+              *(f"SELECT {j} AS dim, round({_SECOND[j]}, 5) AS theta, 'newton' AS method FROM he" for j in _ALL),
+              *(f"SELECT {j}, round({THETA[j]} - {cramer_sql(sym(_ALL), _G, j)}, 5), 'influence' FROM ho" for j in _ALL),
+              *(f"SELECT {j}, {THETA[j]}::DOUBLE, 'lazy'" for j in _ALL)]))
 def u5_influence_methods(spark, sf):
-    p, train, theta = _setup(spark, sf)
-    delta, edited = _removal(train, theta, p.d)
+    train, edited, delta, _ = _numeric(spark, sf)
     out = None
-    for m, th in ul.influence_methods(train, edited, delta, theta, p.d, LAM).items():
-        df = _theta_df(spark, th, {"method": m})
+    for m, th in ul.influence_methods(train, edited, delta, THETA, D, LAM).items():
+        df = _theta_df(spark, th, method=m)
         out = df if out is None else out.unionByName(df)
     return out
 
 
-def _hvp_setup(spark, sf):
-    p, train, theta = _setup(spark, sf)
-    delta, edited = _removal(train, theta, p.d)
-    G = ul.change_gradient(delta, theta, p.d)
-    hv = lambda v: lin.hvp_vector(edited, list(theta), v, p.d, LAM)
-    return p, G, hv
+# U6 / U7 ------------------------------------------------------------------------
+_SOLVED = _EDIT + " SELECT dim, x, true AS converged FROM (" + _BY_DIM(_X, "he", "x") + ")"
 
 
-@register("u6_lissa_inverse_hvp")
+@register("u6_lissa_inverse_hvp", _SOLVED)
 def u6_lissa_inverse_hvp(spark, sf):
-    p, G, hv = _hvp_setup(spark, sf)
-    H_norm = 2.0 * np.linalg.norm(hv(np.ones(p.d))) + 1.0
-    x, iters, div = solvers.lissa(hv, G, scale=H_norm, damping=0.0, max_iter=100, patience=10)
-    return _theta_df(spark, x, {"iters": iters, "diverged": bool(div)}).withColumnRenamed("theta", "x")
+    _, edited, _, G = _numeric(spark, sf)
+    s = ul.inverse_hvp(edited, THETA, G, D, LAM, solver="lissa")
+    return _theta_df(spark, s.x, "x", converged=s.converged)
 
 
-@register("u7_cg_inverse_hvp")
+@register("u7_cg_inverse_hvp", _SOLVED)
 def u7_cg_inverse_hvp(spark, sf):
-    p, G, hv = _hvp_setup(spark, sf)
-    x, iters = solvers.conjugate_gradient(hv, G, damping=0.0, max_iter=3 * p.d)
-    return _theta_df(spark, x, {"iters": iters}).withColumnRenamed("theta", "x")
+    _, edited, _, G = _numeric(spark, sf)
+    s = ul.inverse_hvp(edited, THETA, G, D, LAM, solver="cg")
+    return _theta_df(spark, s.x, "x", converged=s.converged)
 
 
-@register("m11_hessian_eigenvalues")
+# M11 ----------------------------------------------------------------------------
+@register("m11_hessian_eigenvalues", _EDIT + f"""
+SELECT 'largest' AS which, round((h00 + h11 + sqrt((h00 - h11) * (h00 - h11) + 4 * h01 * h01)) / 2, 4) AS value, true AS converged FROM he
+UNION ALL SELECT 'smallest', {LAM}::DOUBLE, true""")
 def m11_hessian_eigenvalues(spark, sf):
-    p, train, theta = _setup(spark, sf)
-    hv = lambda v: lin.hvp_vector(train, list(theta), v, p.d, LAM)
-    top, low = solvers.extreme_eigenvalues(hv, p.d, iters=25)
-    return spark.createDataFrame([("largest", round(top, 4)), ("smallest", round(low, 4))], "which string, value double")
-
-
-@register("u4_stepwise_removal")
+    _, edited, _, _ = _numeric(spark, sf)
+    with solvers.persisted(edited) as data:
+        s = solvers.lanczos(lambda v: lin.hvp_vector(data, THETA, list(v), D, LAM), D)
+    return spark.createDataFrame([("largest", round(float(s.x[0]), 4), s.converged), ("smallest", round(float(s.x[1]), 4), s.converged)],
+                                 "which string, value double, converged boolean")
+
+
+# U4 -----------------------------------------------------------------------------
+def _stepwise_sql(dims: list[int]) -> str:
+    """Second-order removal of one feature after the other; theta and the data carry over."""
+    th = lambda k, j: f"(SELECT t{j} FROM s{k})"
+    out = [f"base AS MATERIALIZED (SELECT * FROM li_rows WHERE split = 'train')", "s0 AS (SELECT " + ", ".join(f"{t}::DOUBLE AS t{j}" for j, t in enumerate(THETA)) + ")"]
+    live = list(range(D))
+    for k, gone in enumerate(dims):
+        rest = [j for j in live if j != gone]
+        old = " + ".join(f"{th(k, j)} * x{j}" for j in live)
+        new = " + ".join(f"{th(k, j)} * x{j}" for j in rest)
+        grads = [f"sum(-y / (1 + exp(y * b)) * x{j}) + sum(y / (1 + exp(y * a)) * x{j}) AS g{j}" for j in rest] + [f"sum(y / (1 + exp(y * a)) * x{gone}) AS g{gone}"]
+        out.append(f"g{k} AS MATERIALIZED (SELECT {', '.join(grads)} FROM (SELECT *, {old} AS a, {new} AS b FROM base WHERE x{gone} <> 0))")
+        out.append(hessian_sql(f"h{k}", "base", f"({new})", rest).replace(" AS (SELECT", " AS MATERIALIZED (SELECT", 1))
+        step = {j: cramer_sql(sym(rest), [f"g{i}" for i in rest], n) for n, j in enumerate(rest)} | {gone: f"g{gone} / {LAM}"}
+        out.append(f"s{k + 1} AS MATERIALIZED (SELECT " + ", ".join(f"t{j} - {step.get(j, '0.0')} AS t{j}" for j in range(D)) + f" FROM s{k}, g{k}, h{k})")
+        live = rest
+    return ",\n".join(out)
+
+
+@register("u4_stepwise_removal", sk.with_(sk.LI, _stepwise_sql(REMOVE)) + " " + " UNION ALL ".join(
+    f"SELECT {j} AS dim, round(t{j}, 5) AS theta, {k} AS step FROM s{k + 1}" for k in range(len(REMOVE)) for j in range(D)))
 def u4_stepwise_removal(spark, sf):
-    p, train, theta = _setup(spark, sf)
-    steps = ul.stepwise_removal(train, REMOVE + [5], 1, theta, p.d, LAM, order=2)
+    train, _, _, _ = _numeric(spark, sf)
     out = None
-    for i, th in enumerate(steps):
-        df = _theta_df(spark, th, {"step": i})
+    for i, th in enumerate(ul.stepwise_removal(train, REMOVE, 1, THETA, D, LAM, order=2)):
+        df = _theta_df(spark, th, step=i).withColumn("step", F.col("step").cast("int"))
         out = df if out is None else out.unionByName(df)
     return out
 
 
-@register("m8_fine_tune")
-def m8_fine_tune(spark, sf):
-    p, train, theta = _setup(spark, sf)
-    chosen = sa.choose_rows(train.select("row_id"), "row_id", DEL_N, DEL_SEED)
-    flipped = rw.flip_labels(train, chosen).join(chosen, "row_id", "left_semi")
-    th = ul.fine_tune(flipped, theta, p.d, LAM, lr=0.1, batch_size=32)
-    return _theta_df(spark, th)
+# M8 -----------------------------------------------------------------------------
+def _fine_tune_sql() -> str:
+    out = [f"""chosen AS (SELECT row_id FROM tab_rows WHERE split = 'train' ORDER BY {sk.ph('row_id', DEL_SEED)}, row_id LIMIT {DEL_N})""",
+           f"""rows_e AS MATERIALIZED (SELECT r.row_id, CASE WHEN c.row_id IS NULL THEN y ELSE -y END AS y, {sk.ph('r.row_id', BATCH_SEED)} % {BATCHES} AS b
+  FROM tab_rows r LEFT JOIN chosen c ON c.row_id = r.row_id WHERE split = 'train')""",
+           "ent AS MATERIALIZED (SELECT e.row_id, e.dim, e.value FROM tab_entries e JOIN rows_e USING (row_id))",
+           f"w0 AS (SELECT dim, {sk.w_sql('dim')} AS t FROM tab_vocab)"]
+    for k in range(BATCHES):
+        out.append(f"""w{k + 1} AS MATERIALIZED (
+  WITH sc AS (SELECT r.row_id, r.y, coalesce(sum(e.value * w.t), 0) AS s FROM rows_e r LEFT JOIN ent e ON e.row_id = r.row_id
+              LEFT JOIN w{k} w ON w.dim = e.dim WHERE r.b = {k} GROUP BY r.row_id, r.y),
+  gr AS (SELECT e.dim, sum(-y / (1 + exp(y * s)) * e.value) AS g FROM sc JOIN ent e ON e.row_id = sc.row_id GROUP BY e.dim)
+  SELECT w.dim, t - {LR} / (SELECT count(*) FROM sc) * (coalesce(g, 0) + {LAM} * t) AS t FROM w{k} w LEFT JOIN gr ON gr.dim = w.dim)""")
+    return ",\n".join(out)
 
 
-@register("u10_sharded_unlearning")
-def u10_sharded_unlearning(spark, sf):
+@register("m8_fine_tune", sk.with_(sk.TAB, _fine_tune_sql()) + f" SELECT CAST(dim AS INTEGER) AS dim, round(t, 6) AS theta FROM w{BATCHES}")
+def m8_fine_tune(spark, sf):
+    """One pass over the whole train set after label flips, as the edited set is what is tuned on."""
     p = tabular_samples(spark, sf)
     train = p.samples.where("split = 'train'")
-    models = ul.sharded_fit(train, N_SHARDS, p.d, LAM, SHARD_SEED)
+    flipped = rw.flip_labels(train, sa.choose_rows(train.select("row_id"), "row_id", DEL_N, DEL_SEED))
+    th = ul.fine_tune(flipped, fixed_theta(p.d), p.d, LAM, LR, BATCHES, seed=BATCH_SEED)
+    return _theta_df(spark, th, nd=6)
+
+
+# U10 ----------------------------------------------------------------------------
+_SHARD_SQL = sk.with_(sk.TAB, f"""
+num AS MATERIALIZED (SELECT row_id, split, y, n0 AS x0, n1 AS x1, {sk.ph('row_id', SHARD_SEED)} % {N_SHARDS} AS shard FROM tab_imp),
+tr AS MATERIALIZED (SELECT * FROM num WHERE split = 'train'),
+gone AS MATERIALIZED (SELECT row_id, shard FROM tr ORDER BY {sk.ph('row_id', DEL_SEED)}, row_id LIMIT 3),
+kept AS MATERIALIZED (SELECT * FROM tr WHERE shard IN (SELECT shard FROM gone) AND row_id NOT IN (SELECT row_id FROM gone))""",
+                      newton_sql("o", "tr", "shard"), newton_sql("r", "kept", "shard"), f"""
+model AS MATERIALIZED (SELECT o.shard, r.shard IS NOT NULL AS retrained, coalesce(r.t0, o.t0) AS t0, coalesce(r.t1, o.t1) AS t1,
+                 sqrt(power(coalesce(r.t0, o.t0) - o.t0, 2) + power(coalesce(r.t1, o.t1) - o.t1, 2)) AS change
+          FROM o{LAST} o LEFT JOIN r{LAST} r ON r.shard = o.shard),
+vote AS (SELECT n.row_id, n.y, CASE WHEN sum(CASE WHEN t0 * x0 + t1 * x1 >= 0 THEN 1 ELSE -1 END) > 0 THEN 1.0 ELSE -1.0 END AS v
+         FROM num n CROSS JOIN model WHERE n.split = 'test' GROUP BY n.row_id, n.y)""")
+
+
+@register("u10_sharded_unlearning", _SHARD_SQL + """
+SELECT CAST(shard AS INTEGER) AS shard, retrained, round(change, 5) AS theta_change,
+       (SELECT round(avg(CASE WHEN v = y THEN 1.0 ELSE 0.0 END), 6) FROM vote) AS vote_accuracy FROM model""")
+def u10_sharded_unlearning(spark, sf):
+    """Shards of the tabular rows on their two numeric features."""
+    p = tabular_samples(spark, sf)
+    rows = rw.remove_features(p.samples, list(range(2, p.d)))
+    train = rows.where("split = 'train'")
+    models = ul.sharded_fit(train, N_SHARDS, 2, LAM, SHARD_SEED)
     deleted = sa.choose_rows(train.select("row_id"), "row_id", 3, DEL_SEED)
-    new, hit = ul.sharded_unlearn(train, deleted, models, N_SHARDS, p.d, LAM, SHARD_SEED)
-    test = p.samples.where("split = 'test'")
+    new, hit = ul.sharded_unlearn(train, deleted, models, N_SHARDS, 2, LAM, SHARD_SEED)
+    test = rows.where("split = 'test'")
     vote = ul.ensemble_predict(test, new).join(test.select("row_id", "y"), "row_id")
     acc = vote.agg(F.avg((F.col("vote") == F.col("y")).cast("double"))).collect()[0][0]
-    rows = [(g, g in hit, round(float(np.linalg.norm(new[g] - models[g])), 6), round(acc, 6)) for g in sorted(new)]
-    return spark.createDataFrame(rows, "shard int, retrained boolean, theta_change double, vote_accuracy double")
+    out = [(g, g in hit, round(float(np.linalg.norm(new[g] - models[g])), 5), round(acc, 6)) for g in sorted(new)]
+    return spark.createDataFrame(out, "shard int, retrained boolean, theta_change double, vote_accuracy double")
+
+
+# C1-C4 / Q1 -----------------------------------------------------------------------
+METHODS = ("original", "first_order", "second_order", "retrain")
+
+
+def _methods(spark, sf):
+    _, edited, _, G = _numeric(spark, sf)
+    return edited, {"original": np.asarray(THETA), "first_order": ul.first_order(THETA, G, TAU),
+                    "second_order": ul.second_order(edited, THETA, G, D, LAM), "retrain": solvers.fit_newton(edited, D, LAM)[None]}
 
 
-@register("c1_c4_certification")
+def _methods_sql() -> str:
+    rows = {"original": [f"{t}::DOUBLE" for t in THETA], "first_order": _FIRST, "second_order": _SECOND, "retrain": ["t0", "t1", "0.0", "0.0"]}
+    return "meth AS MATERIALIZED (" + " UNION ALL ".join(
+        f"SELECT '{m}' AS method, " + ", ".join(f"{e} AS m{j}" for j, e in enumerate(v)) + f" FROM he, n{LAST}" for m, v in rows.items()) + ")"
+
+
+@register("c1_c4_certification", _FIT + ", " + _methods_sql() + f""",
+res AS (SELECT method, sqrt({" + ".join(["power(g0, 2)", "power(g1, 2)", f"power({LAM} * m2, 2)", f"power({LAM} * m3, 2)"])}) AS r FROM (
+  SELECT method, m2, m3, sum(-y / (1 + exp(y * (m0 * x0 + m1 * x1))) * x0) + {LAM} * m0 AS g0,
+         sum(-y / (1 + exp(y * (m0 * x0 + m1 * x1))) * x1) + {LAM} * m1 AS g1 FROM edited CROSS JOIN meth GROUP BY method, m0, m1, m2, m3))
+SELECT method, round(r, 4) AS residual, round(r * sqrt(2 * ln(1.5 / {DELTA})) / {EPS}, 3) AS certified_sigma,
+       round({SIGMA} * {EPS} / sqrt(2 * ln(1.5 / {DELTA})), 6) AS beta, r <= {SIGMA} * {EPS} / sqrt(2 * ln(1.5 / {DELTA})) AS certified FROM res""")
 def c1_c4_certification(spark, sf):
-    p, train, theta = _setup(spark, sf)
-    delta, edited = _removal(train, theta, p.d)
-    G = ul.change_gradient(delta, theta, p.d)
-    methods = {"first_order": ul.first_order(theta, G, TAU),
-               "second_order": ul.second_order(edited, theta, G, p.d, LAM),
-               "retrain": solvers.fit_newton(edited, p.d, LAM, theta0=theta)[None]}
+    edited, methods = _methods(spark, sf)
     rows = []
-    for m, th in methods.items():
-        res = float(np.linalg.norm(lin.gradient_vector(edited, list(th), p.d, LAM)))
-        c = ul.certification(res, EPS, DELTA, SIGMA)
-        rows.append((m, round(res, 6), round(c["certified_sigma"], 6), round(c["beta"], 6), bool(c["certified"])))
+    with solvers.persisted(edited) as data:
+        for m, th in methods.items():
+            _, g = solvers.loss_gradient(data, th)
+            res = float(np.linalg.norm(g + LAM * th))
+            c = ul.certification(res, EPS, DELTA, SIGMA)
+            rows.append((m, round(res, 4), round(c["certified_sigma"], 3), round(c["beta"], 6), bool(c["certified"])))
     return spark.createDataFrame(rows, "method string, residual double, certified_sigma double, beta double, certified boolean")
 
 
-@register("q1_fidelity")
+@register("q1_fidelity", _FIT + ", " + _methods_sql() + """
+SELECT method, round(avg(CASE WHEN (CASE WHEN m0 * x0 + m1 * x1 >= 0 THEN 1.0 ELSE -1.0 END) = y THEN 1.0 ELSE 0.0 END), 6) AS accuracy
+FROM li_rows CROSS JOIN meth WHERE split = 'test' GROUP BY method""")
 def q1_fidelity(spark, sf):
-    """Accuracy on test of every method after removing the chosen features."""
-    p, train, theta = _setup(spark, sf)
-    delta, edited = _removal(train, theta, p.d)
-    G = ul.change_gradient(delta, theta, p.d)
-    test = rw.remove_features(p.samples.where("split = 'test'"), REMOVE)
-    methods = {"original": theta, "first_order": ul.first_order(theta, G, TAU),
-               "second_order": ul.second_order(edited, theta, G, p.d, LAM),
-               "retrain": solvers.fit_newton(edited, p.d, LAM, theta0=theta)[None]}
-    rows = []
+    """Accuracy of every method on test after removing the chosen features, in one pass."""
+    _, methods = _methods(spark, sf)
+    test = rw.remove_features(numeric_samples(spark, sf).samples.where("split = 'test'"), REMOVE)
     for m, th in methods.items():
-        acc = lin.predict(test, list(th)).agg(F.avg((F.col("pred") == F.col("y")).cast("double"))).collect()[0][0]
-        rows.append((m, round(float(acc), 6)))
-    return spark.createDataFrame(rows, "method string, accuracy double")
+        test = lin.with_score(test, list(th), m)
+    acc = [F.avg((F.when(F.col(m) >= 0, 1.0).otherwise(-1.0) == F.col("y")).cast("double")).alias(m) for m in methods]
+    row = test.agg(*acc).collect()[0]
+    return spark.createDataFrame([(m, round(float(row[m]), 6)) for m in methods], "method string, accuracy double")
