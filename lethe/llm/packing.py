@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from ..session import cut_lineage
 from .words import NULL_ID
 
-_CACHE_WORDS = 700_000         # words remembered per Python worker
+_CACHE_WORDS = 250_000         # chunks, and pieces of chunks, remembered per Python worker
 _RANK_SLICES = 64
 
 
