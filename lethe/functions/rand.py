@@ -30,14 +30,3 @@ def uniform(key, seed) -> Column:
     """Uniform double in [0, 1)."""
     return phash(key, seed) / F.lit(TWO_32)
 
-
-def phash_sql(key_sql: str, seed) -> str:
-    """DuckDB expression of :func:`phash` for oracle SQL."""
-    return f"cast(('0x' || substr(md5(cast({key_sql} as varchar) || ':{seed}'), 1, 8)) as bigint)"
-
-
-def normal(key, seed) -> Column:
-    """Standard normal by Box-Muller over two independent draws."""
-    u1 = (phash(key, f"{seed}a") + F.lit(1.0)) / F.lit(TWO_32 + 1.0)
-    u2 = uniform(key, f"{seed}b")
-    return F.sqrt(F.lit(-2.0) * F.log(u1)) * F.cos(F.lit(6.283185307179586) * u2)

@@ -31,50 +31,12 @@ def log_loss(margin) -> Column:
     return F.log1p(F.exp(-F.abs(m))) + F.greatest(-m, F.lit(0.0))
 
 
-# F4 ---------------------------------------------------------------------------
-def sign_label(p) -> Column:
-    """Probability to +1/-1 label (p >= 0.5 -> +1)."""
-    return F.when(_c(p) >= 0.5, F.lit(1.0)).otherwise(F.lit(-1.0))
-
-
 # F5 ---------------------------------------------------------------------------
-def clip01(x) -> Column:
-    return F.greatest(F.least(_c(x), F.lit(1.0)), F.lit(0.0))
-
-
 def clip01_arr(arr) -> Column:
     return F.transform(_c(arr), lambda v: F.greatest(F.least(v, F.lit(1.0)), F.lit(0.0)))
 
 
-# F6 / F7 ------------------------------------------------------------------------
-def arr_sum(arr) -> Column:
-    return F.aggregate(_c(arr), F.lit(0.0), lambda acc, v: acc + v)
-
-
-def l2_norm(arr) -> Column:
-    return F.sqrt(F.aggregate(_c(arr), F.lit(0.0), lambda acc, v: acc + v * v))
-
-
-def dot(a, b) -> Column:
-    return arr_sum(F.zip_with(_c(a), _c(b), lambda x, y: x * y))
-
-
-def axpy(alpha: float, x, y) -> Column:
-    """alpha * x + y elementwise."""
-    return F.zip_with(_c(x), _c(y), lambda u, v: F.lit(alpha) * u + v)
-
-
-def scale_arr(arr, factor) -> Column:
-    f = factor if isinstance(factor, Column) else F.lit(float(factor))
-    return F.transform(_c(arr), lambda v: v * f)
-
-
-def normalise(arr) -> Column:
-    """Row L2 normalisation; all-zero rows stay unchanged."""
-    n = l2_norm(arr)
-    return F.when(n > 0, F.transform(_c(arr), lambda v: v / n)).otherwise(_c(arr))
-
-
+# J2 / F7 ------------------------------------------------------------------------
 def sparse_dot(idx, val, theta: Sequence[float]) -> Column:
     """x . theta for a sparse row against a dense parameter literal."""
     w = F.array(*[F.lit(float(t)) for t in theta])
@@ -83,24 +45,6 @@ def sparse_dot(idx, val, theta: Sequence[float]) -> Column:
         lambda acc, e: acc + e["v"] * F.element_at(w, e["i"] + 1))
 
 
-def sparse_dot_col(idx, val, theta_col) -> Column:
-    """x . theta where theta is an array column (one model per row, e.g. per shard)."""
-    w = _c(theta_col)
-    return F.aggregate(
-        F.arrays_zip(_c(idx).alias("i"), _c(val).alias("v")), F.lit(0.0),
-        lambda acc, e: acc + e["v"] * F.element_at(w, e["i"] + 1))
-
-
-# F3 ---------------------------------------------------------------------------
-def softmax_arr(logits) -> Column:
-    """Row-wise softmax, max-shifted."""
-    z = _c(logits)
-    mx = F.array_max(z)
-    ex = F.transform(z, lambda v: F.exp(v - mx))
-    tot = arr_sum(ex)
-    return F.transform(ex, lambda v: v / tot)
-
-
 # P4 / T4 ------------------------------------------------------------------------
 def one_hot(label, k: int) -> Column:
     return F.transform(F.sequence(F.lit(0), F.lit(k - 1)),
@@ -112,16 +56,6 @@ def argmax(arr) -> Column:
     return (F.array_position(_c(arr), F.array_max(_c(arr))) - 1).cast("int")
 
 
-# F8 ---------------------------------------------------------------------------
-def cross_entropy(probs, label) -> Column:
-    return -F.log(F.element_at(_c(probs), _c(label) + 1))
-
-
-# F12 --------------------------------------------------------------------------
-def class_shift(label, offset, k: int = 10) -> Column:
-    return F.pmod(_c(label) + _c(offset), F.lit(k)).cast("int")
-
-
 # Fixed model used by the oracle-checked queries ------------------------------
 def fixed_weight(dim) -> Column:
     """Deterministic parameter value for dimension ``dim``: ((7*dim) mod 11 - 5) / 4."""
@@ -131,5 +65,3 @@ def fixed_weight(dim) -> Column:
 def fixed_theta(d: int) -> list[float]:
     return [((7 * j) % 11 - 5) / 4.0 for j in range(d)]
 
-
-FIXED_WEIGHT_SQL = "((({dim}) * 7) % 11 - 5) / 4.0"

@@ -14,10 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.rand import phash
-
-# Largest vocabulary that is shipped as a literal map inside the plan; bigger
-# vocabularies are joined (broadcast only below the same bound).
-MAX_LITERAL_VOCAB = 100_000
+from .prefix import global_rank
 
 # Default token rule of the bag-of-words vectoriser (two or more
 # letters, digits or underscores) and the default paragraph break of the canary
@@ -140,39 +137,29 @@ def impute_mode(df: DataFrame, cols: Sequence[str], by: str | None = "split",
 
 
 # E7 / E8 --------------------------------------------------------------------------
-def category_vocab(train: DataFrame, cols: Sequence[str], offset: int, drop_first: bool = True) -> list[tuple]:
-    """[(dim, feature, category, value)] for one-hot columns, ordered by column then frequency."""
-    freq = value_frequencies(train, cols).collect()
-    vocab, dim = [], offset
-    for c in cols:
-        vals = sorted((r for r in freq if r["column"] == c), key=lambda r: r["rank"])
-        if drop_first:
-            vals = vals[1:]
-        for r in vals:
-            vocab.append((dim, f"{c}_{r['value']}", c, r["value"]))
-            dim += 1
-    if len(vocab) > MAX_LITERAL_VOCAB:
-        raise ValueError("categorical vocabulary too large for a literal lookup")
-    return vocab
-
-
-def one_hot_entries(df: DataFrame, vocab: list[tuple], cols: Sequence[str]) -> Column:
-    """Sparse (idx, val) struct array of the one-hot dims set in this row; unseen -> none."""
-    parts = []
+def category_vocab(train: DataFrame, cols: Sequence[str], offset: int, drop_first: bool = True) -> tuple[DataFrame, int]:
+    """(dim, feature, category, value) of one-hot columns, ordered by column then frequency,
+    and the number of dims.  Only one count per column reaches the driver."""
+    first = 2 if drop_first else 1
+    freq = value_frequencies(train, cols).where(F.col("rank") >= first)
+    sizes = {r["column"]: r["count"] for r in freq.groupBy("column").count().collect()}
+    base, start = offset, None
     for c in cols:
-        keys = [v for (_, _, cc, v) in vocab if cc == c]
-        dims = [d for (d, _, cc, _) in vocab if cc == c]
-        if not keys:
-            continue
-        lookup = F.map_from_arrays(F.lit(keys), F.lit(dims))
-        parts.append(F.element_at(lookup, F.col(c).cast("string")))
-    return F.filter(F.array(*parts), lambda x: x.isNotNull())
+        here = F.when(F.col("column") == c, F.lit(base))
+        start = here if start is None else F.coalesce(start, here)
+        base += sizes.get(c, 0)
+    vocab = freq.select((start + F.col("rank") - first).cast("int").alias("dim"), F.concat_ws("_", "column", "value").alias("feature"),
+                        F.col("column").alias("category"), "value")
+    return vocab, base - offset
 
 
-# E3 -----------------------------------------------------------------------------
-def l2_normalize_sparse(df: DataFrame, val: str = "val") -> DataFrame:
-    n = F.sqrt(F.aggregate(F.col(val), F.lit(0.0), lambda a, v: a + v * v))
-    return df.withColumn(val, F.when(n > 0, F.transform(F.col(val), lambda v: v / n)).otherwise(F.col(val)))
+def one_hot_dims(df: DataFrame, vocab: DataFrame, cols: Sequence[str], name: str) -> DataFrame:
+    """Adds the array of one-hot dims set in each row (unseen values have none): one join a column."""
+    for c in cols:
+        dims = vocab.where(F.col("category") == c).select(F.col("value").alias(f"__v_{c}"), F.col("dim").alias(f"__d_{c}"))
+        df = df.join(dims, F.col(c).cast("string") == F.col(f"__v_{c}"), "left").drop(f"__v_{c}")
+    dims = F.filter(F.array(*[F.col(f"__d_{c}") for c in cols]), lambda x: x.isNotNull())
+    return df.withColumn(name, dims).drop(*[f"__d_{c}" for c in cols])
 
 
 # E1 / A6 ---------------------------------------------------------------------------
@@ -188,34 +175,25 @@ def document_frequency(docs: DataFrame, tokens: str = "tokens") -> DataFrame:
 
 
 def build_vocab(train_docs: DataFrame, min_df: int, tokens: str = "tokens") -> DataFrame:
-    """(dim, feature): tokens with document frequency >= min_df, dims in alphabetical order."""
-    kept = document_frequency(train_docs, tokens).where(F.col("df") >= min_df)
-    # the dense rank needs one global order over the (small, aggregated) vocabulary
-    return kept.select((F.row_number().over(Window.orderBy("token")) - 1).cast("int").alias("dim"),
-                       F.col("token").alias("feature"))
+    """(dim, feature): tokens with document frequency >= min_df, dims in alphabetical order
+    (a distributed rank, so the vocabulary never meets in one task)."""
+    kept = document_frequency(train_docs, tokens).where(F.col("df") >= min_df).select("token")
+    return global_rank(kept, [F.col("token")], "__r").select((F.col("__r") - 1).cast("int").alias("dim"), F.col("token").alias("feature"))
 
 
-# Largest vocabulary broadcast to every task (rows; ~100 bytes each).
-MAX_BROADCAST_VOCAB = 1_000_000
+# E1 / E3 --------------------------------------------------------------------------
+def binary_bag_of_words(docs: DataFrame, vocab: DataFrame, key: str = "row_id", tokens: str = "tokens") -> DataFrame:
+    """Sparse ``idx``/``val`` (binary presence, L2-normalised rows) instead of the token column.
 
-
-def binary_bag_of_words(docs: DataFrame, vocab: DataFrame, key: str = "row_id",
-                        tokens: str = "tokens") -> DataFrame:
-    """Adds sparse ``idx``/``val`` (binary presence, L2-normalised rows) from a token column.
-
-    (doc, token) pairs are joined to the vocabulary: broadcast when its counted
-    size is under MAX_BROADCAST_VOCAB, otherwise a shuffle join whose skewed
-    tokens AQE splits.  Rows are regrouped by key.
+    (doc, token) pairs meet the vocabulary in a join that AQE broadcasts once it has measured
+    it, or splits where a token is frequent.  A row with n tokens has n entries of 1/sqrt(n).
     """
-    n_vocab = vocab.count()
-    v = vocab.select("feature", "dim")
-    v = F.broadcast(v) if n_vocab <= MAX_BROADCAST_VOCAB else v
+    carried = [c for c in docs.columns if c not in (key, tokens)]
     pairs = docs.select(key, F.explode(F.array_distinct(F.col(tokens))).alias("feature"))
-    grouped = pairs.join(v, "feature").groupBy(key).agg(F.array_sort(F.collect_list("dim")).alias("idx"))
-    out = docs.join(grouped, key, "left").withColumn(
-        "idx", F.coalesce(F.col("idx"), F.array().cast("array<int>")))
-    out = out.withColumn("val", F.transform(F.col("idx"), lambda _: F.lit(1.0)))
-    return l2_normalize_sparse(out)
+    grouped = pairs.join(vocab.select("feature", "dim"), "feature").groupBy(key).agg(F.array_sort(F.collect_list("dim")).alias("idx"))
+    out = docs.select(key, *carried).join(grouped, key, "left")
+    out = out.withColumn("idx", F.coalesce(F.col("idx"), F.array().cast("array<int>")))
+    return out.withColumn("val", F.array_repeat(F.lit(1.0) / F.sqrt(F.greatest(F.size("idx"), F.lit(1)).cast("double")), F.size("idx")))
 
 
 # E2 -----------------------------------------------------------------------------
@@ -237,16 +215,14 @@ def word_counts(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 # W3 -----------------------------------------------------------------------------
-def dedupe_feature_sets(samples: DataFrame, key: str = "row_id", idx: str = "idx") -> DataFrame:
-    """Keep the first row (smallest key) of every distinct feature set.
+def feature_set_copies(samples: DataFrame, key: str = "row_id", idx: str = "idx") -> DataFrame:
+    """(key, n_copies): the first row (smallest key) of every distinct feature set.
 
-    ``min_by`` is a partial aggregate, so a feature set shared by a third of all
-    rows is combined map-side instead of landing in one window partition.
+    Grouped by the set and its hash; the partial aggregate keeps a set that a third of all
+    rows have from landing in one task.
     """
-    cols = samples.columns
-    best = (samples.groupBy(F.array_sort(F.col(idx)).alias("__set"))
-            .agg(F.min_by(F.struct(*cols), F.col(key)).alias("r")))
-    return best.select("r.*")
+    return (samples.groupBy(F.xxhash64(idx).alias("__h"), F.col(idx).alias("__set"))
+            .agg(F.min(key).alias(key), F.count(F.lit(1)).alias("n_copies")).select(key, "n_copies"))
 
 
 # W4 -----------------------------------------------------------------------------
@@ -285,17 +261,19 @@ def insert_canary(docs: DataFrame, key: str, canary: str, n: int, seed: int = 42
     the start of the match.  The choice is a seeded hash rank over the break ordinals
     of each text (at most the number of breaks present).
     """
-    mark = "\u0001"
-    pieces = F.split(F.regexp_replace(F.col(text), f"(?={pattern})", mark), mark)
-    out = docs.withColumn("__p", pieces).withColumn("__k", F.size("__p") - 1)
+    # text = piece 0, then (match, piece) pairs; matches do not overlap
+    out = docs.withColumn("__p", F.split(F.col(text), pattern)).withColumn("__m", F.regexp_extract_all(F.col(text), F.lit(pattern), 0))
+    out = out.withColumn("__k", F.size("__m"))
     ranked = F.transform(F.sequence(F.lit(1), F.greatest(F.col("__k"), F.lit(1))),
                          lambda i: F.struct(phash(F.concat(F.col(key).cast("string"), F.lit(":"),
                                                            i.cast("string")), seed).alias("h"), i.alias("i")))
     chosen = F.when(F.col("__k") > 0, F.transform(F.slice(F.array_sort(ranked), 1, n), lambda s: s["i"])) \
         .otherwise(F.array().cast("array<int>"))
     out = out.withColumn("__c", chosen)
-    rebuilt = F.array_join(F.transform(F.col("__p"), lambda p, i: F.when(
-        F.array_contains(F.col("__c"), i),
-        F.concat(F.substring(p, 1, offset), F.lit(canary),
-                 F.substring(p, offset + 1, 1 << 30))).otherwise(p)), "")
-    return out.withColumn(text, rebuilt).withColumn("n_inserted", F.size("__c")).drop("__p", "__k", "__c")
+
+    def tail(m, i):
+        part = F.concat(m, F.get("__p", i + 1))
+        return F.when(F.array_contains("__c", i + 1), F.concat(F.substring(part, 1, offset), F.lit(canary),
+                                                               F.substring(part, F.lit(offset + 1), F.length(part)))).otherwise(part)
+    rebuilt = F.concat(F.get("__p", F.lit(0)), F.array_join(F.transform("__m", tail), ""))
+    return out.withColumn(text, rebuilt).withColumn("n_inserted", F.size("__c")).drop("__p", "__m", "__k", "__c")

@@ -25,6 +25,7 @@ from . import features as fe
 CANARY_FMT = "`my telephone number is {}!' said alice.\n\n  "
 CANARY_START = "`my telephone number is "
 CANARY_NUMBER = "0123456789"
+CANARY_REPLACEMENT = "x" * len(CANARY_NUMBER)   # unlearning writes it over the secret
 
 
 def corpus(docs: DataFrame, canary: str | None, n: int, seed=42, pattern: str = "\n", offset: int = 1,
@@ -42,6 +43,39 @@ def kgram_counts(texts: DataFrame, k: int, key: str = "doc_id") -> DataFrame:
     return w.groupBy("ctx", "next").agg(F.count(F.lit(1)).alias("n"))
 
 
+def counts_for(texts: DataFrame, k: int, asked: DataFrame, key: str = "doc_id") -> DataFrame:
+    """counts(ctx, next, n) of the asked contexts only: windows meet them before the count, so
+    a question about a few contexts shuffles a few windows, not the corpus."""
+    w = fe.char_windows(texts, key, k).join(asked.select("ctx").distinct(), "ctx", "left_semi")
+    return w.groupBy("ctx", "next").agg(F.count(F.lit(1)).alias("n"))
+
+
+# P17 / J7 ------------------------------------------------------------------------
+def changed_windows(pairs: DataFrame, k: int, key: str = "doc_id", old: str = "old", new: str = "new") -> DataFrame:
+    """(key, pos, old_ctx, old_next, new_ctx, new_next) of the windows that differ between two
+    versions of a text held in one row; past the end of the shorter one its side is null.
+
+    Rows whose versions are equal are left out before any window is built; no join is needed.
+    """
+    d = pairs.where(~F.col(old).eqNullSafe(F.col(new))).select(key, F.split(F.coalesce(old, F.lit("")), "").alias("__o"),
+                                                              F.split(F.coalesce(new, F.lit("")), "").alias("__n"))
+    count = F.greatest(F.size("__o"), F.size("__n")) - k
+    d = d.select(key, "__o", "__n", F.explode(F.when(count > 0, F.sequence(F.lit(0), count - 1)).otherwise(F.array().cast("array<int>"))).alias("pos"))
+
+    def side(c, name):
+        there = F.col("pos") + k < F.size(c)
+        return (F.when(there, F.array_join(F.slice(c, F.col("pos") + 1, k), "")).alias(f"{name}_ctx"),
+                F.when(there, F.element_at(c, F.col("pos") + k + 1)).alias(f"{name}_next"))
+    d = d.select(key, "pos", *side("__o", "old"), *side("__n", "new"))
+    return d.where(~(F.col("old_ctx").eqNullSafe(F.col("new_ctx")) & F.col("old_next").eqNullSafe(F.col("new_next"))))
+
+
+def unlearn_counts(counts: DataFrame, changed: DataFrame) -> DataFrame:
+    """Counts after the change: minus the old windows, plus the new ones, nothing else."""
+    side = lambda s, n: changed.where(F.col(f"{s}_ctx").isNotNull()).select(F.col(f"{s}_ctx").alias("ctx"), F.col(f"{s}_next").alias("next"), F.lit(n).cast("bigint").alias("n"))
+    return (counts.unionByName(side("old", -1)).unionByName(side("new", 1)).groupBy("ctx", "next").agg(F.sum("n").alias("n")).where("n > 0"))
+
+
 def model(counts: DataFrame, V: int, alpha: float) -> DataFrame:
     """(ctx, next, n, tot, p) with additive smoothing."""
     tot = counts.groupBy("ctx").agg(F.sum("n").alias("tot"))
@@ -105,14 +139,16 @@ def space_size_log2(alphabet_size: int, length: int) -> float:
 
 
 def empirical_exposure(dist: DataFrame, value: float) -> DataFrame:
-    """(rank, n, exposure): -log2(share of sampled sequences at least as likely)."""
+    """(rank, n, exposure): -log2(share of sampled sequences at least as likely).
+
+    Rank 0 (none as likely) leaves the exposure open: it is null, not log2(n)."""
     return dist.agg(F.sum(F.when(F.col("pp") <= F.lit(value), 1).otherwise(0)).alias("rank"),
-                    F.count(F.lit(1)).alias("n")).withColumn(
-        "exposure", -F.log2(F.greatest(F.col("rank"), F.lit(1)) / F.col("n")))
+                    F.count(F.lit(1)).alias("n")).withColumn("exposure", F.when(F.col("rank") > 0, -F.log2(F.col("rank") / F.col("n"))))
 
 
 def skewnorm_exposure(mean: float, std: float, skew: float, value: float) -> float:
-    """Exposure from a skew-normal fitted by moments (|skewness| clamped below 0.995)."""
+    """Exposure from a skew-normal fitted by moments (|skewness| clamped below 0.995);
+    infinite where the fitted tail is too small for a double."""
     g = max(min(skew, 0.995), -0.995)
     a = (2 * abs(g) / (4 - math.pi)) ** (1 / 3)
     delta = math.copysign(math.sqrt(math.pi / 2 * a * a / (1 + a * a)), g)
@@ -122,7 +158,7 @@ def skewnorm_exposure(mean: float, std: float, skew: float, value: float) -> flo
     z = np.linspace(-12, (value - xi) / omega, 20001)
     pdf = 2 * np.exp(-z * z / 2) / math.sqrt(2 * math.pi) * 0.5 * (1 + np.vectorize(math.erf)(alpha * z / math.sqrt(2)))
     cdf = float(np.trapezoid(pdf, z))
-    return -math.log2(max(cdf, 1e-300))
+    return -math.log2(cdf) if cdf > 0 else math.inf
 
 
 # T5 / X5 ------------------------------------------------------------------------

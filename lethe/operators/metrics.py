@@ -9,7 +9,7 @@ never a single-partition window over rows.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .prefix import running_sums
@@ -41,35 +41,24 @@ def classification_report(df: DataFrame, label: str = "label", pred: str = "pred
 
     Undefined ratios are 0 (zero_division = 0).
     """
+    role = lambda cls, **n: F.struct(cls.cast("string").alias("cls"), *[F.lit(n.get(k, 0)).alias(k) for k in ("sup", "np", "tp")])
     cm = confusion(df, label, pred)
-    tp = cm.where(F.col(label) == F.col(pred)).groupBy(F.col(label).alias("cls")).agg(F.sum("n").alias("tp"))
-    sup = cm.groupBy(F.col(label).alias("cls")).agg(F.sum("n").alias("support"))
-    npred = cm.groupBy(F.col(pred).alias("cls")).agg(F.sum("n").alias("npred"))
-    per = (sup.join(npred, "cls", "full").join(tp, "cls", "left")
-           .fillna(0, subset=["support", "npred", "tp"]))
-    per = per.select(
-        F.col("cls").cast("string").alias("cls"),
-        F.when(F.col("npred") > 0, F.col("tp") / F.col("npred")).otherwise(0.0).alias("precision"),
-        F.when(F.col("support") > 0, F.col("tp") / F.col("support")).otherwise(0.0).alias("recall"),
-        F.col("support").cast("bigint").alias("support"), F.col("tp"))
-    per = per.withColumn("f1", F.when(F.col("precision") + F.col("recall") > 0,
-                                      2 * F.col("precision") * F.col("recall") / (F.col("precision") + F.col("recall")))
-                         .otherwise(0.0))
-    tot = per.agg(F.sum("support").alias("n"), F.sum("tp").alias("tp"), F.count(F.lit(1)).alias("k"),
-                  F.avg("precision").alias("mp"), F.avg("recall").alias("mr"), F.avg("f1").alias("mf"),
-                  (F.sum(F.col("precision") * F.col("support")) / F.sum("support")).alias("wp"),
-                  (F.sum(F.col("recall") * F.col("support")) / F.sum("support")).alias("wr"),
-                  (F.sum(F.col("f1") * F.col("support")) / F.sum("support")).alias("wf"))
-    acc = tot.select(F.lit("accuracy").alias("cls"), (F.col("tp") / F.col("n")).alias("precision"),
-                     (F.col("tp") / F.col("n")).alias("recall"), (F.col("tp") / F.col("n")).alias("f1"),
-                     F.col("n").cast("bigint").alias("support"))
-    macro = tot.select(F.lit("macro avg").alias("cls"), F.col("mp").alias("precision"), F.col("mr").alias("recall"),
-                       F.col("mf").alias("f1"), F.col("n").cast("bigint").alias("support"))
-    weighted = tot.select(F.lit("weighted avg").alias("cls"), F.col("wp").alias("precision"),
-                          F.col("wr").alias("recall"), F.col("wf").alias("f1"),
-                          F.col("n").cast("bigint").alias("support"))
-    cols = ["cls", "precision", "recall", "f1", "support"]
-    return per.select(*cols).unionByName(acc).unionByName(macro).unionByName(weighted)
+    per = (cm.select("n", F.explode(F.array(role(F.col(label), sup=1), role(F.col(pred), np=1),
+                                            role(F.when(F.col(label) == F.col(pred), F.col(label)), tp=1))).alias("r"))
+           .where("r.cls is not null").groupBy("r.cls")
+           .agg(*[F.sum(F.col("n") * F.col(f"r.{k}")).alias(k) for k in ("sup", "np", "tp")]))
+    ratio = lambda a, b: F.when(b > 0, a / b).otherwise(0.0)
+    per = per.withColumn("precision", ratio(F.col("tp"), F.col("np"))).withColumn("recall", ratio(F.col("tp"), F.col("sup")))
+    per = per.withColumn("f1", ratio(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall")))
+    # one row per class: the class table is the only thing that meets in one task
+    parts = ("precision", "recall", "f1")
+    row = lambda name, exprs, n: F.struct(F.lit(name).alias("cls"), *[e.alias(c) for c, e in zip(parts, exprs)], n.cast("bigint").alias("support"))
+    n = F.sum("sup")
+    whole = per.agg(F.collect_list(F.struct("cls", *parts, F.col("sup").cast("bigint").alias("support"))).alias("classes"),
+                    row("accuracy", [F.sum("tp") / n] * 3, n).alias("accuracy"),
+                    row("macro avg", [F.avg(c) for c in parts], n).alias("macro"),
+                    row("weighted avg", [F.sum(F.col(c) * F.col("sup")) / n for c in parts], n).alias("weighted"))
+    return whole.select(F.explode(F.concat("classes", F.array("accuracy", "macro", "weighted"))).alias("r")).select("r.*")
 
 
 # W1 / W2 ------------------------------------------------------------------------
@@ -115,13 +104,13 @@ def majority_vote(preds: DataFrame, key: str = "row_id", pred: str = "pred", n_c
     """
     counts = preds.groupBy(key, pred).agg(F.count(F.lit(1)).alias("n"))
     per_row = counts.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct(pred, "n"))).alias("m"))
-    vec = F.transform(F.sequence(F.lit(0), F.lit(n_classes - 1)),
-                      lambda c: F.coalesce(F.element_at(F.col("m"), c), F.lit(0)).cast("double"))
-    mx = F.array_max(vec)
-    ex = F.transform(vec, lambda v: F.exp(v - mx))
-    tot = F.aggregate(ex, F.lit(0.0), lambda a, v: a + v)
-    return per_row.select(key, (F.array_position(vec, mx) - 1).cast("int").alias("vote"),
-                          F.transform(ex, lambda v: v / tot).alias("probs"))
+    per_row = per_row.select(key, F.transform(F.sequence(F.lit(0), F.lit(n_classes - 1)),
+                                              lambda c: F.coalesce(F.element_at(F.col("m"), c), F.lit(0)).cast("double")).alias("v"))
+    # each stage is a column of its own: a lambda would evaluate it once per class
+    per_row = per_row.withColumn("mx", F.array_max("v")).withColumn("ex", F.transform("v", lambda v: F.exp(v - F.col("mx"))))
+    per_row = per_row.withColumn("tot", F.aggregate("ex", F.lit(0.0), lambda a, v: a + v))
+    return per_row.select(key, (F.array_position("v", F.col("mx")) - 1).cast("int").alias("vote"),
+                          F.transform("ex", lambda v: v / F.col("tot")).alias("probs"))
 
 
 def binary_vote(preds: DataFrame, key: str = "row_id", pred: str = "pred") -> DataFrame:
@@ -135,23 +124,3 @@ def best_epoch(log: DataFrame, group: list[str], loss: str = "val_loss", epoch:
     """First epoch with the minimum loss per group (min_by over (loss, epoch))."""
     return log.groupBy(*group).agg(F.min_by(F.col(epoch), F.struct(F.col(loss), F.col(epoch))).alias("best_epoch"),
                                    F.min(loss).alias("best_loss"))
-
-
-# A19 ----------------------------------------------------------------------------
-def mean_std(df: DataFrame, group: list[str], value: str) -> DataFrame:
-    return df.groupBy(*group).agg(F.avg(value).alias("mean"), F.stddev_pop(value).alias("std"),
-                                  F.count(F.lit(1)).alias("n"))
-
-
-# W7 -----------------------------------------------------------------------------
-def early_stop_epoch(log: DataFrame, patience: int, loss: str = "loss", step: str = "step") -> int | None:
-    """First step at which ``patience`` steps passed without a new running minimum."""
-    w = Window.orderBy(step).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rows = (log.withColumn("best", F.min(loss).over(w)).orderBy(step).collect())
-    last_best, best = None, float("inf")
-    for r in rows:
-        if r[loss] < best:
-            best, last_best = r[loss], r[step]
-        elif last_best is not None and r[step] - last_best >= patience:
-            return r[step]
-    return None

@@ -1,18 +1,19 @@
 """Distributed running sums in a global order (no single-partition window).
 
-Rows are range-partitioned on the order key; each partition's totals (one row per
-partition) give the offsets, and a window *within* each range partition adds
-them.  The only driver traffic is one row per partition.
+Rows are range-partitioned on the order key and written to the checkpoint folder; each
+partition's totals (one row per partition) give the offsets, and a window *within* each
+range partition adds them.  The only driver traffic is one row per partition.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
+
 
 def _parts(df: DataFrame, n: int | None) -> int:
     if n:
@@ -30,25 +31,18 @@ def running_sums(df: DataFrame, order: Sequence[Column], sums: dict[str, Column]
     base = df
     for name, expr in sums.items():
         base = base.withColumn(f"__v_{name}", expr)
-    ranged = base.repartitionByRange(P, *order).withColumn("__pid", F.spark_partition_id())
-    ranged = ranged.persist(StorageLevel.MEMORY_AND_DISK)
-    totals = ranged.groupBy("__pid").agg(*[F.sum(f"__v_{n}").alias(n) for n in sums]).collect()
-    totals = sorted(totals, key=lambda r: r["__pid"])
-    offsets = {n: {} for n in sums}
+    ranged = cut_lineage(base.repartitionByRange(P, *order).withColumn("__pid", F.spark_partition_id()))
+    totals = {r["__pid"]: r for r in ranged.groupBy("__pid").agg(*[F.sum(f"__v_{n}").alias(n) for n in sums]).collect()}
+    offsets = {}
     for n in sums:
-        acc = 0
-        for r in totals:
-            offsets[n][r["__pid"]] = acc
-            acc += r[n] or 0
+        acc, offsets[n] = 0, []
+        for pid in range(max(totals, default=-1) + 1):     # entry pid = total of the partitions before
+            offsets[n].append(acc)
+            acc += (totals[pid][n] or 0) if pid in totals else 0
     w = Window.partitionBy("__pid").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     out = ranged
     for n in sums:
-        pids = list(offsets[n].keys())
-        if pids:
-            lookup = F.map_from_arrays(F.lit(pids), F.lit([offsets[n][p] for p in pids]))
-            off = F.coalesce(F.element_at(lookup, F.col("__pid")), F.lit(0))
-        else:
-            off = F.lit(0)
+        off = F.get(F.lit(offsets[n]), F.col("__pid")) if offsets[n] else F.lit(0)
         out = out.withColumn(n, F.sum(f"__v_{n}").over(w) + off)
     return out.drop("__pid", *[f"__v_{n}" for n in sums])
 

@@ -14,14 +14,14 @@ from collections import defaultdict
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.rand import TWO_32, phash, uniform
+from ..functions.rand import TWO_32, phash
 from .prefix import global_rank
 
 _ALL = "__all__"
 
 
 def _key_filter(by: str | None, g) -> Column:
-    return F.lit(True) if by is None else (F.col(by) == F.lit(g))
+    return F.lit(True) if by is None else F.col(by).eqNullSafe(F.lit(g))
 
 
 def _boundary(counts: list[tuple], quota: int):
@@ -93,13 +93,6 @@ def hash_cut(df: DataFrame, key: str, seed, quota, by: str | None = None) -> Dat
 
 
 # R1 -----------------------------------------------------------------------------
-def split_by_fraction(df: DataFrame, key: str, seed, fraction: float = 0.8,
-                      names=("train", "test")) -> DataFrame:
-    """Seeded Bernoulli split by hash: row goes to names[0] iff uniform(key, seed) < fraction."""
-    return df.withColumn("split", F.when(uniform(key, seed) < F.lit(fraction), F.lit(names[0]))
-                         .otherwise(F.lit(names[1])))
-
-
 def split_exact(df: DataFrame, key: str, seed, test_fraction: float = 0.2) -> DataFrame:
     """Exact split: ceil(test_fraction * n) rows with smallest hash go to 'test' (sklearn sizing)."""
     import math

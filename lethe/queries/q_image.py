@@ -145,12 +145,14 @@ def b3_worst_loss_flip(spark, sf):
 
 
 # B5 / B6 ----------------------------------------------------------------------------
-PATTERN = sm.cross_pattern(ROWS, COLS, CH, size=2, value=0.5)
+VALUE = 0.5
+PATTERN = sm.diagonal_cross(ROWS, COLS, CH, (ROWS, COLS))
+# The cells of the 3 x 3 corner square on its diagonals.
+CORNER_CELLS = {(5, 5), (6, 6), (7, 7), (5, 7), (7, 5)}
 
 
 def _pattern_sql() -> str:
-    vals = ", ".join(f"{PATTERN.get(j, 0.0)}" for j in range(D))
-    return f"[{vals}]"
+    return "[" + ", ".join(str(VALUE if divmod(j, COLS) in CORNER_CELLS else 0.0) for j in range(D)) + "]"
 
 
 @register("b5_b6_cross_trigger", sk.with_(sk.IMG, f"""
@@ -160,7 +162,7 @@ SELECT row_id, round(list_sum(y) - list_sum(x), 6) AS delta,
        CAST(len(list_filter(list_zip(x, y), lambda t: t[1] <> t[2])) AS INTEGER) AS n_changed FROM tr""")
 def b5_b6_cross_trigger(spark, sf):
     d = _img(spark, sf).withColumn("x", F.transform("x", lambda v: (v + 1) / 2))
-    t = d.withColumn("y", sm.add_pattern("x", PATTERN, D))
+    t = d.withColumn("y", sm.add_pattern("x", PATTERN, VALUE))
     s = lambda c: F.aggregate(c, F.lit(0.0), lambda a, v: a + v)
     return t.select("row_id", F.round(s(F.col("y")) - s(F.col("x")), 6).alias("delta"),
                     F.size(F.filter(F.arrays_zip(F.col("x").alias("a"), F.col("y").alias("b")),
@@ -181,7 +183,7 @@ def _inject(spark, sf):
     elig = d.where((F.col("split") == "train") & (F.col("label") == SOURCE))
     chosen = sa.choose_rows(elig, "row_id", N_INJECT, INJECT_SEED)
     return chosen.select("row_id", F.col("label").alias("old_label"), F.lit(TARGET).alias("new_label"),
-                         F.col("x").alias("orig"), sm.add_pattern("x", PATTERN, D).alias("y")), d
+                         F.col("x").alias("orig"), sm.add_pattern("x", PATTERN, VALUE).alias("y")), d
 
 
 @register("b7_backdoor_inject", sk.with_(sk.IMG, INJ_SQL) + """

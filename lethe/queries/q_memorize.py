@@ -19,6 +19,8 @@ SAMPLE_SEED = 5
 STEPS = 10
 TOPK = 3
 CANARY = mz.CANARY_FMT.format(mz.CANARY_NUMBER)
+REPLACED = mz.CANARY_FMT.format(mz.CANARY_REPLACEMENT)
+PROMPT = 24              # characters of a prompt; shorter texts are prompts in whole
 DIGITS = sorted(set(mz.CANARY_NUMBER))
 
 
@@ -27,8 +29,8 @@ def sql_str(s: str) -> str:
     return " || chr(10) || ".join("'" + p.replace("'", "''") + "'" for p in parts)
 
 
-def corpus_sql(name: str, canary: bool) -> str:
-    ins = f"CASE WHEN i = ch THEN {sql_str(CANARY)} ELSE '' END || " if canary else ""
+def corpus_sql(name: str, canary: str) -> str:
+    ins = f"CASE WHEN i = ch THEN {sql_str(canary)} ELSE '' END || "
     return f"""
 {name}_pc AS (SELECT doc_id, string_split(text, chr(10)) AS pieces FROM documents),
 {name}_pk AS (SELECT doc_id, pieces,
@@ -46,7 +48,7 @@ def windows_sql(src: str, name: str) -> str:
   FROM (SELECT doc_id, text, unnest(range(0, greatest(length(text) - {ORDER}, 0))) AS p FROM {src}))"""
 
 
-MODEL_SQL = (corpus_sql("cc", True) + ",\ncorpus AS MATERIALIZED (SELECT doc_id, lower(raw) AS text FROM cc)," +
+MODEL_SQL = (corpus_sql("cc", CANARY) + ",\ncorpus AS MATERIALIZED (SELECT doc_id, lower(raw) AS text FROM cc)," +
              windows_sql("corpus", "win") + """,
 counts AS MATERIALIZED (SELECT ctx, next, count(*) AS n FROM win GROUP BY ctx, next),
 tot AS MATERIALIZED (SELECT ctx, sum(n) AS tot FROM counts GROUP BY ctx),
@@ -68,9 +70,17 @@ def scored_sql(src: str, name: str, counts: str = "counts", tot: str = "tot") ->
   FROM {src} s LEFT JOIN {counts} c ON c.ctx = s.ctx AND c.next = s.ch LEFT JOIN {tot} t ON t.ctx = s.ctx)"""
 
 
-def _corpus(spark, sf, canary=True):
+def _corpus(spark, sf, canary=CANARY):
     docs = table(spark, sf, "documents").select("doc_id", "text")
-    return mz.corpus(docs, CANARY if canary else None, 1, SEED)
+    return mz.corpus(docs, canary, 1, SEED)
+
+
+def _both(spark, sf):
+    """(doc_id, old, new): the corpus with the secret, and with an equally long replacement."""
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    old = fe.insert_canary(docs.withColumn("old", F.col("text")), "doc_id", CANARY, 1, SEED, "\n", 1, text="old")
+    both = fe.insert_canary(old.select("doc_id", "old", F.col("text").alias("new")), "doc_id", REPLACED, 1, SEED, "\n", 1, text="new")
+    return both.select("doc_id", F.lower("old").alias("old"), F.lower("new").alias("new"))
 
 
 def _model(spark, sf):
@@ -80,8 +90,21 @@ def _model(spark, sf):
     return c, counts, V
 
 
+def _asked(spark, sf, *positions):
+    """Counts of the contexts that the positions ask for, and the alphabet size."""
+    c = _corpus(spark, sf)
+    asked = positions[0].select("ctx")
+    for p in positions[1:]:
+        asked = asked.unionByName(p.select("ctx"))
+    return mz.counts_for(c, ORDER, asked), fe.char_vocab(c).count()
+
+
+def _canary_positions(spark):
+    return mz.sequence_positions(spark, mz.CANARY_START, mz.CANARY_NUMBER, ORDER)
+
+
 # E10 ----------------------------------------------------------------------------
-@register("e10_canary_insertion", sk.with_(corpus_sql("cc", True)) + """
+@register("e10_canary_insertion", sk.with_(corpus_sql("cc", CANARY)) + """
 SELECT doc_id, length(raw) AS n_chars, md5(raw) AS text_md5 FROM cc""")
 def e10_canary_insertion(spark, sf):
     docs = table(spark, sf, "documents").select("doc_id", "text")
@@ -118,7 +141,7 @@ def x0_char_model_counts(spark, sf):
 SELECT CAST(i AS INTEGER) AS i, ch, round(p, 9) AS p,
        round(sum(-log2(p)) OVER (ORDER BY i ROWS UNBOUNDED PRECEDING), 6) AS running FROM sc""")
 def x1_w5_canary_perplexity(spark, sf):
-    _, counts, V = _model(spark, sf)
+    counts, V = _asked(spark, sf, _canary_positions(spark))
     pp = mz.sequence_perplexity(spark, counts, mz.CANARY_START, mz.CANARY_NUMBER, ORDER, V, ALPHA)
     return pp.select("i", "ch", F.round("p", 9).alias("p"), F.round("running", 6).alias("running"))
 
@@ -140,6 +163,10 @@ DIST_SQL = sk.with_(MODEL_SQL, _rand_sql(), scored_sql("rpos", "rsc"), """
 dist AS (SELECT sample, sum(-log2(p)) AS pp FROM rsc GROUP BY sample)""")
 
 
+def _sampled(spark):
+    return mz.random_sequences(spark, N_SAMPLES, len(mz.CANARY_NUMBER), DIGITS, mz.CANARY_START, ORDER, SAMPLE_SEED)
+
+
 def _dist(spark, counts, V):
     return mz.perplexity_distribution(spark, counts, N_SAMPLES, len(mz.CANARY_NUMBER), DIGITS,
                                       mz.CANARY_START, ORDER, V, ALPHA, SAMPLE_SEED)
@@ -147,7 +174,7 @@ def _dist(spark, counts, V):
 
 @register("x2_perplexity_distribution", DIST_SQL + " SELECT sample, round(pp, 6) AS pp FROM dist")
 def x2_perplexity_distribution(spark, sf):
-    _, counts, V = _model(spark, sf)
+    counts, V = _asked(spark, sf, _sampled(spark))
     return _dist(spark, counts, V).select("sample", F.round("pp", 6).alias("pp"))
 
 
@@ -157,10 +184,10 @@ def x2_perplexity_distribution(spark, sf):
 cv AS (SELECT sum(-log2(p)) AS v FROM sc)
 SELECT round({len(mz.CANARY_NUMBER)} * log2({len(DIGITS)}), 6) AS log2_space,
        CAST(sum(CASE WHEN pp <= v THEN 1 ELSE 0 END) AS BIGINT) AS rank, count(*) AS n,
-       round(-log2(greatest(sum(CASE WHEN pp <= v THEN 1 ELSE 0 END), 1) / count(*)), 6) AS exposure
+       round(-log2(nullif(sum(CASE WHEN pp <= v THEN 1 ELSE 0 END), 0) / count(*)), 6) AS exposure
 FROM dist, cv""")
 def x3_x4_exposure(spark, sf):
-    _, counts, V = _model(spark, sf)
+    counts, V = _asked(spark, sf, _sampled(spark), _canary_positions(spark))
     pp = mz.sequence_perplexity(spark, counts, mz.CANARY_START, mz.CANARY_NUMBER, ORDER, V, ALPHA)
     value = pp.agg(F.max("running")).collect()[0][0]
     ex = mz.empirical_exposure(_dist(spark, counts, V), value)
@@ -192,33 +219,29 @@ best AS MATERIALIZED (SELECT ctx, next FROM (SELECT ctx, next, row_number() OVER
          FROM counts) WHERE rn = 1),
 minc AS MATERIALIZED (SELECT min(c) AS c FROM (SELECT unnest(string_split(text, '')) AS c FROM corpus)),
 g0 AS (SELECT -1 AS sid, {sql_str(mz.CANARY_START)} AS start, '' AS gen
-       UNION ALL SELECT doc_id, substring(text, 1, 24), '' FROM corpus WHERE length(text) >= 24),
+       UNION ALL SELECT doc_id, substring(text, 1, {PROMPT}), '' FROM corpus WHERE length(text) >= 1),
 {_greedy_sql()}
 SELECT sid, gen FROM g{STEPS}""")
 def x5_greedy_completion(spark, sf):
     c, counts, _ = _model(spark, sf)
     min_char = fe.char_vocab(c).where("code = 0").collect()[0]["ch"]
-    starts = c.where(F.length("text") >= 24).select(F.col("doc_id").alias("sid"), F.substring("text", 1, 24).alias("start"))
+    starts = c.where(F.length("text") >= 1).select(F.col("doc_id").alias("sid"), F.substring("text", 1, PROMPT).alias("start"))
     starts = starts.unionByName(spark.createDataFrame([(-1, mz.CANARY_START)], "sid bigint, start string"))
     return mz.greedy_continue(starts, counts, ORDER, STEPS, min_char).select("sid", "gen")
 
 
 # P17 / J7 ------------------------------------------------------------------------
-@register("p17_changed_windows", sk.with_(MODEL_SQL, corpus_sql("cl", False),
+@register("p17_changed_windows", sk.with_(MODEL_SQL, corpus_sql("cl", REPLACED),
                                           "clean AS (SELECT doc_id, lower(raw) AS text FROM cl)",
                                           windows_sql("clean", "cwin")) + """
-SELECT w.doc_id, count(*) AS n_changed FROM win w JOIN cwin c ON c.doc_id = w.doc_id AND c.pos = w.pos
-WHERE w.ctx <> c.ctx OR w.next <> c.next GROUP BY w.doc_id""")
+SELECT coalesce(w.doc_id, c.doc_id) AS doc_id, count(*) AS n_changed FROM win w FULL JOIN cwin c ON c.doc_id = w.doc_id AND c.pos = w.pos
+WHERE w.ctx IS DISTINCT FROM c.ctx OR w.next IS DISTINCT FROM c.next GROUP BY 1""")
 def p17_changed_windows(spark, sf):
-    new = fe.char_windows(_corpus(spark, sf), "doc_id", ORDER)
-    old = fe.char_windows(_corpus(spark, sf, canary=False), "doc_id", ORDER)
-    j = new.alias("n").join(old.alias("o"), ["doc_id", "pos"])
-    return j.where((F.col("n.ctx") != F.col("o.ctx")) | (F.col("n.next") != F.col("o.next"))) \
-        .groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_changed"))
+    return mz.changed_windows(_both(spark, sf), ORDER).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_changed"))
 
 
 # U13 ----------------------------------------------------------------------------
-@register("u13_count_model_unlearning", sk.with_(MODEL_SQL, corpus_sql("cl", False),
+@register("u13_count_model_unlearning", sk.with_(MODEL_SQL, corpus_sql("cl", REPLACED),
                                                  "clean AS (SELECT doc_id, lower(raw) AS text FROM cl)",
                                                  windows_sql("clean", "cwin"), """
 aff AS (SELECT DISTINCT doc_id FROM corpus c JOIN clean k USING (doc_id) WHERE c.text <> k.text),
@@ -236,14 +259,13 @@ SELECT 'before' AS state, round(sum(-log2(p)), 6) AS pp FROM s_before
 UNION ALL SELECT 'after', round(sum(-log2(p)), 6) FROM s_after
 UNION ALL SELECT 'retrained', round(sum(-log2(p)), 6) FROM s_retr""")
 def u13_count_model_unlearning(spark, sf):
-    c, counts, V = _model(spark, sf)
-    clean = _corpus(spark, sf, canary=False)
-    aff = c.alias("a").join(clean.alias("b"), "doc_id").where(F.col("a.text") != F.col("b.text")).select("doc_id")
-    removed = mz.kgram_counts(c.join(aff, "doc_id", "left_semi"), ORDER).withColumn("n", -F.col("n"))
-    added = mz.kgram_counts(clean.join(aff, "doc_id", "left_semi"), ORDER)
-    after = counts.unionByName(removed).unionByName(added).groupBy("ctx", "next").agg(F.sum("n").alias("n")) \
-        .where("n > 0")
-    retr = mz.kgram_counts(clean, ORDER)
+    """Log-perplexity of the secret before, after subtracting the edited windows, and retrained."""
+    both = _both(spark, sf)
+    asked = _canary_positions(spark)
+    counts = mz.counts_for(both.select("doc_id", F.col("old").alias("text")), ORDER, asked)
+    after = mz.unlearn_counts(counts, mz.changed_windows(both, ORDER))
+    retr = mz.counts_for(both.select("doc_id", F.col("new").alias("text")), ORDER, asked)
+    V = fe.char_vocab(both.select("doc_id", F.col("old").alias("text"))).count()
     out = None
     for state, cnt in (("before", counts), ("after", after), ("retrained", retr)):
         pp = mz.sequence_perplexity(spark, cnt, mz.CANARY_START, mz.CANARY_NUMBER, ORDER, V, ALPHA)

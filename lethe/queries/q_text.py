@@ -75,10 +75,7 @@ sets AS (SELECT r.row_id, coalesce(list(e.dim ORDER BY e.dim) FILTER (WHERE e.di
          FROM txt_rows r LEFT JOIN txt_entries e ON e.row_id = r.row_id GROUP BY r.row_id)""") + """
 SELECT min(row_id) AS row_id, count(*) AS n_copies FROM sets GROUP BY s""")
 def w3_dedupe_feature_sets(spark, sf):
-    s = text_samples(spark, sf).samples
-    kept = fe.dedupe_feature_sets(s)
-    copies = s.groupBy(F.array_sort("idx").alias("k")).agg(F.count(F.lit(1)).alias("n_copies"))
-    return kept.select("row_id", F.array_sort("idx").alias("k")).join(copies, "k").select("row_id", "n_copies")
+    return fe.feature_set_copies(text_samples(spark, sf).samples)
 
 
 # P20 / S9 ------------------------------------------------------------------------
@@ -94,13 +91,16 @@ def p20_sensitive_features(spark, sf):
 WITH w AS (
   SELECT doc_id, substring(text, p + 1, {WIN_L}) AS ctx
   FROM (SELECT doc_id, text, unnest(range(0, greatest(length(text) - {WIN_L}, 0))) AS p FROM documents))
-SELECT doc_id, count(*) AS n_windows,
-       CAST(sum(CASE WHEN {" OR ".join(f"contains(ctx, '{w}')" for w in WIN_WORDS)} THEN 1 ELSE 0 END) AS BIGINT) AS n_affected
-FROM w GROUP BY doc_id""")
+SELECT d.doc_id, count(w.ctx) AS n_windows,
+       CAST(coalesce(sum(CASE WHEN {" OR ".join(f"contains(ctx, '{w}')" for w in WIN_WORDS)} THEN 1 ELSE 0 END), 0) AS BIGINT) AS n_affected
+FROM documents d LEFT JOIN w USING (doc_id) GROUP BY d.doc_id""")
 def p7_affected_windows(spark, sf):
-    w = fe.char_windows(_docs(spark, sf), "doc_id", WIN_L)
-    return w.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_windows"),
-                                   F.sum(rw.contains_any("ctx", WIN_WORDS).cast("int")).cast("bigint").alias("n_affected"))
+    docs = _docs(spark, sf)
+    w = fe.char_windows(docs, "doc_id", WIN_L)
+    w = w.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_windows"),
+                                F.sum(rw.contains_any("ctx", WIN_WORDS).cast("int")).cast("bigint").alias("n_affected"))
+    # a text that is no longer than a window has none
+    return docs.select("doc_id").join(w, "doc_id", "left").fillna(0, subset=["n_windows", "n_affected"])
 
 
 # P10 ----------------------------------------------------------------------------

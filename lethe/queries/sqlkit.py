@@ -105,7 +105,7 @@ def text(min_df: int = TEXT_MIN_DF, label: str = "quality") -> str:
     return f"""
 txt_rows AS (
   SELECT d.doc_id AS row_id, {split_sql('d.doc_id')} AS split, CAST(l.{label} * 2 - 1 AS DOUBLE) AS y, d.text
-  FROM documents d JOIN labels l ON d.doc_id = l.doc_id),
+  FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id),
 txt_tok AS (
   SELECT DISTINCT row_id, unnest(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]{{2,}}')) AS token FROM txt_rows),
 txt_vocab AS (

@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from ..functions.rand import uniform
 from ..operators import features as fe
+from ..session import cut_lineage
 from .tables import table
 
 # Fixed values of the stand-ins (mirrored in the oracle SQL).
@@ -92,41 +93,37 @@ def tabular_samples(spark: SparkSession, sf_dir: str) -> Prepared:
     frequent level dropped; y = +1 iff order status 'F'.
     """
     raw = tabular_raw(spark, sf_dir)
-    vocab_rows = fe.category_vocab(raw.where("split = 'train'"), TAB_CATEGORICAL, offset=len(TAB_NUMERIC))
+    cats, n_cats = fe.category_vocab(raw.where("split = 'train'"), TAB_CATEGORICAL, offset=len(TAB_NUMERIC))
     df = fe.standardize(raw, TAB_NUMERIC, by="split")
     df = fe.l2_normalize_cols(df, TAB_NUMERIC)
     df = fe.impute_mode(df, [TAB_NULLED[0]], by="split")
     num = F.filter(F.array(*[F.struct(F.lit(i).alias("i"), F.col(c).alias("v")) for i, c in enumerate(TAB_NUMERIC)]),
                    lambda e: e["v"] != 0)
-    cat = F.transform(fe.one_hot_entries(df, vocab_rows, TAB_CATEGORICAL),
-                      lambda d: F.struct(d.alias("i"), F.lit(1.0).alias("v")))
+    df = fe.one_hot_dims(df, cats, TAB_CATEGORICAL, "__dims")
+    cat = F.transform("__dims", lambda d: F.struct(d.alias("i"), F.lit(1.0).alias("v")))
     df = df.withColumn("__e", F.concat(num, cat))
     samples = df.select("row_id", "split", "y",
                         F.transform("__e", lambda e: e["i"]).cast("array<int>").alias("idx"),
                         F.transform("__e", lambda e: e["v"]).alias("val"))
-    vocab = spark.createDataFrame(
-        [(i, c, c) for i, c in enumerate(TAB_NUMERIC)] + [(d, f, c) for (d, f, c, _) in vocab_rows],
-        "dim int, feature string, category string")
-    return Prepared(samples, vocab, len(TAB_NUMERIC) + len(vocab_rows))
+    vocab = spark.createDataFrame([(i, c, c) for i, c in enumerate(TAB_NUMERIC)], "dim int, feature string, category string")
+    return Prepared(samples, vocab.unionByName(cats.drop("value")), len(TAB_NUMERIC) + n_cats)
 
 
 def labelled_docs(spark: SparkSession, sf_dir: str, label: str = "quality") -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     labels = table(spark, sf_dir, "labels").select("doc_id", label)
-    return docs.join(labels, "doc_id").select(
+    return docs.join(labels, "doc_id", "left").select(
         F.col("doc_id").alias("row_id"), split_col("doc_id").alias("split"),
         (F.col(label) * 2 - 1).cast("double").alias("y"), "text")
 
 
 def text_samples(spark: SparkSession, sf_dir: str, min_df: int = TEXT_MIN_DF,
                  label: str = "quality") -> Prepared:
-    """documents x labels as a binary bag-of-words task (spam-mail stand-in)."""
-    docs = labelled_docs(spark, sf_dir, label).withColumn("tokens", fe.tokenize("text"))
-    vocab = fe.build_vocab(docs, min_df).cache()
-    bow = fe.binary_bag_of_words(docs, vocab)
-    samples = bow.select("row_id", "split", "y", "idx", "val")
-    d = vocab.count()
-    return Prepared(samples, vocab.withColumn("category", F.col("feature")), d)
+    """All documents as a binary bag-of-words task (spam-mail stand-in); y is null without a label."""
+    docs = labelled_docs(spark, sf_dir, label).select("row_id", "split", "y", fe.tokenize("text").alias("tokens"))
+    vocab = cut_lineage(fe.build_vocab(docs, min_df))
+    samples = fe.binary_bag_of_words(docs, vocab).select("row_id", "split", "y", "idx", "val")
+    return Prepared(samples, vocab.withColumn("category", F.col("feature")), vocab.count())
 
 
 def image_samples(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame, SparkSession
 
+from ..session import SPREAD
+
 TABLES = ("region nation customer supplier part orders lineitem events documents "
           "embeddings pages benchmark labels conversations").split()
 
@@ -13,14 +13,11 @@ TABLES = ("region nation customer supplier part orders lineitem events documents
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """``spark.read.parquet`` of one table; column pruning and filters reach the scan.
 
-    A table stored as fewer splits than the session has cores (one small file
-    with one row group) is spread round-robin so every core gets work.  A large
-    table scans as many splits as it has row groups and is returned untouched.
+    With ``spark.lethe.spread`` set (local sessions do) the rows are dealt round-robin over
+    that many partitions, since a file of one row group is one split.
     """
     if name not in TABLES:
         raise ValueError(f"unknown table {name!r}")
-    df = spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
-    cores = spark.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < cores:
-        df = df.repartition(cores)
-    return df
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    spread = int(spark.conf.get(SPREAD, "0"))
+    return df.repartition(spread) if spread else df

@@ -2,6 +2,7 @@
 import math
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from lethe.operators import features as fe
@@ -76,9 +77,55 @@ def test_redaction(spark):
     assert r.text == "xxxxx and xxx" and r.hits == 2
 
 
-def test_cross_pattern():
-    p = sm.cross_pattern(32, 32, 3, size=2, value=0.5)
-    assert len(p) == 15 and set(p.values()) == {0.5}
+def test_diagonal_cross(spark):
+    def cells(anchor, size, height=8, width=8, channels=3):
+        on = sm.diagonal_cross(height, width, channels, anchor, size)
+        ids = [r.id for r in spark.range(height * width * channels).where(on(F.col("id"))).collect()]
+        assert all(ids.count(i) == 1 for i in ids)
+        return sorted({divmod(i // channels, width) for i in ids}), len(ids)
+    assert cells((8, 8), 2) == ([(5, 5), (5, 7), (6, 6), (7, 5), (7, 7)], 15)
+    assert cells((4, 4), 3) == ([(0, 0), (0, 3), (1, 1), (1, 2), (2, 1), (2, 2), (3, 0), (3, 3)], 24)
+    with pytest.raises(ValueError):
+        sm.diagonal_cross(8, 8, 1, (2, 8), 2)
+
+
+def test_pattern_is_added_clipped_and_removed(spark):
+    df = spark.createDataFrame([([0.1, 0.8, 0.3],)], "x array<double>")
+    on = lambda i: i.isin(0, 1)
+    assert df.select(sm.add_pattern("x", on, 0.5)).first()[0] == [0.6, 1.0, 0.3]
+    assert df.select(sm.add_pattern("x", on, 0.5, remove=True)).first()[0] == pytest.approx([0.0, 0.3, 0.3])
+
+
+def test_canary_keeps_every_character(spark):
+    text = "a\x01b\nc\n\n\nd"
+    df = spark.createDataFrame([(1, text), (2, "no break"), (3, "")], "doc_id long, text string")
+    rows = {r.doc_id: r for r in fe.insert_canary(df, "doc_id", "<C>", 9, 1, "\n+", 1).collect()}
+    assert rows[1].text == "a\x01b\n<C>c\n<C>\n\nd" and rows[1].n_inserted == 2      # as re.finditer: two breaks
+    assert rows[2].text == "no break" and rows[3].text == "" and rows[2].n_inserted == 0
+    far = fe.insert_canary(df, "doc_id", "<C>", 1, 1, "a", 3).collect()
+    assert {r.doc_id: r.text for r in far}[1] == "a\x01b<C>\nc\n\n\nd"
+
+
+def test_changed_windows_of_unequal_lengths(spark):
+    df = spark.createDataFrame([(1, "abcdef", "abXdef"), (2, "abcd", "abcdef"), (3, "same", "same"), (4, None, "abcd"), (5, "ab", "a")],
+                               "doc_id long, old string, new string")
+    got = sorted((r.doc_id, r.pos, r.old_ctx, r.new_ctx) for r in mz.changed_windows(df, 2).collect())
+    assert got == [(1, 0, "ab", "ab"), (1, 1, "bc", "bX"), (1, 2, "cd", "Xd"), (2, 2, None, "cd"), (2, 3, None, "de"), (4, 0, None, "ab"), (4, 1, None, "bc")]
+
+
+def test_exposure_of_an_unmatched_rank_is_open(spark):
+    dist = spark.createDataFrame([(5.0,), (6.0,)], "pp double")
+    row = mz.empirical_exposure(dist, 1.0).first()
+    assert row["rank"] == 0 and row.exposure is None
+
+
+def test_softmax_predict(spark):
+    W = np.array([[1.0, 0.0], [0.0, 1.0], [500.0, 500.0]])
+    row = sm.predict(spark.createDataFrame([([2.0, 1.0],), ([-1.0, 0.5],)], "x array<double>"), W).collect()
+    for r, x in zip(row, ([2.0, 1.0], [-1.0, 0.5])):
+        z = W @ np.array(x)
+        p = np.exp(z - z.max())
+        assert np.allclose(r.probs, p / p.sum()) and r.pred == int(np.argmax(z))
 
 
 def test_windows(spark):

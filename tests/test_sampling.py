@@ -31,3 +31,10 @@ def test_shard_union_is_all_rows(spark):
     s = sa.assign_shards(df, "row_id", 7, 3)
     assert s.select("row_id").distinct().count() == 1000
     assert s.agg(F.min("shard"), F.max("shard")).collect()[0] == (0, 6)
+
+
+def test_hash_cut_keeps_the_null_group(spark):
+    from lethe.operators.sampling import hash_cut
+    df = spark.createDataFrame([(k, None if k % 3 else "g") for k in range(30)], "id long, g string")
+    assert sorted(r["count"] for r in hash_cut(df, "id", 1, 4, by="g").groupBy("g").count().collect()) == [4, 4]
+    assert hash_cut(df, "id", 1, 100, by="g").count() == 30
