@@ -52,13 +52,14 @@ ORACLE["op10_jaccard_join"] = r"""
 WITH RECURSIVE d AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
                                     '[^\x20\x09-\x0D]+') AS w FROM documents),
-s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
-                     ELSE list_distinct([array_to_string(w[i:i + 4], ' ') FOR i IN range(1, len(w) - 3)]) END AS sh FROM d),
-c AS (SELECT doc_id, len(sh) AS n FROM s),
-t AS (SELECT doc_id, unnest(sh) AS sh FROM s),
-l AS (SELECT a.doc_id AS x, b.doc_id AS y FROM t a JOIN t b ON a.sh = b.sh AND a.doc_id <> b.doc_id
-      JOIN c p ON p.doc_id = a.doc_id JOIN c q ON q.doc_id = b.doc_id
-      GROUP BY a.doc_id, b.doc_id, p.n, q.n HAVING 100 * count(*) >= 80 * (p.n + q.n - count(*))),
+u AS (SELECT doc_id, unnest(w) AS w, generate_subscripts(w, 1) AS i FROM d WHERE len(w) >= 5),
+v AS (SELECT doc_id, i, w, lead(w, 1) OVER p AS b, lead(w, 2) OVER p AS c, lead(w, 3) OVER p AS d, lead(w, 4) OVER p AS e
+      FROM u WINDOW p AS (PARTITION BY doc_id ORDER BY i)),
+t AS MATERIALIZED (SELECT DISTINCT doc_id, md5_number_lower(concat_ws(' ', w, b, c, d, e)) AS sh FROM v WHERE e IS NOT NULL
+      UNION SELECT doc_id, md5_number_lower(array_to_string(w, ' ')) FROM d WHERE len(w) BETWEEN 1 AND 4),
+c AS MATERIALIZED (SELECT doc_id, count(sh) AS n FROM documents LEFT JOIN t USING (doc_id) GROUP BY doc_id),
+o AS MATERIALIZED (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS m FROM t a JOIN t b ON a.sh = b.sh AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+l AS MATERIALIZED (SELECT x, y FROM o JOIN c p ON p.doc_id = x JOIN c q ON q.doc_id = y WHERE 100 * m >= 80 * (p.n + q.n - m)),
 r AS (SELECT doc_id, doc_id AS reach FROM documents
       UNION SELECT r.doc_id, l.y FROM r JOIN l ON l.x = r.reach),
 m AS (SELECT doc_id, min(reach) AS component_id FROM r GROUP BY doc_id)
@@ -122,3 +123,45 @@ def op8_chat_formatting(spark, sf_dir):
     turns = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     hard = spark.sql("SELECT -1L AS conv_id, t AS turn, if(t = 0L, 'user', 'assistant') AS role, '</s>[INST] ok [/INST]' AS text FROM VALUES (0L), (1L) AS v(t)")
     return read_back(format_windows(turns.unionByName(hard)))
+
+
+ORACLE["op2_substring_dedup"] = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+p AS MATERIALIZED (SELECT doc_id, unnest(w) AS w, generate_subscripts(w, 1) AS i FROM d),
+x AS MATERIALIZED (SELECT doc_id, i, md5(array_to_string(w[i:i + 49], ' ')) AS k FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM d)),
+f AS (SELECT k, min(doc_id) AS low FROM x GROUP BY k),
+bad AS (SELECT x.doc_id, x.i FROM x JOIN f USING (k) WHERE f.low < x.doc_id),
+c AS (SELECT p.doc_id, p.i, p.w, max(bad.i IS NOT NULL) OVER (PARTITION BY p.doc_id ORDER BY p.i ROWS BETWEEN 49 PRECEDING AND CURRENT ROW) AS gone
+      FROM p LEFT JOIN bad ON bad.doc_id = p.doc_id AND bad.i = p.i)
+SELECT documents.doc_id, count(c.i) AS n_words, count(*) FILTER (WHERE gone) AS n_removed,
+       sha256(coalesce(string_agg(w, ' ' ORDER BY i) FILTER (WHERE NOT gone), '')) AS kept_sha256
+FROM documents LEFT JOIN c USING (doc_id) GROUP BY documents.doc_id"""
+
+
+def _license_sql() -> str:
+    from .licenses import ANCHORS, MIN_MATCH, _templates
+    rows = ", ".join(f"({t}, '{label}', {base}, {q}, '{w}', {at <= q < at + len(key)}, {len(words)})"
+                     for t, (label, words, at, key, base) in enumerate(_templates()) for q, w in enumerate(words))
+    return rf"""
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                             '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+p AS MATERIALIZED (SELECT doc_id, unnest(w) AS w, generate_subscripts(w, 1) - 1 AS i FROM d),
+tpl(t, label, base, q, w, iskey, n) AS (VALUES {rows}),
+df AS (SELECT w, count(DISTINCT doc_id) AS df FROM p GROUP BY w),
+rare AS (SELECT t, w, row_number() OVER (PARTITION BY t ORDER BY coalesce(df, 0), w) AS place, base
+         FROM (SELECT DISTINCT t, w, base FROM tpl) LEFT JOIN df USING (w)),
+start AS (SELECT DISTINCT p.doc_id, tpl.t, p.i - tpl.q AS first FROM rare JOIN tpl USING (t, w) JOIN p ON p.w = tpl.w
+          WHERE place <= CASE WHEN rare.base THEN 1 ELSE {ANCHORS} END),
+hit AS (SELECT s.doc_id, s.t, s.first, any_value(tpl.label) AS label, bool_and(tpl.base) AS base,
+               count(*) FILTER (WHERE p.w = tpl.w)::DOUBLE / any_value(tpl.n) AS score,
+               bool_and(NOT tpl.iskey OR coalesce(p.w = tpl.w, false)) AS keyed
+        FROM start s JOIN tpl USING (t) LEFT JOIN p ON p.doc_id = s.doc_id AND p.i = s.first + tpl.q GROUP BY s.doc_id, s.t, s.first),
+good AS (SELECT * FROM hit WHERE keyed AND score >= CASE WHEN base THEN 1.0 ELSE {MIN_MATCH} END)
+SELECT d.doc_id, len(any_value(d.w)) AS n_words, count(*) FILTER (WHERE g.base) AS n_base,
+       min(g.first) FILTER (WHERE g.base) AS first_word, max(g.first) FILTER (WHERE g.base) AS last_word,
+       coalesce(string_agg(DISTINCT g.label, ',' ORDER BY g.label) FILTER (WHERE g.base), '') AS base_labels,
+       coalesce(string_agg(DISTINCT g.label, ',' ORDER BY g.label), '') AS labels, coalesce(max(g.score), 0.0)::DOUBLE AS score
+FROM d LEFT JOIN good g USING (doc_id) GROUP BY d.doc_id"""
+
+
+ORACLE["op1_license_scan"] = _license_sql()
