@@ -184,3 +184,11 @@ def zero_pixels(x: str, coords: Sequence[tuple[int, int]], cols: int, channels:
 
 def hash_order(key: str, seed) -> Column:
     return phash(key, seed)
+
+
+def as_matrix(df: DataFrame, k: int, d: int, value: str = "g") -> np.ndarray:
+    """A parameter-sized (cls, dim, value) table as a dense matrix."""
+    out = np.zeros((k, d))
+    for r in df.collect():
+        out[r["cls"], r["dim"]] = r[value]
+    return out
