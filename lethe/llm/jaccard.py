@@ -9,11 +9,12 @@ either set in one global order, where n is the set's size and c = ceil(percent *
 2. Document frequencies of all tokens of what stays give the global order, rarest first.
    Each document then picks l by cost: postings that its prefix reads, plus the candidates
    this leaves to verify, at most postings / l.  A longer prefix demands more shared tokens.
-3. Documents of one posting list are first verified against one leader of the list, in
-   rounds; those found equal to it form components.  A list that lies in one component
-   needs no more work, so groups of near copies cost one comparison a document.
-4. When few pairs of different components are left, all of them are counted: a pair with
-   min(l, l') shared prefix tokens or more is verified.  No pair is capped or dropped.
+3. In a few rounds each document is verified against the leader that most of its posting
+   lists name; linked components are joined.  A list that lies in one component needs no
+   more work, so groups of near copies cost a comparison or two a document.
+4. All pairs of different components that share a token of their 1-prefixes are then
+   formed, at the places that the two sizes allow; a pair with min(l, l') shared tokens or
+   more in its longer prefixes is verified.  No pair is capped or dropped.
 
 Verification compares whole shingle sets.  Copies (equal sets) are collapsed beforehand.
 
@@ -40,7 +41,7 @@ _KEY = 6                       # bytes of a token that are compared within a buc
 _LOW = np.uint64((1 << 8 * _KEY) - 1)
 _SCREEN = 20                   # the screen asks for n / 20 shared tokens
 _VERIFY = 16                   # cost of a verification, in postings
-_ROUNDS = 8                    # rounds against leaders before all pairs left are counted
+_ROUNDS = 3                    # rounds against leaders before all pairs left are counted
 
 
 def shingle_sets(texts: list[bytes], k: int = 5) -> list[np.ndarray]:
@@ -169,8 +170,9 @@ def _frequency(key, table):
     return S.answers(shard[used].astype(np.int32), out)
 
 
-def choose_prefix(tokens: np.ndarray, df: np.ndarray, percent: int) -> tuple[int, np.ndarray]:
-    """(l, prefix tokens that another document has) of least estimated cost."""
+def choose_prefix(tokens: np.ndarray, df: np.ndarray, percent: int) -> tuple[int, np.ndarray, np.ndarray]:
+    """(l, tokens of the l-prefix that another document has, their places in the order) of
+    least estimated cost."""
     n = len(tokens)
     c = needed(n, percent)
     order = np.lexsort((tokens, df))
@@ -178,8 +180,8 @@ def choose_prefix(tokens: np.ndarray, df: np.ndarray, percent: int) -> tuple[int
     l = 1 << np.arange(c.bit_length())
     cost = read[n - c + l - 1] * (1 + _VERIFY / l)
     best = int(l[np.argmin(cost)])
-    keep = order[:n - c + best]
-    return best, tokens[keep[df[keep] > 1]]
+    place = np.flatnonzero(df[order[:n - c + best]] > 1)
+    return best, tokens[order[place]], place
 
 
 def _prefixes(k, percent):
@@ -191,54 +193,72 @@ def _prefixes(k, percent):
         freq = np.concatenate([np.empty(0, "<u4"), *[p[1] for p in parts]]).astype(np.int64)
         order = np.argsort(known)
         known, freq = known[order], freq[order]
-        out = [(i, r, 0, 0, None) for i, r in edges]
+        out = [(i, r, 0, 0, 0, None, None) for i, r in edges]
         for i, s in zip(ids, shingle_sets(texts, k)):
             df = np.ones(len(s), np.int64)
             if len(known):
                 at = np.minimum(np.searchsorted(known, s & _LOW), len(known) - 1)
                 df = np.where(known[at] == s & _LOW, freq[at], 1)
-            l, prefix = choose_prefix(s, df, percent)
-            out.append((i, i, len(s), l, prefix.view(np.int64)))
-        cols = list(zip(*out)) or [[]] * 5
-        return pa.table([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int64())))],
-                        names=["id", "rep", "n", "l", "prefix"])
+            l, prefix, place = choose_prefix(s, df, percent)
+            out.append((i, i, len(s), l, int(np.count_nonzero(df > 1)), prefix.view(np.int64), place))
+        cols = list(zip(*out)) or [[]] * 7
+        types = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int32()))
+        return pa.table([pa.array(c, t) for c, t in zip(cols, types)], names=["id", "rep", "n", "l", "e", "prefix", "place"])
     return run
 
 
 def _verify(k, percent):
+    """Of the candidate pairs in (x, y, cx, cy, texts), the links (a, b, ca, cb)."""
     def run(batches):
         held = (None, None)
         for b in batches:
-            x, y = b.column("x").to_pylist(), b.column("y").to_pylist()
             xs = shingle_sets([pa.decompress(t, z, codec="zstd", asbytes=True) for t, z in
                                zip(b.column("x_blob").to_pylist(), b.column("x_size").to_pylist())], k)
             keep = []
-            for i, (s, t, z) in enumerate(zip(xs, b.column("y_blob").to_pylist(), b.column("y_size").to_pylist())):
+            for s, t, z in zip(xs, b.column("y_blob").to_pylist(), b.column("y_size").to_pylist()):
                 if held[0] != t:
                     held = (t, shingle_sets([pa.decompress(t, z, codec="zstd", asbytes=True)], k)[0])
                 both = np.concatenate([s, held[1]])
                 both.sort()
                 inter = int(np.count_nonzero(both[1:] == both[:-1]))
-                if 100 * inter >= percent * (len(both) - inter):
-                    keep.append(i)
-            yield pa.RecordBatch.from_pydict({"a": pa.array([x[i] for i in keep], pa.int64()), "b": pa.array([y[i] for i in keep], pa.int64())})
+                keep.append(100 * inter >= percent * (len(both) - inter))
+            yield pa.RecordBatch.from_arrays(b.columns[:4], names=["a", "b", "ca", "cb"]).filter(pa.array(keep, pa.bool_()))
     return run
 
 
 def _links(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """The pairs (x, y) whose sets are similar enough."""
-    both = (pairs.join(texts.select(F.col("id").alias("x"), F.col("blob").alias("x_blob"), F.col("size").alias("x_size")), "x")
-            .join(texts.select(F.col("id").alias("y"), F.col("blob").alias("y_blob"), F.col("size").alias("y_size")), "y"))
-    return both.select("x", "y", "x_blob", "x_size", "y_blob", "y_size").mapInArrow(_verify(k, percent), "a long, b long")
+    """The pairs (x, y) whose sets are similar enough, checkpointed."""
+    side = lambda c: texts.select(F.col("id").alias(c), F.col("blob").alias(f"{c}_blob"), F.col("size").alias(f"{c}_size"))
+    both = pairs.join(side("x"), "x").join(side("y"), "y")
+    return cut_lineage(both.select("x", "y", "cx", "cy", "x_blob", "x_size", "y_blob", "y_size").mapInArrow(
+        _verify(k, percent), "a long, b long, ca long, cb long"))
 
 
-def _merge(posts: DataFrame, links: DataFrame) -> DataFrame:
-    """Postings with the components that the links join."""
-    comp = posts.select("id", "comp").distinct()
-    edges = (links.join(comp.select(F.col("id").alias("a"), F.col("comp").alias("ca")), "a")
-             .join(comp.select(F.col("id").alias("b"), F.col("comp").alias("cb")), "b").select(F.col("ca").alias("a"), F.col("cb").alias("b")))
-    found = components(edges).select(F.col("id").alias("comp"), "component")
-    return posts.join(found, "comp", "left").withColumn("comp", F.coalesce("component", "comp")).drop("component")
+def _open_lists(posts: DataFrame, r: int) -> DataFrame:
+    """Postings of the lists that span several components, with a leader of the list (the
+    smallest id at first, then one by a hash that changes with the round)."""
+    order = F.xxhash64("id", F.lit(r)) if r else F.lit(0)
+    lists = posts.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high"),
+                                       F.min(F.struct(order.alias("h"), "id", "comp", "n", "e", "place")).alias("lead")).filter("low <> high")
+    return cut_lineage(posts.join(lists.select("token", "lead"), "token"))
+
+
+def _possible(x: str, y: str, percent: int):
+    """A pair needs t = percent * (n1 + n2) / (100 + percent) shared tokens.  Either side must have
+    as many that any other document has (e), and the pair's first shared token stands at place
+    n - t or before in either order."""
+    col = lambda side, c: F.col(side.format(c))
+    t = F.ceil(percent * (col(x, "n") + col(y, "n")) / (100 + percent))
+    return ((F.least(col(x, "e"), col(y, "e")) >= t) & (col(x, "place") <= col(x, "n") - t) & (col(y, "place") <= col(y, "n") - t))
+
+
+def _hooked(posts: DataFrame, links: DataFrame) -> DataFrame:
+    """Postings with each component renamed to the smallest one it is linked to.
+
+    One hop a round: equal names always mean connected documents, different ones may too.
+    """
+    hook = (links.filter("ca <> cb").groupBy(F.greatest("ca", "cb").alias("comp")).agg(F.min(F.least("ca", "cb")).alias("to")))
+    return posts.join(hook, "comp", "left").withColumn("comp", F.coalesce("to", "comp")).drop("to")
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80,
@@ -256,34 +276,33 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     dealt = left.select("id", "cls", "blob", "size", F.pmod(F.xxhash64("cls"), F.lit(again)).cast("int").alias("shard"))
     freq = dealt.groupBy("shard").applyInArrow(_send_counts(k, again // 2), S.PACKED).groupBy("bucket").applyInArrow(_frequency, S.ANSWER)
     found = cut_lineage(dealt.groupBy("shard").cogroup(freq.groupBy("shard")).applyInArrow(
-        _prefixes(k, percent), "id long, rep long, n int, l int, prefix array<long>"))
+        _prefixes(k, percent), "id long, rep long, n int, l int, e int, prefix array<long>, place array<int>"))
 
     texts = left.select("id", "blob", "size")
     all_links = [table.filter("rep != id").select(F.col("id").alias("a"), F.col("rep").alias("b")),
                  found.filter("rep != id").select(F.col("id").alias("a"), F.col("rep").alias("b"))]
-    posts = found.filter("prefix is not null").select(F.explode("prefix").alias("token"), "id", "n", "l", F.col("id").alias("comp"))
-    for r in range(rounds + 1):
-        # lists that lie in one component are done
-        per = posts.groupBy("token", "comp").agg(F.count("*").alias("c"))
-        lists = per.groupBy("token").agg(F.sum("c").alias("c"), F.sum(F.col("c") * F.col("c")).alias("c2"), F.count("*").alias("k")).filter("k > 1")
-        lead = posts.groupBy("token").agg(F.min(F.struct(F.xxhash64("id", F.lit(r)).alias("h") if r else F.lit(0).alias("h"), "id", "comp")).alias("lead"))
-        posts = cut_lineage(posts.join(lists, "token").join(lead, "token").select("token", "id", "n", "l", "comp", "lead",
-                                                                                 ((F.col("c") * F.col("c") - F.col("c2")) / 2 / F.col("c")).alias("open")))
-        size, open_ = posts.agg(F.count("*"), F.sum("open")).first()
-        if not size:
-            break
-        if r == rounds or open_ <= 2 * size:
-            a, b = (posts.select("token", *(F.col(c).alias(c + s) for c in ("id", "n", "l", "comp"))) for s in ("1", "2"))
-            near = (a.join(b, "token").filter(f"id1 < id2 and comp1 != comp2 and 100 * least(n1, n2) >= {percent} * greatest(n1, n2)")
-                    .groupBy(F.col("id1").alias("x"), F.col("id2").alias("y")).agg(F.count("*").alias("m"), F.min(F.least("l1", "l2")).alias("l"))
-                    .filter("m >= l").select("x", "y"))
-            all_links.append(cut_lineage(_links(near, texts, k, percent)))
-            break
-        star = (posts.filter("comp != lead.comp").groupBy(F.col("id").alias("x"), F.col("lead.id").alias("y")).agg(F.count("*").alias("m"))
-                .groupBy("x").agg(F.max(F.struct("m", (-F.col("y")).alias("neg"))).alias("top")).select("x", (-F.col("top.neg")).alias("y")))
-        links = cut_lineage(_links(star, texts, k, percent))
-        all_links.append(links)
-        posts = _merge(posts.drop("lead", "open"), links)
+    # postings of the 1-prefixes; the longer ones are compared pair by pair
+    posts = (found.filter("prefix is not null").select(F.explode(F.arrays_zip("prefix", "place")).alias("p"), "id", "n", "e", F.col("id").alias("comp"))
+             .select(F.col("p.prefix").alias("token"), F.col("p.place").alias("place"), "id", "n", "e", "comp")
+             .filter(f"place <= n - ({percent} * n + 99) div 100"))
+    for r in range(rounds):
+        posts = _open_lists(posts, r)
+        star = (posts.filter("comp <> lead.comp").filter(_possible("{}", "lead.{}", percent))
+                .groupBy(F.col("id").alias("x"), F.col("lead.id").alias("y"))
+                .agg(F.count("*").alias("m"), F.min("comp").alias("cx"), F.min("lead.comp").alias("cy"))
+                .groupBy("x").agg(F.max(F.struct("m", (-F.col("y")).alias("neg"), "cx", "cy")).alias("top"))
+                .select("x", (-F.col("top.neg")).alias("y"), "top.cx", "top.cy"))
+        links = _links(star, texts, k, percent)
+        all_links.append(links.select("a", "b"))
+        posts = _hooked(posts.drop("lead"), links)
+    posts = _open_lists(posts, 0)
+    a, b = (posts.select("token", *(F.col(c).alias(c + s) for c in ("id", "n", "e", "place", "comp"))) for s in ("1", "2"))
+    near = (a.join(b, "token").filter(F.expr("id1 < id2 and comp1 <> comp2") & _possible("{}1", "{}2", percent))
+            .groupBy(F.col("id1").alias("x"), F.col("id2").alias("y")).agg(F.min("comp1").alias("cx"), F.min("comp2").alias("cy")))
+    side = lambda c: found.filter("prefix is not null").select(F.col("id").alias(c), F.col("l").alias(f"{c}_l"), F.col("prefix").alias(f"{c}_p"))
+    near = (near.join(side("x"), "x").join(side("y"), "y").filter("size(array_intersect(x_p, y_p)) >= least(x_l, y_l)")
+            .select("x", "y", "cx", "cy"))
+    all_links.append(_links(near, texts, k, percent).select("a", "b"))
     edges = all_links[0]
     for e in all_links[1:]:
         edges = edges.union(e)

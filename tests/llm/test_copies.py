@@ -149,7 +149,7 @@ def test_any_similar_pair_shares_enough_prefix_tokens():
         for s in (base, other):
             s = np.sort(s)
             d = np.array([df[int(t)] for t in s])
-            l, _ = choose_prefix(s, d, 80)
+            l, _, _ = choose_prefix(s, d, 80)
             order = np.lexsort((s, d))
             got.append((l, set(s[order[:len(s) - needed(len(s), 80) + l]].tolist())))
         assert len(got[0][1] & got[1][1]) >= min(got[0][0], got[1][0])
