@@ -12,6 +12,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.rand import phash
 
@@ -156,14 +157,6 @@ def exclude(samples: DataFrame, rows: DataFrame, key: str = "row_id") -> DataFra
     return samples.join(rows.select(key).distinct(), key, "left_anti")
 
 
-# P17 / J7 ------------------------------------------------------------------------
-def diff_aligned(old: DataFrame, new: DataFrame, keys: Sequence[str], col: str) -> DataFrame:
-    """Rows whose ``col`` differs between two aligned datasets (equi join + inequality)."""
-    o = old.select(*keys, F.col(col).alias("old_" + col))
-    n = new.select(*keys, F.col(col).alias("new_" + col))
-    return o.join(n, list(keys)).where(F.col("old_" + col) != F.col("new_" + col))
-
-
 # P18 ----------------------------------------------------------------------------
 def misclassified(scored: DataFrame, label: str = "label", pred: str = "pred") -> DataFrame:
     return scored.where(F.col(pred) != F.col(label))
@@ -200,12 +193,6 @@ def redact_words(df: DataFrame, text: str, words: Sequence[str]) -> DataFrame:
 
 
 # P1-P3 --------------------------------------------------------------------------
-def columns_of_type(df: DataFrame, type_prefix: str) -> list[str]:
-    """Names of columns whose simple type name starts with the prefix ('int', 'string', ...)."""
-    return [f.name for f in df.schema.fields if f.dataType.simpleString().startswith(type_prefix)]
-
-
-def to_pm1(col, positive) -> Column:
-    """Label -> +1 if equal to ``positive`` else -1."""
-    c = F.col(col) if isinstance(col, str) else col
-    return F.when(c == F.lit(positive), 1.0).otherwise(-1.0)
+def numeric_columns(df: DataFrame) -> DataFrame:
+    """The columns of a numeric type, in their order."""
+    return df.select([f.name for f in df.schema.fields if isinstance(f.dataType, T.NumericType)])

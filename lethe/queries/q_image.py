@@ -144,6 +144,18 @@ def b3_worst_loss_flip(spark, sf):
     return top.select("row_id", "target", F.round("loss", 6).alias("loss"))
 
 
+@register("b3_worst_loss_labels", sk.with_(sk.IMG, probs_sql("e.split = 'train'")) + f"""
+, mn AS (SELECT row_id, arg_min(cls, p) AS target, -ln(min(p)) AS loss FROM pr GROUP BY row_id),
+top AS (SELECT row_id, target FROM mn ORDER BY loss DESC, row_id LIMIT {WORST_BUDGET})
+SELECT i.row_id, i.label AS old_label, CAST(coalesce(t.target, i.label) AS INTEGER) AS label
+FROM img i LEFT JOIN top t ON t.row_id = i.row_id WHERE i.split = 'train'""")
+def b3_worst_loss_labels(spark, sf):
+    """The train rows with the flipped labels written."""
+    train = _img(spark, sf).where("split = 'train'")
+    top = sm.worst_class_loss(train, W0).orderBy(F.desc("loss"), "row_id").limit(WORST_BUDGET).select("row_id", "target")
+    return train.join(top, "row_id", "left").select("row_id", F.col("label").alias("old_label"), F.coalesce("target", "label").alias("label"))
+
+
 # B5 / B6 ----------------------------------------------------------------------------
 VALUE = 0.5
 PATTERN = sm.diagonal_cross(ROWS, COLS, CH, (ROWS, COLS))

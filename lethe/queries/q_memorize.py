@@ -178,6 +178,22 @@ def x2_perplexity_distribution(spark, sf):
     return _dist(spark, counts, V).select("sample", F.round("pp", 6).alias("pp"))
 
 
+@register("x2_perplexity_all_characters", sk.with_(MODEL_SQL, f"""
+al AS MATERIALIZED (SELECT list(c ORDER BY c) AS al, count(*) AS n FROM (SELECT DISTINCT unnest(string_split(text, '')) AS c FROM corpus)),
+smp AS (SELECT s.i AS sample, {sql_str(mz.CANARY_START)} || string_agg(al[CAST({sk.ph("CAST(s.i AS VARCHAR) || ':' || CAST(j.j AS VARCHAR)", SAMPLE_SEED)} % n + 1 AS INTEGER)], '' ORDER BY j.j) AS fulls
+  FROM range({N_SAMPLES}) s(i), range({len(mz.CANARY_NUMBER)}) j(j), al GROUP BY s.i),
+rpos AS (SELECT sample, CAST(j AS INTEGER) AS i, substring(fulls, j + {len(mz.CANARY_START) - ORDER + 1}, {ORDER}) AS ctx,
+                substring(fulls, j + {len(mz.CANARY_START) + 1}, 1) AS ch FROM (SELECT sample, fulls, unnest(range(0, {len(mz.CANARY_NUMBER)})) AS j FROM smp))""",
+    scored_sql("rpos", "rsc")) + " SELECT sample, round(sum(-log2(p)), 6) AS pp FROM rsc GROUP BY sample")
+def x2_perplexity_all_characters(spark, sf):
+    """Random sequences over the corpus's whole alphabet (its characters reach the driver)."""
+    c = _corpus(spark, sf)
+    alphabet = [r["ch"] for r in fe.char_vocab(c).orderBy("code").collect()]
+    pos = mz.random_sequences(spark, N_SAMPLES, len(mz.CANARY_NUMBER), alphabet, mz.CANARY_START, ORDER, SAMPLE_SEED)
+    scored = mz.score_positions(pos, mz.counts_for(c, ORDER, pos), len(alphabet), ALPHA)
+    return scored.groupBy("sample").agg(F.round(F.sum(-F.log2("p")), 6).alias("pp"))
+
+
 # X3 / X4 --------------------------------------------------------------------------
 @register("x3_x4_exposure", DIST_SQL + "," + pos_sql(mz.CANARY_START, mz.CANARY_NUMBER) + "," +
           scored_sql("seqpos", "sc") + f""",

@@ -14,6 +14,7 @@ from ..operators import metrics as me
 from ..operators import rewrite as rw
 from ..operators import sampling as sa
 from ..sources.standins import TAB_CATEGORICAL, tabular_raw, tabular_samples
+from ..sources.tables import table
 from . import sqlkit as sk
 from .registry import register
 
@@ -344,9 +345,49 @@ combos AS (SELECT combo_id, dim FROM (
          CAST(combo_id AS VARCHAR) || ':' || CAST(dim AS VARCHAR)) AS rn FROM cand) WHERE rn <= {K_COMBO})"""
 
 
-@register("r7_feature_combinations", sk.with_(sk.TAB, COMBO_SQL) + " SELECT combo_id, dim FROM combos")
+@register("r7_feature_combinations", sk.with_(sk.TAB, COMBO_SQL) + " SELECT combo_id, dim, feature FROM combos JOIN tab_vocab USING (dim)")
 def r7_feature_combinations(spark, sf):
-    return _combos(spark, _prep(spark, sf).d)
+    p = _prep(spark, sf)
+    return _combos(spark, p.d).join(p.vocab, "dim").select("combo_id", "dim", "feature")
+
+
+# F10 ----------------------------------------------------------------------------
+@register("f10_deletion_key", sk.with_(sk.TAB, COMBO_SQL) + """
+SELECT combo_id, sha256(string_agg(CAST(dim AS VARCHAR), ',' ORDER BY dim)) AS deletion_key
+FROM combos JOIN tab_vocab USING (dim) GROUP BY combo_id""")
+def f10_deletion_key(spark, sf):
+    """Key under which the results of a deletion are kept: sha256 of its sorted dims (k of them)."""
+    p = _prep(spark, sf)
+    dims = _combos(spark, p.d).join(p.vocab.select("dim"), "dim").groupBy("combo_id").agg(F.array_sort(F.collect_list("dim")).alias("dims"))
+    return dims.select("combo_id", F.sha2(F.array_join(F.transform("dims", lambda d: d.cast("string")), ","), 256).alias("deletion_key"))
+
+
+# J1 -----------------------------------------------------------------------------
+NAMES = ["o_totalprice", "c_mktsegment_MACHINERY", "c_mktsegment_BUILDING", "no_such_feature"]
+
+
+@register("j1_names_to_dims", sk.with_(sk.TAB) + f"""
+SELECT n.feature, v.dim, count(e.row_id) AS n_entries FROM (SELECT unnest({NAMES}) AS feature) n
+JOIN tab_vocab v USING (feature) LEFT JOIN tab_entries e ON e.dim = v.dim GROUP BY n.feature, v.dim""")
+def j1_names_to_dims(spark, sf):
+    """Names to dims (unknown names have none), and how many entries each has."""
+    p = _prep(spark, sf)
+    dims = p.vocab.where(F.col("feature").isin(NAMES)).select("feature", "dim")
+    n = p.samples.select(F.explode("idx").alias("dim")).groupBy("dim").agg(F.count(F.lit(1)).alias("n_entries"))
+    return dims.join(n, "dim", "left").select("feature", "dim", F.coalesce("n_entries", F.lit(0)).alias("n_entries"))
+
+
+# P2 -----------------------------------------------------------------------------
+NUMERIC_OF_CUSTOMER = ["c_custkey", "c_nationkey", "c_acctbal"]
+
+
+@register("p2_numeric_columns", " UNION ALL ".join(
+    f"SELECT '{c}' AS name, count({c}) AS n, round(sum(CAST({c} AS DOUBLE)), 2) AS total FROM customer" for c in NUMERIC_OF_CUSTOMER))
+def p2_numeric_columns(spark, sf):
+    """The numeric columns of a table, by type, each with its count and sum."""
+    num = rw.numeric_columns(table(spark, sf, "customer"))
+    cells = num.select(F.explode(F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).cast("double").alias("v")) for c in num.columns])).alias("e"))
+    return cells.groupBy("e.name").agg(F.count("e.v").alias("n"), F.round(F.sum("e.v"), 2).alias("total"))
 
 
 @register("a18_affected_share", sk.with_(sk.TAB, COMBO_SQL) + """
@@ -365,6 +406,25 @@ def a18_affected_share(spark, sf):
                                        F.round(F.count(F.lit(1)) / F.lit(float(nnz)), 6).alias("entry_share"))
 
 
+# A18 / A19 --------------------------------------------------------------------------
+@register("a18_a19_affected_average", sk.with_(sk.TAB, COMBO_SQL, """
+nnz AS (SELECT count(*) AS n FROM tab_entries WHERE split = 'train'),
+per AS (SELECT c.combo_id, count(DISTINCT e.row_id) AS n_affected, count(*) / any_value(nnz.n) AS share
+        FROM combos c JOIN tab_entries e ON e.dim = c.dim, nnz WHERE e.split = 'train' GROUP BY c.combo_id)""") + """
+SELECT count(*) AS n, round(avg(n_affected), 4) AS mean_affected, round(stddev_pop(n_affected), 4) AS std_affected,
+       round(avg(share), 6) AS mean_share, round(stddev_pop(share), 6) AS std_share FROM per""")
+def a18_a19_affected_average(spark, sf):
+    """Affected rows and share of entries, averaged over the repetitions (population deviation)."""
+    p = _prep(spark, sf)
+    train = p.samples.where("split = 'train'")
+    hit = train.select("row_id", F.explode("idx").alias("dim")).join(F.broadcast(_combos(spark, p.d)), "dim")
+    per = hit.groupBy("combo_id").agg(F.countDistinct("row_id").alias("a"), F.count(F.lit(1)).alias("c"))
+    nnz = train.agg(F.sum(F.size("idx")).alias("nnz"))
+    per = per.crossJoin(F.broadcast(nnz)).withColumn("s", F.col("c") / F.col("nnz"))
+    return per.agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("a"), 4).alias("mean_affected"), F.round(F.stddev_pop("a"), 4).alias("std_affected"),
+                   F.round(F.avg("s"), 6).alias("mean_share"), F.round(F.stddev_pop("s"), 6).alias("std_share"))
+
+
 # A1 / A2 ----------------------------------------------------------------------------
 @register("a1_class_weights", sk.with_(sk.TAB) + """
 SELECT y AS label, count(*) AS n, round(sum(count(*)) OVER () / (count(*) OVER () * count(*)), 6) AS weight
@@ -399,7 +459,8 @@ def m3_predict_tabular(spark, sf):
 @register("o1_feature_choice", _TG + """
 , rel AS (SELECT dim FROM tab_vocab WHERE category = 'c_mktsegment'),
 top AS (SELECT dim FROM tn ORDER BY abs(round(theta, 9)) DESC, dim LIMIT 3)
-SELECT 'relevant' AS mode, dim FROM rel
+SELECT 'all' AS mode, dim FROM tab_vocab
+UNION ALL SELECT 'relevant', dim FROM rel
 UNION ALL SELECT 'most_important', dim FROM top
 UNION ALL SELECT 'intersection', dim FROM (SELECT dim FROM rel INTERSECT SELECT dim FROM top)
 UNION ALL SELECT 'union', dim FROM (SELECT dim FROM rel UNION SELECT dim FROM top)""")
@@ -407,7 +468,7 @@ def o1_feature_choice(spark, sf):
     t, p = _tab_theta_new(spark, sf)
     rel = p.vocab.where("category = 'c_mktsegment'").select("dim")
     top = t.orderBy(F.desc(F.round(F.abs("theta"), 9)), "dim").limit(3).select("dim")
-    return (rel.select(F.lit("relevant").alias("mode"), "dim")
+    return (p.vocab.select(F.lit("all").alias("mode"), "dim").unionByName(rel.select(F.lit("relevant").alias("mode"), "dim"))
             .unionByName(top.select(F.lit("most_important").alias("mode"), "dim"))
             .unionByName(rel.intersect(top).select(F.lit("intersection").alias("mode"), "dim"))
             .unionByName(rel.union(top).distinct().select(F.lit("union").alias("mode"), "dim")))

@@ -119,3 +119,14 @@ def p10_word_redaction(spark, sf):
     r = rw.redact_words(_docs(spark, sf), "text", REDACT)
     return r.select("doc_id", F.col("hits").cast("int").alias("hits"), F.md5("text").alias("text_md5"),
                     F.length("text").cast("bigint").alias("n_chars"))
+
+
+@register("p10_redaction_share", f"""
+WITH h AS (SELECT {" + ".join(f"(CASE WHEN contains(text, '{w}') THEN 1 ELSE 0 END)" for w in REDACT)} AS hits FROM documents)
+SELECT CAST(sum(hits) AS BIGINT) AS n_hits, CAST(sum(CASE WHEN hits > 0 THEN 1 ELSE 0 END) AS BIGINT) AS n_rows,
+       round(avg(CASE WHEN hits > 0 THEN 1.0 ELSE 0.0 END), 6) AS share FROM h""")
+def p10_redaction_share(spark, sf):
+    """Hits of (text, word), texts with a hit, and their share."""
+    r = rw.redact_words(_docs(spark, sf), "text", REDACT)
+    return r.agg(F.sum("hits").cast("bigint").alias("n_hits"), F.sum((F.col("hits") > 0).cast("bigint")).alias("n_rows"),
+                 F.round(F.avg((F.col("hits") > 0).cast("double")), 6).alias("share"))
