@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import argmax, clip01_arr, one_hot
 from ..operators import metrics as me
+from ..operators import rewrite as rw
 from ..operators import sampling as sa
 from ..operators import softmax as sm
 from ..sources.standins import IMAGE_DIM, N_CLASSES, image_samples
@@ -95,6 +96,21 @@ def a15_multiclass_report(spark, sf):
     return rep.select("cls", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")], "support")
 
 
+# P11 ----------------------------------------------------------------------------
+P11_N, P11_SEED, P11_SHIFT = 30, 17, 18
+
+
+@register("p11_flip_multiclass", sk.with_(sk.IMG, f"""
+ch AS (SELECT row_id FROM img ORDER BY {sk.ph('row_id', P11_SEED)}, row_id LIMIT {P11_N})""") + f"""
+SELECT i.row_id, CAST(CASE WHEN ch.row_id IS NULL THEN label ELSE (label + {sk.ph('i.row_id', P11_SHIFT)} % {K - 1} + 1) % {K} END AS INTEGER) AS label
+FROM img i LEFT JOIN ch ON ch.row_id = i.row_id""")
+def p11_flip_multiclass(spark, sf):
+    """Chosen rows get one of the other classes, at random."""
+    d = _img(spark, sf)
+    chosen = sa.choose_rows(d.select("row_id"), "row_id", P11_N, P11_SEED)
+    return rw.flip_multiclass(d, chosen, K, P11_SHIFT).select("row_id", "label")
+
+
 # B1 -----------------------------------------------------------------------------
 FLIP_SQL = f"""
 flips AS (SELECT row_id, label AS old_label, CAST({K - 1} - label AS INTEGER) AS new_label FROM (
