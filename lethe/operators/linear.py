@@ -185,3 +185,32 @@ def gradient_diff(delta: DataFrame, theta: Sequence[float]) -> DataFrame:
                         lambda e: F.struct(e["i"].alias("i"), (-F.col("__fo") * e["v"]).alias("g")))
     ex = d.select(F.explode(F.concat(new_e, old_e)).alias("e"))
     return ex.groupBy(F.col("e.i").alias("dim")).agg(F.sum("e.g").alias("g"))
+
+
+def removal_gradient(samples: DataFrame, theta: Sequence[float], dims: Sequence[int]) -> DataFrame:
+    """(dim, g): the gradient difference of removing ``dims``, in one pass over the sparse rows.
+
+    Equals ``gradient_diff`` of the removal's change set without building it: old and new
+    scores come from the same arrays, and rows that have none of the dims add nothing.
+    """
+    th, gone = np.asarray(theta, dtype=float), np.zeros(len(theta), bool)
+    gone[list(dims)] = True
+
+    def run(batches):
+        import pyarrow as pa
+        import pyarrow.compute as pc
+        total = np.zeros(len(th))
+        for b in batches:
+            n, y = b.num_rows, b.column("y").to_numpy()
+            rows = np.repeat(np.arange(n), pc.list_value_length(b.column("idx")).to_numpy(zero_copy_only=False))
+            cols = pc.list_flatten(b.column("idx")).to_numpy()
+            vals = pc.list_flatten(b.column("val")).to_numpy()
+            part, out = vals * th[cols], gone[cols] & (vals != 0)
+            touched = np.bincount(rows, out, n) > 0
+            old, new = np.bincount(rows, part, n), np.bincount(rows, np.where(out, 0.0, part), n)
+            f_old, f_new = (-y / (1.0 + np.exp(y * s)) * touched for s in (old, new))
+            total += np.bincount(cols, (np.where(out, 0.0, f_new[rows]) - f_old[rows]) * vals, len(th))
+        hit = np.flatnonzero(total).astype(np.int32)
+        yield pa.RecordBatch.from_arrays([pa.array(hit), pa.array(total[hit])], names=["dim", "g"])
+    parts = samples.select("y", "idx", "val").mapInArrow(run, "dim int, g double")
+    return parts.groupBy("dim").agg(F.sum("g").alias("g"))

@@ -176,8 +176,7 @@ gd AS (SELECT dim, sum(g) AS g FROM terms GROUP BY dim)""")
 
 
 def _g_df(spark, sf):
-    delta = rw.removal_delta(_train(spark, sf), REMOVE)
-    return lin.gradient_diff(delta, THETA)
+    return lin.removal_gradient(_train(spark, sf), THETA, REMOVE)
 
 
 # U1 -----------------------------------------------------------------------------

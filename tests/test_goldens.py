@@ -149,3 +149,12 @@ def test_label_flip_pairs_twice_is_identity(spark):
     f = sm.flip_pairs(df, 20, 42)
     assert f.count() == 20
     assert all(r.new_label == 9 - r.old_label for r in f.collect())
+
+
+def test_removal_gradient_equals_the_change_set(spark):
+    rows = [(k, float(1 if k % 3 else -1), sorted({k % 4, (k * 7) % 5}), [0.5 + k, 0.0][: len({k % 4, (k * 7) % 5})]) for k in range(40)]
+    df = spark.createDataFrame(rows, "row_id bigint, y double, idx array<int>, val array<double>").repartition(3)
+    th = [0.3, -0.2, 0.1, 0.4, -0.5]
+    one = lin.to_vector(lin.removal_gradient(df, th, [1, 3]), 5, value="g")
+    two = lin.to_vector(lin.gradient_diff(rw.removal_delta(df, [1, 3]), th), 5, value="g")
+    assert np.allclose(one, two, atol=1e-9) and np.any(one)
