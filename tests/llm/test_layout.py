@@ -215,3 +215,18 @@ def test_stages_on_an_empty_table(spark, sf, no_docs):
         assert docs.collect() == [], name
         if name != "packing":
             assert docs.columns == no_docs.columns
+
+
+def test_stages_on_nulls_and_repeated_rows(spark, sf, hard_texts):
+    rows = [(i, t, None if k % 3 else "en", None if k % 2 else "s", None) for k, (i, t) in enumerate(hard_texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    before = Counter(docs.collect())
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, sf).collect()
+        if name == "packing":
+            assert {r.doc_id for r in out} == {r.doc_id for r in before}
+        else:
+            after = Counter(out)
+            assert not after - before, name            # rows pass unchanged, or go
+            before, docs = after, spark.createDataFrame(out, docs.schema)
+    assert sum(r.text is None or not r.text.strip() for r in before) == 1     # of the empty texts one stays
