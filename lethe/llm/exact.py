@@ -6,9 +6,9 @@ digest takes part in equality.
 1. Each task radix-splits its chunk of documents in memory and passes on one
    representative per distinct text, so a text that a third of all rows have reaches the
    shuffle once per chunk.
-2. Representatives are split by their first bytes.  A prefix whose texts weigh more than
-   ``leaf_bytes`` is split again by more bytes (8, 32, 128, ...), until the group is small
-   or its texts have ended.  Only the heavy prefixes are kept, at most 2**20 of them.
+2. Representatives are split by their first bytes.  A prefix whose texts weigh more than a
+   leaf may is split again by more bytes (8, 32, 128, ...), until the group is small or its
+   texts have ended.  Only the heavy prefixes are kept, at most 2**20 of a width.
 3. Each leaf is radix-split to the end of its texts in one task, as a stream: a text equal
    to one seen before is dropped at once, so memory is bounded by the leaf.
 4. Rows get the verdict of their representative by a join on its number.
@@ -32,6 +32,7 @@ from .words import NULL_ID
 _SPACE = b" \t\n\x0b\x0c\r"
 _WIDTH, _GROW = 8, 4
 _MAX_HEAVY = 1 << 20
+_LEAST_LEAF = 1 << 14
 
 
 def radix_groups(texts: list[bytes]) -> list[list[int]]:
@@ -176,18 +177,21 @@ def _settle(batches):
 def _rows(docs: DataFrame, id_col: str, text_col: str, columns) -> DataFrame:
     return docs.select(*columns, F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("__id"),
                        F.coalesce(F.char_length(text_col), F.lit(0)).cast("long").alias("__points"),
+                       F.col(text_col).isNull().alias("__null"),
                        F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("__text"))
 
 
 def _heavy_prefixes(rows: DataFrame, chunk_bytes: int, leaf_bytes: int) -> frozenset:
-    """Prefixes of representatives that weigh more than a leaf; at most _MAX_HEAVY a width."""
+    """Prefixes of representatives that weigh more than a leaf: an eighth of a shuffle
+    partition's share, or ``leaf_bytes`` if that is less; at most _MAX_HEAVY a width."""
     heavy: frozenset = frozenset()
     width = _WIDTH
     while True:
         sizes = rows.mapInArrow(_weigh(width, heavy, chunk_bytes), "head binary, size long").groupBy("head").agg(F.sum("size").alias("size"))
         if width == _WIDTH:
             total, most = sizes.agg(F.sum("size"), F.max("size")).first()
-            leaf_bytes = max(leaf_bytes, (total or 0) // _MAX_HEAVY)
+            share = (total or 0) // (8 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+            leaf_bytes = max(min(leaf_bytes, max(share, _LEAST_LEAF)), (total or 0) // _MAX_HEAVY)
             if (most or 0) <= leaf_bytes:
                 return heavy
         found = sizes.filter((F.col("size") > leaf_bytes) & (F.octet_length("head") == width)).select("head").collect()
@@ -197,16 +201,18 @@ def _heavy_prefixes(rows: DataFrame, chunk_bytes: int, leaf_bytes: int) -> froze
         width *= _GROW
 
 
-def _resolved(docs, id_col, text_col, columns, with_digest, chunk_bytes, leaf_bytes) -> DataFrame:
-    rows = _rows(docs, id_col, text_col, [])
+def _resolved(docs, id_col, text_col, columns, extra, with_digest, chunk_bytes, leaf_bytes) -> DataFrame:
+    """Each row with its verdict.  Rows are numbered twice, on the way to the leaves and here;
+    both read the same columns of ``docs``, so that its plan gives them in the same order."""
+    rows = _rows(docs, id_col, text_col, columns)
     heavy = _heavy_prefixes(rows, chunk_bytes, leaf_bytes)
     reps = rows.mapInArrow(_representatives(heavy, chunk_bytes),
                            "leaf binary, rep long, text binary, members long, best_points long, best_id long, best_row long")
     settled = (reps.repartition("leaf").sortWithinPartitions("leaf")
                .mapInArrow(_settle, "rep long, keep_id long, keep_row long, group_size long"))
-    kept = _rows(docs, id_col, text_col, columns)
-    schema = kept.select(*columns).schema.add("__row", "long").add("__rep", "long").add("__sha", "string")
-    members = kept.mapInArrow(_members(chunk_bytes, list(columns), with_digest), schema)
+    carried = [*columns, *extra]
+    schema = rows.select(*carried).schema.add("__row", "long").add("__rep", "long").add("__sha", "string")
+    members = rows.mapInArrow(_members(chunk_bytes, carried, with_digest), schema)
     return members.join(settled.withColumnsRenamed({c: f"__{c}" for c in settled.columns}), "__rep")
 
 
@@ -215,7 +221,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """One row per document: id, keep_id, group_size, kept, text_sha256 (of the text without
     white space; not used for equality).  Of equal texts the row with the most code points
     in the original text, then the smallest id, stays."""
-    out = _resolved(docs, id_col, text_col, [id_col], True, chunk_bytes, leaf_bytes)
+    out = _resolved(docs, id_col, text_col, [id_col], [], True, chunk_bytes, leaf_bytes)
     return out.select(F.col(id_col).cast("long").alias("id"), F.expr(f"nullif(__keep_id, {NULL_ID}L)").alias("keep_id"),
                       F.col("__group_size").alias("group_size"), (F.col("__row") == F.col("__keep_row")).alias("kept"),
                       F.col("__sha").alias("text_sha256"))
@@ -224,5 +230,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = 16 << 20,
                 leaf_bytes: int = 16 << 20) -> DataFrame:
     """The rows that stay, with all their columns."""
-    out = _resolved(docs, id_col, text_col, docs.columns, False, chunk_bytes, leaf_bytes)
-    return out.filter("__row = __keep_row").select(*docs.columns)
+    others = [c for c in docs.columns if c != text_col]
+    out = _resolved(docs, id_col, text_col, others, ["__null", "__text"], False, chunk_bytes, leaf_bytes)
+    text = F.when(~F.col("__null"), F.col("__text").cast("string")).alias(text_col)
+    return out.filter("__row = __keep_row").select(*(text if c == text_col else c for c in docs.columns))
