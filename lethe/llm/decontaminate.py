@@ -16,6 +16,12 @@ At the threshold itself two bags of equal size differ in 9.7 of 64 bits on avera
 deviation 2.9), so one fingerprint finds 98.7 % and the two together 99.98 % of such pairs;
 closer pairs, exact copies above all, are found without fail.
 
+A document with fewer words than the item is one window, the whole document.  Its bag is the
+smaller one, so an item of m shingles needs at least ceil(percent * m / 100) of them there.  These
+windows are few (one a document and item length) and small bags of unequal size lie further
+apart, so they are compared with every item by a count of shared shingles, not by
+fingerprint; ``hamming`` is the distance all the same and may pass ``RADIUS``.
+
 The benchmark is a stated query set: it is taken in blocks of at most ``BLOCK_ITEMS`` items,
 each compared with all documents.
 
@@ -63,6 +69,11 @@ class LengthIndex:
         # near[f][b][value] = items whose block b of fingerprint f is within 2 bits of the value
         self.near = [[_NEAR[:, blocks[:, f, b]] for b in range(8)] for f in range(2)]
 
+    def holding(self, bag: np.ndarray, need: int) -> list[int]:
+        """Items of which at least ``need`` shingles occur in the sorted bag."""
+        at = np.minimum(np.searchsorted(bag, self.bags), len(bag) - 1)
+        return np.flatnonzero((bag[at] == self.bags).sum(axis=1) >= need).tolist()
+
     def candidates(self, prints: np.ndarray):
         """(window, item, distance) for all pairs within RADIUS in either fingerprint."""
         blocks = prints.view(np.uint8).reshape(len(prints), 2, 8)
@@ -128,9 +139,12 @@ class Benchmark:
     def _document(self, best, d, size, codes, place, lo, hi):
         """Windows of one document; ``place`` has its shingles that the benchmark knows."""
         for n, index in self.lengths.items():
-            if min(self.k, n) != size or hi - lo < n:
+            if min(self.k, n) != size:
                 continue
             m = n - size + 1
+            if hi - lo < n:
+                self._whole(best, d, index, codes[lo:hi - size + 1], len(place), hi - lo, m)
+                continue
             need = -(-2 * self.percent * m // (100 + self.percent))
             if len(place) < need:
                 continue
@@ -155,6 +169,25 @@ class Benchmark:
                             best[k] = key
 
 
+    def _whole(self, best, d, index, codes, n_known, n_words, m):
+        """A document with fewer words than the items of ``index``: itself the one window."""
+        both_sizes = len(codes) + m
+        need = -(-self.percent * both_sizes // (100 + self.percent))
+        if min(n_known, len(codes)) < need:
+            return
+        bag, prints = np.sort(codes), None
+        for item in index.holding(bag, need):
+            both = bag_overlap(bag, index.bags[item])
+            if 100 * both >= self.percent * (both_sizes - both):
+                prints = fingerprints(codes[None]) if prints is None else prints
+                distance = int(np.bitwise_count(prints[0] ^ index.prints[item]).min())
+                similarity = both / (both_sizes - both)
+                key = (-similarity, 0, 0, n_words, distance, similarity)
+                k = (d, index.ids[item])
+                if k not in best or key < best[k]:
+                    best[k] = key
+
+
 def _scan(bench: Benchmark):
     def run(batches):
         for b in batches:

@@ -241,6 +241,45 @@ def test_benchmark_hits(spark):
     assert Counter((r.doc_id, r.text) for r in clean.collect()) == Counter(d for d in docs if d not in bad)
 
 
+def whole_similarity(doc, item):
+    """Similarity of a document with fewer words than the item, as its one window."""
+    a, b = Counter(shingles(doc)) if len(doc) >= 5 else Counter(), Counter(shingles(item))
+    both = sum((a & b).values())
+    return both / (sum(a.values()) + sum(b.values()) - both)
+
+
+def test_documents_shorter_than_the_item(spark):
+    rng = random.Random(12)
+    items = [(k, " ".join(f"q{rng.randrange(200)}" for _ in range(n))) for k, n in enumerate([9, 10, 14, 15, 20, 33, 40, 59] * 3)]
+    items += [(100, items[6][1]), (101, "a " * 40), (102, "only three words"), (None, "the null item has all of nine words here")]
+    docs = [(1, "only three"), (2, "a " * 35), (3, "a " * 31), (4, ""), (5, None), (6, "the null item has all of nine words")]
+    for k, text in items[:24]:
+        w = text.split()
+        for cut in (1, 2, 3, 4, 6, 8, 12):
+            first = rng.randrange(cut + 1)
+            part = w[first:len(w) - cut + first]
+            if part and cut % 3 == 2:
+                part[rng.randrange(len(part))] = "zz"
+            docs.append((1000 + 20 * k + cut, " ".join(part).upper() + "."))
+    docs += [(None, items[7][1].rsplit(" ", 1)[0])] * 2
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    it = spark.createDataFrame(items, "item_id long, text string")
+    got = Counter((r.id, r.item_id, r.first_word, r.n_words, round(r.similarity, 9)) for r in benchmark_hits(df, it).collect()
+                  if r.n_words < len(dict(items)[r.item_id].split()))
+    want, bad = Counter(), Counter()
+    for i, t in docs:
+        w = file_words(t)
+        for k, u in items:
+            v = file_words(u)
+            s = whole_similarity(w, v) if len(w) < len(v) else 0
+            if s >= 0.8:
+                want[i, k, 0, len(w), round(s, 9)] += 1
+            if max(s, best_similarity(w, v)) >= 0.8:
+                bad[i, t] = 1
+    assert got == want and len(want) > 60
+    assert Counter((r.doc_id, r.text) for r in drop_contaminated(df, it).collect()) == Counter(d for d in docs if d not in bad)
+
+
 def test_multi_index_finds_all_within_radius():
     rng = np.random.default_rng(2)
     bench = Benchmark([(k, " ".join(f"w{rng.integers(50)}" for _ in range(24)).encode()) for k in range(40)], 5, 80)
