@@ -133,3 +133,44 @@ def unlearn_label_noise(changed: DataFrame, valid: DataFrame, W: np.ndarray, tau
             if not log[-1]["remaining"]:
                 break
     return W, log
+
+
+def unlearn_train_noise(train: DataFrame, valid: DataFrame, W: np.ndarray, tau: float, batch: int, steps: int, seed,
+                        tolerance: float = 0.5) -> tuple[np.ndarray, list[dict]]:
+    """Iterative unlearning of wrong labels over the whole train split.
+
+    ``train`` has every train row with its corrected ``label`` and ``flipped``, true for the
+    rows of the change set.  Each step predicts all rows, takes the ``batch`` first (by seeded
+    hash) of all rows that the model gets wrong, in the change set or not, and moves W as
+    ``unlearn_label_noise`` does.  Logs after the step: accuracy on the batch and on
+    ``valid``, rows wrong (delta_size), those outside the change set (new_errors) and in it
+    (remaining).  Stops when no row is wrong, or when the accuracy on ``valid`` falls
+    ``tolerance`` below its start (diverged).
+    """
+    W = np.asarray(W, float)
+    K, d = W.shape
+    log: list[dict] = []
+    wrong = F.col("pred") != F.col("label")
+    count = lambda c: F.coalesce(F.sum(c.cast("long")), F.lit(0))
+    flipped = F.coalesce(F.col("flipped"), F.lit(False))
+    with persisted(train.select("row_id", "label", "x", flipped.alias("flipped"))) as rows, persisted(valid.select("label", "x")) as held:
+        accuracy = lambda V: sm.predict(held, V).agg(F.avg((~wrong).cast("int"))).first()[0] or 0.0
+        start = accuracy(W)
+        for step in range(steps):
+            picked = hash_cut(sm.predict(rows, W).where(wrong), "row_id", f"{seed}:{step}", batch)
+            with persisted(picked.select("row_id", F.col("pred").alias("old_label"), F.col("label").alias("new_label"), "x")) as delta:
+                G = sm.as_matrix(sm.label_change_gradient(delta, K, d), K, d)
+                if not G.any():
+                    break
+                W = W - tau * G
+                after = sm.predict(delta.withColumn("label", F.col("new_label")), W).agg(F.avg((~wrong).cast("int"))).first()[0]
+            r = sm.predict(rows, W).agg(count(wrong).alias("size"), count(wrong & ~F.col("flipped")).alias("new"),
+                                        count(wrong & F.col("flipped")).alias("left")).first()
+            log.append({"step": step, "batch_accuracy": float(after), "valid_accuracy": float(accuracy(W)), "delta_size": r["size"],
+                        "new_errors": r["new"], "remaining": r["left"], "diverged": False})
+            if log[-1]["valid_accuracy"] < start - tolerance:
+                log[-1]["diverged"] = True
+                break
+            if not log[-1]["delta_size"]:
+                break
+    return W, log

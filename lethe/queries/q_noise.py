@@ -66,9 +66,9 @@ def m9_fine_tune_head(spark, sf):
 
 
 # U9 / U12 / U15 --------------------------------------------------------------------
-def _noise_sql() -> str:
+def _noise_sql(changed: str = "SELECT row_id, old_label AS label FROM flips") -> str:
     out = [f"u0 AS (SELECT CAST(c.k AS INTEGER) AS cls, CAST(j.j AS INTEGER) AS dim, CAST({wsql('c.k', 'j.j')} AS DOUBLE) AS w FROM range({K}) c(k), range({D}) j(j))",
-           "ch AS (SELECT row_id, old_label AS label FROM flips)", "va AS (SELECT row_id, label FROM img WHERE split = 'valid')",
+           f"ch AS ({changed})", "va AS (SELECT row_id, label FROM img WHERE split = 'valid')",
            "every AS (SELECT * FROM ch UNION ALL SELECT * FROM va)", logits_sql("q0", "u0", "every")]
     for k in range(STEPS):
         out.append(f"""
@@ -115,6 +115,41 @@ def u12_u15_noise_recovery(spark, sf):
     return spark.createDataFrame([(round(before, 6), round(after, 6), round(restored, 6))], "before double, after double, restored double")
 
 
+# U9 / U12 over the whole train split ------------------------------------------------
+TRAIN_SQL = sk.with_(sk.IMG, FLIP_SQL, _noise_sql("SELECT row_id, label FROM img WHERE split = 'train'"))
+
+
+def _unlearn_train(spark, sf):
+    img = _img(spark, sf)
+    train = img.where("split = 'train'").join(_flips(spark, sf).select("row_id", F.lit(True).alias("flipped")), "row_id", "left")
+    valid = img.where("split = 'valid'")
+    return valid, noise.unlearn_train_noise(train, valid, W0, STEP_TAU, BATCH, STEPS, STEP_SEED)
+
+
+@register("u9_label_noise_train", TRAIN_SQL + " " + " UNION ALL ".join(f"""
+SELECT {k} AS step, round({_ACC(k + 1, f'b{k}')}, 6) AS batch_accuracy, round({_ACC(k + 1, 'va')}, 6) AS valid_accuracy,
+  (SELECT count(*) FROM {_ONE(k + 1, 'ch')} WHERE pred <> label) AS delta_size,
+  (SELECT count(*) FROM {_ONE(k + 1, 'ch')} WHERE pred <> label AND row_id NOT IN (SELECT row_id FROM flips)) AS new_errors,
+  (SELECT count(*) FROM {_ONE(k + 1, 'flips')} WHERE pred <> label) AS remaining, false AS diverged""" for k in range(STEPS)))
+def u9_label_noise_train(spark, sf):
+    _, (_, log) = _unlearn_train(spark, sf)
+    return spark.createDataFrame([(r["step"], round(r["batch_accuracy"], 6), round(r["valid_accuracy"], 6), r["delta_size"], r["new_errors"],
+                                   r["remaining"], r["diverged"]) for r in log],
+                                 "step int, batch_accuracy double, valid_accuracy double, delta_size bigint, new_errors bigint, remaining bigint, diverged boolean")
+
+
+@register("u12_u15_noise_recovery_train", TRAIN_SQL + f"""
+SELECT round({_ACC(0, 'va')}, 6) AS before, round({_ACC(STEPS, 'va')}, 6) AS after,
+       round(({_ACC(STEPS, 'va')} - {_ACC(0, 'va')}) / ({CLEAN} - {_ACC(0, 'va')}), 6) AS restored""")
+def u12_u15_noise_recovery_train(spark, sf):
+    """Share of the accuracy that unlearning over the whole train split restores; -1 if it diverged."""
+    valid, (_, log) = _unlearn_train(spark, sf)
+    before = sm.predict(valid, W0).agg(F.avg((F.col("pred") == F.col("label")).cast("double"))).first()[0]
+    after = log[-1]["valid_accuracy"] if log else before
+    restored = -1.0 if log and log[-1]["diverged"] else recovery(before, after, CLEAN)
+    return spark.createDataFrame([(round(before, 6), round(after, 6), round(restored, 6))], "before double, after double, restored double")
+
+
 # R6 -----------------------------------------------------------------------------
 @register("r6_mixed_change_set", sk.with_(sk.IMG, FLIP_SQL, "every AS (SELECT row_id, label FROM img WHERE split = 'train')",
                                           f"u0 AS (SELECT CAST(c.k AS INTEGER) AS cls, CAST(j.j AS INTEGER) AS dim, CAST({wsql('c.k', 'j.j')} AS DOUBLE) AS w FROM range({K}) c(k), range({D}) j(j))",
