@@ -65,6 +65,15 @@ def m9_fine_tune_head(spark, sf):
     return spark.createDataFrame([(c, j, round(float(W[c, j]), 6)) for c in range(K) for j in range(D)], "cls int, dim int, w double")
 
 
+@register("m9_fine_tune_train", sk.with_(sk.IMG, "tr AS (SELECT row_id, label FROM img WHERE split = 'train')",
+                                         steps_sql(wsql("c.k", "j.j"), "tr", TUNE_RATE, TUNE_EPOCHS, 0.0)) + f"""
+SELECT cls, dim, round(w, 6) AS w FROM w{TUNE_EPOCHS}""")
+def m9_fine_tune_train(spark, sf):
+    """Fine-tuning on the whole train split; the table's labels are the corrected ones."""
+    _, W, _ = noise.gradient_steps(_img(spark, sf).where("split = 'train'"), W0, TUNE_RATE, TUNE_EPOCHS)
+    return spark.createDataFrame([(c, j, round(float(W[c, j]), 6)) for c in range(K) for j in range(D)], "cls int, dim int, w double")
+
+
 # U9 / U12 / U15 --------------------------------------------------------------------
 def _noise_sql(changed: str = "SELECT row_id, old_label AS label FROM flips") -> str:
     out = [f"u0 AS (SELECT CAST(c.k AS INTEGER) AS cls, CAST(j.j AS INTEGER) AS dim, CAST({wsql('c.k', 'j.j')} AS DOUBLE) AS w FROM range({K}) c(k), range({D}) j(j))",

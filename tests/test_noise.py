@@ -44,3 +44,19 @@ def test_unlearning_stops_when_no_row_is_wrong(spark):
     train = spark.createDataFrame(rows, "row_id long, label int, x array<double>, flipped boolean")
     W, log = noise.unlearn_train_noise(train, train, W0, 0.01, 8, 3, 5)
     assert np.array_equal(W, W0) and log == []
+
+
+def test_fine_tuning_sees_every_train_row(spark, sf):
+    from lethe.queries import q_noise as q
+    rows = q._img(spark, sf).where("split = 'train'").select("label", "x").collect()
+    X, y = np.array([r.x for r in rows], float), np.array([r.label for r in rows])
+    W = np.array(q.W0, float)
+    for _ in range(q.TUNE_EPOCHS):
+        z = X @ W.T
+        P = np.exp(z - z.max(axis=1, keepdims=True))
+        P /= P.sum(axis=1, keepdims=True)
+        P[np.arange(len(y)), y] -= 1
+        W = W - q.TUNE_RATE * P.T @ X / len(y)
+    got = q.m9_fine_tune_train(spark, sf).collect()
+    assert len(rows) > 40 and len(got) == W.size
+    assert all(abs(r.w - W[r.cls, r.dim]) < 2e-6 for r in got)
