@@ -2,12 +2,14 @@
 
 1. Document frequencies of all licence words over the whole corpus.
 2. The index holds, for each template, its highest-IDF words with their places: the rarest
-   one of a base phrase (which must stand whole), the three rarest of a notice.
+   one of a base phrase (which must stand whole); of a notice the rarest one of its mandatory
+   key phrase, beside the three rarest of all its words.
 3. A file's rare licence words are looked up; a word at p that stands at q in a template
    proposes the start p - q.  At each proposed start the template's words are intersected
    with the file's by relative position, and the mandatory key phrase must stand whole.
 
-A base phrase that occurs holds its own rarest word, so every place of it is found.
+A base phrase that occurs holds its own rarest word, and a notice that matches holds its key
+phrase whole, so every place of either is found, whatever the rest of the corpus holds.
 
 Defined results: null text is empty, gives 0 words, no place, score 0; rows with the same
 id are separate files; an empty table gives an empty result; columns besides id and text
@@ -39,7 +41,7 @@ NOTICES = (
     ("mpl-2.0", "this source code form is subject to the terms of the mozilla public license v 2 0", "mozilla public license"),
     ("unlicense", "this is free and unencumbered software released into the public domain", "free and unencumbered software"),
 )
-ANCHORS = 3                 # index words per notice
+ANCHORS = 3                 # index words per notice, besides the rarest of its key phrase
 MIN_MATCH = 0.8             # share of a notice's words that stand at their places
 
 _WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -71,8 +73,9 @@ def document_frequency(docs: DataFrame, text_col: str, vocabulary: list[str]) ->
 def rare_token_index(templates, df: dict[str, int]) -> dict[str, list[tuple[int, int]]]:
     """Rare word -> [(template, place of the word in it)]."""
     index: dict[str, list[tuple[int, int]]] = {}
-    for t, (_, words, _, _, base) in enumerate(templates):
-        rare = sorted(set(words), key=lambda w: (df.get(w, 0), w))[:1 if base else ANCHORS]
+    for t, (_, words, _, key, base) in enumerate(templates):
+        rarest = lambda ws, n: sorted(set(ws), key=lambda w: (df.get(w, 0), w))[:n]
+        rare = rarest(words, 1 if base else ANCHORS) + rarest(key, 1)
         for q, w in enumerate(words):
             if w in rare:
                 index.setdefault(w, []).append((t, q))

@@ -54,6 +54,37 @@ def test_license_index_has_the_rarest_words():
     assert all(any(t == k for places in index.values() for t, _ in places) for k in range(len(templates)))
 
 
+def notice_labels(text):
+    """Notices at every start, without anchors: label -> best score."""
+    w, out = file_words(text), {}
+    for label, words, at, key, base in _templates():
+        for s in range(-len(words) + 1, len(w)):
+            same = sum(0 <= s + j < len(w) and w[s + j] == x for j, x in enumerate(words))
+            if not base and s + at >= 0 and w[s + at:s + at + len(key)] == key and same >= 0.8 * len(words):
+                out[label] = max(out.get(label, 0), same / len(words))
+    return out
+
+
+def test_notices_do_not_depend_on_the_rest_of_the_corpus(spark):
+    rng = random.Random(4)
+    texts = []
+    for label, words, at, key, base in _templates():
+        free = [j for j in range(len(words)) if not at <= j < at + len(key)]
+        spare = int(0.2 * len(words) + 1e-9)
+        for _ in range(3):
+            w = list(words)
+            for j in rng.sample(free, min(spare, len(free))):
+                w[j] = "zz"
+            texts.append(" ".join(["aa", *w, "bb"]))
+    def scan(some):
+        rows = license_scan(spark.createDataFrame(list(enumerate(some)), "doc_id long, text string")).collect()
+        return {r.id: {m.label: m.score for m in sorted(r.matches, key=lambda m: m.score) if not m.base} for r in rows}
+    bsd = next(words for label, words, *_ in _templates() if label == "bsd")
+    alone = " ".join("zz" if x in ("conditions", "following", "met") else x for x in bsd)       # words of df 0
+    assert notice_labels(alone).keys() == {"bsd"} and scan([alone])[0] == notice_labels(alone)
+    assert scan(texts) == {i: notice_labels(t) for i, t in enumerate(texts)}
+
+
 def test_license_empty_table(no_docs):
     assert license_scan(no_docs).collect() == []
 
