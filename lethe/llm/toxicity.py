@@ -3,8 +3,10 @@
 1. Lexicon: words and word beginnings that set toxic training documents apart, found from
    the training rows alone; without usable labels a short list of English insults serves.
 2. The lexicon trie is intersected with the Levenshtein automaton of distance 1 and made
-   deterministic, so one table look-up a letter finds exact and misspelled terms; word
-   beginnings are matched exactly.  All words of a chunk of documents step together.
+   deterministic, so one table look-up a letter finds exact and misspelled terms; a swap of
+   two neighbouring letters is one error.  Word beginnings are matched exactly; the whole
+   words that a chosen term made superfluous are matched with errors and count for that term.
+   Words under 5 bytes match without errors.  All words of a chunk of documents step together.
 3. Around each find a context window tells quotation (open quote marks, words such as
    "said" or "called") from use; finds in quotation are features of their own.
 4. A logistic regression on the finds gives the score.
@@ -53,10 +55,12 @@ class LexiconAutomaton:
     """Trie of terms x Levenshtein automaton of ``edits``, as a deterministic table.
 
     A state is the set of (trie node, errors so far) that the letters read can have reached.
-    With ``prefix`` a term is found as soon as the word begins with it.
+    With ``prefix`` a term is found as soon as the word begins with it; with ``swaps`` two
+    neighbouring letters in the other order are one error (a state then also holds (node,
+    letter): the letter after next was read first).
     """
 
-    def __init__(self, terms: list[bytes], edits: int, prefix: bool = False):
+    def __init__(self, terms: list[bytes], edits: int, prefix: bool = False, swaps: bool = False):
         self.prefix, self.longest = prefix, max(map(len, terms), default=0) + edits
         children: list[dict[int, int]] = [{}]
         ends: dict[int, int] = {}
@@ -72,8 +76,8 @@ class LexiconAutomaton:
         self.symbol = np.zeros(256, np.int64)
         self.symbol[letters] = np.arange(1, len(letters) + 1)
 
-        def closed(reach: dict[int, int]) -> frozenset:
-            todo = list(reach)
+        def closed(reach: dict) -> frozenset:
+            todo = [node for node in reach if isinstance(node, int)]
             while todo:                        # letters of the term that the word leaves out
                 node = todo.pop()
                 if reach[node] < edits:
@@ -84,15 +88,22 @@ class LexiconAutomaton:
             return frozenset(reach.items())
 
         def step(state, c):
-            reach: dict[int, int] = {}
+            reach: dict = {}
 
             def add(node, e):
                 if e <= edits and reach.get(node, 99) > e:
                     reach[node] = e
             for node, e in state:
+                if not isinstance(node, int):  # the skipped letter must follow
+                    child = children[node[0]].get(c)
+                    if child is not None and node[1] in children[child]:
+                        add(children[child][node[1]], e)
+                    continue
                 add(node, e + 1)               # a letter too many
                 for letter, child in children[node].items():
                     add(child, e + (letter != c))
+                    if swaps and letter != c and c in children[child]:
+                        add((node, c), e + 1)
             return closed(reach)
         start = closed({0: 0})
         number, order, rows = {frozenset(): 0, start: 1}, [frozenset(), start], []
@@ -151,26 +162,37 @@ def quoted(before: bytes, after: bytes) -> bool:
 
 
 class Finder:
-    """Features of a text: per term the finds in use and in quotation, and totals."""
+    """Features of a text: per term the finds in use and in quotation, and totals.
 
-    def __init__(self, words: list[str], prefixes: list[str]):
+    ``covered`` has whole words that count for another term: (word, place of the term in
+    ``words`` + ``prefixes``).
+    """
+
+    def __init__(self, words: list[str], prefixes: list[str], covered: list[tuple[str, int]] = ()):
         self.n = len(words) + len(prefixes)
-        coded = [w.encode() for w in words]
+        term = [*range(len(words)), *(t for _, t in covered)]
+        coded = [w.encode() for w in [*words, *(w for w, _ in covered)]]
         long_ = [k for k, w in enumerate(coded) if len(w) >= _FUZZY_LEN]
         short = [k for k, w in enumerate(coded) if len(w) < _FUZZY_LEN]
-        self.parts = [(np.array(ks), LexiconAutomaton(ts, e, p)) for ks, ts, e, p in (
-            (long_, [coded[k] for k in long_], 1, False), (short, [coded[k] for k in short], 0, False),
-            (list(range(len(words), self.n)), [p.encode() for p in prefixes], 0, True)) if ks]
+        self.parts = [(np.array(ks), LexiconAutomaton(ts, e, p, swaps=e > 0)) for ks, ts, e, p in (
+            (list(range(len(words), self.n)), [p.encode() for p in prefixes], 0, True),
+            ([term[k] for k in long_], [coded[k] for k in long_], 1, False),
+            ([term[k] for k in short], [coded[k] for k in short], 0, False)) if ks]
 
     def features(self, texts: list[bytes]) -> list[dict[int, float]]:
         """Sparse features: 2t and 2t + 1 for term t in use and in quotation, 2n for all."""
         w = split(texts, alnum=True)
         buf, raw = fold(w.buf), w.buf.tobytes()
         out: list[dict[int, float]] = [{} for _ in texts]
+        counted: set[tuple[int, int]] = set()
         for ks, machine in self.parts:
             word, term, errors = machine.find(buf, w.starts, w.ends)
             doc = np.searchsorted(w.bounds, word, side="right") - 1
             for i, t, e, d in zip(word.tolist(), ks[term].tolist(), errors.tolist(), doc.tolist()):
+                if (i, t) in counted:          # by the word beginning already
+                    continue
+                if machine.prefix:
+                    counted.add((i, t))
                 a, b = int(w.starts[i]), int(w.ends[i])
                 first, last = int(w.starts[w.bounds[d]]), int(w.ends[w.bounds[d + 1] - 1])
                 q = quoted(raw[max(first - 4, a - _AROUND, 0):a], raw[b:min(last + 4, b + _AROUND)])
@@ -203,8 +225,9 @@ def _count_terms(batches):
                                           "clean": pa.array([count[0][t] for t in terms], pa.int64())})
 
 
-def learn_lexicon(rows: DataFrame, n_toxic: int, n_clean: int) -> tuple[list[str], list[str]]:
-    """(words, word beginnings) that stand in toxic documents far more often than in others."""
+def learn_lexicon(rows: DataFrame, n_toxic: int, n_clean: int) -> tuple[list[str], list[str], list[tuple[str, int]]]:
+    """(words, word beginnings) that stand in toxic documents far more often than in others,
+    and the whole words that one of them begins or that begin one, with its place."""
     p, q = F.col("toxic") / n_toxic, F.col("clean") / n_clean
     both = (F.col("toxic") + F.col("clean")) / (n_toxic + n_clean)
     z = (p - q) / F.sqrt(both * (1 - both) * (1 / n_toxic + 1 / n_clean) + 1e-12)
@@ -213,11 +236,17 @@ def learn_lexicon(rows: DataFrame, n_toxic: int, n_clean: int) -> tuple[list[str
             .withColumn("z", F.round(z, 6)).filter("z > 5")
             .orderBy(F.desc("z"), F.desc(F.length("term")), "term").limit(20 * MAX_TERMS).collect())
     chosen: list[str] = []
+    covered: list[tuple[str, str]] = []
     for r in best:
         t = r.term.rstrip("$")
-        if len(chosen) < MAX_TERMS and not any(t.startswith(c.rstrip("$")) or c.rstrip("$").startswith(t) for c in chosen):
+        by = next((c for c in chosen if t.startswith(c.rstrip("$")) or c.rstrip("$").startswith(t)), None)
+        if by is not None and r.term[-1] == "$":
+            covered.append((t, by))
+        elif by is None and len(chosen) < MAX_TERMS:
             chosen.append(r.term)
-    return [c[:-1] for c in chosen if c[-1] == "$"], [c for c in chosen if c[-1] != "$"]
+    words, prefixes = [c for c in chosen if c[-1] == "$"], [c for c in chosen if c[-1] != "$"]
+    place = {c: k for k, c in enumerate(words + prefixes)}
+    return [c[:-1] for c in words], prefixes, [(t, place[by]) for t, by in covered]
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 25) -> np.ndarray:

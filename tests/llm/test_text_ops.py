@@ -10,7 +10,7 @@ from lethe.llm.decontaminate import Benchmark, _NEAR, benchmark_hits, drop_conta
 from lethe.llm.labelled import train_rows
 from lethe.llm.licenses import BASE, NOTICES, license_scan, rare_token_index, _templates
 from lethe.llm.quality import BITS, Ftrl, fit_quality, ngrams, score_quality, vector
-from lethe.llm.toxicity import Finder, LexiconAutomaton, drop_toxic, fit_toxicity, quoted, score_toxicity
+from lethe.llm.toxicity import Finder, LexiconAutomaton, drop_toxic, fit_toxicity, learn_lexicon, quoted, score_toxicity
 
 WORD = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
 LOWER = {c: c + 32 for c in range(65, 91)}
@@ -119,6 +119,41 @@ def test_automaton_equals_edit_distance():
     assert sorted(word.tolist()) == [i for i, t in enumerate(texts) if t.startswith((b"abc", b"ca"))]
 
 
+def swap_distance(a, b):
+    """Edit distance in which a swap of neighbours is one error."""
+    d = [[i + j if not i * j else 0 for j in range(len(b) + 1)] for i in range(len(a) + 1)]
+    for i in range(1, len(a) + 1):
+        for j in range(1, len(b) + 1):
+            d[i][j] = min(d[i - 1][j] + 1, d[i][j - 1] + 1, d[i - 1][j - 1] + (a[i - 1] != b[j - 1]))
+            if i > 1 and j > 1 and a[i - 1] == b[j - 2] and a[i - 2] == b[j - 1]:
+                d[i][j] = min(d[i][j], d[i - 2][j - 2] + 1)
+    return d[-1][-1]
+
+
+def test_automaton_counts_a_swap_as_one_error():
+    rng = random.Random(3)
+    terms = [b"abcab", b"abbba", b"caabc", b"aaaaaa", b"bacab"]
+    texts = [bytes(rng.choice(b"abcd") for _ in range(rng.randrange(1, 9))) for _ in range(3000)] + terms
+    buf = np.frombuffer(b" ".join(texts) + b" ", np.uint8)
+    ends = np.cumsum([len(t) + 1 for t in texts]) - 1
+    for edits in (0, 1, 2):
+        word, _, errors = LexiconAutomaton(terms, edits, swaps=True).find(buf, ends - [len(t) for t in texts], ends)
+        want = {i: min(swap_distance(t, u) for u in terms) for i, t in enumerate(texts)}
+        assert dict(zip(word.tolist(), errors.tolist())) == {i: d for i, d in want.items() if d <= edits}
+
+
+def test_lexicon_with_inflected_forms_still_finds_misspelled_words(spark):
+    toxic = ["you idiot"] * 30 + ["idiots all"] * 6 + ["an idiotic one"] * 5
+    rows = spark.createDataFrame([(1, t) for t in toxic] + [(0, f"plain words {k}") for k in range(200)], "label int, text string")
+    words, prefixes, covered = learn_lexicon(rows, len(toxic), 200)
+    assert prefixes and all("idiot".startswith(p) for p in prefixes) and "idiot" in dict(covered)
+    finder = Finder(words, prefixes, covered)
+    t = dict(covered)["idiot"]
+    texts = [b"idiot", b"idiots", b"ediot", b"idjot", b"idoit", b"idjots", b"plain"]
+    use = [f.get(2 * t, 0.0) for f in finder.features(texts)]
+    assert np.allclose(use, np.log1p([1, 1, 0.7, 0.7, 0.7, 0.7, 0]))
+
+
 def test_context_window():
     assert quoted(b'he wrote "you ', b' fool" to me') and not quoted(b'"ok" you ', b' "fine"')
     assert quoted("sagt „du ".encode(), "“ oft".encode()) and quoted(b"the so called ", b" thing") and not quoted(b"you are an ", b" sir")
