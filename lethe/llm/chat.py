@@ -12,7 +12,9 @@ text is read back exactly.
 
 A conversation streams through one task in order of turn, with memory for one window: its
 output is a sequence, and its digests are sequential.  Turns are never cut: a turn that is
-longer than the budget has a window of its own, with the system turns.
+longer than the budget has a window of its own, with the system turns.  The leading system
+turns are repeated whole however long they are; where they leave no room, a window has one
+new turn and passes the budget.
 
 Defined results: null text and role are empty; rows of one turn number stand in order of
 role, then text; a null turn stands first; rows with a null conversation are one
@@ -90,7 +92,7 @@ class Windows:
         out = (self.conv, self.number, len(repeated), sum(t[2] for t in repeated) + self.total, text, loss)
         for t in self.new:
             self.leading = self.leading and t[0] == "system"
-            if self.leading and sum(s[2] for s in self.system) + t[2] <= self.budget // 2:
+            if self.leading:
                 self.system.append(t)
             else:
                 self.recent.append(t)

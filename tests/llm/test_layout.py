@@ -122,6 +122,18 @@ def test_chat_keeps_the_system_turn(spark):
     assert [w.n_repeated for w in windows[1:]] == [2] * (len(windows) - 1)
 
 
+@pytest.mark.parametrize("n", [20, 60, 150])
+def test_chat_keeps_a_long_system_turn(spark, n):
+    rows = [(1, 0, "system", "s " * n), (1, 1, "system", "be brief")] + [(1, t, ("assistant", "user")[t % 2], f"w{t} " * 10) for t in range(2, 20)]
+    windows = sorted(chat.format_windows(spark.createDataFrame(rows, "conv_id long, turn int, role string, text string"), 100, 30).collect(), key=lambda w: w.window)
+    turns = [[t[:2] for t in parse(w.text)] for w in windows]
+    assert len(turns) > 4 and all(t[:2] == [r[2:] for r in rows[:2]] for t in turns[2:])
+    new = [t for ts, w in zip(turns, windows) for t in ts[w.n_repeated:]]
+    assert new == [r[2:] for r in rows]
+    assert all(w.n_tokens <= 100 or len(ts) - w.n_repeated == 1 for ts, w in zip(turns, windows))
+
+
+
 def test_escape_is_reversible():
     for parts in itertools.product(["<", "|", ">", "\\", "<|end|>", "x"], repeat=4):
         t = "".join(parts)
