@@ -165,3 +165,76 @@ FROM d LEFT JOIN good g USING (doc_id) GROUP BY d.doc_id"""
 
 
 ORACLE["op1_license_scan"] = _license_sql()
+
+
+@query
+def op11_embedding_whitening(spark, sf_dir):
+    from .whitening import whitened_vectors
+    return whitened_vectors(read(spark, sf_dir, "embeddings"), k=32, scale=64.0, offset=1_000_000).withColumnRenamed("id", "vec_id")
+
+
+@query
+def op12_simhash_dedup(spark, sf_dir):
+    from .simhash import simhash_components
+    out = simhash_components(read(spark, sf_dir, "documents"))
+    return out.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+@query
+def op13_conversation_repair(spark, sf_dir):
+    from .repair import damaged, repair_conversations, repaired_digests, turn_rows
+    return repaired_digests(*repair_conversations(damaged(turn_rows(read(spark, sf_dir, "conversations")))))
+
+
+ORACLE["op13_conversation_repair"] = r"""
+WITH RECURSIVE poly(i, k, c) AS (
+  SELECT range, 0, range FROM range(256)
+  UNION ALL SELECT i, k + 1, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END FROM poly WHERE k < 8),
+crc AS MATERIALIZED (SELECT list(c ORDER BY i) AS t FROM poly WHERE k = 8),
+k AS MATERIALIZED (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+       list_reduce(list_prepend(4294967295, [ord(c)::BIGINT FOR c IN string_split(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '), '')]),
+                   lambda a, b: xor(t[1 + (xor(a, b) & 255)], a >> 8)) AS c FROM conversations, crc),
+d AS MATERIALIZED (
+  SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+         CASE kind WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text,
+         unnest(range(CASE WHEN kind = 3 THEN 2 ELSE 1 END)) AS copy
+  FROM (SELECT *, xor(c, 4294967295) % 20 AS kind FROM k) WHERE kind <> 0),
+n AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS i FROM d),
+r AS MATERIALIZED (
+  SELECT *, left(role, 1) AS initial, lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) AS before,
+         CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'blank'
+              WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'duplicate'
+              WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*\z') THEN 'truncated' ELSE '' END AS fault FROM n),
+move(x, t, y, pre) AS (VALUES (0, 's', 1, ''), (0, 'u', 2, ''), (1, 'u', 2, ''), (3, 'u', 2, ''), (2, 'u', 2, 'I'),
+                              (2, 'a', 3, ''), (0, 'a', 3, 'I'), (1, 'a', 3, 'I'), (3, 'a', 3, 'I')),
+way AS (SELECT x, y, t, pre || 'K' AS letters, 2 * length(pre) AS cost FROM move
+        UNION ALL SELECT x, y, NULL, pre || 'R', 2 * length(pre) + 2 FROM move WHERE t <> 's'),
+f(conv_id, i, x, cost, audit) AS (
+  SELECT DISTINCT conv_id, 0::BIGINT, 0, 0, '' FROM conversations
+  UNION ALL
+  SELECT conv_id, i, y, cost, audit FROM (
+    SELECT f.conv_id, r.i, w.y, f.cost + w.cost + (w.pick AND r.fault = 'truncated')::INT AS cost, f.audit || w.letters AS audit
+    FROM f JOIN r ON r.conv_id IS NOT DISTINCT FROM f.conv_id AND r.i = f.i + 1
+    JOIN (SELECT x, y, t, letters, cost, true AS pick FROM way
+          UNION ALL SELECT x, x, NULL, 'D', 3, false FROM range(4) s(x)) w
+      ON w.x = f.x AND (NOT w.pick OR r.fault NOT IN ('blank', 'duplicate')) AND (w.t IS NULL OR w.t = r.initial))
+  QUALIFY row_number() OVER (PARTITION BY conv_id, y ORDER BY cost, audit) = 1),
+s AS (SELECT conv_id, max(i) AS n, min(turn) AS low, max(turn) AS high, count(DISTINCT turn) AS turns,
+             count(*) FILTER (WHERE fault = 'blank') AS blank, count(*) FILTER (WHERE fault = 'duplicate') AS duplicate,
+             count(*) FILTER (WHERE fault = 'truncated') AS truncated,
+             count(*) FILTER (WHERE before IS NOT NULL AND before || initial NOT IN ('su', 'ua', 'au')) AS illegal FROM r GROUP BY conv_id),
+e AS MATERIALIZED (
+  SELECT conv_id, cost, audit FROM (
+    SELECT f.conv_id, cost + CASE x WHEN 1 THEN 4 WHEN 2 THEN 2 ELSE 0 END AS cost, audit || CASE x WHEN 1 THEN 'II' WHEN 2 THEN 'I' ELSE '' END AS audit
+    FROM f LEFT JOIN s ON s.conv_id IS NOT DISTINCT FROM f.conv_id WHERE f.i = coalesce(s.n, 0))
+  QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY cost, audit) = 1),
+l AS (SELECT conv_id, unnest(string_split(audit, '')) AS letter, generate_subscripts(string_split(audit, ''), 1) AS p FROM e WHERE audit <> ''),
+m AS (SELECT *, count(*) FILTER (WHERE letter <> 'I') OVER w AS i, count(*) FILTER (WHERE letter <> 'D') OVER w AS place,
+             count(*) FILTER (WHERE letter <> 'D') OVER (PARTITION BY conv_id) % 2 AS odd
+      FROM l WINDOW w AS (PARTITION BY conv_id ORDER BY p)),
+q AS (SELECT m.conv_id, sha256(string_agg(CASE WHEN letter = 'K' THEN r.role WHEN (place - odd) % 2 = 1 THEN 'user' ELSE 'assistant' END
+             || ':' || CASE WHEN letter = 'I' THEN '' ELSE r.text END, chr(10) ORDER BY p)) AS sha
+      FROM m LEFT JOIN r ON r.conv_id IS NOT DISTINCT FROM m.conv_id AND r.i = m.i AND letter <> 'I' WHERE letter <> 'D' GROUP BY m.conv_id)
+SELECT e.conv_id, CASE WHEN turns > 0 THEN high - low + 1 - turns ELSE 0 END AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+       coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, cost::BIGINT AS cost, audit, coalesce(sha, sha256('')) AS repaired_sha256
+FROM e LEFT JOIN s ON s.conv_id IS NOT DISTINCT FROM e.conv_id LEFT JOIN q ON q.conv_id IS NOT DISTINCT FROM e.conv_id"""
