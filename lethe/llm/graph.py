@@ -14,12 +14,13 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     and a join that AQE splits where one id has very many edges.  The edge table is
     checkpointed after every round, so its lineage stays short and survives executors.
     """
-    cur = cut_lineage(edges.select(F.col(a).alias("u"), F.col(b).alias("v")).filter("u != v").distinct())
+    cur = cut_lineage(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u != v").distinct())
 
-    def mark(df):
-        return tuple(df.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % F.lit(1 << 31))).first())
-    seen = mark(cur)
-    while seen[0]:
+    def stars(df):
+        """Whether every id has one edge and none is at both ends: nothing is left to do."""
+        ends = df.select(F.col("u").alias("id"), F.lit(1).alias("out")).union(df.select("v", F.lit(0))).groupBy("id")
+        return not ends.agg(F.sum("out").alias("out"), F.min("out").alias("least")).filter("out > 1 or (out = 1 and least = 0)").head(1)
+    while not stars(cur):
         both = cur.union(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v").distinct()
@@ -28,9 +29,5 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         small = (large.join(down, "u").filter("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
                  .union(down.select("u", F.col("m").alias("v"))).distinct())
         cur = cut_lineage(small)
-        now = mark(cur)
-        if now == seen:
-            break
-        seen = now
     roots = cur.select(F.col("v").alias("u"), "v").distinct()
     return cur.union(roots).groupBy("u").agg(F.min("v").alias("component")).withColumnRenamed("u", "id")
