@@ -310,3 +310,22 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return (table.select("id", F.col("n").alias("n_shingles")).join(comp, "id", "left")
             .select(F.expr(f"nullif(id, {NULL_ID}L)").alias("id"), "n_shingles",
                     F.expr(f"nullif(coalesce(component, id), {NULL_ID}L)").alias("component_id")))
+
+
+def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80,
+                     shard_bytes: int = S.SHARD_BYTES) -> DataFrame:
+    """One row of each group of near-duplicates stays, all columns kept: the one with the smallest
+    id (null last), of rows with the same id the first in the input.
+
+    Rows are judged, not ids: each gets a number, written once, that stands for it in the
+    join, so rows with a null or repeated id are documents of their own.  Rows without
+    words are no near copies of anything and stay.
+    """
+    row = "row"
+    while row in docs.columns:
+        row = "_" + row
+    numbered = cut_lineage(docs.withColumn(row, F.monotonically_increasing_id()))
+    groups = jaccard_components(numbered, row, text_col, k, percent, shard_bytes).select(F.col("id").alias(row), "component_id")
+    names = numbered.select(row, F.col(id_col).isNull().alias("none"), F.col(id_col).alias("name"))
+    first = names.join(groups, row).groupBy("component_id").agg(F.min(F.struct("none", "name", row)).alias("first"))
+    return numbered.join(first.select(f"first.{row}"), row, "left_semi").select(*docs.columns)
