@@ -9,40 +9,50 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 from lethe.llm.decontaminate import drop_contaminated
 from lethe.llm.exact import drop_copies
-from lethe.llm.jaccard import jaccard_components
+from lethe.llm.jaccard import drop_near_copies
 from lethe.llm.packing import best_fit_pack
 from lethe.llm.toxicity import drop_toxic, fit_toxicity
 from lethe.session import checkpoint_dir
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejected documents go; the classifier learns from the labelled ones among ``docs``."""
+    """Rows whose text is rejected go; the classifier learns from the labelled ones among ``docs``.
+
+    Null and empty texts are scored like any other (the score of a text without terms), equal
+    texts get equal scores, each row is judged by its own text whatever its id, and an
+    empty table stays empty.
+    """
     finder, weights = fit_toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return drop_toxic(docs, finder, weights, 0.3)
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One of equal texts stays."""
+    """One row of equal texts stays: the longest original, then the smallest doc_id (null last),
+    then the first in the input.  Null and empty texts are equal; an empty table stays empty."""
     return drop_copies(docs)
 
 
 def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the smallest id stays."""
-    gone = jaccard_components(docs).filter("id is null or id <> component_id").filter("component_id is not null").select(F.col("id").alias("gone"))
-    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("gone")), "left_anti")
+    """Of each group of near-duplicates the row with the smallest doc_id stays (null last, then
+    the first in the input).  Rows are judged, not ids: rows with a null or repeated id are
+    documents of their own.  Texts without words stay; an empty table stays empty."""
+    return drop_near_copies(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item go."""
+    """Rows whose text holds a benchmark item go, each judged by its own text whatever its id.
+    Null and empty texts hold none and stay; an empty table or benchmark changes nothing."""
     return drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents that are left, with their place in the packed sequences."""
+    """Pieces of the documents that are left, with their place in the packed sequences.  Null
+    and empty texts are the end token alone; rows with a null or repeated doc_id are
+    documents of their own; an empty table gives no pieces."""
     import public_tokenizers
     return best_fit_pack(docs, public_tokenizers.path("word_bpe_49k.json")).withColumnRenamed("id", "doc_id")
 
