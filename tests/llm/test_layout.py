@@ -242,3 +242,27 @@ def test_stages_on_nulls_and_repeated_rows(spark, sf, hard_texts):
             assert not after - before, name            # rows pass unchanged, or go
             before, docs = after, spark.createDataFrame(out, docs.schema)
     assert sum(r.text is None or not r.text.strip() for r in before) == 1     # of the empty texts one stays
+
+
+def test_near_copies_are_judged_by_row(spark, sf, hard_texts):
+    from test_copies import classes
+    a = " ".join(f"a{i}" for i in range(60))
+    near = " ".join(f"a{i}" for i in range(58)) + " tail end"
+    cases = [[(1, a), (None, near), (None, "quite another text than the first of all"), (7, near + " more"), (7, "an unrelated text that has the id of a copy")],
+             list(hard_texts) + [(i % 3 or None, t) for i, (_, t) in enumerate(hard_texts)]]
+    for rows in cases:
+        docs = spark.createDataFrame([(i, t, "row", None, k) for k, (i, t) in enumerate(rows)],
+                                     "doc_id long, text string, row string, source string, n_chars long").repartition(3)
+        out = corpus_pipeline.jaccard_join(spark, docs, sf)
+        assert out.columns == docs.columns
+        kept = {r.n_chars for r in out.collect()}
+        groups = {}
+        for k, _, c in classes([(k, t) for k, (_, t) in enumerate(rows)]):
+            groups.setdefault(c, []).append(k)
+        assert len(kept) == len(groups)
+        for members in groups.values():
+            least = min((rows[k][0] is None, rows[k][0] or 0) for k in members)
+            (stays,) = kept & set(members)
+            assert (rows[stays][0] is None, rows[stays][0] or 0) == least
+    assert {r.n_chars for r in corpus_pipeline.jaccard_join(spark, spark.createDataFrame(
+        [(i, t, None, None, k) for k, (i, t) in enumerate(cases[0])], docs.schema), sf).collect()} == {0, 2, 4}
