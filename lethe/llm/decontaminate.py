@@ -1,14 +1,16 @@
 """Benchmark decontamination with SimHash of item-sized windows.
 
-Words are runs of ASCII letters, digits and non-ASCII characters, A-Z folded, so changes of
-case and punctuation do not matter.  An item of L words is compared with every window of L
+Words are runs of ASCII letters, digits and non-ASCII characters other than typographic
+marks, A-Z folded, so changes of case and punctuation do not matter.  An item of L words is compared with every window of L
 words of every document, on bags of ``k``-word shingles:
 
 1. A window can only reach the similarity if enough of its shingles occur in the benchmark
    at all (an exact bound, from a sliding count); other windows are left out unhashed.
 2. Windows get two 64-bit SimHash fingerprints.  Items of the same length are found through
    a multi-index: 8 blocks of 8 bits, each probed for all values within 2 bits, which by the
-   pigeonhole rule yields every item within ``RADIUS`` = 16 bits (8 * (2 + 1) > 16).
+   pigeonhole rule yields every item within ``RADIUS`` = 16 bits (8 * (2 + 1) > 16).  At so
+   wide a radius a block passes 37 of 256 values, so over half of the items of a length
+   stay candidates; windows and items are compared in steps of bounded size.
 3. The bag Jaccard similarity (shingles weighted by their counts) of window and item is
    computed in whole; ``percent`` or more is a hit.
 
@@ -43,6 +45,7 @@ RADIUS = 16
 BLOCK_ITEMS = 50_000
 HITS = "id long, item_id long, first_word long, n_words long, hamming int, similarity double"
 
+_CELLS = 1 << 20               # window and item pairs that are compared at a time
 _SEEDS = (np.uint64(0), np.uint64(0x5851F42D4C957F2D))
 _BITS = np.uint64(1) << np.arange(64, dtype=np.uint64)
 _NEAR = np.array([[(a ^ b).bit_count() <= 2 for b in range(256)] for a in range(256)])
@@ -65,9 +68,7 @@ class LengthIndex:
     def __init__(self, ids: list[int], shingles: np.ndarray):
         self.ids, self.bags = ids, np.sort(shingles, axis=1)
         self.prints = fingerprints(shingles)
-        blocks = self.prints.view(np.uint8).reshape(len(ids), 2, 8)
-        # near[f][b][value] = items whose block b of fingerprint f is within 2 bits of the value
-        self.near = [[_NEAR[:, blocks[:, f, b]] for b in range(8)] for f in range(2)]
+        self.blocks = self.prints.view(np.uint8).reshape(len(ids), 2, 8)
 
     def holding(self, bag: np.ndarray, need: int) -> list[int]:
         """Items of which at least ``need`` shingles occur in the sorted bag."""
@@ -75,17 +76,23 @@ class LengthIndex:
         return np.flatnonzero((bag[at] == self.bags).sum(axis=1) >= need).tolist()
 
     def candidates(self, prints: np.ndarray):
-        """(window, item, distance) for all pairs within RADIUS in either fingerprint."""
+        """(window, item, distance) for all pairs within RADIUS in either fingerprint, in steps of
+        at most about ``_CELLS`` pairs: two values within RADIUS have a block within 2 bits."""
+        step = max(1, _CELLS // len(self.ids))
+        found = [self._near(prints[lo:lo + step], lo) for lo in range(0, len(prints), step)]
+        return tuple(np.concatenate(c) for c in zip(*found)) if found else (np.empty(0, np.int64),) * 3
+
+    def _near(self, prints, lo):
         blocks = prints.view(np.uint8).reshape(len(prints), 2, 8)
-        best = np.full((len(prints), len(self.ids)), 65, np.int64)
+        best = np.full((len(prints), len(self.ids)), 65, np.uint8)
         for f in range(2):
             some = np.zeros(best.shape, bool)
             for b in range(8):
-                some |= self.near[f][b][blocks[:, f, b]]
+                some |= _NEAR[blocks[:, f, b, None], self.blocks[None, :, f, b]]
             w, i = np.nonzero(some)
             best[w, i] = np.minimum(best[w, i], np.bitwise_count(prints[w, f] ^ self.prints[i, f]))
         w, i = np.nonzero(best <= RADIUS)
-        return w, i, best[w, i]
+        return w + lo, i, best[w, i].astype(np.int64)
 
 
 def bag_overlap(a: np.ndarray, b: np.ndarray) -> int:

@@ -139,23 +139,17 @@ FROM documents LEFT JOIN c USING (doc_id) GROUP BY documents.doc_id"""
 
 
 def _license_sql() -> str:
-    from .licenses import ANCHORS, MIN_MATCH, _templates
-    rows = ", ".join(f"({t}, '{label}', {base}, {q}, '{w}', {at <= q < at + len(key)}, {len(words)})"
+    """Every start of every template that shares a word with the text is tested, without anchors."""
+    from .licenses import MIN_MATCH, _templates
+    rows = ", ".join(f"({t}, '{label}', {base}, {q}, '{w}', {at <= q < at + len(key)}, {len(words)}, {len(key)})"
                      for t, (label, words, at, key, base) in enumerate(_templates()) for q, w in enumerate(words))
     return rf"""
 WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
                                              '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
 p AS MATERIALIZED (SELECT doc_id, unnest(w) AS w, generate_subscripts(w, 1) - 1 AS i FROM d),
-tpl(t, label, base, q, w, iskey, n) AS (VALUES {rows}),
-df AS (SELECT w, count(DISTINCT doc_id) AS df FROM p GROUP BY w),
-rare AS (SELECT t, w, row_number() OVER (PARTITION BY t ORDER BY coalesce(df, 0), w) AS place, base
-         FROM (SELECT DISTINCT t, w, base FROM tpl) LEFT JOIN df USING (w)),
-start AS (SELECT DISTINCT p.doc_id, tpl.t, p.i - tpl.q AS first FROM rare JOIN tpl USING (t, w) JOIN p ON p.w = tpl.w
-          WHERE place <= CASE WHEN rare.base THEN 1 ELSE {ANCHORS} END),
-hit AS (SELECT s.doc_id, s.t, s.first, any_value(tpl.label) AS label, bool_and(tpl.base) AS base,
-               count(*) FILTER (WHERE p.w = tpl.w)::DOUBLE / any_value(tpl.n) AS score,
-               bool_and(NOT tpl.iskey OR coalesce(p.w = tpl.w, false)) AS keyed
-        FROM start s JOIN tpl USING (t) LEFT JOIN p ON p.doc_id = s.doc_id AND p.i = s.first + tpl.q GROUP BY s.doc_id, s.t, s.first),
+tpl(t, label, base, q, w, iskey, n, nkey) AS (VALUES {rows}),
+hit AS (SELECT p.doc_id, t, p.i - q AS first, any_value(label) AS label, any_value(base) AS base, count(*)::DOUBLE / any_value(n) AS score,
+               count(*) FILTER (WHERE iskey) = any_value(nkey) AS keyed FROM p JOIN tpl ON tpl.w = p.w GROUP BY p.doc_id, t, p.i - q),
 good AS (SELECT * FROM hit WHERE keyed AND score >= CASE WHEN base THEN 1.0 ELSE {MIN_MATCH} END)
 SELECT d.doc_id, len(any_value(d.w)) AS n_words, count(*) FILTER (WHERE g.base) AS n_base,
        min(g.first) FILTER (WHERE g.base) AS first_word, max(g.first) FILTER (WHERE g.base) AS last_word,

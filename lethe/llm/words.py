@@ -36,6 +36,24 @@ _NOT_SPACE = np.ones(256, dtype=bool)
 _NOT_SPACE[list(_SPACES)] = False
 _ALNUM = np.zeros(256, dtype=bool)
 _ALNUM[48:58] = _ALNUM[65:91] = _ALNUM[97:123] = _ALNUM[128:] = True
+# Typographic marks: second bytes of U+00A0..00BF that are no letters or digits, after 0xC2,
+# and the lead bytes of U+2000..206F (general punctuation).
+_LATIN_MARK = np.zeros(256, dtype=bool)
+_LATIN_MARK[0xA0:0xC0] = True
+_LATIN_MARK[[0xAA, 0xB2, 0xB3, 0xB5, 0xB9, 0xBA, 0xBC, 0xBD, 0xBE]] = False
+
+
+def _letters(buf: np.ndarray) -> np.ndarray:
+    """Which bytes belong to words of letters and digits; ``buf`` ends with a separator."""
+    flag = _ALNUM[buf]
+    at = np.flatnonzero(buf == 0xC2)
+    at = at[_LATIN_MARK[buf[at + 1]]]
+    flag[at] = flag[at + 1] = False
+    at = np.flatnonzero(buf == 0xE2)
+    at = at[at + 2 < len(buf)]
+    at = at[(buf[at + 1] == 0x80) | ((buf[at + 1] == 0x81) & (buf[at + 2] < 0xB0))]
+    flag[at] = flag[at + 1] = flag[at + 2] = False
+    return flag
 
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
@@ -86,11 +104,12 @@ def roll(codes: np.ndarray, k: int, base: int = 0xD6E8FEB86659FD93) -> np.ndarra
 
 
 def split(texts: list[bytes], lower: bool = False, alnum: bool = False) -> Words:
-    """Words of the texts: runs of non-space bytes, or of ASCII letters, digits and
-    non-ASCII bytes (``alnum``); ``lower`` folds A-Z before hashing."""
+    """Words of the texts: runs of non-space bytes, or (``alnum``) of ASCII letters, digits and
+    non-ASCII bytes less the typographic marks of U+00A0..00BF and U+2000..206F; ``lower``
+    folds A-Z before hashing."""
     sep = b" "
     buf = np.frombuffer(sep.join(texts) + sep, dtype=np.uint8)
-    flag = (_ALNUM if alnum else _NOT_SPACE)[buf].view(np.int8)
+    flag = (_letters(buf) if alnum else _NOT_SPACE[buf]).view(np.int8)
     edges = np.flatnonzero(np.diff(flag, prepend=np.int8(0)))
     starts, ends = edges[::2], edges[1::2]
     code = _BYTE_CODE[_LOWER[buf]] if lower else _BYTE_CODE[buf]

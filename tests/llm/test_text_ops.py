@@ -6,11 +6,12 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from lethe.llm.decontaminate import Benchmark, _NEAR, benchmark_hits, drop_contaminated, fingerprints
+from lethe.llm.decontaminate import Benchmark, LengthIndex, _NEAR, benchmark_hits, drop_contaminated, fingerprints
 from lethe.llm.labelled import train_rows
 from lethe.llm.licenses import BASE, NOTICES, license_scan, rare_token_index, _templates
 from lethe.llm.quality import BITS, Ftrl, fit_quality, ngrams, score_quality, vector
 from lethe.llm.toxicity import Finder, LexiconAutomaton, drop_toxic, fit_toxicity, learn_lexicon, quoted, score_toxicity
+from lethe.llm.words import split
 
 WORD = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
 LOWER = {c: c + 32 for c in range(65, 91)}
@@ -361,6 +362,34 @@ def test_multi_index_finds_all_within_radius():
     assert _NEAR.sum(axis=1).tolist() == [37] * 256 and fingerprints(np.empty((0, 3), np.uint64)).shape == (0, 2)
 
 
+def test_typographic_marks_separate_words(spark):
+    finder = Finder(["idiot"], [])
+    marked = ["“idiot”", "«idiot»", "idiot—", "so…idiot…so", "¡idiot!", "idiot\u00a0you", "‘idiot’", "¿idiot‽"]
+    for text in marked:
+        f = finder.features([text.encode()])[0]
+        assert f.get(0, f.get(1)) == pytest.approx(np.log1p(1)), text
+    assert 1 in finder.features(["he said “idiot”".encode()])[0]
+    w = split(["1ª vez, nº2 µm ½ naïve — x²".encode(), "a‐b\u2003c".encode()], alnum=True)
+    assert [bytes(w.buf[a:b]).decode() for a, b in zip(w.starts, w.ends)] == ["1ª", "vez", "nº2", "µm", "½", "naïve", "x²", "a", "b", "c"]
+    item = [f"item{k}" for k in range(24)]
+    printed = "“" + "” — “".join(" ".join(item[k:k + 3]) + "…" for k in range(0, 24, 3)) + "”"
+    hits = benchmark_hits(spark.createDataFrame([(1, "before " + printed + " after")], "doc_id long, text string"),
+                          spark.createDataFrame([(7, " ".join(item))], "item_id long, text string")).collect()
+    assert [(h.item_id, h.similarity) for h in hits] == [(7, 1.0)]
+
+
+def test_many_items_of_one_length_in_bounded_memory():
+    import tracemalloc
+    rng = np.random.default_rng(3)
+    index = LengthIndex(list(range(50_000)), rng.integers(0, 1 << 63, (50_000, 20), dtype=np.uint64))
+    prints = index.prints[rng.integers(0, 50_000, 200)]
+    tracemalloc.start()
+    w, i, d = index.candidates(prints)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 100 << 20 and set(range(200)) <= set(w[d == 0].tolist())
+
+
 def test_decontamination_empty_tables(no_docs, spark):
     items = spark.createDataFrame([], "item_id long, text string")
     some = spark.createDataFrame([(1, "x y z")], "doc_id long, text string")
