@@ -10,6 +10,9 @@ DuckDB spelling of the same value::
 
 from __future__ import annotations
 
+import hashlib
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -30,3 +33,15 @@ def uniform(key, seed) -> Column:
     """Uniform double in [0, 1)."""
     return phash(key, seed) / F.lit(TWO_32)
 
+
+def gaussian(key, seed) -> Column:
+    """Standard normal draw of (key, seed): Box-Muller over two draws of the key."""
+    radius = F.sqrt(F.lit(-2.0) * F.log((phash(key, f"{seed}:r") + 1) / F.lit(TWO_32)))
+    return radius * F.cos(F.lit(2.0 * math.pi) * uniform(key, f"{seed}:a"))
+
+
+def gaussian_vector(d: int, seed, sigma: float = 1.0) -> list[float]:
+    """sigma times the draws of the keys 0..d-1, as the driver's parameters need them."""
+    def draw(key, part):
+        return int(hashlib.md5(f"{key}:{seed}:{part}".encode()).hexdigest()[:8], 16)
+    return [sigma * math.sqrt(-2.0 * math.log((draw(j, "r") + 1) / TWO_32)) * math.cos(2.0 * math.pi * draw(j, "a") / TWO_32) for j in range(d)]

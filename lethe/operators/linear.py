@@ -11,8 +11,8 @@ Gradient and HVP are relational: explode the sparse row, multiply, group by
 ``dim``.  The group-by has a partial (map-side) stage, so a dimension present in
 every row is pre-aggregated per task and never becomes a hot key.  The dense
 Hessian is a per-task NumPy partial X^T D X over an Arrow batch (no row pairs are
-materialised), re-aggregated by (i, j): d^2 / 2 values a task.  Callers choose it or an
-HVP-based solver explicitly.
+materialised), sent as one packed block a task and merged in two levels (``blocks``).
+Callers choose it or an HVP-based solver explicitly.
 
 theta reaches the executors as one array literal (it is parameter-sized).
 """
@@ -26,6 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalar import log_loss, logistic, sparse_dot
+from .blocks import block_sums, block_table, row_chunks
 
 
 def with_score(samples: DataFrame, theta: Sequence[float], name: str = "s",
@@ -57,10 +58,6 @@ def objective(l_value: float, theta: Sequence[float], lam: float, b: Sequence[fl
     return out
 
 
-def loss_df(samples: DataFrame, theta: Sequence[float]) -> DataFrame:
-    return samples.agg(loss_l(samples, theta).alias("loss"), F.count(F.lit(1)).alias("n"))
-
-
 # A10 ----------------------------------------------------------------------------
 def gradient(samples: DataFrame, theta: Sequence[float]) -> DataFrame:
     """(dim, grad) of the unregularised sample loss; dims with no entry are absent (0)."""
@@ -113,52 +110,43 @@ def hvp_vector(samples: DataFrame, theta, v, d: int, lam: float = 0.0) -> np.nda
 
 
 # A12 ----------------------------------------------------------------------------
-def _hessian_partials(theta: np.ndarray, d: int):
+def _hessian_blocks(theta: np.ndarray, d: int):
+    """Upper triangle of X' D X over a task's rows, as one packed block."""
+    i, j = np.triu_indices(d)
+
     def run(batches):
-        import pandas as pd
         acc = np.zeros((d, d))
-        seen = False
-        for pdf in batches:
-            if len(pdf) == 0:
-                continue
-            seen = True
-            n = len(pdf)
-            X = np.zeros((n, d))
-            lens = pdf["idx"].map(len).to_numpy()
-            rows = np.repeat(np.arange(n), lens)
-            if rows.size:
-                cols = np.concatenate(pdf["idx"].to_numpy()).astype(np.int64)
-                vals = np.concatenate(pdf["val"].to_numpy()).astype(float)
-                np.add.at(X, (rows, cols), vals)
-            s = X @ theta
-            p = 1.0 / (1.0 + np.exp(-s))
-            acc += (X * (p * (1.0 - p))[:, None]).T @ X
-        if seen:
-            i, j = np.triu_indices(d)
-            keep = acc[i, j] != 0
-            yield pd.DataFrame({"i": i[keep].astype(np.int32), "j": j[keep].astype(np.int32),
-                                "h": acc[i, j][keep]})
+        for _, x in row_chunks(batches, d):
+            dense = x.dense(d)
+            p = 1.0 / (1.0 + np.exp(-(dense @ theta)))
+            acc += (dense * (p * (1.0 - p))[:, None]).T @ dense
+        return {0: acc[i, j]}
     return run
 
 
 def hessian(samples: DataFrame, theta: Sequence[float], d: int, lam: float = 0.0) -> DataFrame:
-    """(i, j, h) for all i, j of X^T D X + lambda I."""
-    th = np.asarray(theta, dtype=float)
-    parts = samples.select("idx", "val").mapInPandas(_hessian_partials(th, d), "i int, j int, h double")
-    upper = parts.groupBy("i", "j").agg(F.sum("h").alias("h"))
-    spark = samples.sparkSession
-    diag = spark.range(d).select(F.col("id").cast("int").alias("i"), F.col("id").cast("int").alias("j"),
-                                 F.lit(float(lam)).alias("h"))
-    upper = upper.unionByName(diag).groupBy("i", "j").agg(F.sum("h").alias("h"))
-    lower = upper.where("i <> j").select(F.col("j").alias("i"), F.col("i").alias("j"), "h")
-    return upper.unionByName(lower)
+    """(i, j, h) for all i, j of X^T D X + lambda I that are not zero."""
+    block = block_table(samples.select("idx", "val"), _hessian_blocks(np.asarray(theta, dtype=float), d))
+
+    def run(batches):
+        import pyarrow as pa
+        i, j = np.triu_indices(d)
+        for b in batches:
+            for body in b.column("body").to_pylist():
+                h = np.zeros((d, d))
+                h[i, j] = h[j, i] = np.frombuffer(body, "<f8")
+                h += lam * np.eye(d)
+                r, c = np.nonzero(h)
+                yield pa.RecordBatch.from_arrays([pa.array(r.astype(np.int32)), pa.array(c.astype(np.int32)), pa.array(h[r, c])], names=["i", "j", "h"])
+    return block.select("body").mapInArrow(run, "i int, j int, h double")
 
 
 def hessian_matrix(samples: DataFrame, theta, d: int, lam: float = 0.0) -> np.ndarray:
+    i, j = np.triu_indices(d)
     H = np.zeros((d, d))
-    for r in hessian(samples, theta, d, lam).collect():
-        H[r["i"], r["j"]] = r["h"]
-    return H
+    sums = block_sums(samples.select("idx", "val"), _hessian_blocks(np.asarray(theta, dtype=float), d))
+    H[i, j] = H[j, i] = sums.get(0, 0.0)
+    return H + lam * np.eye(d)
 
 
 # M3 / F4 ------------------------------------------------------------------------

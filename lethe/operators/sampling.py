@@ -11,10 +11,10 @@ from __future__ import annotations
 
 from collections import defaultdict
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.rand import TWO_32, phash
+from ..functions.rand import phash
 from .prefix import global_rank
 
 _ALL = "__all__"
@@ -138,12 +138,14 @@ def reduce_dataset(df: DataFrame, key: str, reduction: float, is_delta: str, see
 def feature_combinations(spark, d: int, n_combos: int, k: int, seed=0) -> DataFrame:
     """combos(combo_id, dim): for each of n_combos draws, k distinct dims of 0..d-1 (smallest hashes).
 
-    The candidate table is generated as one range of n_combos * d ids (no join).
+    The candidates are one range of n_combos * d ids; each draw is ranked on its own, and
+    Spark keeps only k a draw and task before it shuffles.
     """
     cand = spark.range(n_combos * d).select((F.col("id") / F.lit(d)).cast("int").alias("combo_id"),
                                             F.pmod(F.col("id"), F.lit(d)).cast("int").alias("dim"))
-    cand = cand.withColumn("__k", F.concat_ws(":", F.col("combo_id").cast("string"), F.col("dim").cast("string")))
-    return hash_cut(cand, "__k", seed, k, by="combo_id").select("combo_id", "dim")
+    name = F.concat_ws(":", F.col("combo_id").cast("string"), F.col("dim").cast("string"))
+    order = Window.partitionBy("combo_id").orderBy(phash(name, seed), name)
+    return cand.withColumn("__rn", F.row_number().over(order)).where(F.col("__rn") <= k).select("combo_id", "dim")
 
 
 # W8 -----------------------------------------------------------------------------
@@ -152,6 +154,3 @@ def batch_numbers(df: DataFrame, order: list[Column], batch_size: int) -> DataFr
     r = global_rank(df, order, name="__rn")
     return r.withColumn("batch", F.floor((F.col("__rn") - 1) / F.lit(batch_size)).cast("bigint")).drop("__rn")
 
-
-def uniform_col(key: str, seed) -> Column:
-    return phash(key, seed) / F.lit(TWO_32)

@@ -45,72 +45,6 @@ def persisted(df: DataFrame):
         kept.unpersist()
 
 
-def _newton_partials(thetas: dict, d: int, key: str | None):
-    """Per-task loss, gradient and upper-triangular Hessian partials, keyed by ``key`` (e.g. shard)."""
-    iu, ju = np.triu_indices(d)
-
-    def run(batches):
-        import pandas as pd
-        acc = {}
-        for pdf in batches:
-            if len(pdf) == 0:
-                continue
-            groups = pdf.groupby(key) if key else [(None, pdf)]
-            for g, part in groups:
-                th = thetas[g if key else None]
-                n = len(part)
-                X = np.zeros((n, d))
-                lens = part["idx"].map(len).to_numpy()
-                rows = np.repeat(np.arange(n), lens)
-                if rows.size:
-                    np.add.at(X, (rows, np.concatenate(part["idx"].to_numpy()).astype(np.int64)),
-                              np.concatenate(part["val"].to_numpy()).astype(float))
-                y = part["y"].to_numpy().astype(float)
-                s = X @ th
-                m = y * s
-                loss = float(np.sum(np.logaddexp(0.0, -m)))
-                f = -y / (1.0 + np.exp(m))
-                p = 1.0 / (1.0 + np.exp(-s))
-                H = (X * (p * (1 - p))[:, None]).T @ X
-                a = acc.setdefault(g, [0.0, np.zeros(d), np.zeros((d, d)), 0])
-                a[0] += loss
-                a[1] += X.T @ f
-                a[2] += H
-                a[3] += n
-        out = []
-        for g, (loss, grad, H, n) in acc.items():
-            gk = -1 if g is None else int(g)
-            out.append(pd.DataFrame({"g": gk, "i": -2, "j": 0, "v": [loss]}))
-            out.append(pd.DataFrame({"g": gk, "i": -3, "j": 0, "v": [float(n)]}))
-            out.append(pd.DataFrame({"g": gk, "i": -1, "j": np.arange(d), "v": grad}))
-            out.append(pd.DataFrame({"g": gk, "i": iu, "j": ju, "v": H[iu, ju]}))
-        if out:
-            df = pd.concat(out)
-            yield df.astype({"g": "int32", "i": "int32", "j": "int32", "v": "float64"})
-    return run
-
-
-def newton_stats(samples: DataFrame, thetas: dict, d: int, key: str | None = None) -> dict:
-    """{group: (loss, grad, H (without lambda), n)} in one job."""
-    cols = ["y", "idx", "val"] + ([key] if key else [])
-    parts = samples.select(*cols).mapInPandas(_newton_partials(thetas, d, key), "g int, i int, j int, v double")
-    rows = parts.groupBy("g", "i", "j").agg(F.sum("v").alias("v")).collect()
-    out = {}
-    for r in rows:
-        g = None if (key is None) else r["g"]
-        st = out.setdefault(g, [0.0, np.zeros(d), np.zeros((d, d)), 0])
-        if r["i"] == -2:
-            st[0] = r["v"]
-        elif r["i"] == -3:
-            st[3] = int(r["v"])
-        elif r["i"] == -1:
-            st[1][r["j"]] = r["v"]
-        else:
-            st[2][r["i"], r["j"]] = r["v"]
-            st[2][r["j"], r["i"]] = r["v"]
-    return out
-
-
 def fit_newton(samples: DataFrame, d: int, lam: float, b=None, theta0=None, max_iter: int = 200,
                tol: float = 1e-8, key: str | None = None, groups=None) -> dict:
     """Minimise l + lambda/2 |theta|^2 + b . theta by damped Newton steps (one job per step for
@@ -120,35 +54,13 @@ def fit_newton(samples: DataFrame, d: int, lam: float, b=None, theta0=None, max_
     without rows gets no model.  Stops when |gradient| <= tol * (1 + |first gradient|).
     Returns {group: theta}.
     """
-    bb = np.zeros(d) if b is None else np.asarray(b, dtype=float)
+    from .grid import fit_grid, grid
     start = np.zeros(d) if theta0 is None else np.asarray(theta0, dtype=float)
-    base = {g: start.copy() for g in (groups if key else [None])}     # last accepted point
-    trial = {g: t.copy() for g, t in base.items()}
-    value, move, first, done = {}, {}, {}, set()
-    with persisted(samples) as data:
-        for _ in range(max_iter):
-            st = newton_stats(data, trial, d, key)
-            for g in [g for g in trial if g not in st]:
-                del trial[g], base[g]
-            for g in [g for g in trial if g not in done]:
-                loss, grad, H, _ = st[g]
-                t = trial[g]
-                f = loss + 0.5 * lam * t @ t + bb @ t
-                if g in value and f > value[g] + 1e-9 * abs(value[g]):
-                    move[g] = move[g] / 2
-                    trial[g] = base[g] + move[g]
-                    continue
-                base[g], value[g] = t, f
-                gL = grad + lam * t + bb
-                size = float(np.linalg.norm(gL))
-                if size <= tol * (1 + first.setdefault(g, size)):
-                    done.add(g)
-                    continue
-                move[g] = -np.linalg.solve(H + lam * np.eye(d), gL)
-                trial[g] = t + move[g]
-            if len(done) == len(trial):
-                return base
-    raise NotConverged(f"Newton: {sorted(map(str, set(trial) - done))} after {max_iter} steps")
+    names = list(groups) if key else [None]
+    rows = samples.select("y", "idx", "val", F.col(key).alias("shard")) if key else samples.select("y", "idx", "val")
+    models = grid(np.repeat(start[None], len(names), axis=0), shard=names if key else None)
+    found = fit_grid(rows, models, lam, 0.0 if b is None else b, max_iter, tol)
+    return {g: t for g, t in zip(names, found) if not np.isnan(t).any()}
 
 
 def _gradient_partials(theta: np.ndarray):

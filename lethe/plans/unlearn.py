@@ -146,18 +146,17 @@ def sharded_unlearn(samples: DataFrame, deleted: DataFrame, models: dict, n_shar
     if not hit:
         return dict(models), []
     rest = rw.exclude(s.where(F.col("shard").isin(hit)), deleted, key)
-    new = solvers.fit_newton(rest, d, lam, key="shard", groups=hit,
-                             theta0=None)
+    new = solvers.fit_newton(rest, d, lam, key="shard", groups=hit)
     out = dict(models)
     out.update(new)
     return out, hit
 
 
-def ensemble_predict(samples: DataFrame, models: dict, key: str = "row_id") -> DataFrame:
-    """(key, vote): majority vote of the shard models (a shard without rows has none), scored
+def ensemble_predict(samples: DataFrame, models: dict, key: str = "row_id", keep: tuple = ()) -> DataFrame:
+    """(key, vote) and the columns ``keep``: majority vote of the shard models (a shard without rows has none), scored
     in one pass; a tie votes -1."""
     votes = sum((F.when(sparse_dot("idx", "val", list(th)) >= 0, 1).otherwise(-1) for _, th in sorted(models.items())), F.lit(0))
-    return samples.select(key, F.when(votes > 0, 1.0).otherwise(-1.0).alias("vote"))
+    return samples.select(key, *keep, F.when(votes > 0, 1.0).otherwise(-1.0).alias("vote"))
 
 
 # C1-C4 ----------------------------------------------------------------------------

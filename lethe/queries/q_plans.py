@@ -247,14 +247,12 @@ SELECT CAST(shard AS INTEGER) AS shard, retrained, round(change, 5) AS theta_cha
 def u10_sharded_unlearning(spark, sf):
     """Shards of the tabular rows on their two numeric features."""
     p = tabular_samples(spark, sf)
-    rows = rw.remove_features(p.samples, list(range(2, p.d)))
-    train = rows.where("split = 'train'")
-    models = ul.sharded_fit(train, N_SHARDS, 2, LAM, SHARD_SEED)
-    deleted = sa.choose_rows(train.select("row_id"), "row_id", 3, DEL_SEED)
-    new, hit = ul.sharded_unlearn(train, deleted, models, N_SHARDS, 2, LAM, SHARD_SEED)
-    test = rows.where("split = 'test'")
-    vote = ul.ensemble_predict(test, new).join(test.select("row_id", "y"), "row_id")
-    acc = vote.agg(F.avg((F.col("vote") == F.col("y")).cast("double"))).collect()[0][0]
+    with solvers.persisted(rw.remove_features(p.samples, list(range(2, p.d)))) as rows:
+        train, test = rows.where("split = 'train'"), rows.where("split = 'test'")
+        deleted = sa.choose_rows(train.select("row_id"), "row_id", 3, DEL_SEED)
+        models = ul.sharded_fit(train, N_SHARDS, 2, LAM, SHARD_SEED)
+        new, hit = ul.sharded_unlearn(train, deleted, models, N_SHARDS, 2, LAM, SHARD_SEED)
+        acc = ul.ensemble_predict(test, new, keep=("y",)).agg(F.avg((F.col("vote") == F.col("y")).cast("double"))).collect()[0][0]
     out = [(g, g in hit, round(float(np.linalg.norm(new[g] - models[g])), 5), round(acc, 6)) for g in sorted(new)]
     return spark.createDataFrame(out, "shard int, retrained boolean, theta_change double, vote_accuracy double")
 

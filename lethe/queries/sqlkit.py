@@ -13,6 +13,11 @@ def ph(key: str, seed) -> str:
     return f"cast(('0x' || substr(md5(cast({key} as varchar) || ':{seed}'), 1, 8)) as bigint)"
 
 
+def normal(key: str, seed) -> str:
+    """Box-Muller over two draws of the key."""
+    return (f"sqrt(-2.0 * ln(({ph(key, f'{seed}:r')} + 1) / 4294967296.0)) * cos(2.0 * pi() * {unif(key, f'{seed}:a')})")
+
+
 def unif(key: str, seed) -> str:
     return f"({ph(key, seed)} / 4294967296.0)"
 
@@ -32,15 +37,16 @@ def _mm(c: str) -> str:
             f"min({c}) OVER (PARTITION BY split) END")
 
 
-# lineitem: li_rows(rid, split, y, x0..x3), li_entries(rid, split, y, dim, value)
-LI = f"""
+def li(positive: str = "l_returnflag = 'R'") -> str:
+    """lineitem: li_rows(rid, row_id, split, y, x0..x3), li_entries(rid, split, y, dim, value)."""
+    return f"""
 li_base AS (
-  SELECT row_number() OVER () AS rid, {split_sql('l_orderkey')} AS split,
-         CASE WHEN l_returnflag = 'R' THEN 1.0 ELSE -1.0 END AS y,
+  SELECT row_number() OVER () AS rid, l_orderkey AS row_id, {split_sql('l_orderkey')} AS split,
+         CASE WHEN {positive} THEN 1.0 ELSE -1.0 END AS y,
          l_quantity, l_extendedprice, l_discount, l_tax
   FROM lineitem),
 li_rows AS (
-  SELECT rid, split, y, {_mm('l_quantity')} AS x0, {_mm('l_extendedprice')} AS x1,
+  SELECT rid, row_id, split, y, {_mm('l_quantity')} AS x0, {_mm('l_extendedprice')} AS x1,
          {_mm('l_discount')} AS x2, {_mm('l_tax')} AS x3
   FROM li_base),
 li_entries AS (
@@ -49,6 +55,9 @@ li_entries AS (
   WHERE value <> 0)"""
 
 
+LI = li()
+
+
 def _std(c: str) -> str:
     return (f"({c} - avg({c}) OVER (PARTITION BY split)) / coalesce(nullif(stddev_pop({c}) OVER "
             f"(PARTITION BY split), 0), 1.0)")

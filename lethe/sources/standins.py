@@ -54,16 +54,18 @@ def dense_to_sparse(x: str = "x"):
     return F.transform(z, lambda e: e["i"]).cast("array<int>"), F.transform(z, lambda e: e["v"])
 
 
-def numeric_samples(spark: SparkSession, sf_dir: str) -> Prepared:
-    """lineitem as a dense numeric binary task: 4 min-max-scaled features, y = +1 iff flag 'R'.
+def numeric_samples(spark: SparkSession, sf_dir: str, keyed: bool = False, positive: str = "l_returnflag = 'R'") -> Prepared:
+    """lineitem as a dense numeric binary task: 4 min-max-scaled features, y = +1 iff ``positive``
+    (flag 'R' by default).
 
-    lineitem has no unique key, so ``row_id`` is null: use for row-agnostic sums only.
+    lineitem has no unique key, so ``row_id`` is null: use for row-agnostic sums only.  With
+    ``keyed`` it is the order key, which shards and batches may be dealt by.
     """
-    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_returnflag", *LI_FEATURES)
+    li = table(spark, sf_dir, "lineitem").select("l_orderkey", *LI_FEATURES, F.expr(positive).alias("positive"))
     li = li.withColumn("split", split_col("l_orderkey"))
     li = fe.minmax_scale(li, LI_FEATURES, by="split")
-    li = li.select(F.lit(None).cast("bigint").alias("row_id"), "split",
-                   F.when(F.col("l_returnflag") == "R", 1.0).otherwise(-1.0).alias("y"),
+    li = li.select((F.col("l_orderkey") if keyed else F.lit(None)).cast("bigint").alias("row_id"), "split",
+                   F.when(F.col("positive"), 1.0).otherwise(-1.0).alias("y"),
                    F.array(*[F.col(c) for c in LI_FEATURES]).alias("x"))
     idx, val = dense_to_sparse("x")
     samples = li.select("row_id", "split", "y", idx.alias("idx"), val.alias("val"))
