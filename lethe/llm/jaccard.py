@@ -235,9 +235,10 @@ def _links(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFram
 
 
 def _open_lists(posts: DataFrame, r: int) -> DataFrame:
-    """Postings of the lists that span several components, with a leader of the list (the
-    smallest id at first, then one by a hash that changes with the round)."""
-    order = F.xxhash64("id", F.lit(r)) if r else F.lit(0)
+    """Postings of the lists that span several components, with a leader of the list: at first the
+    document that shares the greatest part of its tokens with others (near copies of one
+    text share less with each other than with it), then one by a hash that changes with the round."""
+    order = F.xxhash64("id", F.lit(r)) if r else -F.col("e") / F.col("n")
     lists = posts.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high"),
                                        F.min(F.struct(order.alias("h"), "id", "comp", "n", "e", "place")).alias("lead")).filter("low <> high")
     return cut_lineage(posts.join(lists.select("token", "lead"), "token"))
