@@ -15,10 +15,10 @@ from __future__ import annotations
 import math
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.rand import phash
+from ..functions.rand import phash, uniform
 from . import features as fe
 
 # The canary sentence, its start and the secret number.
@@ -146,19 +146,51 @@ def empirical_exposure(dist: DataFrame, value: float) -> DataFrame:
                     F.count(F.lit(1)).alias("n")).withColumn("exposure", F.when(F.col("rank") > 0, -F.log2(F.col("rank") / F.col("n"))))
 
 
-def skewnorm_exposure(mean: float, std: float, skew: float, value: float) -> float:
-    """Exposure from a skew-normal fitted by moments (|skewness| clamped below 0.995);
-    infinite where the fitted tail is too small for a double."""
-    g = max(min(skew, 0.995), -0.995)
-    a = (2 * abs(g) / (4 - math.pi)) ** (1 / 3)
-    delta = math.copysign(math.sqrt(math.pi / 2 * a * a / (1 + a * a)), g)
-    omega = std / math.sqrt(1 - 2 * delta * delta / math.pi)
-    xi = mean - omega * delta * math.sqrt(2 / math.pi)
-    alpha = delta / math.sqrt(1 - delta * delta)
-    z = np.linspace(-12, (value - xi) / omega, 20001)
-    pdf = 2 * np.exp(-z * z / 2) / math.sqrt(2 * math.pi) * 0.5 * (1 + np.vectorize(math.erf)(alpha * z / math.sqrt(2)))
-    cdf = float(np.trapezoid(pdf, z))
-    return -math.log2(cdf) if cdf > 0 else math.inf
+# Nodes of the quadratures below: Gauss-Legendre on [0, 1], and a panel count for Simpson's rule.
+GAUSS_NODES, SIMPSON_PANELS, TAIL = 40, 4000, 10.0
+
+
+def gauss_legendre(n: int = GAUSS_NODES) -> list[tuple[float, float]]:
+    x, w = np.polynomial.legendre.leggauss(n)
+    return [((a + 1) / 2, b / 2) for a, b in zip(x.tolist(), w.tolist())]
+
+
+def normal_cdf(x) -> Column:
+    """Phi(x) = 1/2 + x * integral over u in [0, 1] of phi(x u), cut at |x| = 8."""
+    x = F.greatest(F.least(x, F.lit(8.0)), F.lit(-8.0))
+    nodes = F.array(*[F.struct(F.lit(u).alias("u"), F.lit(w).alias("w")) for u, w in gauss_legendre()])
+    return F.lit(0.5) + x * F.aggregate(nodes, F.lit(0.0), lambda acc, e: acc + e["w"] * F.exp(-x * x * e["u"] * e["u"] / 2)) / F.lit(math.sqrt(2 * math.pi))
+
+
+def skewnorm_fit(dist: DataFrame, value: str = "pp") -> DataFrame:
+    """(xi, omega, alpha) of the skew-normal with the mean, deviation and skewness of the values, in
+    one aggregate; |skewness| is clamped below 0.995.  Without spread alpha and omega are 0."""
+    m = dist.agg(F.avg(value).alias("m"), F.stddev_pop(value).alias("s"), F.skewness(value).alias("g"))
+    m = m.withColumn("g", F.greatest(F.least(F.coalesce("g", F.lit(0.0)), F.lit(0.995)), F.lit(-0.995)))
+    m = m.withColumn("a", F.pow(2 * F.abs("g") / (4 - math.pi), F.lit(1 / 3)))
+    m = m.withColumn("delta", F.signum("g") * F.sqrt(F.lit(math.pi / 2) * F.col("a") * F.col("a") / (1 + F.col("a") * F.col("a"))))
+    omega = F.col("s") / F.sqrt(1 - 2 * F.col("delta") * F.col("delta") / math.pi)
+    return m.select((F.col("m") - omega * F.col("delta") * math.sqrt(2 / math.pi)).alias("xi"), omega.alias("omega"),
+                    (F.col("delta") / F.sqrt(1 - F.col("delta") * F.col("delta"))).alias("alpha"))
+
+
+def skewnorm_exposure(dist: DataFrame, values: DataFrame, value: str = "pp") -> DataFrame:
+    """The rows of ``values`` (a few, each with ``value``) with ``cdf`` and ``exposure`` = -log2 cdf under the
+    skew-normal fitted to ``dist``.
+
+    cdf = integral of 2 phi(t) Phi(alpha t) up to z = (value - xi) / omega by Simpson's rule over the
+    last ``TAIL`` units, all panels as rows.  Exposure is null where the tail is too small for
+    a double, and the cdf a step where ``dist`` has no spread.
+    """
+    fit = skewnorm_fit(dist, value)
+    v = values.crossJoin(F.broadcast(fit)).withColumn("z", (F.col(value) - F.col("xi")) / F.nullif("omega", F.lit(0.0)))
+    t = F.col("z") - F.lit(TAIL) + F.lit(TAIL / SIMPSON_PANELS) * F.col("i")
+    weight = F.when(F.col("i").isin(0, SIMPSON_PANELS), 1.0).when(F.col("i") % 2 == 1, 4.0).otherwise(2.0) * F.lit(TAIL / SIMPSON_PANELS / 3)
+    density = F.lit(2 / math.sqrt(2 * math.pi)) * F.exp(-t * t / 2) * normal_cdf(F.col("alpha") * t)
+    panels = v.select("*", F.explode(F.sequence(F.lit(0), F.lit(SIMPSON_PANELS))).alias("i"))
+    cdf = F.when(F.first("omega") > 0, F.least(F.sum(weight * density), F.lit(1.0))).otherwise((F.first(value) >= F.first("xi")).cast("double"))
+    out = panels.groupBy(*values.columns).agg(cdf.alias("cdf"))
+    return out.withColumn("exposure", F.when(F.col("cdf") > 0, -F.log2("cdf")))
 
 
 # T5 / X5 ------------------------------------------------------------------------
@@ -181,3 +213,52 @@ def greedy_continue(starts: DataFrame, counts: DataFrame, k: int, steps: int, mi
             .withColumn("gen", F.concat(F.col("gen"), F.coalesce(F.col("__nx"), F.lit(min_char)))) \
             .drop("__nx", "ctx")
     return out
+
+
+# X6 -----------------------------------------------------------------------------
+def sampled_continue(starts: DataFrame, counts: DataFrame, k: int, steps: int, top_k: int, seed, min_char: str,
+                     key: str = "sid", weighted: bool = False) -> DataFrame:
+    """Appends ``steps`` drawn characters to every ``start``: each from the ``top_k`` most likely ones, the
+    first step without the very likeliest (T5).
+
+    The cumulated table of a context is an array of at most top_k + 1 entries, so a step is one
+    join and an inverse-CDF look-up: the first entry whose running weight passes u times the
+    total, weight 1 each or (``weighted``) its count.  u is a hash of (key, step).  A context
+    without candidates gives the smallest character.
+    """
+    first = F.array_sort(F.collect_list(F.struct("rank", "next", "n")))
+    best = top_next(counts, top_k + 1).join(counts, ["ctx", "next"]).groupBy("ctx").agg(first.alias("cand"))
+    out = starts.withColumn("gen", F.lit(""))
+    for step in range(steps):
+        allowed = F.filter("cand", lambda e: e["rank"].between(2, top_k + 1) if step == 0 else e["rank"] <= top_k)
+        weight = (lambda e: e["n"].cast("double")) if weighted else (lambda e: F.lit(1.0))
+        out = out.withColumn("ctx", F.substring(F.concat("start", "gen"), -k, k)).join(best, "ctx", "left").withColumn("cand", allowed)
+        total = F.aggregate("cand", F.lit(0.0), lambda acc, e: acc + weight(e))
+        u = uniform(F.concat_ws(":", F.col(key).cast("string"), F.lit(str(step))), seed)
+        out = out.withColumn("goal", u * total)
+        pick = F.aggregate("cand", F.struct(F.lit(0.0).alias("run"), F.lit(None).cast("string").alias("c")),
+                           lambda acc, e: F.struct((acc["run"] + weight(e)).alias("run"),
+                                                   F.when(acc["c"].isNull() & (acc["run"] + weight(e) > F.col("goal")), e["next"]).otherwise(acc["c"]).alias("c")))
+        out = out.withColumn("gen", F.concat("gen", F.coalesce(pick["c"], F.lit(min_char)))).drop("cand", "ctx", "goal")
+    return out
+
+
+# X7 -----------------------------------------------------------------------------
+def canary_digits(spark: SparkSession, counts: DataFrame, start: str, secret: str, reference: str, k: int, V: int, alpha: float) -> DataFrame:
+    """(i, p_secret, p_reference, running): per character of the secret its probability, that of the
+    replacement character after the same prefix, and the log-perplexity so far."""
+    pos = sequence_positions(spark, start, secret, k)
+    own = score_positions(pos, counts, V, alpha).select("seq_id", "i", F.col("p").alias("p_secret"))
+    other = score_positions(pos.withColumn("ch", F.lit(reference)), counts, V, alpha).select("i", F.col("p").alias("p_reference"))
+    w = Window.partitionBy("seq_id").orderBy("i").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return own.join(other, "i").withColumn("running", F.sum(-F.log2("p_secret")).over(w)).drop("seq_id")
+
+
+def count_model_fit(counts: DataFrame, V: int, alpha: float) -> DataFrame:
+    """(windows, loss, accuracy): mean -ln p and share of windows whose next character is the likeliest
+    of its context, over all windows, from the counts alone."""
+    w = Window.partitionBy("ctx").orderBy(F.desc("n"), F.asc("next"))
+    m = model(counts, V, alpha).withColumn("top", F.row_number().over(w) == 1)
+    total = F.sum("n")
+    return m.agg(total.alias("windows"), (F.sum(-F.col("n") * F.log("p")) / total).alias("loss"),
+                 (F.sum(F.when(F.col("top"), F.col("n")).otherwise(0)) / total).alias("accuracy"))
