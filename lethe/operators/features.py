@@ -251,6 +251,23 @@ def char_vocab(docs: DataFrame, text: str = "text") -> DataFrame:
     return chars.select((F.row_number().over(Window.orderBy("ch")) - 1).cast("int").alias("code"), "ch")
 
 
+# F11 ----------------------------------------------------------------------------
+def encode_text(docs: DataFrame, vocab: DataFrame, text: str = "text", name: str = "codes") -> DataFrame:
+    """Adds the character codes of a text by a supplied vocabulary (code, ch), null for a character
+    that it lacks; null text stays null.  The vocabulary is alphabet-sized and sent as one map."""
+    table = vocab.agg(F.map_from_entries(F.collect_list(F.struct("ch", "code"))).alias("__codes"))
+    out = docs.crossJoin(F.broadcast(table))
+    return out.withColumn(name, F.transform(F.filter(F.split(F.col(text), ""), lambda c: c != ""), lambda c: F.try_element_at("__codes", c))).drop("__codes")
+
+
+def decode_text(docs: DataFrame, vocab: DataFrame, codes: str = "codes", name: str = "text", unknown: str = "\ufffd") -> DataFrame:
+    """The text of character codes; a code that is null or not in the vocabulary is ``unknown``."""
+    table = vocab.agg(F.map_from_entries(F.collect_list(F.struct("code", "ch"))).alias("__chars"))
+    out = docs.crossJoin(F.broadcast(table))
+    letter = lambda c: F.coalesce(F.when(c.isNotNull(), F.try_element_at("__chars", c)), F.lit(unknown))
+    return out.withColumn(name, F.array_join(F.transform(codes, letter), "")).drop("__chars")
+
+
 # E10 ----------------------------------------------------------------------------
 def insert_canary(docs: DataFrame, key: str, canary: str, n: int, seed: int = 42,
                   pattern: str = CANARY_BREAK, offset: int = CANARY_BREAK_OFFSET,

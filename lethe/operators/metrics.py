@@ -9,7 +9,7 @@ never a single-partition window over rows.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .prefix import running_sums
@@ -84,8 +84,8 @@ def roc_pr_auc(df: DataFrame, score: str = "p", label: str = "y", positive=1.0)
     cumulative value minus the counts at this score, so no lag is needed.
     """
     pts = curve_points(df, score, label, positive)
-    tot = df.agg(F.sum(F.when(F.col(label) == F.lit(positive), 1).otherwise(0)).alias("P"),
-                 F.sum(F.when(F.col(label) == F.lit(positive), 0).otherwise(1)).alias("N")).collect()[0]
+    # the last running sums are the totals, read from the checkpoint under the curve
+    tot = pts.agg(F.max("tp").alias("P"), F.max("fp").alias("N")).collect()[0]
     P, N = float(tot["P"] or 0), float(tot["N"] or 0)
     tp, fp = F.col("tp"), F.col("fp")
     tp0, fp0 = tp - F.col("pos"), fp - F.col("neg")
@@ -124,3 +124,16 @@ def best_epoch(log: DataFrame, group: list[str], loss: str = "val_loss", epoch:
     """First epoch with the minimum loss per group (min_by over (loss, epoch))."""
     return log.groupBy(*group).agg(F.min_by(F.col(epoch), F.struct(F.col(loss), F.col(epoch))).alias("best_epoch"),
                                    F.min(loss).alias("best_loss"))
+
+
+# W7 -----------------------------------------------------------------------------
+def early_stop(log: DataFrame, patience: int, group: str = "run", loss: str = "loss", epoch: str = "epoch") -> DataFrame:
+    """(group, stop_epoch, least): the first epoch with ``patience`` epochs since the last new minimum,
+    or the last epoch; ``least`` is the minimum up to there.  A log has one row an epoch."""
+    w = Window.partitionBy(group).orderBy(epoch)
+    so_far = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    before = w.rowsBetween(Window.unboundedPreceding, -1)
+    rows = log.withColumn("least", F.min(loss).over(so_far)).withColumn("old", F.min(loss).over(before))
+    rows = rows.withColumn("last_new", F.max(F.when(F.col("old").isNull() | (F.col(loss) < F.col("old")), F.col(epoch))).over(so_far))
+    stop = F.coalesce(F.min(F.when(F.col(epoch) - F.col("last_new") >= patience, F.struct(epoch, "least"))), F.max(F.struct(epoch, "least")))
+    return rows.groupBy(group).agg(stop.alias("s")).select(group, F.col(f"s.{epoch}").alias("stop_epoch"), "s.least")

@@ -148,6 +148,57 @@ def flip_bits(samples: DataFrame, rows: DataFrame, dims: Sequence[int], key: str
             .drop("__m", "__f"))
 
 
+def draw_values(samples: DataFrame, dims: Sequence[int], n: int, seed, key: str = "row_id", within: bool = False) -> DataFrame:
+    """n seeded rows get, for every dim, values drawn without replacement from that column: from all
+    rows, or (``within``) from the chosen rows themselves, which permutes the column among them.
+
+    The k-th chosen row takes the value of the k-th drawn row, both ranked by seeded hash
+    (another one per dim): a join on the rank, no window over all rows.
+    """
+    from ..functions.rand import phash
+    from .prefix import global_rank
+    from .sampling import choose_rows
+    rank = lambda df, s: global_rank(df, [phash(key, s), F.col(key)], name="__rank")
+    chosen = rank(choose_rows(samples.select(key), key, n, seed), seed)
+    pool = samples.join(chosen.select(key), key, "left_semi") if within else samples
+    new = None
+    for j in dims:
+        value = F.aggregate(F.arrays_zip(F.col("idx").alias("i"), F.col("val").alias("v")), F.lit(0.0), lambda acc, e: F.when(e["i"] == j, e["v"]).otherwise(acc))
+        drawn = rank(choose_rows(pool.select(key, value.alias("v")), key, n, f"{seed}:{j}"), f"{seed}:{j}")
+        part = chosen.join(drawn.select("__rank", "v"), "__rank").select(key, F.struct(F.lit(j).cast("int").alias("i"), "v").alias("e"))
+        new = part if new is None else new.unionByName(part)
+    new = new.groupBy(key).agg(F.collect_list("e").alias("__new"))
+    dl, hit = _dims_lit(dims), F.col("__new").isNotNull()
+    kept = F.filter(F.arrays_zip(F.col("idx").alias("i"), F.col("val").alias("v")), lambda e: ~F.array_contains(dl, e["i"]))
+    out = samples.join(new, key, "left").withColumn("__m", F.array_sort(F.concat(kept, F.filter("__new", lambda e: e["v"] != 0))))
+    return (out.withColumn("idx", F.when(hit, F.transform("__m", lambda e: e["i"])).otherwise(F.col("idx")))
+            .withColumn("val", F.when(hit, F.transform("__m", lambda e: e["v"])).otherwise(F.col("val"))).select(*samples.columns))
+
+
+# P16 ----------------------------------------------------------------------------
+def rows_delta(samples: DataFrame, new: DataFrame, d: int, key: str = "row_id") -> DataFrame:
+    """Change set from new values of listed rows: ``new`` has the key, idx, val and optionally y (null or
+    absent: the old label).  ValueError if a key is not in ``samples`` or repeats, a dimension is
+    not in 0..d-1, or an array pair differs in length."""
+    bad = new.agg(F.count(F.lit(1)).alias("rows"), F.countDistinct(key).alias("keys"),
+                  F.count_if(F.coalesce(F.exists("idx", lambda i: (i < 0) | (i >= d)) | (F.size("idx") != F.size("val")), F.lit(True))).alias("shape")).first()
+    if bad["shape"] or bad["rows"] != bad["keys"]:
+        raise ValueError(f"{bad['shape']} rows do not fit {d} dimensions, {bad['rows'] - bad['keys']} repeat a key or have none")
+    label = F.coalesce(F.col("n.y"), F.col("o.y")) if "y" in new.columns else F.col("o.y")
+    out = samples.alias("o").join(new.alias("n"), key).select(key, "o.y", "o.idx", "o.val", label.alias("y_delta"), F.col("n.idx").alias("idx_delta"), F.col("n.val").alias("val_delta"))
+    missing = new.join(samples.select(key), key, "left_anti").limit(1).count()
+    if missing:
+        raise ValueError("some of the rows are not in the samples")
+    return out
+
+
+def tuples_delta(old: DataFrame, new: DataFrame, key: str = "row_id") -> DataFrame:
+    """Change set from given old and new tuples (key, y, idx, val), whatever the samples hold; a label
+    that is null in ``new`` stays."""
+    return old.alias("o").join(new.alias("n"), key).select(key, "o.y", "o.idx", "o.val", F.coalesce("n.y", "o.y").alias("y_delta"),
+                                                           F.col("n.idx").alias("idx_delta"), F.col("n.val").alias("val_delta"))
+
+
 # P15 ----------------------------------------------------------------------------
 def gather(samples: DataFrame, rows: DataFrame, key: str = "row_id") -> DataFrame:
     return samples.join(rows.select(key).distinct(), key, "left_semi")

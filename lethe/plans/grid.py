@@ -353,3 +353,22 @@ def block_influence(rows: DataFrame, theta: np.ndarray, sample: tuple[float, np.
         return {0: out}
     sums = block_sums(rows.select("y", "idx", "val"), partial)
     return sums.get(0, np.zeros(m)) / max(int(st.n[0]), 1)
+
+
+# A17 --------------------------------------------------------------------------------
+def performance(train: DataFrame, test: DataFrame, theta, lam: float, b=0.0) -> DataFrame:
+    """One row: accuracy, macro and weighted F1, areas under the ROC and PR curve on ``test``, loss and
+    squared gradient norm of the objective on both."""
+    from ..operators.linear import predict
+    from ..operators.metrics import roc_pr_auc
+    theta = np.atleast_2d(np.asarray(theta, float))
+    out = {}
+    for name, rows in (("test", test), ("train", train)):
+        st = grid_stats(rows, grid(theta))
+        out[f"{name}_loss"] = float(objectives(st, theta, lam, b)[0])
+        out[f"{name}_gradient_norm"] = float(((st.grad[0] + lam * theta[0] + b) ** 2).sum())
+        if name == "test":
+            out["accuracy"], (macro, weighted) = float(st.accuracy[0]), st.f1()
+            out["macro_f1"], out["weighted_f1"] = float(macro[0]), float(weighted[0])
+    areas = roc_pr_auc(predict(test, theta[0].tolist()), "p", "y", 1.0)
+    return areas.select(*[F.lit(v).alias(k) for k, v in out.items()], "roc_auc", "pr_auc")

@@ -80,15 +80,25 @@ def approx_retraining(delta: DataFrame, edited: DataFrame, theta, d: int, lam: f
 
 
 # U5 -----------------------------------------------------------------------------
-def influence_methods(train: DataFrame, edited: DataFrame, delta: DataFrame, theta, d: int, lam: float) -> dict:
-    """'influence' (H on original data), 'newton' (H on edited data), 'lazy' (unchanged)."""
+def influence_methods(train: DataFrame, edited: DataFrame, delta: DataFrame, theta, d: int, lam: float,
+                      methods=("influence", "newton", "lazy"), inverse: dict | None = None) -> dict:
+    """'influence' (H on original data), 'newton' (H on edited data), 'lazy' (unchanged).
+
+    ``delta`` may change features or labels (``rw.removal_delta``, ``rw.flip_delta``).  ``inverse``
+    keeps H^-1 by method: one that is there is used, one that is not is computed and put there.
+    """
     theta = np.asarray(theta, dtype=float)
     G = change_gradient(delta, theta, d)
-    H_orig = lin.hessian_matrix(train, list(theta), d, lam)
-    H_edit = lin.hessian_matrix(edited, list(theta), d, lam)
-    return {"influence": theta - np.linalg.solve(H_orig, G),
-            "newton": theta - np.linalg.solve(H_edit, G),
-            "lazy": theta}
+    inverse = {} if inverse is None else inverse
+    out = {}
+    for m in methods:
+        if m == "lazy":
+            out[m] = theta
+            continue
+        if m not in inverse:
+            inverse[m] = np.linalg.inv(lin.hessian_matrix(edited if m == "newton" else train, list(theta), d, lam))
+        out[m] = theta - inverse[m] @ G
+    return out
 
 
 # U4 -----------------------------------------------------------------------------
@@ -113,6 +123,22 @@ def stepwise_removal(train: DataFrame, dims: list[int], stepsize: int, theta, d:
     return out
 
 
+def stepwise_replacement(train: DataFrame, dims: list[int], n: int, rounds: int, theta, d: int, lam: float, seed,
+                         order: int = 2, tau: float = 1e-3, key: str = "row_id") -> list[np.ndarray]:
+    """``rounds`` rounds that each draw new values of ``dims`` for n // rounds seeded rows and update
+    theta; theta and the edited data (checkpointed) carry over."""
+    cur, th, out = train, np.asarray(theta, dtype=float), []
+    for r in range(rounds):
+        edited = cut_lineage(rw.draw_values(cur, dims, n // rounds, f"{seed}:{r}", key))
+        chosen = sa.choose_rows(cur.select(key), key, n // rounds, f"{seed}:{r}")
+        delta = rw.tuples_delta(rw.gather(cur, chosen, key).select(key, "y", "idx", "val"), edited.select(key, "y", "idx", "val"), key)
+        G = change_gradient(delta, th, d)
+        th = first_order(th, G, tau) if order == 1 else second_order(edited, th, G, d, lam)
+        out.append(th.copy())
+        cur = edited
+    return out
+
+
 # M8 -----------------------------------------------------------------------------
 def fine_tune(rows: DataFrame, theta, d: int, lam: float, lr: float, n_batches: int,
               key: str = "row_id", seed=0) -> np.ndarray:

@@ -29,16 +29,16 @@ def logits_sql(name: str, weights: str, rows: str) -> str:
   first_value(l.cls) OVER (PARTITION BY l.row_id ORDER BY ex DESC, l.cls) AS pred FROM {name}_e l JOIN {rows} r ON r.row_id = l.row_id)"""
 
 
-def steps_sql(start: str, rows: str, rate: float, epochs: int, decay: float) -> str:
-    """CTEs w0, m0, w1, m1, ...: full-batch steps from the SQL value ``start`` of (cls, dim)."""
-    out = [f"w0 AS (SELECT CAST(c.k AS INTEGER) AS cls, CAST(j.j AS INTEGER) AS dim, CAST({start} AS DOUBLE) AS w FROM range({K}) c(k), range({D}) j(j))"]
+def steps_sql(start: str, rows: str, rate: float, epochs: int, decay: float, p: str = "") -> str:
+    """CTEs w0, m0, w1, m1, ... (names after ``p``): full-batch steps from the SQL value ``start`` of (cls, dim)."""
+    out = [f"{p}w0 AS (SELECT CAST(c.k AS INTEGER) AS cls, CAST(j.j AS INTEGER) AS dim, CAST({start} AS DOUBLE) AS w FROM range({K}) c(k), range({D}) j(j))"]
     for k in range(epochs + 1):
-        out.append(logits_sql(f"m{k}", f"w{k}", rows))
+        out.append(logits_sql(f"{p}m{k}", f"{p}w{k}", rows))
         if k < epochs:
             out.append(f"""
-w{k + 1} AS MATERIALIZED (SELECT w.cls, w.dim, w.w - {rate} * (g.g / (SELECT count(*) FROM {rows}) + {decay} * w.w) AS w FROM w{k} w JOIN (
+{p}w{k + 1} AS MATERIALIZED (SELECT w.cls, w.dim, w.w - {rate} * (g.g / (SELECT count(*) FROM {rows}) + {decay} * w.w) AS w FROM {p}w{k} w JOIN (
   SELECT m.cls, e.dim, sum((m.p - CASE WHEN m.label = m.cls THEN 1.0 ELSE 0.0 END) * e.value) AS g
-  FROM m{k} m JOIN img_entries e ON e.row_id = m.row_id GROUP BY m.cls, e.dim) g ON g.cls = w.cls AND g.dim = w.dim)""")
+  FROM {p}m{k} m JOIN img_entries e ON e.row_id = m.row_id GROUP BY m.cls, e.dim) g ON g.cls = w.cls AND g.dim = w.dim)""")
     return ",\n".join(out)
 
 
