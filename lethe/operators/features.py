@@ -104,17 +104,27 @@ def l2_normalize_cols(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 
 
 # A3 -----------------------------------------------------------------------------
-def value_frequencies(df: DataFrame, cols: Sequence[str], by: str | None = None) -> DataFrame:
-    """(column, value, n, rank): frequency list per column, rank 1 = most frequent, ties by value."""
+def _value_counts(df: DataFrame, cols: Sequence[str], by: str | None) -> DataFrame:
+    """(by, column, value, n) of all columns in one aggregate."""
     keys = [by] if by else []
     stacked = df.select(*keys, F.explode(F.array(*[
         F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")) for c in cols])).alias("e"))
-    counts = (stacked.where(F.col("e.value").isNotNull())
-              .groupBy(*keys, F.col("e.column").alias("column"), F.col("e.value").alias("value"))
-              .agg(F.count(F.lit(1)).alias("n")))
-    # the window runs over distinct values only (already aggregated), never over rows
-    w = Window.partitionBy(*keys, "column").orderBy(F.desc("n"), F.asc("value"))
-    return counts.withColumn("rank", F.row_number().over(w))
+    return (stacked.where(F.col("e.value").isNotNull())
+            .groupBy(*keys, F.col("e.column").alias("column"), F.col("e.value").alias("value"))
+            .agg(F.count(F.lit(1)).alias("n")))
+
+
+def value_frequencies(df: DataFrame, cols: Sequence[str], by: str | None = None) -> DataFrame:
+    """(column, value, n, rank): frequency list per column, rank 1 = most frequent, ties by value.
+
+    One distributed rank over all columns, less what stands before each column: no task has
+    all distinct values of a column.
+    """
+    keys = [by] if by else []
+    ranked = global_rank(_value_counts(df, cols, by), [*map(F.col, keys), F.col("column"), F.desc("n"), F.asc("value")], "__r")
+    before = ranked.groupBy(*keys, "column").agg((F.min("__r") - 1).alias("__before"))
+    out = ranked.join(F.broadcast(before), [*keys, "column"])        # a row a column and group
+    return out.select(*keys, "column", "value", "n", (F.col("__r") - F.col("__before")).cast("int").alias("rank"))
 
 
 # E6 -----------------------------------------------------------------------------
@@ -123,9 +133,9 @@ def impute_mode(df: DataFrame, cols: Sequence[str], by: str | None = "split",
     """Fill nulls with the per-group most frequent value, or the constant '0'."""
     if strategy != "most_frequent":
         return df.fillna({c: "0" for c in cols})
-    modes = {}
-    for r in value_frequencies(df, cols, by).where("rank = 1").collect():
-        modes[(r[by] if by else None, r["column"])] = r["value"]
+    keys = [by] if by else []
+    top = _value_counts(df, cols, by).groupBy(*keys, "column").agg(F.min_by("value", F.struct(-F.col("n"), F.col("value"))).alias("value"))
+    modes = {(r[by] if by else None, r["column"]): r["value"] for r in top.collect()}
     out = df
     for c in cols:
         groups = {g: None for (g, cc) in modes if cc == c}
@@ -189,10 +199,9 @@ def binary_bag_of_words(docs: DataFrame, vocab: DataFrame, key: str = "row_id",
     it, or splits where a token is frequent.  A row with n tokens has n entries of 1/sqrt(n).
     """
     carried = [c for c in docs.columns if c not in (key, tokens)]
-    pairs = docs.select(key, F.explode(F.array_distinct(F.col(tokens))).alias("feature"))
-    grouped = pairs.join(vocab.select("feature", "dim"), "feature").groupBy(key).agg(F.array_sort(F.collect_list("dim")).alias("idx"))
-    out = docs.select(key, *carried).join(grouped, key, "left")
-    out = out.withColumn("idx", F.coalesce(F.col("idx"), F.array().cast("array<int>")))
+    pairs = docs.select(key, *carried, F.explode_outer(F.array_distinct(F.col(tokens))).alias("feature"))
+    # the row's other columns ride along, so the rows are not joined to their own aggregate
+    out = pairs.join(vocab.select("feature", "dim"), "feature", "left").groupBy(key, *carried).agg(F.array_sort(F.collect_list("dim")).alias("idx"))
     return out.withColumn("val", F.array_repeat(F.lit(1.0) / F.sqrt(F.greatest(F.size("idx"), F.lit(1)).cast("double")), F.size("idx")))
 
 

@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.rand import phash, uniform
+from ..session import cut_lineage
 from . import features as fe
 
 # The canary sentence, its start and the secret number.
@@ -44,10 +45,49 @@ def kgram_counts(texts: DataFrame, k: int, key: str = "doc_id") -> DataFrame:
 
 
 def counts_for(texts: DataFrame, k: int, asked: DataFrame, key: str = "doc_id") -> DataFrame:
-    """counts(ctx, next, n) of the asked contexts only: windows meet them before the count, so
-    a question about a few contexts shuffles a few windows, not the corpus."""
-    w = fe.char_windows(texts, key, k).join(asked.select("ctx").distinct(), "ctx", "left_semi")
-    return w.groupBy("ctx", "next").agg(F.count(F.lit(1)).alias("n"))
+    """counts(ctx, next, n) of the asked contexts only."""
+    return asked_counts(texts, k, asked)[0]
+
+
+def asked_counts(texts: DataFrame, k: int, asked: DataFrame) -> tuple[DataFrame, int]:
+    """(counts(ctx, next, n) of the asked contexts, number of characters in use), in one pass.
+
+    The asked contexts are the caller's question (its positions), not data, and go to every
+    task.  A text's windows are compared as hashes of whole code-point arrays; only those that
+    are asked for become strings, and a task sends its partial counts.
+    """
+    wanted = sorted({r["ctx"] for r in asked.select("ctx").distinct().collect() if r["ctx"] is not None})
+    base = 0x9E3779B97F4A7C15
+
+    def hashes(codes):
+        h = np.zeros(max(len(codes) - k + 1, 0), np.uint64)
+        for j in range(k):
+            h = h * np.uint64(base) + codes[j:j + len(h)].astype(np.uint64) + np.uint64(1)
+        return h
+
+    def run(batches):
+        import pyarrow as pa
+        table = np.sort(np.array([hashes(np.frombuffer(c.encode("utf-32-le"), np.uint32))[0] for c in wanted if len(c) == k], np.uint64))
+        known, n, chars = set(wanted), {}, set()
+        for b in batches:
+            for text in b.column("text").to_pylist():
+                if not text:
+                    continue
+                codes = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+                chars.update(np.unique(codes).tolist())
+                if len(table) and len(codes) > k:
+                    h = hashes(codes)[:-1]
+                    at = np.minimum(np.searchsorted(table, h), len(table) - 1)
+                    for i in np.flatnonzero(table[at] == h).tolist():
+                        ctx = text[i:i + k]
+                        if ctx in known:
+                            n[ctx, text[i + k]] = n.get((ctx, text[i + k]), 0) + 1
+        rows = [(c, x, v) for (c, x), v in n.items()] + [(None, chr(c), 0) for c in chars]
+        cols = list(zip(*rows)) or [[]] * 3
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.string(), pa.int64()))], names=["ctx", "next", "n"])
+    found = cut_lineage(texts.select("text").mapInArrow(run, "ctx string, next string, n long"))
+    counts = found.where("ctx is not null").groupBy("ctx", "next").agg(F.sum("n").alias("n"))
+    return counts, found.where("ctx is null").select("next").distinct().count()
 
 
 # P17 / J7 ------------------------------------------------------------------------

@@ -139,10 +139,11 @@ def grid_stats(rows: DataFrame, g: Grid, hessian: bool = False, vectors: np.ndar
     return Stats(n, out[:, 1], positive, predicted, both, out[:, _HEAD:_HEAD + d], hess, out[:, -d:] if vectors is not None else None)
 
 
-def fit_grid(rows: DataFrame, g: Grid, lam, b=0.0, max_iter: int = 200, tol: float = 1e-11) -> np.ndarray:
+def fit_grid(rows: DataFrame, g: Grid, lam, b=0.0, max_iter: int = 200, tol: float = 1e-11, evaluated: np.ndarray | None = None) -> np.ndarray:
     """Minimise l + lam/2 |theta|^2 + b . theta for every model by damped Newton steps, one job a
     step for all models that are not done.  ``lam`` is one value a model or for all, ``b`` a
-    vector a model or for all.  A model without rows is NaN.  Stops like ``solvers.fit_newton``."""
+    vector a model or for all.  A model without rows is NaN.  Stops like ``solvers.fit_newton``.
+    ``evaluated`` (models) gets the rows whose gradient each model took, added up over its steps."""
     m, d = g.theta.shape
     lam, b = np.broadcast_to(np.asarray(lam, float), (m,)), np.broadcast_to(np.asarray(b, float), (m, d))
     at, move = g.theta.copy(), np.zeros((m, d))
@@ -152,6 +153,8 @@ def fit_grid(rows: DataFrame, g: Grid, lam, b=0.0, max_iter: int = 200, tol: flo
         for _ in range(max_iter):
             trial = at[live] + move[live]
             st = grid_stats(data, replace(g.take(live), theta=trial), hessian=True)
+            if evaluated is not None:
+                evaluated[live] += st.n
             done = []
             for k, i in enumerate(live):
                 if not st.n[k]:
@@ -372,3 +375,45 @@ def performance(train: DataFrame, test: DataFrame, theta, lam: float, b=0.0) ->
             out["macro_f1"], out["weighted_f1"] = float(macro[0]), float(weighted[0])
     areas = roc_pr_auc(predict(test, theta[0].tolist()), "p", "y", 1.0)
     return areas.select(*[F.lit(v).alias(k) for k, v in out.items()], "roc_auc", "pr_auc")
+
+
+# Q6 / Q7 / A20 ------------------------------------------------------------------------
+def touched_rows(rows: DataFrame, keep: np.ndarray) -> np.ndarray:
+    """Rows that have a removed column, per model, in one job."""
+    gone = (~keep).T.astype(float)
+
+    def partial(batches):
+        out = np.zeros(len(keep))
+        for _, x in row_chunks(batches, len(keep)):
+            out += (x.dot(gone, np.abs(x.val)) > 0).sum(axis=0)
+        return {0: out}
+    return block_sums(rows.select("idx", "val"), partial).get(0, np.zeros(len(keep))).astype(int)
+
+
+def run_times(train: DataFrame, combos: list[list[int]], d: int, how: Removal) -> list[tuple[str, float, float]]:
+    """(method, seconds, gradients): wall time of each method over all combinations at once, and the
+    row gradients that it takes for one, on average: calls x rows."""
+    import time
+    m = len(combos)
+    keep = np.ones((m, d), bool)
+    for k, c in enumerate(combos):
+        keep[k, c] = False
+    out = []
+
+    def timed(method, run, gradients):
+        start = time.perf_counter()
+        got = run()
+        out.append((method, time.perf_counter() - start, float(gradients())))
+        return got
+    with persisted(assign_shards(train, "row_id", how.shards, how.shard_seed).select("row_id", "y", "idx", "val", "shard")) as rows:
+        n = rows.count()
+        start = np.repeat(fit_grid(rows, grid(np.zeros(d)), how.lam), m, axis=0)
+        touched = touched_rows(rows, keep)
+        G = timed("1st-Order", lambda: change_gradients(rows, start, np.ones_like(keep), keep), touched.mean)
+        timed("2nd-Order", lambda: second_orders(rows, start, keep, G, how.lam), touched.mean)
+        calls, shard_calls = np.zeros(m), np.zeros(m * how.shards)
+        timed("Retrained", lambda: fit_grid(rows, grid(np.zeros((m, d)), keep), how.lam, evaluated=calls), calls.mean)
+        each = grid(np.zeros((m * how.shards, d)), np.repeat(keep, how.shards, axis=0), np.tile(np.arange(how.shards), m), True)
+        timed("Sharding", lambda: fit_grid(rows, each, how.lam, evaluated=shard_calls), lambda: shard_calls.sum() / m)
+        timed("Finetuning", lambda: fine_tunes(rows.drop("shard"), start, keep, how.lam, how.lr, how.batches, seed=how.batch_seed), lambda: n)
+    return out

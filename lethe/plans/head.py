@@ -243,3 +243,60 @@ def sgd(rows: DataFrame, W: np.ndarray, lr: float, batches: int, epochs: int, se
                 n, grad = head_gradient(data.where(F.element_at("deal", epoch + 1) == b), W)
                 W = W - lr / max(n, 1) * grad
     return W
+
+
+# Q8 -------------------------------------------------------------------------------
+def cell_gradients(rows: DataFrame, Ws: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(rows, right, gradient) per cell: cell c has the model Ws[c] and the labels ``labels[c]`` of the
+    rows (labels array<int>, x).  One job for all cells."""
+    cells, K, d = Ws.shape
+
+    def partial(batches):
+        out = np.zeros((cells, K * d + 2))
+        for b in batches:
+            if not b.num_rows:
+                continue
+            x = _features(b)
+            labels = b.column("labels").flatten().to_numpy(zero_copy_only=False).reshape(len(x), cells)
+            for c in range(cells):
+                p = _softmax(x @ Ws[c].T)
+                out[c, -1] += (p.argmax(axis=1) == labels[:, c]).sum()
+                out[c, -2] += len(x)
+                p[np.arange(len(x)), labels[:, c]] -= 1
+                out[c, :-2] += (p.T @ x).ravel()
+        return dict(enumerate(out))
+    sums = block_sums(rows.select("labels", "x"), partial)
+    out = np.stack([sums[c] for c in range(cells)]) if sums else np.zeros((cells, K * d + 2))
+    return out[:, -2].astype(int), out[:, -1].astype(int), out[:, :-2].reshape(cells, K, d)
+
+
+def poison_grid(train: DataFrame, valid: DataFrame, flips: DataFrame, cells: int, K: int, d: int, lr: float, epochs: int, tau: float) -> list[tuple[int, str, float, float, float]]:
+    """(cell, method, before, after, restored) for a grid of label flips over the same rows.
+
+    ``flips`` has cell, row_id, new_label.  In every cell a head is trained on the flipped labels;
+    ``first-order`` moves it by tau times the gradient difference of the flipped rows,
+    ``fine-tuning`` by one epoch on the clean labels.  Accuracies are on ``valid``, restored is the
+    share of what the flips cost against a head trained on clean labels.  The jobs do not
+    depend on the number of cells.
+    """
+    picked = flips.groupBy("row_id").agg(F.map_from_entries(F.collect_list(F.struct("cell", "new_label"))).alias("m"))
+    labels = F.transform(F.sequence(F.lit(0), F.lit(cells)), lambda c: F.coalesce(F.when(F.col("m").isNotNull(), F.try_element_at("m", c.cast("int"))), F.col("label")))
+    rows = train.join(picked, "row_id", "left").select(labels.cast("array<int>").alias("labels"), "x")      # the last cell has no flips
+    clean = lambda df: df.select(F.array_repeat("label", cells + 1).alias("labels"), "x")
+    with persisted(rows) as data, persisted(clean(train)) as truth, persisted(clean(valid)) as held:
+        W = np.zeros((cells + 1, K, d))
+        for _ in range(epochs):
+            n, _, grad = cell_gradients(data, W)
+            W = W - lr * grad / np.maximum(n, 1)[:, None, None]
+        accuracy = lambda V: (lambda n, right, _: right / np.maximum(n, 1))(*cell_gradients(held, V))
+        n, _, right = cell_gradients(truth, W)
+        wrong = cell_gradients(data, W)[2]
+        repaired = {"first-order": W - tau * (right - wrong), "fine-tuning": W - lr * right / np.maximum(n, 1)[:, None, None]}
+        before = accuracy(W)
+        out = []
+        for method, V in repaired.items():
+            after = accuracy(V)
+            for c in range(cells):
+                lost = before[cells] - before[c]
+                out.append((c, method, float(before[c]), float(after[c]), float((after[c] - before[c]) / lost) if lost else 0.0))
+    return out

@@ -93,56 +93,15 @@ def mix_rows(delta: DataFrame, regular: DataFrame, ratio: float, seed, key: str
 
 
 # U9 -----------------------------------------------------------------------------
-def unlearn_label_noise(changed: DataFrame, valid: DataFrame, W: np.ndarray, tau: float, batch: int, steps: int, seed,
-                        tolerance: float = 0.5) -> tuple[np.ndarray, list[dict]]:
-    """Iterative unlearning of wrong labels.
-
-    ``changed`` has the rows whose label was wrong, with the corrected one as ``label``.  Each
-    step takes the ``batch`` first (by seeded hash) of the rows that the model still gets
-    wrong, moves W by tau times the gradient difference between the corrected label and
-    the model's own prediction (order 1), and logs: accuracy on the batch and on ``valid``,
-    rows newly wrong, rows still wrong.  Stops when none is wrong, or when the accuracy on
-    ``valid`` falls ``tolerance`` below its start (diverged).
-    """
-    W = np.asarray(W, float)
-    K, d = W.shape
-    right = lambda V, c: (F.array_position(c, F.array_max(c)) - 1 == F.col("label")).cast("int").alias(V)
-    log: list[dict] = []
-    with persisted(changed.select("row_id", "label", "x")) as rows, persisted(valid.select("label", "x")) as held:
-        accuracy = lambda V: held.select(right("r", sm.probabilities(V))).agg(F.avg("r")).first()[0] or 0.0
-        start = accuracy(W)
-        for step in range(steps):
-            wrong = sm.predict(rows, W).where("pred <> label")
-            picked = hash_cut(wrong, "row_id", f"{seed}:{step}", batch)
-            delta = picked.select(F.col("pred").alias("old_label"), F.col("label").alias("new_label"), "x")
-            G = sm.as_matrix(sm.label_change_gradient(delta, K, d), K, d)
-            if not G.any():
-                break
-            new = W - tau * G
-            both = rows.withColumn("p0", sm.probabilities(W)).withColumn("p1", sm.probabilities(new))
-            both = both.select("row_id", right("a", F.col("p0")), right("b", F.col("p1"))).join(
-                picked.select("row_id", F.lit(1).alias("in_batch")), "row_id", "left")
-            r = both.agg(F.avg(F.when(F.col("in_batch") == 1, F.col("b"))).alias("batch"), F.sum(F.when(F.expr("a = 1 and b = 0"), 1).otherwise(0)).alias("new"),
-                         F.sum(1 - F.col("b")).alias("left")).first()
-            W = new
-            log.append({"step": step, "batch_accuracy": float(r["batch"]), "valid_accuracy": float(accuracy(W)), "new_errors": int(r["new"]),
-                        "remaining": int(r["left"]), "diverged": False})
-            if log[-1]["valid_accuracy"] < start - tolerance:
-                log[-1]["diverged"] = True
-                break
-            if not log[-1]["remaining"]:
-                break
-    return W, log
-
-
 def unlearn_train_noise(train: DataFrame, valid: DataFrame, W: np.ndarray, tau: float, batch: int, steps: int, seed,
                         tolerance: float = 0.5) -> tuple[np.ndarray, list[dict]]:
     """Iterative unlearning of wrong labels over the whole train split.
 
     ``train`` has every train row with its corrected ``label`` and ``flipped``, true for the
     rows of the change set.  Each step predicts all rows, takes the ``batch`` first (by seeded
-    hash) of all rows that the model gets wrong, in the change set or not, and moves W as
-    ``unlearn_label_noise`` does.  Logs after the step: accuracy on the batch and on
+    hash) of all rows that the model gets wrong, in the change set or not, and moves W by tau
+    times the gradient difference between the corrected label and the model's own prediction
+    (order 1).  Logs after the step: accuracy on the batch and on
     ``valid``, rows wrong (delta_size), those outside the change set (new_errors) and in it
     (remaining).  Stops when no row is wrong, or when the accuracy on ``valid`` falls
     ``tolerance`` below its start (diverged).

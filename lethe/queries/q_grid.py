@@ -266,3 +266,24 @@ def u14_block_influence(spark, sf):
     theta = gr.fit_grid(train, gr.grid(np.zeros(D)), LAM)[0]
     got = gr.block_influence(train, theta, (one["y"], np.array([one[f"x{j}"] for j in DIMS])), BLOCKS, LAM)
     return spark.createDataFrame([(k, round(float(v), 12)) for k, v in enumerate(got)], "block int, influence double")
+
+
+# Q6 / Q7 / A20 ------------------------------------------------------------------------------
+@register("q6_gradient_counts", removal_sql(0.0).split(",\ntr AS MATERIALIZED")[0] + """
+SELECT '1st-Order' AS method, round(avg(n), 4) AS gradients FROM (SELECT combo_id, count(*) FILTER (touched) AS n FROM edit WHERE split = 'train' GROUP BY combo_id)
+UNION ALL SELECT 'Finetuning', round(count(*)::DOUBLE, 4) FROM base WHERE split = 'train'""")
+def q6_gradient_counts(spark, sf):
+    """Row gradients of the methods that take a fixed number of them, averaged over the combinations."""
+    train, _, combos = _removal(spark, sf)
+    keep = np.ones((len(combos), D), bool)
+    for k, c in enumerate(combos):
+        keep[k, c] = False
+    return spark.createDataFrame([("1st-Order", round(float(gr.touched_rows(train, keep).mean()), 4)), ("Finetuning", round(float(train.count()), 4))],
+                                 "method string, gradients double")
+
+
+@register("q6_q7_run_times")
+def q6_q7_run_times(spark, sf):
+    """Wall time and row gradients of every method over the combinations; times differ from run to run."""
+    train, _, combos = _removal(spark, sf)
+    return spark.createDataFrame([(m, round(s, 3), round(g, 1)) for m, s, g in gr.run_times(train, combos, D, HOW)], "method string, seconds double, gradients double")

@@ -222,3 +222,53 @@ u{at + 1} AS MATERIALIZED (SELECT u.cls, u.dim, u.w - {TUNE_RATE} * coalesce(g.g
 def m9_sgd_batches(spark, sf):
     """Mini-batch fine-tuning on the corrected labels of the whole train split."""
     return _weights(spark, head.sgd(_img(spark, sf).where("split = 'train'"), W0, TUNE_RATE, TUNE_BATCHES, TUNE_EPOCHS, TUNE_SEED))
+
+
+# Q8 -------------------------------------------------------------------------------------
+P_BUDGETS, P_SEEDS, P_RATE, P_EPOCHS, P_TAU = (40, 120), (42, 43), 2.0, 2, 0.004
+CELLS = [(b, s) for b in P_BUDGETS for s in P_SEEDS]
+
+
+def _poison_sql() -> str:
+    out = [TR, "pf AS MATERIALIZED (" + " UNION ALL ".join(f"""
+SELECT {c} AS cell, row_id, {K - 1} - label AS label FROM (SELECT row_id, label, row_number() OVER (PARTITION BY label ORDER BY {sk.ph('row_id', s)}, row_id) AS rn FROM tr) WHERE rn <= {b // K}"""
+           for c, (b, s) in enumerate(CELLS)) + ")",
+           f"""pl AS MATERIALIZED (SELECT c.cell, t.row_id, coalesce(f.label, t.label) AS label, t.label AS truth FROM tr t CROSS JOIN range({len(CELLS) + 1}) c(cell)
+  LEFT JOIN pf f ON f.cell = c.cell AND f.row_id = t.row_id)""",
+           f"pw0 AS (SELECT CAST(c.cell AS INTEGER) AS cell, CAST(k.k AS INTEGER) AS cls, CAST(j.j AS INTEGER) AS dim, 0.0::DOUBLE AS w FROM range({len(CELLS) + 1}) c(cell), range({K}) k(k), range({D}) j(j))"]
+
+    def prob(name, w, rows):
+        return f"""{name} AS MATERIALIZED (SELECT cell, row_id, cls, ex / sum(ex) OVER (PARTITION BY cell, row_id) AS p, first_value(cls) OVER (PARTITION BY cell, row_id ORDER BY ex DESC, cls) AS pred FROM (
+  SELECT w.cell, e.row_id, w.cls, exp(sum(e.value * w.w)) AS ex FROM img_entries e JOIN {w} w ON w.dim = e.dim WHERE e.row_id IN (SELECT row_id FROM {rows}) GROUP BY w.cell, e.row_id, w.cls))"""
+
+    def grad(name, m, label):
+        return f"""{name} AS MATERIALIZED (SELECT m.cell, m.cls, e.dim, sum((m.p - CASE WHEN l.{label} = m.cls THEN 1.0 ELSE 0.0 END) * e.value) AS g
+  FROM {m} m JOIN pl l ON l.cell = m.cell AND l.row_id = m.row_id JOIN img_entries e ON e.row_id = m.row_id GROUP BY m.cell, m.cls, e.dim)"""
+    n = "(SELECT count(*) FROM tr)"
+    for e in range(P_EPOCHS):
+        out += [prob(f"pm{e}", f"pw{e}", "tr"), grad(f"pg{e}", f"pm{e}", "label"),
+                f"pw{e + 1} AS MATERIALIZED (SELECT cell, cls, dim, w - {P_RATE} * g / {n} AS w FROM pw{e} JOIN pg{e} USING (cell, cls, dim))"]
+    W = f"pw{P_EPOCHS}"
+    out += [prob("pe", W, "tr"), grad("gt", "pe", "truth"), grad("gw", "pe", "label"),
+            f"wf AS MATERIALIZED (SELECT cell, cls, dim, w - {P_TAU} * (gt.g - gw.g) AS w FROM {W} JOIN gt USING (cell, cls, dim) JOIN gw USING (cell, cls, dim))",
+            f"wt AS MATERIALIZED (SELECT cell, cls, dim, w - {P_RATE} * gt.g / {n} AS w FROM {W} JOIN gt USING (cell, cls, dim))"]
+    for name, w in (("a0", W), ("a1", "wf"), ("a2", "wt")):
+        out += [prob(f"{name}p", w, "va"), f"{name} AS MATERIALIZED (SELECT cell, avg((pred = label)::INT) AS acc FROM (SELECT DISTINCT cell, row_id, pred FROM {name}p) JOIN va USING (row_id) GROUP BY cell)"]
+    return ",\n".join(out)
+
+
+@register("q8_poison_grid", sk.with_(sk.IMG, _poison_sql(), "cell(cell, budget, seed) AS (VALUES " + ", ".join(f"({c}, {b}, {s})" for c, (b, s) in enumerate(CELLS)) + ")") +
+          " UNION ALL ".join(f"""
+SELECT budget, seed, '{m}' AS method, round(b.acc, 6) AS before, round(a.acc, 6) AS after,
+  round(CASE WHEN c.acc = b.acc THEN 0.0 ELSE (a.acc - b.acc) / (c.acc - b.acc) END, 6) + 0.0 AS restored
+FROM cell JOIN a0 b USING (cell) JOIN {t} a USING (cell), (SELECT acc FROM a0 WHERE cell = {len(CELLS)}) c""" for m, t in (("first-order", "a1"), ("fine-tuning", "a2"))))
+def q8_poison_grid(spark, sf):
+    """Budget x seed x method: what each repair restores of the accuracy that label flips cost."""
+    img = _img(spark, sf)
+    train, flips = img.where("split = 'train'"), None
+    for c, (budget, seed) in enumerate(CELLS):
+        part = sm.flip_pairs(train, budget, seed, K).select(F.lit(c).alias("cell"), "row_id", "new_label")
+        flips = part if flips is None else flips.unionByName(part)
+    got = head.poison_grid(train, img.where("split = 'valid'"), flips, len(CELLS), K, D, P_RATE, P_EPOCHS, P_TAU)
+    return spark.createDataFrame([(*CELLS[c], m, round(b, 6), round(a, 6), round(r, 6) + 0.0) for c, m, b, a, r in got],
+                                 "budget int, seed int, method string, before double, after double, restored double")

@@ -96,7 +96,7 @@ def _asked(spark, sf, *positions):
     asked = positions[0].select("ctx")
     for p in positions[1:]:
         asked = asked.unionByName(p.select("ctx"))
-    return mz.counts_for(c, ORDER, asked), fe.char_vocab(c).count()
+    return mz.asked_counts(c, ORDER, asked)
 
 
 def _canary_positions(spark):

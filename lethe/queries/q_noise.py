@@ -55,16 +55,6 @@ def m10_train_head(spark, sf):
 
 
 # M9 -----------------------------------------------------------------------------
-@register("m9_fine_tune_head", sk.with_(sk.IMG, FLIP_SQL, "tr AS (SELECT row_id, old_label AS label FROM flips)",
-                                        steps_sql(wsql("c.k", "j.j"), "tr", TUNE_RATE, TUNE_EPOCHS, 0.0)) + f"""
-SELECT cls, dim, round(w, 6) AS w FROM w{TUNE_EPOCHS}""")
-def m9_fine_tune_head(spark, sf):
-    """Fine-tuning on the corrected labels of the flipped rows."""
-    rows = _flips(spark, sf).select(F.col("old_label").alias("label"), "x")
-    _, W, _ = noise.gradient_steps(rows, W0, TUNE_RATE, TUNE_EPOCHS)
-    return spark.createDataFrame([(c, j, round(float(W[c, j]), 6)) for c in range(K) for j in range(D)], "cls int, dim int, w double")
-
-
 @register("m9_fine_tune_train", sk.with_(sk.IMG, "tr AS (SELECT row_id, label FROM img WHERE split = 'train')",
                                          steps_sql(wsql("c.k", "j.j"), "tr", TUNE_RATE, TUNE_EPOCHS, 0.0)) + f"""
 SELECT cls, dim, round(w, 6) AS w FROM w{TUNE_EPOCHS}""")
@@ -75,7 +65,7 @@ def m9_fine_tune_train(spark, sf):
 
 
 # U9 / U12 / U15 --------------------------------------------------------------------
-def _noise_sql(changed: str = "SELECT row_id, old_label AS label FROM flips") -> str:
+def _noise_sql(changed: str) -> str:
     out = [f"u0 AS (SELECT CAST(c.k AS INTEGER) AS cls, CAST(j.j AS INTEGER) AS dim, CAST({wsql('c.k', 'j.j')} AS DOUBLE) AS w FROM range({K}) c(k), range({D}) j(j))",
            f"ch AS ({changed})", "va AS (SELECT row_id, label FROM img WHERE split = 'valid')",
            "every AS (SELECT * FROM ch UNION ALL SELECT * FROM va)", logits_sql("q0", "u0", "every")]
@@ -93,36 +83,6 @@ u{k + 1} AS MATERIALIZED (SELECT u.cls, u.dim, u.w - {STEP_TAU} * coalesce(g.g,
 
 _ONE = lambda k, rows: f"(SELECT DISTINCT row_id, label, pred FROM q{k} WHERE row_id IN (SELECT row_id FROM {rows}))"
 _ACC = lambda k, rows: f"(SELECT avg(CASE WHEN pred = label THEN 1.0 ELSE 0.0 END) FROM {_ONE(k, rows)})"
-NOISE_SQL = sk.with_(sk.IMG, FLIP_SQL, _noise_sql())
-
-
-def _unlearn(spark, sf):
-    changed = _flips(spark, sf).select("row_id", F.col("old_label").alias("label"), "x")
-    valid = _img(spark, sf).where("split = 'valid'")
-    return valid, noise.unlearn_label_noise(changed, valid, W0, STEP_TAU, BATCH, STEPS, STEP_SEED)
-
-
-@register("u9_label_noise_steps", NOISE_SQL + " " + " UNION ALL ".join(f"""
-SELECT {k} AS step, round({_ACC(k + 1, f'b{k}')}, 6) AS batch_accuracy, round({_ACC(k + 1, 'va')}, 6) AS valid_accuracy,
-  (SELECT count(*) FROM {_ONE(k, 'ch')} a JOIN {_ONE(k + 1, 'ch')} b USING (row_id) WHERE a.pred = a.label AND b.pred <> b.label) AS new_errors,
-  (SELECT count(*) FROM {_ONE(k + 1, 'ch')} WHERE pred <> label) AS remaining, false AS diverged""" for k in range(STEPS)))
-def u9_label_noise_steps(spark, sf):
-    _, (_, log) = _unlearn(spark, sf)
-    return spark.createDataFrame([(r["step"], round(r["batch_accuracy"], 6), round(r["valid_accuracy"], 6), r["new_errors"], r["remaining"], r["diverged"])
-                                  for r in log], "step int, batch_accuracy double, valid_accuracy double, new_errors bigint, remaining bigint, diverged boolean")
-
-
-@register("u12_u15_noise_recovery", NOISE_SQL + f"""
-SELECT round({_ACC(0, 'va')}, 6) AS before, round({_ACC(STEPS, 'va')}, 6) AS after,
-       round(({_ACC(STEPS, 'va')} - {_ACC(0, 'va')}) / ({CLEAN} - {_ACC(0, 'va')}), 6) AS restored""")
-def u12_u15_noise_recovery(spark, sf):
-    """Share of the accuracy that unlearning restores; -1 if it diverged."""
-    valid, (_, log) = _unlearn(spark, sf)
-    before = sm.predict(valid, W0).agg(F.avg((F.col("pred") == F.col("label")).cast("double"))).first()[0]
-    after = log[-1]["valid_accuracy"] if log else before
-    restored = -1.0 if log and log[-1]["diverged"] else recovery(before, after, CLEAN)
-    return spark.createDataFrame([(round(before, 6), round(after, 6), round(restored, 6))], "before double, after double, restored double")
-
 
 # U9 / U12 over the whole train split ------------------------------------------------
 TRAIN_SQL = sk.with_(sk.IMG, FLIP_SQL, _noise_sql("SELECT row_id, label FROM img WHERE split = 'train'"))

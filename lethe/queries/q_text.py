@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import features as fe
 from ..operators import rewrite as rw
+from ..session import cut_lineage
 from ..sources.standins import text_samples
 from ..sources.tables import table
 from . import sqlkit as sk
@@ -64,7 +65,7 @@ c AS (SELECT doc_id, token, count(*) AS n FROM l WHERE length(token) > 0 GROUP B
 v AS (SELECT token FROM c GROUP BY token HAVING count(*) >= {LINE_MIN_DF})
 SELECT c.doc_id, c.token, c.n FROM c JOIN v ON v.token = c.token""")
 def e2_line_counts(spark, sf):
-    c = fe.line_counts(_docs(spark, sf), "doc_id")
+    c = cut_lineage(fe.line_counts(_docs(spark, sf), "doc_id"))
     v = c.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where(F.col("df") >= LINE_MIN_DF).select("token")
     return c.join(v, "token").select("doc_id", "token", "n")
 

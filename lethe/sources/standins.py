@@ -122,8 +122,9 @@ def labelled_docs(spark: SparkSession, sf_dir: str, label: str = "quality") -> D
 def text_samples(spark: SparkSession, sf_dir: str, min_df: int = TEXT_MIN_DF,
                  label: str = "quality") -> Prepared:
     """All documents as a binary bag-of-words task (spam-mail stand-in); y is null without a label."""
-    docs = labelled_docs(spark, sf_dir, label).select("row_id", "split", "y", fe.tokenize("text").alias("tokens"))
-    vocab = cut_lineage(fe.build_vocab(docs, min_df))
+    # tokenised once; the vocabulary and the entries are both made from it
+    docs = cut_lineage(labelled_docs(spark, sf_dir, label).select("row_id", "split", "y", F.array_distinct(fe.tokenize("text")).alias("tokens")))
+    vocab = fe.build_vocab(docs, min_df)
     samples = fe.binary_bag_of_words(docs, vocab).select("row_id", "split", "y", "idx", "val")
     return Prepared(samples, vocab.withColumn("category", F.col("feature")), vocab.count())
 
