@@ -235,10 +235,9 @@ def _links(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFram
 
 
 def _open_lists(posts: DataFrame, r: int) -> DataFrame:
-    """Postings of the lists that span several components, with a leader of the list: at first the
-    document that shares the greatest part of its tokens with others (near copies of one
-    text share less with each other than with it), then one by a hash that changes with the round."""
-    order = F.xxhash64("id", F.lit(r)) if r else -F.col("e") / F.col("n")
+    """Postings of the lists that span several components, with a leader of the list (the
+    smallest id at first, then one by a hash that changes with the round)."""
+    order = F.xxhash64("id", F.lit(r)) if r else F.lit(0)
     lists = posts.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high"),
                                        F.min(F.struct(order.alias("h"), "id", "comp", "n", "e", "place")).alias("lead")).filter("low <> high")
     return cut_lineage(posts.join(lists.select("token", "lead"), "token"))
@@ -262,9 +261,9 @@ def _hooked(posts: DataFrame, links: DataFrame) -> DataFrame:
     return posts.join(hook, "comp", "left").withColumn("comp", F.coalesce("to", "comp")).drop("to")
 
 
-def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80,
-                       shard_bytes: int = S.SHARD_BYTES, rounds: int = _ROUNDS) -> DataFrame:
-    """One row per document: id, n_shingles, component_id (smallest id reachable by links)."""
+def _prepared(docs: DataFrame, id_col: str, text_col: str, k: int, percent: int, shard_bytes: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(table, texts, found): all documents with their set's size; the texts of what the screen keeps,
+    copies of a shard collapsed; prefixes and the (id, rep) of all copies."""
     n = S.plan_shards(docs, text_col, shard_bytes)
     buckets = n // 2
     packed = S.packed_docs(docs, id_col, text_col, n)
@@ -278,8 +277,13 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     freq = dealt.groupBy("shard").applyInArrow(_send_counts(k, again // 2), S.PACKED).groupBy("bucket").applyInArrow(_frequency, S.ANSWER)
     found = cut_lineage(dealt.groupBy("shard").cogroup(freq.groupBy("shard")).applyInArrow(
         _prefixes(k, percent), "id long, rep long, n int, l int, e int, prefix array<long>, place array<int>"))
+    return table, left.select("id", "blob", "size"), found
+
 
-    texts = left.select("id", "blob", "size")
+def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80,
+                       shard_bytes: int = S.SHARD_BYTES, rounds: int = _ROUNDS) -> DataFrame:
+    """One row per document: id, n_shingles, component_id (smallest id reachable by links)."""
+    table, texts, found = _prepared(docs, id_col, text_col, k, percent, shard_bytes)
     all_links = [table.filter("rep != id").select(F.col("id").alias("a"), F.col("rep").alias("b")),
                  found.filter("rep != id").select(F.col("id").alias("a"), F.col("rep").alias("b"))]
     # postings of the 1-prefixes; the longer ones are compared pair by pair
@@ -313,20 +317,82 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
                     F.expr(f"nullif(coalesce(component, id), {NULL_ID}L)").alias("component_id")))
 
 
+def _blocks(posts: DataFrame, block: int) -> DataFrame:
+    """Postings dealt so that no task joins a whole list: a list of f postings has ceil(f / block) slots
+    by hash, and every pair of slots (lo <= hi) is a key of its own."""
+    slots = posts.groupBy("token").agg(F.ceil(F.count(F.lit(1)) / block).alias("slots")).filter("slots > 1")
+    dealt = posts.join(slots, "token", "left").withColumn("slots", F.coalesce("slots", F.lit(1)))
+    dealt = dealt.withColumn("slot", F.pmod(F.xxhash64("id"), "slots")).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("slots") - 1)))
+    return dealt.select("token", "id", "n", "e", "place", "l", "slot", F.least("slot", "other").alias("lo"), F.greatest("slot", "other").alias("hi"))
+
+
+def jaccard_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80,
+                  shard_bytes: int = S.SHARD_BYTES, block: int = 1024) -> tuple[DataFrame, DataFrame]:
+    """The whole join: (links, members).  Links (a, b) are all pairs a < b of class representatives whose
+    sets are similar enough; members (id, class) has every document with its class, the
+    smallest id of an equal set.  Ids should be unique.
+
+    Candidates come from the lengthened prefixes: a pair counts its shared tokens there and goes
+    to verification with min(l, l') or more.  A group of near copies has as many links as it
+    has pairs; ``jaccard_components`` is for those who need its extent only.
+    """
+    table, texts, found = _prepared(docs, id_col, text_col, k, percent, shard_bytes)
+    classes = found.select(F.col("id").alias("rep"), F.col("rep").alias("class"))
+    members = table.select("id", "rep").join(classes, "rep", "left").select(
+        F.expr(f"nullif(id, {NULL_ID}L)").alias("id"), F.expr(f"nullif(coalesce(class, rep), {NULL_ID}L)").alias("class"))
+    posts = found.filter("prefix is not null").select(F.explode(F.arrays_zip("prefix", "place")).alias("p"), "id", "n", "e", "l").select(
+        F.col("p.prefix").alias("token"), F.col("p.place").alias("place"), "id", "n", "e", "l")
+    dealt = cut_lineage(_blocks(posts, block))
+    a, b = (dealt.select("token", "lo", "hi", *(F.col(c).alias(c + s) for c in ("id", "n", "e", "l", "slot"))) for s in ("1", "2"))
+    t = F.ceil(percent * (F.col("n1") + F.col("n2")) / (100 + percent))
+    pairs = (a.join(b, ["token", "lo", "hi"]).filter("id1 < id2 and (slot1 = lo and slot2 = hi or slot1 = hi and slot2 = lo)")
+             .filter(F.least("e1", "e2") >= t).groupBy("id1", "id2").agg(F.count(F.lit(1)).alias("m"), F.min(F.least("l1", "l2")).alias("l"))
+             .filter("m >= l").select(F.col("id1").alias("x"), F.col("id2").alias("y"), F.col("id1").alias("cx"), F.col("id2").alias("cy")))
+    name = lambda c: F.expr(f"nullif({c}, {NULL_ID}L)").alias(c)
+    return _links(pairs, texts, k, percent).select(name("a"), name("b")), members
+
+
+def link_counts(links: DataFrame, members: DataFrame) -> DataFrame:
+    """(id, n_links): other documents of the same set and of all linked sets."""
+    sizes = members.groupBy("class").agg(F.count(F.lit(1)).alias("size"))
+    ends = links.select(F.col("a").alias("class"), F.col("b").alias("other")).union(links.select("b", "a"))
+    linked = ends.join(sizes.select(F.col("class").alias("other"), "size"), "other").groupBy("class").agg(F.sum("size").alias("linked"))
+    return members.join(sizes, "class").join(linked, "class", "left").select("id", (F.col("size") - 1 + F.coalesce("linked", F.lit(0))).alias("n_links"))
+
+
+def _row_keys(docs: DataFrame, id_col: str, row: str, key: str) -> DataFrame:
+    """Adds ``key``: the id where it is the row's own, else (null or repeated id) a number that no id
+    is, made from the row's number.  Ids keep their order, so that leaders stay what they are."""
+    ids = docs.select(F.col(id_col).cast("long").alias("_id"))
+    low, high, top = ids.agg(F.min("_id"), F.max("_id")).crossJoin(docs.agg(F.max(row))).first()
+    if top is None:
+        return docs.withColumn(key, F.col(row))
+    if high is None or high + 1 + top < NULL_ID:
+        fresh = F.lit(0 if high is None else high + 1) + F.col(row)
+    elif low - 1 - top > -(1 << 63):
+        fresh = F.lit(low - 1) - F.col(row)
+    else:                                      # ids over the whole range: the row numbers stand for all
+        return docs.withColumn(key, F.col(row))
+    many = ids.groupBy("_id").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1 and _id is not null")
+    joined = docs.join(many, F.col(id_col).cast("long") == F.col("_id"), "left")
+    return joined.withColumn(key, F.when(F.col(id_col).isNull() | F.col("_id").isNotNull(), fresh).otherwise(F.col(id_col).cast("long"))).drop("_id", "_n")
+
+
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80,
                      shard_bytes: int = S.SHARD_BYTES) -> DataFrame:
     """One row of each group of near-duplicates stays, all columns kept: the one with the smallest
     id (null last), of rows with the same id the first in the input.
 
-    Rows are judged, not ids: each gets a number, written once, that stands for it in the
-    join, so rows with a null or repeated id are documents of their own.  Rows without
-    words are no near copies of anything and stay.
+    Rows are judged, not ids: each gets a number, written once, and a row with a null or repeated
+    id joins under a key made from it, as a document of its own.  Rows without words are no
+    near copies of anything and stay.
     """
-    row = "row"
-    while row in docs.columns:
-        row = "_" + row
+    row, key = "row", "key"
+    while {row, key} & set(docs.columns):
+        row, key = "_" + row, "_" + key
     numbered = cut_lineage(docs.withColumn(row, F.monotonically_increasing_id()))
-    groups = jaccard_components(numbered, row, text_col, k, percent, shard_bytes).select(F.col("id").alias(row), "component_id")
-    names = numbered.select(row, F.col(id_col).isNull().alias("none"), F.col(id_col).alias("name"))
-    first = names.join(groups, row).groupBy("component_id").agg(F.min(F.struct("none", "name", row)).alias("first"))
+    keyed = _row_keys(numbered, id_col, row, key)
+    groups = jaccard_components(keyed, key, text_col, k, percent, shard_bytes).select(F.col("id").alias(key), "component_id")
+    names = keyed.select(key, row, F.col(id_col).isNull().alias("none"), F.col(id_col).alias("name"))
+    first = names.join(groups, key).groupBy("component_id").agg(F.min(F.struct("none", "name", row)).alias("first"))
     return numbered.join(first.select(f"first.{row}"), row, "left_semi").select(*docs.columns)

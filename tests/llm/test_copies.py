@@ -171,3 +171,34 @@ def test_word_hashes_depend_on_the_word_only():
 @pytest.mark.parametrize("operator", [substring_dedup, exact_dedup, jaccard_components])
 def test_empty_table(no_docs, operator):
     assert operator(no_docs).collect() == []
+
+
+def test_all_links_between_classes(spark):
+    """The whole join on unique ids: links of representatives, membership and link counts."""
+    import random
+    rng = random.Random(12)
+    base = [f"b{k}" for k in range(120)]
+    texts = [(1, None), (2, ""), (3, "one"), (4, "one"), (5, "ONE"), (6, "a b c d e")]
+    for i in range(10, 60):
+        w = list(base)
+        for _ in range(rng.randrange(0, 6)):
+            w[rng.randrange(len(w))] = f"x{rng.randrange(10**6)}"
+        texts.append((i, " ".join(w)))
+    texts += [(60 + k, " ".join(base)) for k in range(5)]
+    texts += [(100 + k, " ".join(f"r{rng.randrange(10**5)}" for _ in range(rng.randrange(3, 60)))) for k in range(30)]
+    sets = {i: frozenset(s.tolist()) for (i, _), s in zip(texts, shingle_sets([(t or "").encode() for _, t in texts]))}
+    first = {}
+    for i in sorted(sets):
+        first.setdefault(sets[i], i)
+    near = lambda a, b: bool(a) and 100 * len(a & b) >= 80 * len(a | b)
+    reps = sorted(i for i in sets if sets[i] and first[sets[i]] == i)
+    want = {(a, b) for a in reps for b in reps if a < b and near(sets[a], sets[b])}
+    docs = spark.createDataFrame(texts, "doc_id long, text string").repartition(4)
+    for block in (3, 1024):
+        links, members = jaccard.jaccard_links(docs, block=block)
+        links, members = links.cache(), members.cache()
+        got = [tuple(r) for r in links.collect()]
+        assert len(got) == len(set(got)) and set(got) == want and len(want) > 50
+        assert {r.id: r["class"] for r in members.collect()} == {i: first[sets[i]] if sets[i] else i for i in sets}
+    counts = {r.id: r.n_links for r in jaccard.link_counts(links, members).collect()}
+    assert counts == {i: sum(j != i and near(sets[i], sets[j]) for j in sets) for i in sets}
