@@ -44,14 +44,16 @@ NOTICES = (
 ANCHORS = 3                 # index words per notice, besides the rarest of its key phrase
 MIN_MATCH = 0.8             # share of a notice's words that stand at their places
 
-_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+# Words end at ASCII signs and controls: everything below 0x80 that is no digit or letter.
+_SIGNS = "".join(map(chr, [*range(0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x80)]))
+_CAPITALS, _SMALL = (bytes(range(c, c + 26)).decode() for c in (0x41, 0x61))
 
 
 def _words(text_col: str):
-    """Words of the text with A-Z folded.  ``lower`` also folds other letters, which never
-    makes an ASCII word but for the Kelvin sign; that one is put out of the way first."""
-    text = F.replace(F.coalesce(F.col(text_col), F.lit("")), F.lit("K"), F.lit("ĸ"))
-    return F.regexp_extract_all(F.lower(text), F.lit(_WORD), F.lit(0))
+    """Words of the text with A-Z folded: one character map, then a split at single spaces, which
+    costs a fraction of a regular expression and folds no other letter."""
+    plain = F.translate(F.coalesce(F.col(text_col), F.lit("")), _SIGNS + _CAPITALS, " " * len(_SIGNS) + _SMALL)
+    return F.array_remove(F.split(plain, " "), "")
 
 
 def _templates():
