@@ -20,8 +20,6 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import linear as lin
-
 
 class NotConverged(ArithmeticError):
     """A fit ran out of steps before its gradient was small enough."""

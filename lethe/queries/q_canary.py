@@ -3,16 +3,14 @@ the canary report, and unlearning from a trained softmax head over one-hot conte
 
 from __future__ import annotations
 
-
-
 from pyspark.sql import functions as F
 
 from ..operators import features as fe
 from ..operators import memorize as mz
 from ..plans import text_head as th
 from . import sqlkit as sk
-from .q_memorize import (ALPHA, DIGITS, DIST_SQL, MODEL_SQL, N_SAMPLES, ORDER, PROMPT, REPLACED, SAMPLE_SEED, _asked, _both, _canary_positions, _corpus,
-                         _dist, _model, _sampled, corpus_sql, pos_sql, scored_sql, sql_str, windows_sql)
+from .q_memorize import (ALPHA, DIST_SQL, MODEL_SQL, ORDER, PROMPT, REPLACED, _asked, _both, _canary_positions, _dist, _model, _sampled,
+                         corpus_sql, pos_sql, scored_sql, sql_str, windows_sql)
 from .registry import register
 
 SECRET, REFERENCE = mz.CANARY_NUMBER, mz.CANARY_REPLACEMENT[0]

@@ -3,7 +3,6 @@ import numpy as np
 import pytest
 
 from lethe.functions.rand import gaussian, gaussian_vector
-from lethe.operators import linear as lin
 from lethe.operators.blocks import block_sums, row_chunks
 from lethe.operators.sampling import assign_shards, feature_combinations
 from lethe.plans import grid as gr
