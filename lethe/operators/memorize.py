@@ -38,10 +38,76 @@ def corpus(docs: DataFrame, canary: str | None, n: int, seed=42, pattern: str =
     return d.withColumn("text", F.lower("text"))
 
 
+# Characters coded at once, distinct windows a task holds, rows of an Arrow batch.
+STEP_CHARS, HELD_GRAMS, BATCH_ROWS = 1 << 21, 1 << 20, 1 << 17
+
+
+def _pieces(batches, k: int):
+    """(code points, starts of the windows of k + 1) of the batches' texts, some STEP_CHARS at a time.
+    A longer text comes in pieces that overlap by k."""
+    def packed(texts):
+        ends = np.repeat(np.cumsum([len(t) for t in texts]), [len(t) for t in texts])
+        return np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32), np.flatnonzero(np.arange(len(ends)) + k < ends)
+    held, size = [], 0
+    for b in batches:
+        for text in b.column("text").to_pylist():
+            for at in range(0, len(text or "") - k, STEP_CHARS):
+                held.append(text[at:at + STEP_CHARS + k])
+                size += len(held[-1])
+                if size >= STEP_CHARS:
+                    yield packed(held)
+                    held, size = [], 0
+    if held:
+        yield packed(held)
+
+
 def kgram_counts(texts: DataFrame, k: int, key: str = "doc_id") -> DataFrame:
-    """counts(ctx, next, n) over every window of every text."""
-    w = fe.char_windows(texts, key, k)
-    return w.groupBy("ctx", "next").agg(F.count(F.lit(1)).alias("n"))
+    """counts(ctx, next, n) over every window of every text.
+
+    A task counts its windows as numbers, the characters' places in the task's alphabet side by
+    side, and sends its partial counts; where the alphabet is too large for that, as strings.
+    """
+    bits = 63 // (k + 1)
+
+    def strings(codes, n):
+        import pyarrow as pa
+        for at in range(0, len(n), BATCH_ROWS):
+            whole = codes[at:at + BATCH_ROWS].astype("<u4").tobytes().decode("utf-32-le")
+            cuts = range(0, len(whole), k + 1)
+            yield pa.RecordBatch.from_arrays([pa.array([whole[i:i + k] for i in cuts], pa.string()), pa.array([whole[i + k] for i in cuts], pa.string()),
+                                              pa.array(n[at:at + BATCH_ROWS], pa.int64())], names=["ctx", "next", "n"])
+
+    def run(batches):
+        place, alphabet = np.full(0x110000, -1, np.int64), np.empty(0, np.uint32)
+        grams, counts = np.empty(0, np.int64), np.empty(0, np.int64)
+
+        def held():
+            return strings(alphabet[np.stack([grams >> (bits * j) & ((1 << bits) - 1) for j in range(k, -1, -1)], axis=1)], counts)
+        for codes, starts in _pieces(batches, k):
+            fresh = np.unique(codes)
+            fresh = fresh[place[fresh] < 0]
+            if len(alphabet) + len(fresh) > 1 << bits:
+                rows, n = np.unique(np.lib.stride_tricks.sliding_window_view(codes, k + 1)[starts], axis=0, return_counts=True)
+                yield from strings(rows, n)
+                continue
+            place[fresh] = np.arange(len(alphabet), len(alphabet) + len(fresh))
+            alphabet = np.concatenate([alphabet, fresh])
+            ids = place[codes]
+            number = np.zeros(len(starts), np.int64)
+            for j in range(k + 1):
+                number = number << bits | ids[starts + j]
+            found, n = np.unique(number, return_counts=True)
+            both = np.concatenate([grams, found])
+            order = np.argsort(both, kind="stable")
+            first = np.flatnonzero(np.concatenate([[True], np.diff(both[order]) > 0]))
+            grams, counts = both[order][first], np.add.reduceat(np.concatenate([counts, n])[order], first)
+            if len(grams) > HELD_GRAMS:
+                yield from held()
+                grams, counts = grams[:0], counts[:0]
+        if len(grams):
+            yield from held()
+    parts = texts.select("text").mapInArrow(run, "ctx string, next string, n long")
+    return parts.groupBy("ctx", "next").agg(F.sum("n").alias("n"))
 
 
 def counts_for(texts: DataFrame, k: int, asked: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -95,19 +161,41 @@ def changed_windows(pairs: DataFrame, k: int, key: str = "doc_id", old: str = "o
     """(key, pos, old_ctx, old_next, new_ctx, new_next) of the windows that differ between two
     versions of a text held in one row; past the end of the shorter one its side is null.
 
-    Rows whose versions are equal are left out before any window is built; no join is needed.
+    Only windows that hold a differing character are built; no join is needed.
     """
-    d = pairs.where(~F.col(old).eqNullSafe(F.col(new))).select(key, F.split(F.coalesce(old, F.lit("")), "").alias("__o"),
-                                                              F.split(F.coalesce(new, F.lit("")), "").alias("__n"))
-    count = F.greatest(F.size("__o"), F.size("__n")) - k
-    d = d.select(key, "__o", "__n", F.explode(F.when(count > 0, F.sequence(F.lit(0), count - 1)).otherwise(F.array().cast("array<int>"))).alias("pos"))
+    field = pairs.schema[key]
+
+    def run(batches):
+        import pyarrow as pa
+        names = ("row", "pos", "old_ctx", "old_next", "new_ctx", "new_next")
 
-    def side(c, name):
-        there = F.col("pos") + k < F.size(c)
-        return (F.when(there, F.array_join(F.slice(c, F.col("pos") + 1, k), "")).alias(f"{name}_ctx"),
-                F.when(there, F.element_at(c, F.col("pos") + k + 1)).alias(f"{name}_next"))
-    d = d.select(key, "pos", *side("__o", "old"), *side("__n", "new"))
-    return d.where(~(F.col("old_ctx").eqNullSafe(F.col("new_ctx")) & F.col("old_next").eqNullSafe(F.col("new_next"))))
+        def made(b, cols):
+            keys = b.column(key).take(pa.array(cols["row"], pa.int64()))
+            return pa.RecordBatch.from_arrays([keys, pa.array(cols["pos"], pa.int32())] + [pa.array(cols[c], pa.string()) for c in names[2:]], names=[key, *names[1:]])
+        for b in batches:
+            cols = {c: [] for c in names}
+            for row, (o, n) in enumerate(zip(b.column("__o").to_pylist(), b.column("__n").to_pylist())):
+                o, n = o or "", n or ""
+                if o == n:
+                    continue
+                a, c = (np.frombuffer(t.encode("utf-32-le"), np.uint32) for t in (o, n))
+                short, most = min(len(a), len(c)), max(len(a), len(c))
+                differs = np.ones(most, np.int64)          # past the shorter text's end as well
+                differs[:short] = a[:short] != c[:short]
+                run_sum = np.concatenate([[0], np.cumsum(differs)])
+                at = np.flatnonzero(run_sum[k + 1:] > run_sum[:max(most - k, 0)]).tolist()
+                cols["row"] += [row] * len(at)
+                cols["pos"] += at
+                for t, side in ((o, "old"), (n, "new")):
+                    there = [p + k < len(t) for p in at]
+                    cols[f"{side}_ctx"] += [t[p:p + k] if ok else None for p, ok in zip(at, there)]
+                    cols[f"{side}_next"] += [t[p + k] if ok else None for p, ok in zip(at, there)]
+                if len(cols["pos"]) > BATCH_ROWS:
+                    yield made(b, cols)
+                    cols = {c: [] for c in names}
+            yield made(b, cols)
+    d = pairs.select(key, F.col(old).alias("__o"), F.col(new).alias("__n"))
+    return d.mapInArrow(run, f"`{key}` {field.dataType.simpleString()}, pos int, old_ctx string, old_next string, new_ctx string, new_next string")
 
 
 def unlearn_counts(counts: DataFrame, changed: DataFrame) -> DataFrame:
@@ -245,7 +333,7 @@ def top_next(counts: DataFrame, top_k: int) -> DataFrame:
 
 def greedy_continue(starts: DataFrame, counts: DataFrame, k: int, steps: int, min_char: str) -> DataFrame:
     """Appends ``steps`` argmax characters to every ``start`` (unseen context -> smallest char)."""
-    best = top_next(counts, 1).select("ctx", F.col("next").alias("__nx"))
+    best = cut_lineage(top_next(counts, 1).select("ctx", F.col("next").alias("__nx")))      # every step reads it
     out = starts.withColumn("gen", F.lit(""))
     for _ in range(steps):
         cur = F.concat(F.col("start"), F.col("gen"))
@@ -267,7 +355,7 @@ def sampled_continue(starts: DataFrame, counts: DataFrame, k: int, steps: int, t
     without candidates gives the smallest character.
     """
     first = F.array_sort(F.collect_list(F.struct("rank", "next", "n")))
-    best = top_next(counts, top_k + 1).join(counts, ["ctx", "next"]).groupBy("ctx").agg(first.alias("cand"))
+    best = cut_lineage(top_next(counts, top_k + 1).join(counts, ["ctx", "next"]).groupBy("ctx").agg(first.alias("cand")))      # every step reads it
     out = starts.withColumn("gen", F.lit(""))
     for step in range(steps):
         allowed = F.filter("cand", lambda e: e["rank"].between(2, top_k + 1) if step == 0 else e["rank"] <= top_k)

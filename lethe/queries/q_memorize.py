@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import features as fe
 from ..operators import memorize as mz
+from ..session import cut_lineage
 from ..sources.tables import table
 from . import sqlkit as sk
 from .registry import register
@@ -85,7 +86,7 @@ def _both(spark, sf):
 
 def _model(spark, sf):
     c = _corpus(spark, sf)
-    counts = mz.kgram_counts(c, ORDER)
+    counts = cut_lineage(mz.kgram_counts(c, ORDER))      # read more than once by its callers
     V = fe.char_vocab(c).count()
     return c, counts, V
 
