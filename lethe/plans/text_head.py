@@ -12,11 +12,13 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.blocks import block_sums
 from ..operators.sampling import hash_cut
+from ..session import cut_lineage
 from .solvers import NotConverged, conjugate_gradient, persisted
 
 
@@ -138,14 +140,33 @@ def unlearn_text(changed: DataFrame, after: DataFrame, alphabet: Alphabet, W: np
 def reduced_windows(windows: DataFrame, changed: DataFrame, reduction: float, seed, key: str = "doc_id") -> DataFrame:
     """The windows (key, pos, ctx, next) reduced to floor(r * n), the changed ones at their
     own ratio, ceil(r * n_changed), each with ``is_changed`` so that it maps back to the
-    change set by (key, pos)."""
+    change set by (key, pos).
+
+    The change set is joined a text, not a window, as counts from its first changed position to
+    its last: windows that are dealt out by ``key`` already are not moved.
+    """
     import math
-    mark = changed.select(key, "pos").withColumn("is_changed", F.lit(True))
-    rows = windows.join(mark, [key, "pos"], "left").withColumn("is_changed", F.coalesce("is_changed", F.lit(False)))
+    kind = changed.schema[key].dataType.simpleString()
+
+    def spans(batches):
+        for b in batches:
+            lo, n = [], []
+            for e in b.column("e").to_pylist():
+                at = np.array([x["pos"] for x in e])
+                lo.append(int(at.min()))
+                n.append(np.bincount(at - lo[-1], [x["n"] for x in e]).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([b.column(key), pa.array(lo, pa.int32()), pa.array(n, pa.list_(pa.int32()))], names=[key, "__lo", "__n"])
+    each = changed.where(F.col("pos").isNotNull()).groupBy(key, "pos").agg(F.count(F.lit(1)).alias("n"))
+    marks = cut_lineage(each.groupBy(key).agg(F.collect_list(F.struct("pos", "n")).alias("e")).mapInArrow(spans, f"`{key}` {kind}, __lo int, __n array<int>"))
+    rows = windows.join(marks.hint("shuffle_hash"), key, "left")
+    # a window meets every row of the change set with its key and position
+    times = F.coalesce(F.get("__n", F.col("pos") - F.col("__lo")), F.lit(0))
+    rows = rows.select(*windows.columns, F.explode(F.array_repeat(times > 0, F.greatest(times, F.lit(1)))).alias("is_changed"))
     rows = rows.withColumn("__k", F.concat_ws(":", F.col(key).cast("string"), F.col("pos").cast("string")))
-    have = {r["is_changed"]: r["count"] for r in rows.groupBy("is_changed").count().collect()}
-    keep = math.ceil(reduction * have.get(True, 0))
-    quota = {True: keep, False: max(math.floor(reduction * sum(have.values())) - keep, 0)}
+
+    def quota(have):
+        keep = math.ceil(reduction * have.get(True, 0))
+        return {True: keep, False: max(math.floor(reduction * sum(have.values())) - keep, 0)}
     return hash_cut(rows, "__k", seed, quota, by="is_changed").drop("_h", "__k")
 
 

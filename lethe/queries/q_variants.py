@@ -16,7 +16,7 @@ from ..operators.summary import data_summary
 from ..plans import grid as gr
 from ..plans import noise
 from ..plans import unlearn as ul
-from ..session import checkpoint_dir
+from ..session import checkpoint_dir, cut_lineage
 from ..sources import store
 from ..sources.standins import numeric_samples, tabular_raw, tabular_samples, text_samples
 from . import sqlkit as sk
@@ -209,7 +209,7 @@ FROM corpus d LEFT JOIN co ON co.doc_id = d.doc_id WHERE d.text IS NOT NULL GROU
 def f11_encode_decode(spark, sf):
     """All texts coded by the vocabulary of half of them, and decoded again."""
     c = _corpus(spark, sf)
-    vocab = fe.char_vocab(c.where("doc_id % 2 = 0"))
+    vocab = cut_lineage(fe.char_vocab(c.where("doc_id % 2 = 0")))
     out = fe.decode_text(fe.encode_text(c.where("text is not null"), vocab), vocab, name="decoded")
     known = F.filter("codes", lambda v: v.isNotNull())
     return out.select("doc_id", F.size("codes").cast("bigint").alias("n_codes"), (F.size("codes") - F.size(known)).cast("bigint").alias("unknown"),
