@@ -125,9 +125,11 @@ cell_s AS (SELECT combo_id * {HOW.shards} + shard AS cell, combo_id, shard, nois
 
 
 def _removal(spark, sf):
-    rows = numeric_samples(spark, sf, keyed=True, positive=POSITIVE).samples
+    """(train, test, combinations of removed columns); the rows are packed, train with shards and batches."""
+    deals = {"shard": (HOW.shards, HOW.shard_seed), "batch": (HOW.batches, HOW.batch_seed)}
+    side = lambda split, deals=None: numeric_samples(spark, sf, keyed=True, positive=POSITIVE, split=split, packs=True, deals=deals).samples
     combos = sa.feature_combinations(spark, D, N_COMBOS, COMBO_LEN, COMBO_SEED).collect()
-    return rows.where("split = 'train'"), rows.where("split = 'test'"), [sorted(r["dim"] for r in combos if r["combo_id"] == k) for k in range(N_COMBOS)]
+    return side("train", deals), side("test"), [sorted(r["dim"] for r in combos if r["combo_id"] == k) for k in range(N_COMBOS)]
 
 
 # R9 ---------------------------------------------------------------------------------------
@@ -228,11 +230,12 @@ def q3_gradient_residuals(spark, sf):
     """Mean gradient residual of each method over the combinations, the noise that certifies it, and
     what a model trained under that noise is worth (averaged over repetitions)."""
     train, test, combos = _removal(spark, sf)
-    keep, thetas = gr.unlearned(train, combos, D, HOW, methods=RESIDUAL_METHODS)
-    res = gr.residuals(train, keep, thetas, LAM)
-    sigma = {m: certification(float(res[m].mean()), EPS, DELTA, 0.0)["certified_sigma"] for m in RESIDUAL_METHODS}
-    b = np.array([gaussian_vector(D, f"{CERT_SEED}:{r}", sigma[m]) for m in RESIDUAL_METHODS for r in range(CERT_REPS)])
-    fits = gr.fit_grid(train, gr.grid(np.zeros(b.shape)), LAM, b)
+    with gr.persisted(train):
+        keep, thetas = gr.unlearned(train, combos, D, HOW, methods=RESIDUAL_METHODS)
+        res = gr.residuals(train, keep, thetas, LAM)
+        sigma = {m: certification(float(res[m].mean()), EPS, DELTA, 0.0)["certified_sigma"] for m in RESIDUAL_METHODS}
+        b = np.array([gaussian_vector(D, f"{CERT_SEED}:{r}", sigma[m]) for m in RESIDUAL_METHODS for r in range(CERT_REPS)])
+        fits = gr.fit_grid(train, gr.grid(np.zeros(b.shape)), LAM, b)
     st = gr.grid_stats(test, gr.grid(fits))
     macro, weighted = st.f1()
     mean = lambda v, k: round(float(v[k * CERT_REPS:(k + 1) * CERT_REPS].mean()), 6)
@@ -278,7 +281,7 @@ def q6_gradient_counts(spark, sf):
     keep = np.ones((len(combos), D), bool)
     for k, c in enumerate(combos):
         keep[k, c] = False
-    return spark.createDataFrame([("1st-Order", round(float(gr.touched_rows(train, keep).mean()), 4)), ("Finetuning", round(float(train.count()), 4))],
+    return spark.createDataFrame([("1st-Order", round(float(gr.touched_rows(train, keep).mean()), 4)), ("Finetuning", round(float(gr.grid_stats(train, gr.grid(np.zeros(D))).n[0]), 4))],
                                  "method string, gradients double")
 
 

@@ -192,8 +192,8 @@ def _binary_lissa_sql() -> str:
     f"SELECT {j} AS dim, round(avg(u{j}) / {B_SCALE}, 9) AS x, false AS diverged FROM ({' UNION ALL '.join(f'SELECT * FROM l{r}_{B_STEPS}' for r in range(B_ROUNDS))})" for j in range(LD)))
 def u6_lissa_batches(spark, sf):
     """Stochastic inverse product on the linear model; every step is a product over one batch."""
-    _, _, _, G = _numeric(spark, sf)
-    edited = lin_edited(spark, sf)
+    with _numeric(spark, sf) as (_, _, _, G):
+        edited = lin_edited(spark, sf)
     with head.persisted(head.dealt(edited, B_BATCHES, B_ROUNDS, B_SEED).select("y", "idx", "val", "deal")) as rows:
         part = head.batch_products(rows, B_BATCHES, lambda some, u: lin.hvp_vector(some, THETA, list(u), LD))
         got = head.lissa_rounds(lambda r, b, u: part(r, b, u) + LAM * u, G, B_BATCHES, B_SCALE, B_DAMP, B_STEPS, B_ROUNDS)

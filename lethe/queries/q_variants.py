@@ -12,6 +12,7 @@ from ..operators import metrics as me
 from ..operators import rewrite as rw
 from ..operators import sampling as sa
 from ..operators import triggers as tg
+from ..operators.blocks import map_packs
 from ..operators.summary import data_summary
 from ..plans import grid as gr
 from ..plans import noise
@@ -128,10 +129,10 @@ def u5_label_influence(spark, sf):
     [f"SELECT 'order2', {j}, round({e}, 5) FROM he" for j, e in enumerate(_SECOND)] + [f"SELECT 'no change', {j}, {t}::DOUBLE" for j, t in enumerate(THETA)]))
 def u8_update_dispatch(spark, sf):
     """One dispatcher for both orders; a change set without gradient moves nothing."""
-    _, edited, delta, _ = _numeric(spark, sf)
-    same = delta.select("y", "idx", "val", F.col("y").alias("y_delta"), F.col("idx").alias("idx_delta"), F.col("val").alias("val_delta"))
-    out = {"order1": ul.approx_retraining(delta, edited, THETA, D, LAM, 1, TAU)[0], "order2": ul.approx_retraining(delta, edited, THETA, D, LAM, 2)[0],
-           "no change": ul.approx_retraining(same, edited, THETA, D, LAM, 2)[0]}
+    with _numeric(spark, sf) as (_, edited, delta, _):
+        same = map_packs(delta, lambda b: type(b).from_pydict({c + end: b.column(c) for end in ("", "_delta") for c in ("y", "idx", "val")}))
+        out = {"order1": ul.approx_retraining(delta, edited, THETA, D, LAM, 1, TAU)[0], "order2": ul.approx_retraining(delta, edited, THETA, D, LAM, 2)[0],
+               "no change": ul.approx_retraining(same, edited, THETA, D, LAM, 2)[0]}
     return spark.createDataFrame([(m, j, round(float(t[j]), 5)) for m, t in out.items() for j in range(D)], "method string, dim int, theta double")
 
 
@@ -354,8 +355,8 @@ def s9_relevant_features(spark, sf):
 def s14_model_store(spark, sf):
     """The updated model and a report under the hash of its removed columns."""
     folder = f"{checkpoint_dir(spark)}/models-{uuid.uuid4().hex}"
-    _, edited, _, G = _numeric(spark, sf)
-    store.save_model(spark, folder, REMOVE, ul.second_order(edited, THETA, G, D, LAM), {"gradient": float(np.linalg.norm(G))})
+    with _numeric(spark, sf) as (_, edited, _, G):
+        store.save_model(spark, folder, REMOVE, ul.second_order(edited, THETA, G, D, LAM), {"gradient": float(np.linalg.norm(G))})
     theta, report = store.load_models(spark, folder)
     return theta.select("model_id", F.lit("theta").alias("part"), F.col("dim").cast("string").alias("name"), F.round("w", 5).alias("value")).unionByName(
         report.select("model_id", F.lit("report").alias("part"), F.col("metric").alias("name"), F.round("value", 4).alias("value")))

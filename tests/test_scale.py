@@ -3,11 +3,18 @@ from collections import Counter
 
 import numpy as np
 
+from lethe.operators import blocks as bl
 from lethe.operators import features as fe
 from lethe.operators import linear as lin
 from lethe.operators import memorize as mz
+from lethe.operators import rewrite as rw
 from lethe.operators import sampling as sa
+from lethe.plans import grid as gr
+from lethe.plans import solvers
 from lethe.plans import text_head as th
+from lethe.plans import unlearn as ul
+from lethe.queries import QUERIES
+from lethe.sources import standins
 
 TEXTS = [(1, "abcab\ncab"), (2, ""), (3, None), (4, "é𝄞é𝄞é𝄞"), (None, "abcabc"), (1, "abcab\ncab")]
 
@@ -80,3 +87,88 @@ def test_gradient_difference_skips_rows_with_nulls(spark):
             want[at] += sign * -a / (1 + np.exp(a * np.dot(np.array(theta)[at], b))) * np.array(b)
     got = {r.dim: r.g for r in lin.gradient_diff(delta, theta).collect()}
     assert got[2] is None and np.allclose([got[0], got[1]], want[:2])
+
+
+def sparse(spark, n=300, d=4):
+    rng = np.random.default_rng(1)
+    rows = []
+    for i in range(n):
+        idx = sorted(rng.choice(d, rng.integers(0, d + 1), replace=False).tolist())
+        rows.append((i, float(rng.choice([-1, 1])), idx, rng.uniform(-1, 1, len(idx)).tolist()))
+    return spark.createDataFrame(rows, "row_id bigint, y double, idx array<int>, val array<double>")
+
+
+def test_packed_rows_give_what_plain_rows_give(spark, monkeypatch):
+    monkeypatch.setattr(bl, "PACK_ROWS", 50)
+    plain, theta, d = sparse(spark), [0.5, -1.0, 0.25, 2.0], 4
+    packed = bl.packed(plain, "y", "idx", "val")
+    assert packed.columns == ["pack"] and packed.count() >= 1 and bl.packed(packed, "y") is packed
+    read = lambda rows: bl.block_sums(rows, lambda batches: {0: np.array([sum(b.num_rows for b in batches)])})[0][0]
+    assert read(packed) == 300
+    for dims in ([0], [1, 3]):
+        for a, b in ((plain, packed), (rw.remove_features(plain, dims), rw.remove_features(packed, dims))):
+            assert np.allclose(lin.hessian_matrix(a, theta, d), lin.hessian_matrix(b, theta, d))
+            assert np.allclose(lin.hvp_vector(a, theta, theta, d, 0.5), lin.hvp_vector(b, theta, theta, d, 0.5))
+            assert np.allclose(solvers.loss_gradient(a, np.array(theta))[1], solvers.loss_gradient(b, np.array(theta))[1])
+            assert np.allclose(solvers.fit_lbfgs(a, d, 1.0), solvers.fit_newton(b, d, 1.0)[None], atol=1e-6)
+        G = [ul.change_gradient(rw.removal_delta(rows.select("row_id", "y", "idx", "val") if rows is plain else rows, dims), theta, d) for rows in (plain, packed)]
+        assert np.allclose(*G) and np.allclose(G[0], lin.to_vector(lin.removal_gradient(plain, theta, dims), d, value="g"))
+
+
+def test_small_and_wide_rows_meet_the_models_alike(spark, monkeypatch):
+    rows, rng = bl.packed(sparse(spark), "y", "idx", "val"), np.random.default_rng(2)
+    keep = rng.random((6, 4)) < 0.6
+    g = gr.Grid(rng.normal(size=(6, 4)), keep, np.full(6, -1), np.array([False, True] * 3))
+    x = next(x for _, x in bl.row_chunks(sparse(spark).toArrow().to_batches(), 1))
+    assert isinstance(x.small(4), bl.Dense) and x.small(bl.DENSE + 1) is x
+    for a, b in ((x, x.small(4)), (x.where(x.row[:1] == np.arange(x.n)), x.small(4).where(x.row[:1] == np.arange(x.n)))):
+        assert np.allclose(a.dot(g.theta.T), b.dot(g.theta.T)) and (a.has(1.0 * keep.T) == b.has(1.0 * keep.T)).all()
+        assert np.allclose(a.tdot(np.ones((a.n, 2)), 4), b.tdot(np.ones((a.n, 2)), 4))
+    dense = gr.grid_stats(rows, g, hessian=True, vectors=g.theta)
+    monkeypatch.setattr(gr, "PAIRS", 0)
+    wide = gr.grid_stats(rows, g, hessian=True, vectors=g.theta)
+    assert all(np.allclose(a, b) for a, b in zip(vars(dense).values(), vars(wide).values()))
+
+
+def test_a_loop_does_not_keep_a_kept_table_twice(spark):
+    with solvers.persisted(bl.packed(sparse(spark), "y", "idx", "val")) as rows:
+        with solvers.persisted(rows) as again:
+            assert again is rows
+        assert rows.storageLevel.useMemory
+
+
+def test_numeric_rows_of_one_split_are_built_from_it_alone(spark, sf):
+    whole = standins.numeric_samples(spark, sf, keyed=True).samples
+    for split in ("train", "test"):
+        key = lambda r: (r.row_id, r.y, tuple(r.idx), tuple(r.val))
+        want, part = whole.where(f"split = '{split}'"), standins.numeric_samples(spark, sf, keyed=True, split=split).samples
+        assert Counter(map(key, want.collect())) == Counter(map(key, part.collect()))
+    some = spark.range(2000).select(standins.split_col("id").alias("a"), standins.split_col("id", 3, 0.37).alias("b"), (standins.uniform("id", 42) < 0.8).alias("c"),
+                                    (standins.uniform("id", 3) < 0.37).alias("d")).collect()
+    assert all((r.a == "train") == r.c and (r.b == "train") == r.d for r in some)
+
+
+def test_numeric_rows_are_built_once_for_all_steps(spark, sf, monkeypatch):
+    from lethe.queries import q_plans
+    made = []
+    build = standins.numeric_samples
+    monkeypatch.setattr(q_plans, "numeric_samples", lambda *a, **k: made.append(build(*a, **k)) or made[-1])
+    with q_plans._numeric(spark, sf) as (train, edited, delta, _):
+        assert bl.is_packed(train) and train.storageLevel.useMemory and all("InMemoryTableScan" in x._jdf.queryExecution().executedPlan().toString() for x in (edited, delta))
+    assert len(made) == 1 and not train.storageLevel.useMemory
+
+
+def test_windows_of_a_small_alphabet_are_counted_in_a_table(spark, monkeypatch):
+    df = spark.createDataFrame(TEXTS, "doc_id bigint, text string")
+    want = {(r.ctx, r.next): r.n for r in mz.kgram_counts(df, 2).collect()}
+    monkeypatch.setattr(mz, "TABLE_BITS", 0)
+    assert {(r.ctx, r.next): r.n for r in mz.kgram_counts(df, 2).collect()} == want
+
+
+def test_text_head_writes_its_texts_once(spark, sf, monkeypatch):
+    from lethe.queries import q_canary
+    kept = []
+    keep = th.persisted
+    monkeypatch.setattr(th, "persisted", lambda df: kept.append(df.columns) or keep(df))
+    assert len(QUERIES["u13_text_head_unlearning"](spark, sf).collect()) == 4
+    assert kept[0] == ["doc_id", "old", "new"]
