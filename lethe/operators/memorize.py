@@ -40,6 +40,7 @@ def corpus(docs: DataFrame, canary: str | None, n: int, seed=42, pattern: str =
 
 # Characters coded at once, distinct windows a task holds, rows of an Arrow batch.
 STEP_CHARS, HELD_GRAMS, BATCH_ROWS = 1 << 21, 1 << 20, 1 << 17
+TABLE_BITS = 22                # windows of no more bits are counted in a table instead of by sorting
 
 
 def _pieces(batches, k: int):
@@ -84,19 +85,27 @@ def kgram_counts(texts: DataFrame, k: int, key: str = "doc_id") -> DataFrame:
         def held():
             return strings(alphabet[np.stack([grams >> (bits * j) & ((1 << bits) - 1) for j in range(k, -1, -1)], axis=1)], counts)
         for codes, starts in _pieces(batches, k):
-            fresh = np.unique(codes)
-            fresh = fresh[place[fresh] < 0]
+            ids = place[codes]
+            fresh = np.unique(codes[ids < 0])
             if len(alphabet) + len(fresh) > 1 << bits:
                 rows, n = np.unique(np.lib.stride_tricks.sliding_window_view(codes, k + 1)[starts], axis=0, return_counts=True)
                 yield from strings(rows, n)
                 continue
-            place[fresh] = np.arange(len(alphabet), len(alphabet) + len(fresh))
-            alphabet = np.concatenate([alphabet, fresh])
-            ids = place[codes]
+            if len(fresh):
+                place[fresh] = np.arange(len(alphabet), len(alphabet) + len(fresh))
+                alphabet = np.concatenate([alphabet, fresh])
+                ids = place[codes]
+            short = max(len(alphabet) - 1, 1).bit_length()
+            few = short * (k + 1) <= TABLE_BITS
             number = np.zeros(len(starts), np.int64)
             for j in range(k + 1):
-                number = number << bits | ids[starts + j]
-            found, n = np.unique(number, return_counts=True)
+                number = number << (short if few else bits) | ids[starts + j]
+            if few:
+                n = np.bincount(number)
+                found = np.flatnonzero(n)
+                n, found = n[found], sum((found >> (short * j) & ((1 << short) - 1)) << (bits * j) for j in range(k + 1))
+            else:
+                found, n = np.unique(number, return_counts=True)
             both = np.concatenate([grams, found])
             order = np.argsort(both, kind="stable")
             first = np.flatnonzero(np.concatenate([[True], np.diff(both[order]) > 0]))

@@ -221,13 +221,14 @@ def _loss_sql(state: str, w: str) -> str:
 def u13_text_head_unlearning(spark, sf):
     """Log-perplexity of the secret under the trained head: before, unlearned by either order, retrained."""
     from ..session import cut_lineage
-    both = _both(spark, sf)
-    side = lambda c: cut_lineage(th.context_rows(mz.kgram_counts(both.select("doc_id", F.col(c).alias("text")), HEAD_ORDER)))
-    old, new = side("old"), side("new")
-    chars = [r["ch"] for r in fe.char_vocab(both.select("doc_id", F.col("old").alias("text"))).orderBy("ch").collect()]
+    # the texts are written anew once, for the counts of either side, the alphabet and the change set
+    with th.persisted(_both(spark, sf)) as both:
+        side = lambda c: cut_lineage(th.context_rows(mz.kgram_counts(both.select("doc_id", F.col(c).alias("text")), HEAD_ORDER)))
+        old, new = side("old"), side("new")
+        chars = [r["ch"] for r in fe.char_vocab(both.select("doc_id", F.col("old").alias("text"))).orderBy("ch").collect()]
+        changed = cut_lineage(mz.changed_windows(both, HEAD_ORDER))
     alphabet = th.Alphabet(tuple(chars), HEAD_ORDER)
     W = th.train_text(old, alphabet, HEAD_RATE, HEAD_EPOCHS)
-    changed = cut_lineage(mz.changed_windows(both, HEAD_ORDER))
     n = new.agg(F.sum(F.aggregate("n", F.lit(0.0), lambda a, v: a + v))).first()[0] or 1.0
     states = {"before": W, "first_order": th.unlearn_text(changed, new, alphabet, W, tau=HEAD_TAU / n),
               "second_order": th.unlearn_text(changed, new, alphabet, W, damping=HEAD_DAMPING * n), "retrained": th.train_text(new, alphabet, HEAD_RATE, HEAD_EPOCHS)}
