@@ -130,7 +130,7 @@ def u5_label_influence(spark, sf):
 def u8_update_dispatch(spark, sf):
     """One dispatcher for both orders; a change set without gradient moves nothing."""
     with _numeric(spark, sf) as (_, edited, delta, _):
-        same = map_packs(delta, lambda b: type(b).from_pydict({c + end: b.column(c) for end in ("", "_delta") for c in ("y", "idx", "val")}))
+        same = map_packs(delta, lambda b: type(b).from_pydict({c + end: b.column(c) for end in ("", "_delta") for c in b.schema.names if not c.endswith("_delta")}))
         out = {"order1": ul.approx_retraining(delta, edited, THETA, D, LAM, 1, TAU)[0], "order2": ul.approx_retraining(delta, edited, THETA, D, LAM, 2)[0],
                "no change": ul.approx_retraining(same, edited, THETA, D, LAM, 2)[0]}
     return spark.createDataFrame([(m, j, round(float(t[j]), 5)) for m, t in out.items() for j in range(D)], "method string, dim int, theta double")

@@ -1,4 +1,5 @@
 """Steps rebuilt to scale, against plain Python on rows of the tests' own."""
+import math
 from collections import Counter
 
 import numpy as np
@@ -172,3 +173,54 @@ def test_text_head_writes_its_texts_once(spark, sf, monkeypatch):
     monkeypatch.setattr(th, "persisted", lambda df: kept.append(df.columns) or keep(df))
     assert len(QUERIES["u13_text_head_unlearning"](spark, sf).collect()) == 4
     assert kept[0] == ["doc_id", "old", "new"]
+
+
+def dense(rows, d=4):
+    """The sparse rows as dense packs."""
+    def run(batches):
+        import pyarrow as pa
+        for b in batches:
+            if b.num_rows:
+                yield pa.RecordBatch.from_arrays([b.column("y"), b.column("shard"), bl.fixed_lists(bl.Rows(b).dense(d))], names=["y", "shard", "x"])
+    return rows.select("y", "shard", "idx", "val").mapInArrow(lambda batches: bl.to_packs(run(batches)), "pack binary")
+
+
+def test_dense_packs_give_what_sparse_rows_give(spark, monkeypatch):
+    monkeypatch.setattr(bl, "CELLS", 64)
+    plain, theta, d, rng = sa.assign_shards(sparse(spark, 3000), "row_id", 3), [0.5, -1.0, 0.25, 2.0], 4, np.random.default_rng(3)
+    packs, keep = dense(plain), rng.random((5, 4)) < 0.6
+    assert bl.is_packed(packs)
+    grids = [gr.Grid(rng.normal(size=(5, 4)), keep, np.full(5, -1), np.array([False, True, False, True, True])), gr.grid(rng.normal(size=(6, 4)), shard=[0, 1, 2] * 2, untouched=True)]
+    for dims in ([], [0], [1, 3]):
+        a, b = rw.remove_features(plain, dims), rw.remove_features(packs, dims)
+        for g in grids:
+            one, two = (gr.grid_stats(x, g, hessian=True, vectors=g.theta) for x in (a, b))
+            assert all(np.allclose(u, v) for u, v in zip(vars(one).values(), vars(two).values()))
+        assert np.allclose(lin.hessian_matrix(a, theta, d), lin.hessian_matrix(b, theta, d))
+        assert np.allclose(solvers.fit_lbfgs(a, d, 1.0), solvers.fit_lbfgs(b, d, 1.0), atol=1e-6)
+        assert np.allclose(lin.hvp_vector(a, theta, theta, d), lin.hvp_vector(b, theta, theta, d))
+        deltas = [{r.dim: r.g for r in lin.gradient_diff(rw.removal_delta(x, dims), theta).collect()} for x in (plain, packs)]
+        assert deltas[0].keys() == deltas[1].keys() and all(np.isclose(g, deltas[1][j]) for j, g in deltas[0].items())
+    before = np.ones_like(keep)
+    assert np.allclose(gr.change_gradients(plain, grids[0].theta, before, keep), gr.change_gradients(packs, grids[0].theta, before, keep))
+    assert (gr.touched_rows(plain, keep) == gr.touched_rows(packs, keep)).all()
+    votes = [gr.vote_right(x, grids[1].theta.reshape(2, 3, 4), keep[:2]) for x in (plain, packs)]
+    assert votes[0][0] == votes[1][0] == 3000 and (votes[0][1] == votes[1][1]).all()
+    sample = (1.0, np.array([0.1, 0.2, 0.3, 0.4]))
+    assert np.allclose(*(gr.block_influence(x, theta, sample, [[0], [1, 3]], 1.0) for x in (plain, packs)))
+
+
+def test_numeric_packs_are_dense_and_hold_all_rows(spark, sf):
+    want = Counter((r.y, *(dict(zip(r.idx, r.val)).get(j, 0.0) for j in range(4))) for r in standins.numeric_samples(spark, sf, split="train").samples.collect())
+    packs, got = standins.numeric_samples(spark, sf, split="train", packs=True, deals={"shard": (5, 3)}).samples, Counter()
+    for b in bl.unpacked(packs.toArrow().to_batches()):
+        assert b.schema.names == ["shard", "y", "x"]
+        got.update(zip(b.column("y").to_pylist(), *bl.matrix(b.column("x")).T.tolist()))
+    assert got == want
+
+
+def test_logarithms_of_many_rows_are_added_up_exactly():
+    rng = np.random.default_rng(4)
+    for e in (np.ones((5001, 2)), rng.random((1, 3)), rng.random((777, 1)) * 1e-18, 10.0 ** rng.uniform(-30, 0, (4096, 3)), np.zeros((0, 2))):
+        want = [math.fsum(np.log1p(c)) for c in e.T]
+        assert np.allclose(gr._log1p_sums(e), want, rtol=1e-13, atol=0)
