@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from ..operators.blocks import block_sums
 from ..operators.sampling import hash_cut
+from ..operators.windows import cut_windows
 from ..session import cut_lineage
 from .solvers import NotConverged, conjugate_gradient, persisted
 
@@ -137,13 +138,14 @@ def unlearn_text(changed: DataFrame, after: DataFrame, alphabet: Alphabet, W: np
     return W - tau * G if damping is None else W - text_solve(after, alphabet, W, G, damping)
 
 
-def reduced_windows(windows: DataFrame, changed: DataFrame, reduction: float, seed, key: str = "doc_id") -> DataFrame:
+def reduced_windows(windows: DataFrame, changed: DataFrame, reduction: float, seed, key: str = "doc_id", length: int | None = None) -> DataFrame:
     """The windows (key, pos, ctx, next) reduced to floor(r * n), the changed ones at their
     own ratio, ceil(r * n_changed), each with ``is_changed`` so that it maps back to the
     change set by (key, pos).
 
     The change set is joined a text, not a window, as counts from its first changed position to
-    its last: windows that are dealt out by ``key`` already are not moved.
+    its last: windows that are dealt out by ``key`` already are not moved.  With ``length`` the windows
+    come packed, as ``char_windows`` leaves them, and only those that are kept become rows.
     """
     import math
     kind = changed.schema[key].dataType.simpleString()
@@ -159,14 +161,17 @@ def reduced_windows(windows: DataFrame, changed: DataFrame, reduction: float, se
     each = changed.where(F.col("pos").isNotNull()).groupBy(key, "pos").agg(F.count(F.lit(1)).alias("n"))
     marks = cut_lineage(each.groupBy(key).agg(F.collect_list(F.struct("pos", "n")).alias("e")).mapInArrow(spans, f"`{key}` {kind}, __lo int, __n array<int>"))
     rows = windows.join(marks.hint("shuffle_hash"), key, "left")
-    # a window meets every row of the change set with its key and position
-    times = F.coalesce(F.get("__n", F.col("pos") - F.col("__lo")), F.lit(0))
-    rows = rows.select(*windows.columns, F.explode(F.array_repeat(times > 0, F.greatest(times, F.lit(1)))).alias("is_changed"))
-    rows = rows.withColumn("__k", F.concat_ws(":", F.col(key).cast("string"), F.col("pos").cast("string")))
 
     def quota(have):
         keep = math.ceil(reduction * have.get(True, 0))
         return {True: keep, False: max(math.floor(reduction * sum(have.values())) - keep, 0)}
+    if length is not None:
+        rows = rows.select(F.col(key).alias("key"), F.col(key).cast("string").alias("name"), "text", F.col("__lo").alias("lo"), F.col("__n").alias("times"))
+        return cut_windows(rows, length, seed, reduction, quota, key)
+    # a window meets every row of the change set with its key and position
+    times = F.coalesce(F.get("__n", F.col("pos") - F.col("__lo")), F.lit(0))
+    rows = rows.select(*windows.columns, F.explode(F.array_repeat(times > 0, F.greatest(times, F.lit(1)))).alias("is_changed"))
+    rows = rows.withColumn("__k", F.concat_ws(":", F.col(key).cast("string"), F.col("pos").cast("string")))
     return hash_cut(rows, "__k", seed, quota, by="is_changed").drop("_h", "__k")
 
 

@@ -151,9 +151,9 @@ def j5_reduced_windows(spark, sf):
     """The windows reduced to a share, the changed ones at their own, each mapped to the change set."""
     both = _both(spark, sf)
     # texts are dealt out by the key of the change set, which is cheaper than dealing out their windows
-    windows = fe.char_windows(both.select("doc_id", F.col("old").alias("text")).repartition("doc_id"), "doc_id", ORDER)
+    windows = fe.char_windows(both.select("doc_id", F.col("old").alias("text")).repartition("doc_id"), "doc_id", ORDER, packed=True)
     changed = mz.changed_windows(both, ORDER).where("old_ctx is not null")
-    return th.reduced_windows(windows, changed, REDUCTION, REDUCE_SEED)
+    return th.reduced_windows(windows, changed, REDUCTION, REDUCE_SEED, length=ORDER)
 
 
 # U13 on a trained head --------------------------------------------------------------------
