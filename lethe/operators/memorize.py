@@ -189,10 +189,12 @@ def changed_windows(pairs: DataFrame, k: int, key: str = "doc_id", old: str = "o
                     continue
                 a, c = (np.frombuffer(t.encode("utf-32-le"), np.uint32) for t in (o, n))
                 short, most = min(len(a), len(c)), max(len(a), len(c))
-                differs = np.ones(most, np.int64)          # past the shorter text's end as well
-                differs[:short] = a[:short] != c[:short]
-                run_sum = np.concatenate([[0], np.cumsum(differs)])
-                at = np.flatnonzero(run_sum[k + 1:] > run_sum[:max(most - k, 0)]).tolist()
+                differs = np.ones(most, bool)              # past the shorter text's end as well
+                np.not_equal(a[:short], c[:short], out=differs[:short])
+                hit = np.zeros(max(most - k, 0), bool)
+                for j in range(k + 1 if len(hit) else 0):
+                    hit |= differs[j:j + len(hit)]
+                at = np.flatnonzero(hit).tolist()
                 cols["row"] += [row] * len(at)
                 cols["pos"] += at
                 for t, side in ((o, "old"), (n, "new")):

@@ -82,23 +82,29 @@ class _Pack:
             return cls(rows.read_next_batch(), length)
 
     def built(self, at: np.ndarray, key: str):
-        """Rows (key, pos, ctx, next, is_changed) of the windows, as often as they meet the change set."""
+        """Rows (key, pos, ctx, next, is_changed) of the windows ``at``, in their order, as often as they meet
+        the change set."""
         codes = np.frombuffer("".join(self.rows.column("text").to_pylist()).encode("utf-32-le"), "<u4")
-        at = np.repeat(at, np.maximum(self.times[at], 1))
+        size, byte = np.ones(len(codes), np.uint8), np.zeros(len(codes) + 1, np.int32)
+        for more in (0x7F, 0x7FF, 0xFFFF):
+            size += codes > more
+        np.cumsum(size, out=byte[1:])
+
+        def strings(begin, k):
+            """The k characters from ``begin`` on, side by side in UTF-8."""
+            ends = np.zeros(len(begin) + 1, np.int32)
+            np.cumsum(byte[begin + k] - byte[begin], out=ends[1:])
+            chars = np.ndarray(len(codes) - k + 1, f"V{4 * k}", codes, strides=(4,))[begin] if k else b""
+            return pa.StringArray.from_buffers(len(begin), pa.py_buffer(ends), pa.py_buffer(str(chars, "utf-32-le").encode()))
+        if len(self.times) and self.times.max() > 1:
+            at = np.repeat(at, np.maximum(self.times[at], 1))
         for i in range(0, len(at), OUT_ROWS):
             some = at[i:i + OUT_ROWS]
-            text = self.text_of(some)
+            text = np.repeat(np.arange(len(self.n)), np.diff(np.searchsorted(some, self.start)))
             begin = some + self.k * text                     # a text has k characters more than windows
             yield pa.RecordBatch.from_arrays(
-                [self.rows.column("key").take(pa.array(text, pa.int64())), pa.array(self.positions(some, text).astype(np.int32)),
-                 _strings(codes[begin[:, None] + np.arange(self.k)]), _strings(codes[begin + self.k][:, None]), pa.array(self.times[some] > 0)], names=[key, "pos", "ctx", "next", "is_changed"])
-
-
-def _strings(codes: np.ndarray) -> pa.Array:
-    """Rows of code points as strings."""
-    size = 1 + (codes > 0x7F) + (codes > 0x7FF) + (codes > 0xFFFF).astype(np.int32)
-    ends = np.concatenate([[0], np.cumsum(size.sum(axis=1))]).astype(np.int32)
-    return pa.StringArray.from_buffers(len(codes), pa.py_buffer(ends), pa.py_buffer(codes.astype("<u4").tobytes().decode("utf-32-le").encode()))
+                [self.rows.column("key").take(pa.array(text)), pa.array(self.positions(some, text).astype(np.int32)),
+                 strings(begin, self.k), strings(begin + self.k, 1), pa.array(self.times[some] > 0)], names=[key, "pos", "ctx", "next", "is_changed"])
 
 
 def _texts(batches, length: int, step: int):
@@ -144,17 +150,25 @@ def cut_windows(texts: DataFrame, length: int, seed, share: float, quota, key: s
 
     def pack(batches):
         for p in _texts(batches, length, step):
-            draw, info, near, sure = p.draws(seed), [], [], np.zeros(len(p.times), bool)
-            bucket = draw >> 16
-            for group in (p.times == 0, p.times > 0):
-                first, last = _foreseen(int(group.sum()), share)
-                below = group & (bucket < first)
-                at = np.flatnonzero(group & (bucket >= first) & (bucket <= last))
+            draw, info, near = p.draws(seed), [], []
+            changed, bucket = np.flatnonzero(p.times), draw >> 16
+            sure = np.zeros(len(draw), bool)
+            for which, n in ((None, len(draw) - len(changed)), (changed, len(changed))):
+                first, last = _foreseen(n, share)
+                mine = bucket if which is None else bucket[which]
+                below, at = mine < first, (mine >= first) & (mine <= last)
+                if which is None:
+                    below[changed] = at[changed] = False
+                    sure |= below
+                    at = np.flatnonzero(at)
+                    rows, low = n, int(np.count_nonzero(below))
+                else:
+                    sure[which[below]] = True
+                    at = which[at]
+                    rows, low = int(p.times[which].sum(dtype=np.int64)), int(p.times[which[below]].sum(dtype=np.int64))
                 near.append(np.empty(len(at), NEAR))
                 near[-1]["at"], near[-1]["draw"], near[-1]["times"] = at, draw[at], p.times[at]
-                sure |= below
-                rows = lambda which: int(np.maximum(p.times[which], 1).sum())
-                info.append([rows(group), rows(below), first, last])
+                info.append([rows, low, first, last])
             n, low, first, last = zip(*info)
             yield pa.RecordBatch.from_arrays(
                 [pa.array([p.written()], pa.binary()), pa.array([np.packbits(sure).tobytes()], pa.binary()), pa.array([np.concatenate(near).tobytes()], pa.binary()),
@@ -211,7 +225,9 @@ def cut_windows(texts: DataFrame, length: int, seed, share: float, quota, key: s
             near = np.frombuffer(b.column("near")[row].as_buffer(), NEAR)
             sure = np.unpackbits(np.frombuffer(b.column("sure")[row].as_buffer(), np.uint8), count=len(p.times)).astype(bool)
             at, draw = near["at"], near["draw"]
-            sure = sure & np.isin(p.times > 0, list(pending))
+            for g in groups:
+                if g not in pending:
+                    sure &= p.times == 0 if g else p.times > 0
         else:
             draw = p.draws(seed)
             at, sure = np.arange(len(draw)), np.zeros(len(draw), bool)
@@ -242,7 +258,7 @@ def cut_windows(texts: DataFrame, length: int, seed, share: float, quota, key: s
                     keep[at[mine & (draw < h)]] = True
                     tied = at[mine & (draw == h)]
                     keep[tied[np.array([k <= last for k in p.names(tied)], bool)]] = True
-                if whole:
-                    keep |= np.isin(p.times > 0, whole)
+                for g in whole:
+                    keep |= p.times > 0 if g else p.times == 0
                 yield from p.built(np.flatnonzero(keep), key)
     return packs.mapInArrow(kept, f"`{key}` {kind}, pos int, ctx string, next string, is_changed boolean")
